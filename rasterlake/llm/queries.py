@@ -4,13 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_store
+from . import exact_dedup, packing, quality, secrets, simhash, token_store, vector_search
 from .common import documents
 from .wordbpe import vocabulary_path
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(documents(spark, sf_dir), _table(spark, sf_dir, "labels"), 0.3)
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(documents(spark, sf_dir), "doc_id", "text")[1])
+
+
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(documents(spark, sf_dir), "largest").drop("row_hash")
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir), 3, 3)
+
+
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.top_k(_table(spark, sf_dir, "embeddings"), 5, 50, 256)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_and_read(documents(spark, sf_dir), vocabulary_path(WORDS), 1)
 
@@ -20,8 +44,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op9_token_files": op9_token_files, "op10_packing": op10_packing}
+    return {
+        "op1_quality": op1_quality,
+        "op2_secrets": op2_secrets,
+        "op4_exact_dedup": op4_exact_dedup,
+        "op6_simhash": op6_simhash,
+        "op7_top_k": op7_top_k,
+        "op9_token_files": op9_token_files,
+        "op10_packing": op10_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_secrets": secrets.SECRETS_SQL, "op4_exact_dedup": exact_dedup.DEDUP_SQL, "op7_top_k": vector_search.TOP_K_SQL}
