@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, quality, secrets, simhash, token_store, vector_search
+from . import chunk_bpe, exact_dedup, packing, quality, secrets, simhash, token_store, toxicity, vector_search
 from .common import documents
 from .wordbpe import vocabulary_path
 
@@ -23,6 +23,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(documents(spark, sf_dir), "doc_id", "text")[1])
 
 
+def op3_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_bpe.encode_decode(documents(spark, sf_dir), vocabulary_path(WORDS))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(documents(spark, sf_dir), "largest").drop("row_hash")
 
@@ -35,6 +39,10 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.top_k(_table(spark, sf_dir, "embeddings"), 5, 50, 256)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), _table(spark, sf_dir, "labels"), 0.5)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_and_read(documents(spark, sf_dir), vocabulary_path(WORDS), 1)
 
@@ -47,9 +55,11 @@ def queries() -> dict:
     return {
         "op1_quality": op1_quality,
         "op2_secrets": op2_secrets,
+        "op3_chunk_bpe": op3_chunk_bpe,
         "op4_exact_dedup": op4_exact_dedup,
         "op6_simhash": op6_simhash,
         "op7_top_k": op7_top_k,
+        "op8_toxicity": op8_toxicity,
         "op9_token_files": op9_token_files,
         "op10_packing": op10_packing,
     }
