@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_bpe, exact_dedup, packing, quality, secrets, simhash, token_store, toxicity, vector_search
+from . import chunk_bpe, exact_dedup, maxent_lm, packing, quality, secrets, simhash, token_store, toxicity, vector_search
 from .common import documents
 from .wordbpe import vocabulary_path
 
@@ -31,6 +31,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(documents(spark, sf_dir), "largest").drop("row_hash")
 
 
+def op5_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.score(documents(spark, sf_dir), 7, 2)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), 3, 3)
 
@@ -57,6 +61,7 @@ def queries() -> dict:
         "op2_secrets": op2_secrets,
         "op3_chunk_bpe": op3_chunk_bpe,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_maxent_lm": op5_maxent_lm,
         "op6_simhash": op6_simhash,
         "op7_top_k": op7_top_k,
         "op8_toxicity": op8_toxicity,
