@@ -166,10 +166,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Trees:
     return fit(x[order], raw[order])
 
 
-def _scored(batches: Iterator[pa.RecordBatch], trees: Trees) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], trees: Trees, name: str = "score") -> Iterator[pa.RecordBatch]:
     for batch in batches:
         i = batch.schema.get_field_index("text")
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(trees.score(statistics(batch.column(i))))], names=[*batch.schema.names, "score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(trees.score(statistics(batch.column(i))))], names=[*batch.schema.names, name])
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -183,5 +183,5 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
     """The rows that the classifier does not reject, with the columns they came with."""
     trees = train(docs, labels)
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *[F.col(c) for c in docs.columns if c not in ("doc_id", "text")])
-    schema = ", ".join(f"`{c}` {t}" for c, t in keyed.dtypes) + ", score double"
-    return keyed.mapInArrow(lambda it: _scored(it, trees), schema).filter(F.col("score") >= threshold).select(*docs.columns)
+    schema = ", ".join(f"`{c}` {t}" for c, t in keyed.dtypes) + ", __quality double"
+    return keyed.mapInArrow(lambda it: _scored(it, trees, "__quality"), schema).filter(F.col("__quality") >= threshold).select(*docs.columns)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from . import chunk_bpe, exact_dedup, maxent_lm, packing, quality, secrets, simhash, token_store, toxicity, vector_search
 from .common import documents
 from .wordbpe import vocabulary_path
@@ -67,8 +69,9 @@ def queries() -> dict:
         "op8_toxicity": op8_toxicity,
         "op9_token_files": op9_token_files,
         "op10_packing": op10_packing,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secrets": secrets.SECRETS_SQL, "op4_exact_dedup": exact_dedup.DEDUP_SQL, "op7_top_k": vector_search.TOP_K_SQL}
+    return {"op2_secrets": secrets.SECRETS_SQL, "op4_exact_dedup": exact_dedup.DEDUP_SQL, "op7_top_k": vector_search.TOP_K_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -118,12 +118,12 @@ def redacted(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The same rows and columns with secrets masked; n_chars, where there is one, follows the text."""
-    keyed = docs.withColumn("_blob", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    keyed = docs.withColumn("__blob", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
     fresh = written(scan_unseen(addressed(docs, id_col, text_col), None), "ledger")
-    found = fresh.filter(F.size("spans") > 0).select(F.col("blob_id").alias("_blob"), F.col("spans").alias("_spans"))
-    out = keyed.join(found, "_blob", "left").withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(redacted(F.col(text_col), F.col("_spans"))))
+    found = fresh.filter(F.size("spans") > 0).select(F.col("blob_id").alias("__blob"), F.col("spans").alias("__spans"))
+    out = keyed.join(found, "__blob", "left").withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(redacted(F.col(text_col), F.col("__spans"))))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast("bigint")))
+        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast("bigint")))
     return out.select(*docs.columns)
 
 

@@ -82,7 +82,7 @@ def fingerprints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.R
                 parts.append(_majority(np.array(hashes, np.uint64), np.array(sizes)))
                 hashes, sizes = [], []
         parts.append(_majority(np.array(hashes, np.uint64), np.array(sizes, np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(parts).view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_hash"), pa.array(np.concatenate(parts).view(np.int64))], names=["doc_id", "row_hash", "fp"])
 
 
 class BKTree:
@@ -189,12 +189,15 @@ def components(links: DataFrame) -> DataFrame:
             low = written(low.join(to, "p", "left").select("u", F.coalesce("q", "p").alias("p")), "low")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
-    """One row per document: doc_id, fingerprint, component_id; radius is below the number of blocks."""
+def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, rows: bool = False) -> DataFrame:
+    """One row per document: doc_id, fingerprint, component_id; radius is below the number of blocks.
+
+    With ``rows`` also row_hash (xxhash64 of the text) and root (a number of the component).
+    """
     if radius >= BLOCKS:
         raise ValueError("radius must be below the number of blocks")
-    rows = id_and_text(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
-    table = written(rows.mapInArrow(lambda it: fingerprints(it, width), "doc_id bigint, fp bigint"), "fingerprints")
+    source = id_and_text(docs).select("doc_id", F.xxhash64("text").alias("row_hash"), F.col("text").cast("binary").alias("text"))
+    table = written(source.mapInArrow(lambda it: fingerprints(it, width), "doc_id bigint, row_hash bigint, fp bigint"), "fingerprints")
     distinct = written(table.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     mask = (1 << BLOCK_BITS) - 1
     shards = F.array(*(F.shiftrightunsigned("fp", BLOCK_BITS * j).bitwiseAND(F.lit(mask)) + F.lit(j << BLOCK_BITS) for j in range(BLOCKS)))
@@ -202,5 +205,6 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFra
     low = components(dealt.select(F.col("shard").cast("bigint").alias("shard"), "fp").mapInArrow(lambda it: link_shards(it, radius), "u bigint, v bigint"))
     rooted = written(distinct.join(low.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "rep", F.coalesce("p", "fp").alias("root")), "rooted")
     smallest = written(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "smallest")
-    named = written(rooted.join(smallest, "root").select("fp", "component_id"), "named")
-    return table.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = written(rooted.join(smallest, "root").select("fp", "root", "component_id"), "named")
+    more = ["row_hash", "root"] if rows else []
+    return table.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *more)
