@@ -1,11 +1,540 @@
-"""Registered queries of the raster operators and their SQL counterparts."""
+"""Registered queries of the raster operators and their SQL counterparts.
+
+Each entry is a builder over the derived images of ``inputs`` and, where SQL can
+say it, the same result in SQL text written on its own.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import color as C
+from ..functions.diff import DIFFS
+from ..operators import pixels as P
+from ..operators import stencils as T
+from ..operators import summaries as S
+from ..operators import timeline as L
+from .inputs import ANIM, CLIP, PAIR, PX, SPARSE, animation, clip, pixels, side, sparse, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def add(name: str, build: Query, sql: str | None = None) -> None:
+    _QUERIES[name] = build
+    if sql:
+        _SQL[name] = sql
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _fl(x: str | float) -> str:
+    return f"CAST({x} AS FLOAT)"
+
+
+def _rnd(x: str) -> str:
+    return f"CAST(floor(CAST({x} AS DOUBLE) + 0.5) AS INTEGER)"
+
+
+def _colors(a: str, r: str, g: str, b: str, source: str = "px", keys: str = "image_id, x, y") -> str:
+    return f"SELECT {keys}, " + ", ".join(f"CAST({e} AS INTEGER) AS {n}" for e, n in zip((a, r, g, b), "argb")) + f" FROM {source}"
+
+
+def _each(f, source: str = "px", a: str = "a") -> str:
+    return f"WITH {PX} " + _colors(a, *(f(c) for c in "rgb"), source=source)
+
+
+def _add_color(name: str, f, sql: str) -> None:
+    add(name, lambda spark, d: P.colored(pixels(spark, d), f), sql)
+
+
+# -- scalar colour math ---------------------------------------------------------------
+
+_LUMA = f"{_fl(0.299)} * {_fl('r')} + {_fl(0.587)} * {_fl('g')} + {_fl(0.114)} * {_fl('b')}"
+_PACK = "(({a}) * 16777216 + ({r}) * 65536 + ({g}) * 256 + ({b}))"
+_PACKED = _PACK.format(a="CAST(a AS BIGINT)", r="r", g="g", b="b")
+
+_gray = f"greatest(0, least(255, {_rnd(_LUMA)}))"
+_add_color("px_grayscale", C.grayscale, f"WITH {PX} " + _colors("a", _gray, _gray, _gray))
+_add_color("px_invert", C.invert, _each(lambda c: f"255 - {c}"))
+_add_color("px_multiply_alpha", lambda p: C.multiply_alpha(p, 0.5), _each(lambda c: c, a=_rnd(f"{_fl('a')} * {_fl(0.5)}")))
+_add_color("px_premultiply", C.premultiply, _each(lambda c: f"({c} * a + 127) // 255"))
+_add_color("px_unpremultiply", C.unpremultiply, _each(lambda c: f"CASE WHEN a IN (0, 255) THEN {c} ELSE least(255, {c} * 255 // a) END"))
+_TINT = {"r": 0xC8, "g": 0x40, "b": 0xA0}
+_add_color("px_tint", lambda p: C.tint(p, 0xFFC840A0), _each(lambda c: f"CASE WHEN a = 0 THEN {c} ELSE ({c} * {_TINT[c]} + 127) // 255 END"))
+_add_color("px_subtract_green", C.subtract_green, f"WITH {PX} " + _colors("a", "(r - g + 256) % 256", "g", "(b - g + 256) % 256"))
+_add_color("px_add_green", lambda p: C.add_green(C.subtract_green(p)), f"WITH {PX} " + _colors("a", "r", "g", "b"))
+_BG = {"r": 0x20, "g": 0x30, "b": 0x40}
+_add_color("px_flatten", lambda p: C.flatten(p, 0x203040, True), _each(lambda c: f"CASE WHEN a < 128 THEN 0 WHEN a = 255 THEN {c} ELSE ({c} * a + {_BG[c]} * (255 - a)) // 255 END", a="CASE WHEN a < 128 THEN 0 ELSE 255 END"))
+_add_color("px_flatten_opaque", lambda p: C.flatten(p, 0x203040, False), _each(lambda c: f"({c} * a + {_BG[c]} * (255 - a)) // 255", a="255"))
+
+
+def _signed(c: str) -> str:
+    return f"CASE WHEN {c} > 127 THEN {c} - 256 ELSE {c} END"
+
+
+_add_color(
+    "px_color_transform",
+    lambda p: C.color_transform(p, 23, -41, 77),
+    f"WITH {PX}, q AS (SELECT *, {_signed('r')} AS r1, {_signed('g')} AS g1 FROM px) "
+    + _colors("a", "(r - CAST(floor(23 * g1 / 32.0) AS INTEGER) + 512) % 256", "g", "(b - CAST(floor(-41 * g1 / 32.0) AS INTEGER) - CAST(floor(77 * r1 / 32.0) AS INTEGER) + 1024) % 256", "q"),
+)
+_add_color("px_color_transform_back", lambda p: C.color_transform(C.color_transform(p, 23, -41, 77), 23, -41, 77, inverse=True), f"WITH {PX} " + _colors("a", "r", "g", "b"))
+
+
+def _snapped(c: str, bits: int) -> str:
+    biased = f"({c} + {((1 << bits) - 1) >> 1} + ({c} >> {bits}) % 2)"
+    return f"CASE WHEN {biased} > 255 THEN 255 ELSE {biased} // {1 << bits} * {1 << bits} END"
+
+
+for _bits in (1, 3, 5):
+    _add_color(f"px_snap_{_bits}", lambda p, b=_bits: C.Argb(*(C.snap(c, b) for c in p)), f"WITH {PX} " + _colors(*(_snapped(c, _bits) for c in "argb")))
+
+add(
+    "px_pack",
+    lambda spark, d: pixels(spark, d).select(*P.KEYS, C.unsigned(C.pack(*C.Argb.of())).alias("argb"), C.unsigned(C.with_alpha(C.pack(*C.Argb.of()), F.lit(128))).alias("half")),
+    f"WITH {PX} SELECT image_id, x, y, {_PACKED} AS argb, {_PACK.format(a='CAST(128 AS BIGINT)', r='r', g='g', b='b')} AS half FROM px",
+)
+add("px_unpack", lambda spark, d: pixels(spark, d).select(*P.KEYS, *C.Argb.unpacked(C.pack(*C.Argb.of())).named()), f"WITH {PX} " + _colors("a", "r", "g", "b"))
+add(
+    "px_lumas",
+    lambda spark, d: pixels(spark, d).select(*P.KEYS, C.luma(C.Argb.of()).cast("double").alias("weighted"), C.plain_luma(C.Argb.of()).cast("double").alias("plain"), C.print_luma(C.Argb.of()).alias("printed"), C.quick_luma(C.Argb.of()).alias("quick")),
+    f"WITH {PX} SELECT image_id, x, y, CAST(CAST(({_LUMA}) AS FLOAT) * CAST({_fl('a')} / {_fl(255)} AS FLOAT) AS DOUBLE) AS weighted, CAST({_LUMA} AS DOUBLE) AS plain, (299 * r + 587 * g + 114 * b + 500) // 1000 AS printed, (r + 2 * g + b) // 4 AS quick FROM px",
+)
+
+
+def _hsv_sql() -> str:
+    h = f"CAST({_fl('r * 3 - 200')} AS FLOAT)"
+    cte = f"""q AS (SELECT *, CAST((((({h} % {_fl(360)}) + {_fl(360)}) % {_fl(360)}) / {_fl(60)}) AS FLOAT) AS h, CAST({_fl('g')} / {_fl(255)} AS FLOAT) AS s, CAST({_fl('b')} / {_fl(255)} AS FLOAT) AS v FROM px),
+q2 AS (SELECT *, CAST(v * s AS FLOAT) AS c FROM q), q3 AS (SELECT *, CAST(c * ({_fl(1)} - abs((h % {_fl(2)}) - {_fl(1)})) AS FLOAT) AS k, CAST(v - c AS FLOAT) AS m, CAST(floor(h) AS INTEGER) AS t FROM q2)"""
+    z = _fl(0)
+
+    def ch(*at: str) -> str:
+        return _rnd(f"CAST((CASE t WHEN 0 THEN {at[0]} WHEN 1 THEN {at[1]} WHEN 2 THEN {at[2]} WHEN 3 THEN {at[3]} WHEN 4 THEN {at[4]} ELSE {at[5]} END + m) * {_fl(255)} AS FLOAT)")
+
+    return f"WITH {PX}, {cte} " + _colors("255", ch("c", "k", z, z, "k", "c"), ch("k", "c", "c", "k", z, z), ch(z, z, "k", "c", "c", "k"), "q3")
+
+
+_add_color("px_hsv", lambda p: C.hsv(p.r * 3 - 200, C.f32(p.g) / C.f32(255), C.f32(p.b) / C.f32(255)), _hsv_sql())
+add(
+    "px_ycbcr",
+    lambda spark, d: pixels(spark, d).select(*P.KEYS, *(c.cast("int").alias(n) for c, n in zip(C.to_ycbcr(C.Argb.of()), ("luma", "cb", "cr")))),
+    f"""WITH {PX} SELECT image_id, x, y, CAST(greatest(0, least(255, floor((66 * r + 129 * g + 25 * b + 128) / 256.0) + 16)) AS INTEGER) AS luma,
+CAST(greatest(0, least(255, floor((-38 * r - 74 * g + 112 * b + 128) / 256.0) + 128)) AS INTEGER) AS cb,
+CAST(greatest(0, least(255, floor((112 * r - 94 * g - 18 * b + 128) / 256.0) + 128)) AS INTEGER) AS cr FROM px""",
+)
+add(
+    "px_chroma_plane",
+    lambda spark, d: pixels(spark, d).filter((F.col("x") % 2 == 0) & (F.col("y") % 2 == 0)).select("image_id", C.idiv(F.col("x"), 2).alias("x"), C.idiv(F.col("y"), 2).alias("y"), *(c.cast("int").alias(n) for c, n in zip(C.to_ycbcr(C.Argb.of())[1:], ("cb", "cr")))),
+    f"""WITH {PX} SELECT image_id, x // 2 AS x, y // 2 AS y,
+CAST(greatest(0, least(255, floor((-38 * r - 74 * g + 112 * b + 128) / 256.0) + 128)) AS INTEGER) AS cb,
+CAST(greatest(0, least(255, floor((112 * r - 94 * g - 18 * b + 128) / 256.0) + 128)) AS INTEGER) AS cr FROM px WHERE x % 2 = 0 AND y % 2 = 0""",
+)
+
+
+def _sat(e: str) -> str:
+    return f"greatest(0, least(255, floor(({e}) / 256.0)))"
+
+
+_add_color("px_from_ycbcr", lambda p: C.from_ycbcr(p.r, p.g, p.b), f"WITH {PX} " + _colors("255", _sat("298 * (r - 16) + 409 * (b - 128) + 128"), _sat("298 * (r - 16) - 100 * (g - 128) - 208 * (b - 128) + 128"), _sat("298 * (r - 16) + 516 * (g - 128) + 128")))
+add(
+    "px_cache_slot",
+    lambda spark, d: pixels(spark, d).select(*P.KEYS, C.cache_slot(C.pack(*C.Argb.of()), 10).alias("slot")),
+    f"WITH {PX} SELECT image_id, x, y, CAST((CAST({_PACKED} AS HUGEINT) * 506832829 % 4294967296) // 4194304 AS INTEGER) AS slot FROM px",
+)
+add(
+    "px_prefix_code",
+    lambda spark, d: table(spark, d, "lineitem").select((F.col("l_partkey") + F.col("l_linenumber")).cast("int").alias("v")).distinct().select("v", *(c.cast("int").alias(n) for c, n in zip(C.prefix_code(F.col("v")), ("symbol", "extra_bits", "extra_value")))),
+    """WITH d AS (SELECT DISTINCT CAST(l_partkey + l_linenumber AS INTEGER) AS v FROM lineitem),
+h AS (SELECT v, CASE WHEN v < 5 THEN 2 ELSE CAST(floor(log2(v - 1)) AS INTEGER) END AS hb FROM d)
+SELECT v, CAST(CASE WHEN v < 5 THEN v - 1 ELSE 2 * hb + ((v - 1) >> (hb - 1)) % 2 END AS INTEGER) AS symbol, CAST(CASE WHEN v < 5 THEN 0 ELSE hb - 1 END AS INTEGER) AS extra_bits,
+CAST(CASE WHEN v < 5 THEN 0 ELSE (v - 1) % (1 << (hb - 1)) END AS INTEGER) AS extra_value FROM h""",
+)
+add(
+    "px_scale_sample",
+    lambda spark, d: pixels(spark, d).select(*P.KEYS, C.scale_sample(F.col("r") * 3, 1023).alias("narrow"), C.scale_sample(F.col("g"), 100).alias("wide")),
+    f"WITH {PX} SELECT image_id, x, y, least(255, r * 3 * 255 // 1023) AS narrow, least(255, g * 255 // 100) AS wide FROM px",
+)
+add(
+    "px_quality_index",
+    lambda spark, d: table(spark, d, "orders").select("o_orderkey", C.quality_index((F.col("o_orderkey") % 101) / 100.0).alias("qi")),
+    f"SELECT o_orderkey, greatest(0, least(127, CAST(trunc(CAST(({_fl(1)} - CAST((o_orderkey % 101) / 100.0 AS FLOAT)) * {_fl(127)} + {_fl(0.5)} AS FLOAT)) AS INTEGER))) AS qi FROM orders",
+)
+
+# -- blends and differences ---------------------------------------------------------------
+
+_SA = f"CAST({_fl('sa')} / {_fl(255)} AS FLOAT)"
+_RS = f"CAST({_fl(1)} - {_SA} AS FLOAT)"
+
+
+def _if_seen(e: str, n: str, opaque: str | None = None) -> str:
+    whole = f" WHEN sa = 255 THEN {opaque}" if opaque else ""
+    return f"CASE WHEN sa = 0 THEN d{n}{whole} ELSE {e} END"
+
+
+_BLEND_SQL = {
+    "normal": lambda n: _if_seen(_rnd(f"CAST({_fl('sa')} + {_fl('da')} * {_RS} AS FLOAT)") if n == "a" else _rnd(f"CAST({_fl('s' + n)} * {_SA} + {_fl('d' + n)} * {_RS} AS FLOAT)"), n, f"s{n}"),
+    "replace": lambda n: f"s{n}",
+    "add": lambda n: _if_seen("least(255, da + sa)" if n == "a" else "least(255, d%s + %s)" % (n, _rnd(f"CAST({_fl('s' + n)} * {_SA} AS FLOAT)")), n),
+    "multiply": lambda n: "da" if n == "a" else _if_seen(f"(s{n} * d{n} + 127) // 255", n),
+    "overlay": lambda n: "da" if n == "a" else _if_seen(f"CASE WHEN d{n} < 128 THEN (2 * s{n} * d{n} + 127) // 255 ELSE 255 - (2 * (255 - s{n}) * (255 - d{n}) + 127) // 255 END", n),
+    "quadratic_add": lambda n: "da" if n == "a" else _if_seen(f"least(255, (s{n} * s{n} + 127) // 255 + d{n})", n),
+}
+for _mode in C.BLENDS:
+    add(
+        f"blend_{_mode}",
+        lambda spark, d, m=_mode: P.paired(side(spark, d, 0), side(spark, d, 1)).select(*P.KEYS, *C.blend(C.Argb.of("s"), C.Argb.of("d"), m).named()),
+        f"WITH {PAIR} " + _colors(*(_BLEND_SQL[_mode](n) for n in "argb"), source="pr"),
+    )
+    # the source lies three right and two up; clear source pixels never count, whatever the mode
+    add(
+        f"blit_{_mode}",
+        lambda spark, d, m=_mode: P.blit(side(spark, d, 1), side(spark, d, 0), 3, -2, m),
+        f"WITH {PAIR}, bl AS (SELECT d0.*, sa, sr, sg, sb FROM d0 LEFT JOIN s0 ON d0.image_id = s0.image_id AND d0.x = s0.x + 3 AND d0.y = s0.y - 2) "
+        + _colors(*(f"CASE WHEN sa IS NULL OR sa = 0 THEN d{n} ELSE {_BLEND_SQL[_mode](n)} END" for n in "argb"), source="bl"),
+    )
+add(
+    "blit_opaque_copy",
+    lambda spark, d: P.blit(side(spark, d, 1), side(spark, d, 0), -1, 1, opaque_source=True),
+    f"WITH {PAIR} SELECT d0.image_id, d0.x, d0.y, coalesce(sa, da) AS a, coalesce(sr, dr) AS r, coalesce(sg, dg) AS g, coalesce(sb, db) AS b FROM d0 LEFT JOIN s0 ON d0.image_id = s0.image_id AND d0.x = s0.x - 1 AND d0.y = s0.y + 1",
+)
+add(
+    "blit_scaled",
+    lambda spark, d: P.blit_scaled(side(spark, d, 1), side(spark, d, 0), 1, 2, 5, 11, 8, 8),
+    f"WITH {PAIR}, g AS (SELECT CAST(t.tx AS INTEGER) AS tx, CAST(u.ty AS INTEGER) AS ty FROM range(5) t(tx), range(11) u(ty)), "
+    "sc AS (SELECT image_id, tx + 1 AS x, ty + 2 AS y, sa, sr, sg, sb FROM s0 JOIN g ON s0.x = tx * 8 // 5 AND s0.y = ty * 8 // 11), bl AS (SELECT * FROM d0 LEFT JOIN sc USING (image_id, x, y)) "
+    + _colors(*(f"CASE WHEN sa IS NULL OR sa = 0 THEN d{n} ELSE {_BLEND_SQL['normal'](n)} END" for n in "argb"), source="bl"),
+)
+
+
+def _tinted(n: str) -> str:
+    return n if n == "a" else f"CASE WHEN a = 0 THEN {n} ELSE ({n} * {_TINT[n]} + 127) // 255 END"
+
+
+add(
+    "blit_tinted",
+    lambda spark, d: P.blit(side(spark, d, 1), P.colored(side(spark, d, 0), lambda p: C.tint(p, 0xFFC840A0)), 0, 0, "add"),
+    f"WITH {PX}, s0 AS (SELECT image_id // 2 AS image_id, x, y, " + ", ".join(f"{_tinted(n)} AS s{n}" for n in "argb") + " FROM px WHERE image_id % 2 = 0), "
+    "d0 AS (SELECT image_id // 2 AS image_id, x, y, a AS da, r AS dr, g AS dg, b AS db FROM px WHERE image_id % 2 = 1), bl AS (SELECT * FROM d0 LEFT JOIN s0 USING (image_id, x, y)) "
+    + _colors(*(f"CASE WHEN sa IS NULL OR sa = 0 THEN d{n} ELSE {_BLEND_SQL['add'](n)} END" for n in "argb"), source="bl"),
+)
+add(
+    "lerp",
+    lambda spark, d: P.paired(side(spark, d, 0), side(spark, d, 1)).select(*P.KEYS, *C.lerp(C.Argb.of("s"), C.Argb.of("d"), 0.3).named()),
+    f"WITH {PAIR} " + _colors(*(_rnd(f"CAST({_fl('s' + n)} * CAST({_fl(1)} - {_fl(0.3)} AS FLOAT) + {_fl('d' + n)} * {_fl(0.3)} AS FLOAT)") for n in "argb"), source="pr"),
+)
+
+
+def _diff_sql(out: list[str], covered: bool = True, before: str = "") -> str:
+    head = "CASE " + before + ("WHEN sa = 0 AND da = 0 THEN {0} " if covered else "") + "WHEN (sa = 0) <> (da = 0) THEN {1} ELSE {2} END"
+    return _colors(*(head.format(0, m, o) for m, o in zip((255, 255, 0, 255), out)), source="pr")
+
+
+def _near(a: str, b: str) -> str:
+    return f"least(255, abs({a} - {b}) * 4)"
+
+
+_W = {n: [f"({s}{n} * {s}a + 255 * (255 - {s}a) + 127) // 255" for s in "sd"] for n in "rgb"}
+_lm = [" + ".join(f"{_fl(w)} * {_fl(s + n)}" for w, n in zip((0.299, 0.587, 0.114), "rgb")) for s in "sd"]
+_DL = f"CAST(CAST({_lm[0]} AS FLOAT) - CAST({_lm[1]} AS FLOAT) AS FLOAT)"
+_MG = f"CAST(trunc(least({_fl(127)}, abs({_DL}) * {_fl(2)})) AS INTEGER)"
+_same_white = " AND ".join(f"{a} = {b}" for a, b in _W.values())
+_DIFF_SQL = {
+    "absolute": _diff_sql(["255", *(f"CASE WHEN sa = da AND sr = dr AND sg = dg AND sb = db THEN 16 ELSE {_near('s' + n, 'd' + n)} END" for n in "rgb")]),
+    "over_white": _diff_sql(["255", *(_near(*_W[n]) for n in "rgb")], False, f"WHEN {_same_white} THEN 0 "),
+    "signed_luma": _diff_sql(["255", f"CASE WHEN {_DL} >= 0 THEN 128 + {_MG} ELSE 128 - {_MG} // 2 END", f"128 - {_MG} // 2", f"CASE WHEN {_DL} >= 0 THEN 128 - {_MG} // 2 ELSE 128 + {_MG} END"]),
+    "signed_rgb": _diff_sql(["255", *(f"greatest(0, least(255, 128 + 2 * (s{n} - d{n})))" for n in "rgb")]),
+}
+for _mode, _sql in _DIFF_SQL.items():
+    add(f"diff_{_mode}", lambda spark, d, m=_mode: P.paired(side(spark, d, 0), side(spark, d, 1)).select(*P.KEYS, *DIFFS[m](C.Argb.of("s"), C.Argb.of("d")).named()), f"WITH {PAIR} {_sql}")
+add(
+    "diff_coverage",
+    lambda spark, d: P.paired(side(spark, d, 0).filter("r % 5 <> 0"), side(spark, d, 1).filter("r % 7 <> 0"), "full").select(*P.KEYS, *DIFFS["coverage"](C.Argb.of("s"), C.Argb.of("d")).named()),
+    f"WITH {PAIR}, pr2 AS (SELECT image_id, x, y, coalesce(sa, 0) AS sa, coalesce(da, 0) AS da FROM (SELECT * FROM s0 WHERE sr % 5 <> 0) FULL JOIN (SELECT * FROM d0 WHERE dr % 7 <> 0) USING (image_id, x, y)) "
+    + _colors(*(f"CASE WHEN sa = 0 AND da = 0 THEN 0 WHEN sa > 0 AND da > 0 THEN {b} WHEN sa > 0 THEN {m} ELSE {c} END" for b, m, c in ((255, 255, 255), (0x30, 255, 0), (0x30, 0, 255), (0x34, 255, 255))), source="pr2"),
+)
+
+# -- geometry ---------------------------------------------------------------------------------
+
+
+def _add_move(name: str, build, x: str, y: str, where: str = "") -> None:
+    add(name, lambda spark, d: build(pixels(spark, d)), f"WITH {PX} SELECT image_id, {x} AS x, {y} AS y, a, r, g, b FROM px {where}")
+
+
+_add_move("geo_crop", lambda px: P.crop(px, 2, 1, 4, 5, 8, 8), "x - 2", "y - 1", "WHERE x BETWEEN 2 AND 5 AND y BETWEEN 1 AND 5")
+_add_move("geo_row", lambda px: px.filter("y = 3"), "x", "y", "WHERE y = 3")
+_add_move("geo_pixel", lambda px: px.filter("x = 2 AND y = 5"), "x", "y", "WHERE x = 2 AND y = 5")
+_add_move("geo_region", lambda px: P.region(px, 1, 2, 3, 3), "x", "y", "WHERE x BETWEEN 1 AND 3 AND y BETWEEN 2 AND 4")
+_add_move("geo_flip_h", lambda px: P.flip_horizontal(px, 8, 8), "7 - x", "y")
+_add_move("geo_flip_v", lambda px: P.flip_vertical(px, 8, 8), "x", "7 - y")
+_add_move("geo_rot90", lambda px: P.rotate90(px, 8, 8), "7 - y", "x")
+_add_move("geo_rot180", lambda px: P.rotate180(px, 8, 8), "7 - x", "7 - y")
+_add_move("geo_rot270", lambda px: P.rotate270(px, 8, 8), "y", "7 - x")
+add(
+    "geo_resize_nearest",
+    lambda spark, d: P.resize_nearest(pixels(spark, d), 8, 8, 5, 13),
+    f"WITH {PX}, g AS (SELECT CAST(t.tx AS INTEGER) AS tx, CAST(u.ty AS INTEGER) AS ty FROM range(5) t(tx), range(13) u(ty)) SELECT image_id, tx AS x, ty AS y, a, r, g, b FROM px JOIN (SELECT tx, ty FROM g) k ON x = tx * 8 // 5 AND y = ty * 8 // 13",
+)
+
+
+def _bilinear_sql(w: int, h: int) -> str:
+    def axis(n: str, size: int) -> str:
+        at = f"CAST(CAST(CAST(({_fl('t')} + {_fl(0.5)}) * {_fl(8)} AS FLOAT) / {_fl(size)} AS FLOAT) - {_fl(0.5)} AS FLOAT)"
+        return f"{n} AS (SELECT CAST(t AS INTEGER) AS t, least(6, greatest(0, CAST(floor({at}) AS INTEGER))) AS s, CAST({at} - {_fl(f'floor({at})')} AS FLOAT) AS f FROM range({size}) r(t))"
+
+    one = _fl(1)
+
+    def mix(c: str) -> str:
+        taps = [f"{_fl(f'p{k}.{c}')} * CAST({wx} * {wy} AS FLOAT)" for k, (wx, wy) in {"00": (f"({one} - ax.f)", f"({one} - ay.f)"), "10": ("ax.f", f"({one} - ay.f)"), "01": (f"({one} - ax.f)", "ay.f"), "11": ("ax.f", "ay.f")}.items()]
+        return f"greatest(0, least(255, CAST(trunc({' + '.join(taps)}) AS INTEGER)))"
+
+    joins = " ".join(f"JOIN px p{i}{j} ON p{i}{j}.image_id = p00.image_id AND p{i}{j}.x = ax.s + {i} AND p{i}{j}.y = ay.s + {j}" for i, j in ((1, 0), (0, 1), (1, 1)))
+    return f"WITH {PX}, {axis('ax', w)}, {axis('ay', h)} SELECT p00.image_id, ax.t AS x, ay.t AS y, " + ", ".join(f"{mix(c)} AS {c}" for c in "argb") + f" FROM ax CROSS JOIN ay JOIN px p00 ON p00.x = ax.s AND p00.y = ay.s {joins}"
+
+
+add("geo_resize_bilinear", lambda spark, d: P.resize_bilinear(pixels(spark, d), 8, 8, 5, 11), _bilinear_sql(5, 11))
+add(
+    "geo_trim",
+    lambda spark, d: P.trim(pixels(spark, d).withColumn("a", F.when((F.col("x") < F.col("image_id") % 4) | (F.col("y") > 6), 0).otherwise(F.col("a")))),
+    f"WITH {PX}, q AS (SELECT image_id, x, y, CASE WHEN x < image_id % 4 OR y > 6 THEN 0 ELSE a END AS a, r, g, b FROM px), "
+    "bx AS (SELECT image_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM q WHERE a <> 0 GROUP BY image_id) "
+    "SELECT image_id, x - coalesce(x0, 0) AS x, y - coalesce(y0, 0) AS y, a, r, g, b FROM q LEFT JOIN bx USING (image_id) WHERE x0 IS NULL OR (x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1)",
+)
+add("fill_rect", lambda spark, d: P.fill_rect(pixels(spark, d), -2, 3, 5, 9, 0x80102030), f"WITH {PX} " + _colors(*(f"CASE WHEN x <= 2 AND y >= 3 THEN {v} ELSE {c} END" for c, v in zip("argb", (0x80, 0x10, 0x20, 0x30)))))
+add("fill", lambda spark, d: P.colored(pixels(spark, d), lambda p: C.Argb.literal(0x7F010203)), f"WITH {PX} " + _colors("127", "1", "2", "3"))
+add(
+    "put_pixels",
+    lambda spark, d: P.put(side(spark, d, 0), side(spark, d, 1).filter("r % 4 = 0").withColumn("ord", F.col("r"))),
+    f"WITH {PAIR} SELECT image_id, x, y, " + ", ".join(f"CASE WHEN dr % 4 = 0 THEN d{n} ELSE s{n} END AS {n}" for n in "argb") + " FROM pr",
+)
+add(
+    "frames_round_trip",
+    lambda spark, d: P.to_pixels(P.to_frames(pixels(spark, d).filter("r % 3 <> 0"), 8, 8)),
+    f"WITH {PX}, k AS (SELECT DISTINCT image_id FROM px WHERE r % 3 <> 0) " + _colors(*(f"CASE WHEN r % 3 <> 0 THEN {c} ELSE 0 END" for c in "argb"), source="px JOIN k USING (image_id)"),
+)
+for _name, _f, _cell in (("bg_checkerboard", 2, 2), ("bg_checkerboard_default", 8, 8)):
+    add(
+        _name,
+        lambda spark, d, c=_cell: P.over_background(pixels(spark, d), lambda x, y: P.checkerboard(x, y, cell=c)),
+        f"WITH {PX}, pr AS (SELECT image_id, x, y, a AS sa, r AS sr, g AS sg, b AS sb, 255 AS da, " + ", ".join(f"CASE WHEN (x // {_cell} + y // {_cell}) % 2 = 0 THEN {p} ELSE {q} END AS d{n}" for n, p, q in (("r", 0x20, 0x18), ("g", 0x20, 0x18), ("b", 0x24, 0x20))) + " FROM px) "
+        + _colors(*(_BLEND_SQL["normal"](n) for n in "argb"), source="pr"),
+    )
+add(
+    "bg_solid",
+    lambda spark, d: P.over_background(pixels(spark, d), lambda x, y: C.Argb.literal(0xFF336699)),
+    f"WITH {PX}, pr AS (SELECT image_id, x, y, a AS sa, r AS sr, g AS sg, b AS sb, 255 AS da, 51 AS dr, 102 AS dg, 153 AS db FROM px) " + _colors(*(_BLEND_SQL["normal"](n) for n in "argb"), source="pr"),
+)
+add(
+    "luma_histogram",
+    lambda spark, d: P.colored(P.over_background(pixels(spark, d), lambda x, y: P.checkerboard(x, y, cell=2)), C.grayscale).groupBy("image_id", F.col("r").alias("level")).agg(F.count("*").alias("n")),
+    f"WITH {PX}, pr AS (SELECT image_id, x, y, a AS sa, r AS sr, g AS sg, b AS sb, 255 AS da, " + ", ".join(f"CASE WHEN (x // 2 + y // 2) % 2 = 0 THEN {p} ELSE {q} END AS d{n}" for n, p, q in (("r", 0x20, 0x18), ("g", 0x20, 0x18), ("b", 0x24, 0x20))) + " FROM px), bl AS ("
+    + _colors(*(_BLEND_SQL["normal"](n) for n in "argb"), source="pr") + f") SELECT image_id, {_gray} AS level, count(*) AS n FROM bl GROUP BY 1, 2",
+)
+
+# -- aggregates ---------------------------------------------------------------------------------
+
+_BOUNDS = "SELECT image_id, coalesce(min(x) FILTER (a <> 0), 0) AS x, coalesce(min(y) FILTER (a <> 0), 0) AS y, coalesce(max(x) FILTER (a <> 0) - min(x) FILTER (a <> 0) + 1, 0) AS width, coalesce(max(y) FILTER (a <> 0) - min(y) FILTER (a <> 0) + 1, 0) AS height FROM {} GROUP BY image_id"
+add("opaque_bounds", lambda spark, d: P.opaque_bounds(pixels(spark, d)), f"WITH {PX} " + _BOUNDS.format("px"))
+add("opaque_bounds_sparse", lambda spark, d: P.opaque_bounds(sparse(spark, d)), f"WITH {SPARSE} " + _BOUNDS.format("ln"))
+_HIST = f"SELECT image_id, CAST(r * 65536 + g * 256 + b AS BIGINT) AS rgb, count(*) AS n, min(y * 8 + x) AS first_seen FROM px WHERE a <> 0 GROUP BY 1, 2"
+add("color_histogram", lambda spark, d: S.color_histogram(pixels(spark, d), 8), f"WITH {PX} {_HIST}")
+add("palette_exact", lambda spark, d: S.exact_palette(pixels(spark, d), 8), f"WITH {PX}, h AS ({_HIST}) SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY first_seen) - 1 AS INTEGER) AS slot, rgb, n FROM h QUALIFY count(*) OVER (PARTITION BY image_id) <= 256")
+add(
+    "palette_exact_reserved",
+    lambda spark, d: S.exact_palette(pixels(spark, d), 8, transparent_slot=5, most=40),
+    f"WITH {PX}, h AS ({_HIST}), k AS (SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY first_seen) - 1 AS INTEGER) AS slot, rgb, n FROM h QUALIFY count(*) OVER (PARTITION BY image_id) <= 39) SELECT image_id, CASE WHEN slot >= 5 THEN slot + 1 ELSE slot END AS slot, rgb, n FROM k",
+)
+_SIGNED = f"CASE WHEN {_PACKED} > 2147483647 THEN {_PACKED} - 4294967296 ELSE {_PACKED} END"
+add(
+    "palette_sorted",
+    lambda spark, d: S.sorted_palette(pixels(spark, d), 40).select("image_id", "n", F.array_join(F.transform("palette", lambda c: c.cast("string")), ",").alias("palette")),
+    f"WITH {PX}, k AS (SELECT DISTINCT image_id, {_SIGNED} AS c FROM px) SELECT image_id, CAST(count(*) AS INTEGER) AS n, CASE WHEN count(*) <= 40 THEN string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) END AS palette FROM k GROUP BY image_id",
+)
+
+
+def _palette(spark: SparkSession) -> DataFrame:
+    return spark.range(0, 64).select(F.col("id").cast("int").alias("slot"), *((F.col("id") * k % 256).cast("int").alias(c) for c, k in zip("rgb", (37, 91, 53))))
+
+
+add(
+    "palette_nearest",
+    lambda spark, d: S.nearest_slot(pixels(spark, d), _palette(spark)),
+    f"WITH {PX}, pal AS (SELECT CAST(i AS INTEGER) AS slot, CAST(i * 37 % 256 AS INTEGER) AS pr, CAST(i * 91 % 256 AS INTEGER) AS pg, CAST(i * 53 % 256 AS INTEGER) AS pb FROM range(64) t(i)), k AS (SELECT DISTINCT r, g, b FROM px), "
+    "j AS (SELECT r, g, b, slot, (r - pr) * (r - pr) + (g - pg) * (g - pg) + (b - pb) * (b - pb) AS distance FROM k CROSS JOIN pal) SELECT r, g, b, slot, distance FROM j QUALIFY row_number() OVER (PARTITION BY r, g, b ORDER BY distance, slot) = 1",
+)
+add("palette_median_cut", lambda spark, d: S.median_cut(S.color_histogram(pixels(spark, d), 8), 16))
+add(
+    "palette_delta",
+    lambda spark, d: S.palette_deltas(S.exact_palette(pixels(spark, d), 8).select("image_id", "slot", *C.Argb.unpacked((F.col("rgb") - 16777216).cast("int")).named())),
+    f"WITH {PX}, h AS ({_HIST}), k AS (SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY first_seen) - 1 AS INTEGER) AS slot, 255 AS a, rgb // 65536 AS r, rgb // 256 % 256 AS g, rgb % 256 AS b FROM h) SELECT image_id, slot, "
+    + ", ".join(f"CAST(({c} - coalesce(lag({c}) OVER (PARTITION BY image_id ORDER BY slot), 0) + 256) % 256 AS INTEGER) AS {c}" for c in "argb") + " FROM k",
+)
+add(
+    "palette_pack",
+    lambda spark, d: S.packed_indices(pixels(spark, d).withColumn("slot", F.col("r") % 4), 2),
+    f"WITH {PX} SELECT image_id, y, x // 4 AS x, CAST(sum((r % 4) << (x % 4 * 2)) AS INTEGER) AS packed FROM px GROUP BY 1, 2, 3",
+)
+add("palette_bits", lambda spark, d: S.sorted_palette(pixels(spark, d)).select("image_id", S.palette_bits(F.col("n")).alias("bits")), f"WITH {PX} SELECT image_id, CASE WHEN count(DISTINCT {_PACKED}) <= 2 THEN 1 WHEN count(DISTINCT {_PACKED}) <= 4 THEN 2 WHEN count(DISTINCT {_PACKED}) <= 16 THEN 4 ELSE 8 END AS bits FROM px GROUP BY 1")
+for _w, _h in ((3, 5), (13, 20)):
+    add(
+        f"mask_downsample_{_w}x{_h}",
+        lambda spark, d, w=_w, h=_h: S.mask_downsample(pixels(spark, d).filter("r % 9 = 0").select(*P.KEYS), 8, 8, w, h),
+        f"WITH {PX}, gx AS (SELECT CAST(i AS INTEGER) AS o, CAST(i * 8 // {_w} AS INTEGER) AS lo, CAST(greatest(i * 8 // {_w} + 1, (i + 1) * 8 // {_w}) AS INTEGER) AS hi FROM range({_w}) t(i)), gy AS (SELECT CAST(i AS INTEGER) AS o, CAST(i * 8 // {_h} AS INTEGER) AS lo, CAST(greatest(i * 8 // {_h} + 1, (i + 1) * 8 // {_h}) AS INTEGER) AS hi FROM range({_h}) t(i)) "
+        "SELECT DISTINCT image_id, gx.o AS x, gy.o AS y FROM px JOIN gx ON x >= gx.lo AND x < gx.hi JOIN gy ON y >= gy.lo AND y < gy.hi WHERE r % 9 = 0",
+    )
+_VAR = "SELECT image_id, x // 4 AS tx, y // 4 AS ty, CAST(sum(((r + 2 * g + b) // 4) * ((r + 2 * g + b) // 4)) - (sum((r + 2 * g + b) // 4) * sum((r + 2 * g + b) // 4)) // count(*) AS INTEGER) AS variance FROM px GROUP BY 1, 2, 3"
+add("tile_variance", lambda spark, d: S.tile_variance(pixels(spark, d), 4), f"WITH {PX} {_VAR}")
+add(
+    "tile_segments",
+    lambda spark, d: S.tile_segments(S.tile_variance(pixels(spark, d), 2)),
+    f"WITH {PX}, v AS ({_VAR.replace('// 4 AS t', '// 2 AS t')}), k AS (SELECT image_id, list(variance ORDER BY variance) AS o, max(variance) - min(variance) AS spread FROM v GROUP BY 1) "
+    "SELECT image_id, tx, ty, variance, CASE WHEN spread < 400 THEN 0 WHEN variance < o[len(o) // 4 + 1] THEN 0 WHEN variance < o[len(o) * 2 // 4 + 1] THEN 1 WHEN variance < o[len(o) * 3 // 4 + 1] THEN 2 ELSE 3 END AS segment FROM v JOIN k USING (image_id)",
+)
+add(
+    "block_errors",
+    lambda spark, d: S.block_errors(P.paired(side(spark, d, 0), side(spark, d, 1)), 4),
+    f"WITH {PAIR} SELECT image_id, x // 4 AS bx, y // 4 AS by, CAST(sum(abs(sr - dr) + abs(sg - dg) + abs(sb - db)) AS BIGINT) AS sad, CAST(sum((sr - dr) * (sr - dr) + (sg - dg) * (sg - dg) + (sb - db) * (sb - db)) AS BIGINT) AS sse FROM pr GROUP BY 1, 2, 3",
+)
+add(
+    "buffer_equality",
+    lambda spark, d: P.paired(side(spark, d, 0), side(spark, d, 1), "full").groupBy("image_id").agg(F.coalesce(F.every(F.expr("sa <=> da AND sr <=> dr AND sg <=> dg AND sb <=> db")), F.lit(True)).alias("equal")),
+    f"WITH {PAIR} SELECT image_id, bool_and(sa IS NOT DISTINCT FROM da AND sr IS NOT DISTINCT FROM dr AND sg IS NOT DISTINCT FROM dg AND sb IS NOT DISTINCT FROM db) AS equal FROM s0 FULL JOIN d0 USING (image_id, x, y) GROUP BY 1",
+)
+
+# -- time ------------------------------------------------------------------------------------------
+
+add("total_duration", lambda spark, d: L.total_duration(animation(spark, d)), f"WITH {ANIM} SELECT image_id, CAST(sum(delay_ms) AS BIGINT) AS total_ms, count(*) AS frames FROM fr GROUP BY 1")
+
+
+def _delays_sql(m: int) -> str:
+    return f"""WITH {ANIM}, b AS (SELECT *, frame_idx + 1 AS i, CAST(floor(sum(delay_ms) OVER (PARTITION BY image_id ORDER BY frame_idx) / 10.0 + 0.5) AS BIGINT) AS due FROM fr),
+e AS (SELECT *, {m} * i + greatest(0, max(due - {m} * i) OVER (PARTITION BY image_id ORDER BY frame_idx)) AS emitted FROM b)
+SELECT image_id, frame_idx, CAST(emitted - lag(emitted, 1, 0) OVER (PARTITION BY image_id ORDER BY frame_idx) AS BIGINT) AS delay_cs FROM e"""
+
+
+add("gif_delays_playable", lambda spark, d: L.quantized_delays(animation(spark, d), 2), _delays_sql(2))
+add("gif_delays_exact", lambda spark, d: L.quantized_delays(animation(spark, d), 1), _delays_sql(1))
+
+
+def _instants(spark: SparkSession, d: str) -> DataFrame:
+    return animation(spark, d).select("image_id", (F.col("frame_idx") * 57 + 13).cast("bigint").alias("elapsed_ms"))
+
+
+_AT = f"""WITH {ANIM}, t AS (SELECT image_id, CAST(frame_idx * 57 + 13 AS BIGINT) AS elapsed_ms FROM fr),
+c AS (SELECT *, sum(delay_ms) OVER (PARTITION BY image_id ORDER BY frame_idx) AS stop, sum(delay_ms) OVER (PARTITION BY image_id) AS total, count(*) OVER (PARTITION BY image_id) AS n,
+  lead(frame_idx, 1, 0) OVER (PARTITION BY image_id ORDER BY frame_idx) AS after FROM fr),
+j AS (SELECT t.image_id, elapsed_ms, frame_idx, delay_ms, stop, total, n, after, elapsed_ms % total AS m FROM t JOIN c USING (image_id) WHERE total > 0 AND delay_ms > 0 AND elapsed_ms % total < stop AND elapsed_ms % total >= stop - delay_ms),
+z AS (SELECT t.image_id, elapsed_ms FROM t JOIN (SELECT image_id FROM fr GROUP BY 1 HAVING sum(delay_ms) <= 0) USING (image_id))"""
+add("frame_at_time", lambda spark, d: L.frame_at(animation(spark, d), _instants(spark, d)), f"{_AT} SELECT image_id, elapsed_ms, frame_idx FROM j UNION ALL SELECT image_id, elapsed_ms, 0 FROM z")
+_MID = "n > 1 AND m > stop - delay_ms"
+_SHARE = "CAST(m - (stop - delay_ms) AS DOUBLE) / delay_ms"
+add(
+    "frame_at_time_lerp",
+    lambda spark, d: L.frame_at(animation(spark, d), _instants(spark, d), True),
+    f"{_AT} SELECT image_id, elapsed_ms, CASE WHEN {_MID} AND {_SHARE} >= 0.999 THEN after ELSE frame_idx END AS frame_idx, CASE WHEN {_MID} AND {_SHARE} < 0.999 THEN after END AS next_idx, CASE WHEN {_MID} AND {_SHARE} < 0.999 THEN {_SHARE} END AS share FROM j UNION ALL SELECT image_id, elapsed_ms, 0, NULL, NULL FROM z",
+)
+add(
+    "keyframes",
+    lambda spark, d: animation(spark, d).withColumn("k", L.keyframe_interval(F.when(F.col("image_id") % 3 == 0, 4).otherwise(-1), F.count("*").over(P.Window.partitionBy("image_id")))).select("image_id", "frame_idx", F.coalesce(L.is_keyframe(F.col("frame_idx"), F.col("k")), F.lit(False)).alias("keyframe")),
+    f"WITH {ANIM}, k AS (SELECT *, CASE WHEN image_id % 3 = 0 THEN 4 WHEN count(*) OVER (PARTITION BY image_id) > 60 THEN 30 ELSE 0 END AS k FROM fr) SELECT image_id, frame_idx, frame_idx = 0 OR (k > 0 AND frame_idx % CASE WHEN k > 0 THEN k ELSE 1 END = 0) AS keyframe FROM k",
+)
+add(
+    "change_box",
+    lambda spark, d: L.changed_boxes(clip(spark, d)),
+    f"WITH {CLIP}, k AS (SELECT image_id, frame_idx, x, y, {_PACKED} AS p, lag({_PACKED}) OVER (PARTITION BY image_id, x, y ORDER BY frame_idx) AS q FROM cl), b AS (SELECT image_id, frame_idx, min(x) FILTER (p <> q) AS x0, max(x) FILTER (p <> q) AS x1, min(y) FILTER (p <> q) AS y0, max(y) FILTER (p <> q) AS y1 FROM k WHERE q IS NOT NULL GROUP BY 1, 2) "
+    "SELECT image_id, frame_idx, coalesce(x0 - x0 % 2, 0) AS x, coalesce(y0 - y0 % 2, 0) AS y, coalesce(x1 - (x0 - x0 % 2) + 1, 1) AS width, coalesce(y1 - (y0 - y0 % 2) + 1, 1) AS height, x0 IS NOT NULL AS changed FROM b",
+)
+add(
+    "canvas_source",
+    lambda spark, d: L.canvas_source(clip(spark, d).filter("r % 3 = 0"), clip(spark, d).select("image_id", "frame_idx", "x", "y")),
+    f"WITH {CLIP} SELECT image_id, frame_idx, x, y, " + ", ".join(f"coalesce(last_value(CASE WHEN r % 3 = 0 THEN {c} END IGNORE NULLS) OVER w, 0) AS {c}" for c in "argb") + " FROM cl WINDOW w AS (PARTITION BY image_id, x, y ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
+)
+
+
+def _over_sql() -> str:
+    keep, cut = "(ca * (255 - k.a) // 255)", "greatest(1, k.a + ca * (255 - k.a) // 255)"
+
+    def ch(n: str) -> str:
+        mix = f"k.a + {keep}" if n == "a" else f"(k.{n} * k.a + c{n} * ca * (255 - k.a) // 255) // {cut}"
+        return f"CASE WHEN k.a = 255 THEN k.{n} WHEN k.a = 0 THEN c{n} ELSE {mix} END"
+
+    return f"""WITH RECURSIVE {CLIP}, k AS (SELECT * FROM cl),
+f AS (SELECT image_id, x, y, -1 AS frame_idx, 0 AS ca, 0 AS cr, 0 AS cg, 0 AS cb FROM cl WHERE frame_idx = 0
+  UNION ALL SELECT f.image_id, f.x, f.y, k.frame_idx, {", ".join(ch(n) for n in "argb")} FROM f JOIN k ON k.image_id = f.image_id AND k.x = f.x AND k.y = f.y AND k.frame_idx = f.frame_idx + 1)
+SELECT image_id, x, y, ca AS a, cr AS r, cg AS g, cb AS b FROM f QUALIFY row_number() OVER (PARTITION BY image_id, x, y ORDER BY frame_idx DESC) = 1"""
+
+
+add("canvas_over", lambda spark, d: L.canvas_over(clip(spark, d)), _over_sql())
+
+
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    return animation(spark, d).select("image_id", "frame_idx", (F.col("delay_ms") + 20).alias("width"), (F.col("frame_idx") % 17 + 9).alias("height"))
+
+
+def _fit_sql(fit: str, upscale: bool, w: int, h: int) -> str:
+    size = [str(n) if n else f"min({c}) OVER (PARTITION BY image_id)" for n, c in ((w, "width"), (h, "height"))]
+    pick = "greatest" if fit == "cover" else "least"
+    scale = f"{pick}(CAST(canvas_w AS DOUBLE) / width, CAST(canvas_h AS DOUBLE) / height)"
+    scale = scale if upscale else f"least(1.0::DOUBLE, {scale})"
+    if fit == "stretch":
+        dw, dh = ("canvas_w", "canvas_h") if upscale else ("least(canvas_w, width)", "least(canvas_h, height)")
+    else:
+        dw, dh = (f"greatest(1, CAST(floor({s} * {scale} + 0.5) AS INTEGER))" for s in ("width", "height"))
+    copied = "width = canvas_w AND height = canvas_h" if fit != "cover" else "false"
+    return f"""WITH {ANIM}, z AS (SELECT image_id, frame_idx, delay_ms + 20 AS width, frame_idx % 17 + 9 AS height FROM fr),
+c AS (SELECT *, {size[0]} AS canvas_w, {size[1]} AS canvas_h FROM z), q AS (SELECT *, {dw} AS draw_w, {dh} AS draw_h, {copied} AS copied FROM c)
+SELECT image_id, frame_idx, canvas_w, canvas_h, draw_w, draw_h, CAST(trunc((canvas_w - draw_w) / 2.0) AS INTEGER) AS draw_x, CAST(trunc((canvas_h - draw_h) / 2.0) AS INTEGER) AS draw_y, copied FROM q"""
+
+
+for _n, _a in {"contain": ("contain", False, 0, 0), "contain_up": ("contain", True, 64, 48), "cover": ("cover", True, 30, 30), "stretch": ("stretch", False, 32, 16)}.items():
+    add(f"normalize_{_n}", lambda spark, d, a=_a: L.fit_geometry(_sizes(spark, d), *a), _fit_sql(*_a))
+_RUNS = "WITH {0}, k AS (SELECT image_id, y, x, {1} AS p, lag({1}) OVER (PARTITION BY image_id, y ORDER BY x) AS q FROM {2}), g AS (SELECT *, sum(CASE WHEN q IS NULL OR p <> q THEN 1 ELSE 0 END) OVER (PARTITION BY image_id, y ORDER BY x) AS run FROM k) SELECT image_id, y, min(x) AS start, count(*) AS length FROM g GROUP BY image_id, y, run"
+add("rle_runs", lambda spark, d: L.runs(P.colored(pixels(spark, d), lambda p: C.Argb(*(C.idiv(c, 64) for c in p)))), _RUNS.format(PX.replace("px AS (SELECT", "p1 AS (SELECT") + ", px AS (SELECT image_id, x, y, a // 64 AS a, r // 64 AS r, g // 64 AS g, b // 64 AS b FROM p1)", _PACKED, "px"))
+
+# -- stencils ----------------------------------------------------------------------------------------
+
+
+def _near_lossless_sql(bits: int) -> str:
+    def near(n: str) -> str:
+        return " AND ".join(f"abs(c.{k} - {n}.{k}) < {1 << bits}" for k in "argb")
+
+    keep = "l.x IS NULL OR r.x IS NULL OR u.x IS NULL OR d.x IS NULL OR (" + " AND ".join(near(n) for n in "lrud") + ")"
+    joins = " ".join(f"LEFT JOIN px {n} ON {n}.image_id = c.image_id AND {n}.x = c.x + {i} AND {n}.y = c.y + {j}" for n, i, j in (("l", -1, 0), ("r", 1, 0), ("u", 0, -1), ("d", 0, 1)))
+    return f"WITH {PX} SELECT c.image_id, c.x, c.y, " + ", ".join(f"CAST(CASE WHEN {keep} THEN c.{k} ELSE {_snapped('c.' + k, bits)} END AS INTEGER) AS {k}" for k in "argb") + f" FROM px c {joins}"
+
+
+add("near_lossless_pass", lambda spark, d: T.near_lossless_pass(pixels(spark, d), 3, 8, 8), _near_lossless_sql(3))
+add("near_lossless_driver", lambda spark, d: T.near_lossless(pixels(spark, d), 85, 8, 8, least=0), _near_lossless_sql(1))
+add("near_lossless_bypass", lambda spark, d: T.near_lossless(pixels(spark, d), 20, 8, 8), f"WITH {PX} " + _colors("a", "r", "g", "b"))
+
+
+def _predictor_sql(mode: int) -> str:
+    joins = " ".join(f"LEFT JOIN px {n} ON {n}.image_id = c.image_id AND {n}.x = c.x + {i} AND {n}.y = c.y + {j}" for n, i, j in (("l", -1, 0), ("t", 0, -1), ("z", -1, -1), ("w", 1, -1)))
+    joins += " LEFT JOIN px f ON f.image_id = c.image_id AND f.x = 0 AND f.y = c.y"
+    left = " + ".join(f"abs(t.{k} - z.{k})" for k in "argb")
+    top = " + ".join(f"abs(l.{k} - z.{k})" for k in "argb")
+
+    def guess(k: str) -> str:
+        return {1: f"l.{k}", 2: f"t.{k}", 3: f"coalesce(w.{k}, f.{k})", 4: f"z.{k}", 7: f"(l.{k} + t.{k}) // 2", 11: f"CASE WHEN {left} < {top} THEN l.{k} ELSE t.{k} END", 12: f"greatest(0, least(255, l.{k} + t.{k} - z.{k}))"}[mode]
+
+    def out(k: str) -> str:
+        first = 255 if k == "a" else 0
+        return f"CAST((c.{k} - CASE WHEN c.x = 0 AND c.y = 0 THEN {first} WHEN c.y = 0 THEN l.{k} WHEN c.x = 0 THEN t.{k} ELSE {guess(k)} END + 256) % 256 AS INTEGER) AS {k}"
+
+    return f"WITH {PX} SELECT c.image_id, c.x, c.y, {', '.join(out(k) for k in 'argb')} FROM px c {joins}"
+
+
+for _m in (1, 2, 3, 4, 7, 11, 12):
+    add(f"predictor_{_m}", lambda spark, d, m=_m: T.predicted_residual(pixels(spark, d), m), _predictor_sql(_m))
+add("fxaa", lambda spark, d: T.fxaa(P.to_frames(pixels(spark, d), 8, 8)))
+add("resize_bicubic", lambda spark, d: T.resize_bicubic(P.to_frames(pixels(spark, d), 8, 8), 5, 12))
