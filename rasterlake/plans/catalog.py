@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from ..functions import color as C
 from ..functions.diff import DIFFS
+from ..operators import drawing as D
 from ..operators import pixels as P
 from ..operators import stencils as T
 from ..operators import summaries as S
 from ..operators import timeline as L
+from ..sources import registry as R
 from .inputs import ANIM, CLIP, PAIR, PX, SPARSE, animation, clip, pixels, side, sparse, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -538,3 +540,140 @@ for _m in (1, 2, 3, 4, 7, 11, 12):
     add(f"predictor_{_m}", lambda spark, d, m=_m: T.predicted_residual(pixels(spark, d), m), _predictor_sql(_m))
 add("fxaa", lambda spark, d: T.fxaa(P.to_frames(pixels(spark, d), 8, 8)))
 add("resize_bicubic", lambda spark, d: T.resize_bicubic(P.to_frames(pixels(spark, d), 8, 8), 5, 12))
+
+# -- drawing -----------------------------------------------------------------------------------------
+
+
+def _shapes(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    cols = {"x": k % 23, "y": k % 19, "w": k % 13 + 1, "h": k % 7 + 1, "x2": k * 7 % 29, "y2": k * 5 % 31}
+    return table(spark, d, "customer").select(k.alias("image_id"), *(v.cast("int").alias(n) for n, v in cols.items()))
+
+
+_SHAPES = "sh AS (SELECT c_custkey AS image_id, CAST(c_custkey % 23 AS INTEGER) AS x, CAST(c_custkey % 19 AS INTEGER) AS y, CAST(c_custkey % 13 + 1 AS INTEGER) AS w, CAST(c_custkey % 7 + 1 AS INTEGER) AS h, CAST(c_custkey * 7 % 29 AS INTEGER) AS x2, CAST(c_custkey * 5 % 31 AS INTEGER) AS y2 FROM customer), n AS (SELECT CAST(i AS INTEGER) AS i FROM range(-40, 80) t(i))"
+add("draw_fill_rect", lambda spark, d: D.fill_rect(_shapes(spark, d), ["image_id"], "x", "y", "w", "h"), f"WITH {_SHAPES} SELECT image_id, x + p.i AS x, y + q.i AS y FROM sh JOIN n p ON p.i >= 0 AND p.i < w JOIN n q ON q.i >= 0 AND q.i < h")
+add(
+    "draw_rect",
+    lambda spark, d: D.draw_rect(_shapes(spark, d), ["image_id"], "x", "y", "w", "h"),
+    f"WITH {_SHAPES} SELECT image_id, x + p.i AS x, y + q.i AS y FROM sh JOIN n p ON p.i >= 0 AND p.i <= w JOIN n q ON q.i >= 0 AND q.i <= h WHERE p.i IN (0, w) OR q.i IN (0, h)",
+)
+add(
+    "draw_line",
+    lambda spark, d: D.draw_line(_shapes(spark, d), ["image_id"], "x", "y", "x2", "y2"),
+    f"""WITH RECURSIVE {_SHAPES}, s AS (SELECT image_id, x, y, x2, y2, abs(x2 - x) AS dx, abs(y2 - y) AS dy, CASE WHEN x < x2 THEN 1 ELSE -1 END AS sx, CASE WHEN y < y2 THEN 1 ELSE -1 END AS sy FROM sh),
+b AS (SELECT image_id, x, y, x2, y2, dx, dy, sx, sy, dx - dy AS err FROM s UNION ALL
+  SELECT image_id, CASE WHEN 2 * err > -dy THEN x + sx ELSE x END, CASE WHEN 2 * err < dx THEN y + sy ELSE y END, x2, y2, dx, dy, sx, sy,
+    err - CASE WHEN 2 * err > -dy THEN dy ELSE 0 END + CASE WHEN 2 * err < dx THEN dx ELSE 0 END FROM b WHERE x <> x2 OR y <> y2)
+SELECT image_id, x, y FROM b""",
+)
+add(
+    "draw_fill_oval",
+    lambda spark, d: D.fill_oval(_shapes(spark, d), ["image_id"], "x", "y", "x2", "y2"),
+    f"""WITH {_SHAPES}, o AS (SELECT image_id, x + x2 // 2 AS cx, y + y2 // 2 AS cy, x2 // 2 AS rx, y2 // 2 AS ry FROM sh),
+r AS (SELECT image_id, cx, cy + i AS y, CASE WHEN rx = 0 OR ry = 0 THEN 0 ELSE CAST(floor(rx * sqrt(greatest(0.0::DOUBLE, 1.0::DOUBLE - CAST(i AS DOUBLE) * i / (CAST(greatest(ry, 1) AS DOUBLE) * greatest(ry, 1)))) + 0.5) AS INTEGER) END AS half
+  FROM o JOIN n ON abs(i) <= CASE WHEN rx = 0 OR ry = 0 THEN 0 ELSE ry END)
+SELECT image_id, cx + i AS x, y FROM r JOIN n ON abs(i) <= half""",
+)
+for _n, _f in {
+    "draw_oval": lambda s: D.draw_oval(s, ["image_id"], "x", "y", "x2", "y2"),
+    "draw_fill_round_rect": lambda s: D.fill_round_rect(s, ["image_id"], "x", "y", "x2", "y2", "w", "h"),
+    "draw_round_rect": lambda s: D.draw_round_rect(s, ["image_id"], "x", "y", "x2", "y2", "w", "h"),
+    "draw_fill_arc": lambda s: D.fill_arc(s, ["image_id"], "x", "y", "x2", "y2", F.col("x") * 11, F.col("y") * 13 - 90),
+    "draw_arc": lambda s: D.draw_arc(s, ["image_id"], "x", "y", "x2", "y2", F.col("x") * 11, F.col("y") * 13 - 90),
+    "draw_quad": lambda s: D.draw_quad(s, ["image_id"], ("x", "y"), ("w", "y2"), ("x2", "h")),
+    "draw_cubic": lambda s: D.draw_cubic(s, ["image_id"], ("x", "y"), ("w", "y2"), ("x2", "h"), ("y2", "x")),
+    "draw_polygon": lambda s: D.draw_polyline(s.select("image_id", F.array("x", "x2", "w").alias("xs"), F.array("y", "y2", "h").alias("ys")), ["image_id"], "xs", "ys", True),
+}.items():
+    add(_n, lambda spark, d, f=_f: f(_shapes(spark, d)))
+add(
+    "draw_fill_polygon",
+    lambda spark, d: D.fill_polygon(_shapes(spark, d).select("image_id", F.array("x", "x2", "w").alias("xs"), F.array("y", "y2", "h").alias("ys")), ["image_id"], "xs", "ys"),
+    f"""WITH {_SHAPES}, e AS (SELECT image_id, unnest([x, x2, w]) AS xi, unnest([y, y2, h]) AS yi, unnest([w, x, x2]) AS xj, unnest([h, y, y2]) AS yj FROM sh),
+c AS (SELECT image_id, i AS y, xi + CAST(trunc((i - yi) * (xj - xi) / CAST(yj - yi AS DOUBLE)) AS INTEGER) AS x, row_number() OVER (PARTITION BY image_id, i ORDER BY xi + CAST(trunc((i - yi) * (xj - xi) / CAST(yj - yi AS DOUBLE)) AS INTEGER)) AS k
+  FROM e JOIN n ON yi <> yj AND ((yi < i AND yj >= i) OR (yj < i AND yi >= i)))
+SELECT DISTINCT a.image_id, n.i AS x, a.y FROM c a JOIN c b ON a.image_id = b.image_id AND a.y = b.y AND b.k = a.k + 1 AND a.k % 2 = 1 JOIN n ON n.i BETWEEN a.x AND b.x""",
+)
+add(
+    "draw_copy_area",
+    lambda spark, d: P.put(pixels(spark, d), D.copy_area(pixels(spark, d), 1, 2, 4, 3, 2, 3, 8, 8)),
+    f"WITH {PX} SELECT c.image_id, c.x, c.y, " + ", ".join(f"CASE WHEN c.x BETWEEN 3 AND 6 AND c.y BETWEEN 5 AND 7 THEN coalesce(s.{k}, 0) ELSE c.{k} END AS {k}" for k in "argb") + " FROM px c LEFT JOIN px s ON s.image_id = c.image_id AND s.x = c.x - 2 AND s.y = c.y - 3",
+)
+add(
+    "draw_affine",
+    lambda spark, d: D.draw_affine(side(spark, d, 1), side(spark, d, 0), (0.0, 2.0, -2.0, 0.0, 7.0, 0.0), 8, 8),
+    f"WITH {PAIR}, bl AS (SELECT d0.*, sa, sr, sg, sb FROM d0 LEFT JOIN s0 ON d0.image_id = s0.image_id AND s0.x = CAST(floor(d0.y / 2.0) AS INTEGER) AND s0.y = CAST(floor((7 - d0.x) / 2.0) AS INTEGER)) "
+    + _colors(*(f"CASE WHEN sa IS NULL OR sa = 0 THEN d{n} ELSE {_BLEND_SQL['normal'](n)} END" for n in "argb"), source="bl"),
+)
+
+# -- files -----------------------------------------------------------------------------------------------
+
+
+def _blobs(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("path"), F.col("text").cast("binary").alias("content"))
+    pages = table(spark, d, "pages").select(F.concat(F.lit("p"), F.col("page_id")).alias("path"), F.col("html").cast("binary").alias("content"))
+    marks = ["FFD8FF", "89504E47", "424D", "474946", "52494646000000005745425041", "49492A00", "4D4D002A", "00000100", "716F6966", "5034", "5037"]
+    made = table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("path"), F.unhex(F.element_at(F.array(*map(F.lit, marks)), (F.col("s_suppkey") % len(marks) + 1).cast("int"))).alias("content"))
+    return docs.unionByName(pages).unionByName(made)
+
+
+add(
+    "detect_format",
+    lambda spark, d: _blobs(spark, d).select("path", R.format_of(F.col("content")).alias("format")),
+    """WITH m AS (SELECT ['FFD8FF', '89504E47', '424D', '474946', '52494646000000005745425041', '49492A00', '4D4D002A', '00000100', '716F6966', '5034', '5037'] AS l),
+b AS (SELECT 'd' || doc_id AS path, hex(encode(text)) AS h FROM documents UNION ALL SELECT 'p' || page_id, hex(encode(html)) FROM pages UNION ALL SELECT 's' || s_suppkey, l[s_suppkey % 11 + 1] FROM supplier, m)
+SELECT path, CASE WHEN h LIKE 'FFD8FF%' THEN 'JPEG' WHEN h LIKE '89504E47%' THEN 'PNG' WHEN h LIKE '424D%' THEN 'BMP' WHEN h LIKE '474946%' THEN 'GIF' WHEN h LIKE '52494646________57454250%' THEN 'WEBP'
+  WHEN h LIKE '49492A00%' OR h LIKE '4D4D002A%' THEN 'TIFF' WHEN h LIKE '00000100%' THEN 'ICO' WHEN h LIKE '%54525545564953494F4E2D5846494C452E00' AND len(h) >= 52 THEN 'TGA' WHEN h LIKE '716F6966%' THEN 'QOI'
+  WHEN h[1:4] IN ('5031', '5032', '5033', '5034', '5035', '5036') THEN 'PNM' END AS format FROM b""",
+)
+add("base64_round_trip", lambda spark, d: table(spark, d, "documents").select("doc_id", F.base64(F.col("text").cast("binary")).alias("t")).select("doc_id", F.md5("t").alias("md5"), F.unbase64("t").cast("string").alias("text")), "SELECT doc_id, md5(to_base64(encode(text))) AS md5, text FROM documents")
+
+
+def _through(format: str, opaque: bool = False, **options) -> Query:
+    """Encode every image, decode the files, and give the pixels."""
+
+    def build(spark: SparkSession, d: str) -> DataFrame:
+        px = pixels(spark, d)
+        px = px.withColumn("a", F.lit(255)) if opaque else px
+        frames = P.to_frames(px, 8, 8).withColumn("has_alpha", F.lit(not opaque))
+        files = R.encode_frames(frames, format, **options).select(F.col("image_id").cast("string").alias("path"), "content")
+        back = R.decode_files(files).select(F.col("path").cast("bigint").alias("image_id"), "width", "argb")
+        return P.to_pixels(back)
+
+    return build
+
+
+_SAME, _SOLID = f"WITH {PX} " + _colors("a", "r", "g", "b"), f"WITH {PX} " + _colors("255", "r", "g", "b")
+for _format in ("png", "qoi", "tga", "tiff", "ico", "webp"):
+    add(f"{_format}_round_trip", _through(_format), _SAME)
+for _packing in ("none", "lzw", "packbits"):
+    add(f"tiff_{_packing}_round_trip", _through("tiff", compression=_packing), _SAME)
+add("tga_raw_round_trip", _through("tga", True, rle=False), _SOLID)
+add("bmp_round_trip", _through("bmp", True), _SOLID)
+add("pnm_round_trip", _through("pnm", True), _SOLID)
+add("pnm_plain_round_trip", _through("pnm", True, ascii=True), _SOLID)
+_GRAY = "(r * 299 + g * 587 + b * 114 + 500) // 1000"
+add("pgm_round_trip", _through("pnm", True, variant="pgm"), f"WITH {PX} " + _colors("255", _GRAY, _GRAY, _GRAY))
+_BIT = f"CASE WHEN {_GRAY} < 128 THEN 0 ELSE 255 END"
+add("pbm_round_trip", _through("pnm", True, variant="pbm"), f"WITH {PX} " + _colors("255", _BIT, _BIT, _BIT))
+add("gif_round_trip", _through("gif", True, transparent=False), _SOLID)
+
+
+def _clip_frames(spark: SparkSession, d: str) -> DataFrame:
+    return P.to_frames(clip(spark, d), 8, 8, "image_id", "frame_idx").withColumn("delay_ms", (F.col("frame_idx") % 5 * 10 + 20).cast("int"))
+
+
+def _animated(format: str, **options) -> Query:
+    def build(spark: SparkSession, d: str) -> DataFrame:
+        files = R.encode_frames(_clip_frames(spark, d), format, **options).select(F.col("image_id").cast("string").alias("path"), "content")
+        return R.decode_files(files).select(F.col("path").cast("bigint").alias("image_id"), "frame_idx", "delay_ms", "argb", "width")
+
+    return lambda spark, d: P.to_pixels(build(spark, d), "image_id", "frame_idx", "delay_ms")
+
+
+add("webp_animation_round_trip", _animated("webp"), f"WITH {CLIP} SELECT image_id, frame_idx, frame_idx % 5 * 10 + 20 AS delay_ms, x, y, a, r, g, b FROM cl")
+add("tiff_pages_round_trip", _animated("tiff"), f"WITH {CLIP} SELECT image_id, frame_idx, 100 AS delay_ms, x, y, a, r, g, b FROM cl")
+add(
+    "pnm_text",
+    lambda spark, d: pixels(spark, d).groupBy("image_id", "y").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "r", "g", "b"))), lambda p: F.concat_ws(" ", p["r"], p["g"], p["b"])), " ").alias("line")),
+    f"WITH {PX} SELECT image_id, y, string_agg(r || ' ' || g || ' ' || b, ' ' ORDER BY x) AS line FROM px GROUP BY 1, 2",
+)
