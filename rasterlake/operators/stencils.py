@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -54,8 +56,9 @@ def _half(p: Column, q: Column) -> Column:
 def predicted_residual(px: DataFrame, mode: int) -> DataFrame:
     """Difference, modulo 256, from a spatial prediction; the first row predicts from the left, the first column from above.
 
-    Modes 1-4: left, top, top right, top left; 7: mean of left and top; 11: the one
-    of left and top that is nearer to left + top - top left; 12: that sum, clamped.
+    Modes 1-4: left, top, top right, top left; 5-10: means of some of them, rounded
+    down; 11: the one of left and top that is nearer to left + top - top left; 12:
+    that sum, clamped; 13: the mean of left and top, moved half way from top left.
     The last column takes the top right from the first pixel of the own row, as the
     public format description does.
     """
@@ -77,12 +80,18 @@ def predicted_residual(px: DataFrame, mode: int) -> DataFrame:
         plain = {0: F.lit(255 if c == "a" else 0), 1: n("l", c), 2: n("t", c), 3: n("tr", c), 4: n("tl", c)}
         if mode in plain:
             return plain[mode]
-        if mode == 7:
-            return _half(n("l", c), n("t", c))
+        means = {5: ("l", "tr", "t"), 6: ("l", "tl"), 7: ("l", "t"), 8: ("tl", "t"), 9: ("t", "tr")}
+        if mode in means:
+            return reduce(_half, (n(k, c) for k in means[mode]))
+        if mode == 10:
+            return _half(_half(n("l", c), n("tl", c)), _half(n("t", c), n("tr", c)))
         if mode == 11:
             return F.when(to_left < to_top, n("l", c)).otherwise(n("t", c))
         if mode == 12:
             return F.least(F.lit(255), F.greatest(F.lit(0), n("l", c) + n("t", c) - n("tl", c)))
+        if mode == 13:
+            mean = _half(n("l", c), n("t", c))
+            return F.least(F.lit(255), F.greatest(F.lit(0), mean + F.call_function("div", mean - n("tl", c), F.lit(2)).cast("int")))
         raise ValueError(f"no predictor {mode} here")
 
     first = {c: F.lit(255 if c == "a" else 0) for c in "argb"}
@@ -93,6 +102,17 @@ def predicted_residual(px: DataFrame, mode: int) -> DataFrame:
     return rows.select("image_id", "x", "y", *out)
 
 
+def predictor_scores(px: DataFrame, modes: tuple[int, ...], tile: int) -> DataFrame:
+    """Sum of absolute signed residuals of each tile under each mode, and the mode with the least (the first of equals)."""
+    parts = [predicted_residual(px, m).withColumn("mode", F.lit(m)) for m in modes]
+    rows = reduce(DataFrame.unionByName, parts)
+    signed = sum((F.abs(F.when(F.col(c) > 127, F.col(c) - 256).otherwise(F.col(c))) for c in "argb"), F.lit(0))
+    tiles = rows.groupBy("image_id", F.call_function("div", F.col("x"), F.lit(tile)).cast("int").alias("tx"), F.call_function("div", F.col("y"), F.lit(tile)).cast("int").alias("ty"), "mode")
+    scores = tiles.agg(F.sum(signed).cast("bigint").alias("score"))
+    best = F.min(F.struct("score", "mode"))
+    return scores.groupBy("image_id", "tx", "ty").agg(best.alias("b")).select("image_id", "tx", "ty", F.col("b.mode").alias("mode"), F.col("b.score").alias("score"))
+
+
 # -- edge smoothing over dense frames ---------------------------------------------------
 
 

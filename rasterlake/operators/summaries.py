@@ -142,3 +142,32 @@ def block_errors(pairs: DataFrame, size: int = 16) -> DataFrame:
     total = lambda f: F.sum(sum((f(x) for x in delta[1:]), F.lit(0)))
     blocks = pairs.groupBy("image_id", idiv(F.col("x"), size).alias("bx"), idiv(F.col("y"), size).alias("by"))
     return blocks.agg(total(F.abs).alias("sad"), total(lambda x: x * x).alias("sse"))
+
+
+def cross_color_fit(px: DataFrame, tile: int) -> DataFrame:
+    """Least-squares multipliers of each tile, in 1/32: red and blue from green, then what is left of blue from red.
+
+    Channels count as signed bytes, as the transform does; results are clamped to a signed byte.
+    """
+    from ..functions.color import signed_byte
+
+    r, g, b = (signed_byte(F.col(c)).cast("bigint") for c in "rgb")
+    rows = px.select("image_id", idiv(F.col("x"), tile).alias("tx"), idiv(F.col("y"), tile).alias("ty"), r.alias("r"), g.alias("g"), b.alias("b"))
+    keys = ["image_id", "tx", "ty"]
+
+    def fit(top: Column, bottom: Column) -> Column:
+        value = F.floor(top * 32.0 / F.when(bottom != 0, bottom) + 0.5)
+        return F.coalesce(F.least(F.lit(127), F.greatest(F.lit(-128), value)), F.lit(0)).cast("int")
+
+    total = lambda e: F.sum(F.expr(e))
+    sums = rows.groupBy(*keys).agg(total("g * g").alias("gg"), total("g * r").alias("gr"), total("g * b").alias("gb"), total("r * r").alias("rr"), total("r * b").alias("rb"))
+    green = sums.withColumn("green_to_red", fit(F.col("gr"), F.col("gg"))).withColumn("green_to_blue", fit(F.col("gb"), F.col("gg")))
+    left = F.col("rb") - F.col("green_to_blue") * F.col("gr") / 32.0
+    return green.select(*keys, "green_to_red", "green_to_blue", fit(left, F.col("rr")).alias("red_to_blue"))
+
+
+def largest_entry(entries: DataFrame) -> DataFrame:
+    """(file, ord, width, height), a size of 0 meaning 256 -> the entry with the largest area, the first of equals."""
+    w, h = (F.when(F.col(c) == 0, 256).otherwise(F.col(c)) for c in ("width", "height"))
+    best = F.max_by(F.struct("ord", w.alias("width"), h.alias("height")), F.struct((w * h).alias("area"), (-F.col("ord")).alias("first")))
+    return entries.groupBy("file").agg(best.alias("b")).select("file", "b.*")

@@ -147,3 +147,30 @@ def runs(px: DataFrame, *keys: str) -> DataFrame:
     fresh = F.lag("p").over(w).isNull() | (F.lag("p").over(w) != F.col("p"))
     rows = rows.withColumn("run", F.sum(fresh.cast("int")).over(w))
     return rows.groupBy(*keys, "run").agg(F.min("x").alias("start"), F.count("*").alias("length")).drop("run")
+
+
+def parsed_disposal(value: Column) -> Column:
+    """Disposal of a wire number 0-3 or a name in either spelling; NONE for all else."""
+    names = ["NONE", "DO_NOT_DISPOSE", "RESTORE_TO_BACKGROUND", "RESTORE_TO_PREVIOUS"]
+    name = F.upper(F.trim(value.cast("string")))
+    number = F.create_map(*(F.lit(v) for i, n in enumerate(names) for v in (str(i), n)))
+    spelled = F.create_map(*(F.lit(v) for n in names for v in (n, n)))
+    plain = F.replace(name, F.lit("RESTORETO"), F.lit("RESTORE_TO_"))
+    plain = F.when(plain == "DONOTDISPOSE", "DO_NOT_DISPOSE").otherwise(plain)
+    return F.coalesce(number[name], spelled[plain], F.lit("NONE"))
+
+
+def parsed_blend(value: Column) -> Column:
+    """Blend of a wire number: 1 is OVER, all else SOURCE."""
+    return F.when(value == 1, "OVER").otherwise("SOURCE")
+
+
+def first_frames(frames: DataFrame) -> DataFrame:
+    return frames.filter("frame_idx = 0")
+
+
+def appended(frames: DataFrame, more: DataFrame) -> DataFrame:
+    """More frames after the last of each animation, in their own order."""
+    last = frames.groupBy("image_id").agg(F.max("frame_idx").alias("last"))
+    moved = more.join(last, "image_id", "left").withColumn("frame_idx", (F.col("frame_idx") + F.coalesce(F.col("last") + 1, F.lit(0))).cast("int"))
+    return frames.unionByName(moved.drop("last"))

@@ -527,7 +527,9 @@ def _predictor_sql(mode: int) -> str:
     top = " + ".join(f"abs(l.{k} - z.{k})" for k in "argb")
 
     def guess(k: str) -> str:
-        return {1: f"l.{k}", 2: f"t.{k}", 3: f"coalesce(w.{k}, f.{k})", 4: f"z.{k}", 7: f"(l.{k} + t.{k}) // 2", 11: f"CASE WHEN {left} < {top} THEN l.{k} ELSE t.{k} END", 12: f"greatest(0, least(255, l.{k} + t.{k} - z.{k}))"}[mode]
+        tr = f"coalesce(w.{k}, f.{k})"
+        return {5: f"((l.{k} + {tr}) // 2 + t.{k}) // 2", 6: f"(l.{k} + z.{k}) // 2", 8: f"(z.{k} + t.{k}) // 2", 9: f"(t.{k} + {tr}) // 2", 10: f"((l.{k} + z.{k}) // 2 + (t.{k} + {tr}) // 2) // 2",
+            13: f"greatest(0, least(255, (l.{k} + t.{k}) // 2 + CAST(trunc(((l.{k} + t.{k}) // 2 - z.{k}) / 2.0) AS INTEGER)))", 1: f"l.{k}", 2: f"t.{k}", 3: f"coalesce(w.{k}, f.{k})", 4: f"z.{k}", 7: f"(l.{k} + t.{k}) // 2", 11: f"CASE WHEN {left} < {top} THEN l.{k} ELSE t.{k} END", 12: f"greatest(0, least(255, l.{k} + t.{k} - z.{k}))"}[mode]
 
     def out(k: str) -> str:
         first = 255 if k == "a" else 0
@@ -536,7 +538,7 @@ def _predictor_sql(mode: int) -> str:
     return f"WITH {PX} SELECT c.image_id, c.x, c.y, {', '.join(out(k) for k in 'argb')} FROM px c {joins}"
 
 
-for _m in (1, 2, 3, 4, 7, 11, 12):
+for _m in range(1, 14):
     add(f"predictor_{_m}", lambda spark, d, m=_m: T.predicted_residual(pixels(spark, d), m), _predictor_sql(_m))
 add("fxaa", lambda spark, d: T.fxaa(P.to_frames(pixels(spark, d), 8, 8)))
 add("resize_bicubic", lambda spark, d: T.resize_bicubic(P.to_frames(pixels(spark, d), 8, 8), 5, 12))
@@ -677,3 +679,74 @@ add(
     lambda spark, d: pixels(spark, d).groupBy("image_id", "y").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "r", "g", "b"))), lambda p: F.concat_ws(" ", p["r"], p["g"], p["b"])), " ").alias("line")),
     f"WITH {PX} SELECT image_id, y, string_agg(r || ' ' || g || ' ' || b, ' ' ORDER BY x) AS line FROM px GROUP BY 1, 2",
 )
+
+# -- the rest --------------------------------------------------------------------------------------------
+
+add(
+    "predictor_best",
+    lambda spark, d: T.predictor_scores(pixels(spark, d), (1, 2, 4, 11), 4),
+    "WITH " + ", ".join([PX, *(f"r{m} AS ({_predictor_sql(m)[len('WITH ') + len(PX) :]})" for m in (1, 2, 4, 11))])
+    + ", a AS (" + " UNION ALL ".join(f"SELECT {m} AS mode, * FROM r{m}" for m in (1, 2, 4, 11)) + "), s AS (SELECT image_id, x // 4 AS tx, y // 4 AS ty, mode, CAST(sum("
+    + " + ".join(f"abs(CASE WHEN {c} > 127 THEN {c} - 256 ELSE {c} END)" for c in "argb") + ") AS BIGINT) AS score FROM a GROUP BY 1, 2, 3, 4) SELECT image_id, tx, ty, mode, score FROM s QUALIFY row_number() OVER (PARTITION BY image_id, tx, ty ORDER BY score, mode) = 1",
+)
+_SB = {c: f"CAST(CASE WHEN {c} > 127 THEN {c} - 256 ELSE {c} END AS BIGINT)" for c in "rgb"}
+
+
+def _fit(top: str, bottom: str) -> str:
+    return f"CAST(coalesce(greatest(-128, least(127, floor(({top}) * 32.0::DOUBLE / nullif({bottom}, 0) + 0.5))), 0) AS INTEGER)"
+
+
+add(
+    "cross_color_fit",
+    lambda spark, d: S.cross_color_fit(pixels(spark, d), 4),
+    f"WITH {PX}, q AS (SELECT image_id, x // 4 AS tx, y // 4 AS ty, {_SB['r']} AS r, {_SB['g']} AS g, {_SB['b']} AS b FROM px), s AS (SELECT image_id, tx, ty, sum(g * g) AS gg, sum(g * r) AS gr, sum(g * b) AS gb, sum(r * r) AS rr, sum(r * b) AS rb FROM q GROUP BY 1, 2, 3), "
+    f"k AS (SELECT *, {_fit('CAST(gr AS DOUBLE)', 'gg')} AS green_to_red, {_fit('CAST(gb AS DOUBLE)', 'gg')} AS green_to_blue FROM s) SELECT image_id, tx, ty, green_to_red, green_to_blue, {_fit('CAST(rb AS DOUBLE) - green_to_blue * CAST(gr AS DOUBLE) / 32.0::DOUBLE', 'rr')} AS red_to_blue FROM k",
+)
+add(
+    "icon_entry",
+    lambda spark, d: S.largest_entry(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file"), F.row_number().over(P.Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")).alias("ord"), (F.col("l_partkey") % 5 * 16).cast("int").alias("width"), (F.col("l_suppkey") % 4 * 16).cast("int").alias("height"))),
+    "WITH e AS (SELECT l_orderkey AS file, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS INTEGER) AS ord, CAST(l_partkey % 5 * 16 AS INTEGER) AS w0, CAST(l_suppkey % 4 * 16 AS INTEGER) AS h0 FROM lineitem), "
+    "k AS (SELECT file, ord, CASE WHEN w0 = 0 THEN 256 ELSE w0 END AS width, CASE WHEN h0 = 0 THEN 256 ELSE h0 END AS height FROM e) SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY file ORDER BY width * height DESC, ord) = 1",
+)
+_KINDS = "['0', '1', '2', '3', 'none', 'doNotDispose', 'restoreToBackgroundColor', 'RESTORE_TO_PREVIOUS', '7', 'odd']"
+add(
+    "frame_enums",
+    lambda spark, d: table(spark, d, "supplier").select("s_suppkey", F.element_at(F.expr("array" + _KINDS.replace("[", "(").replace("]", ")")), (F.col("s_suppkey") % 10 + 1).cast("int")).alias("v")).select("s_suppkey", L.parsed_disposal(F.col("v")).alias("disposal"), L.parsed_blend(F.col("s_suppkey") % 3).alias("blend"), L.frame_flags(L.parsed_disposal(F.col("v")), L.parsed_blend(F.col("s_suppkey") % 3)).alias("flags")),
+    f"WITH k AS (SELECT s_suppkey, ({_KINDS})[s_suppkey % 10 + 1] AS v FROM supplier), p AS (SELECT s_suppkey, CASE WHEN v IN ('1', 'doNotDispose') THEN 'DO_NOT_DISPOSE' WHEN v = '2' THEN 'RESTORE_TO_BACKGROUND' WHEN v IN ('3', 'RESTORE_TO_PREVIOUS') THEN 'RESTORE_TO_PREVIOUS' ELSE 'NONE' END AS disposal, CASE WHEN s_suppkey % 3 = 1 THEN 'OVER' ELSE 'SOURCE' END AS blend FROM k) "
+    "SELECT s_suppkey, disposal, blend, CASE WHEN disposal = 'RESTORE_TO_BACKGROUND' THEN 1 ELSE 0 END + CASE WHEN blend = 'SOURCE' THEN 2 ELSE 0 END AS flags FROM p",
+)
+add("first_frame", lambda spark, d: L.first_frames(clip(spark, d)), f"WITH {CLIP} SELECT * FROM cl WHERE frame_idx = 0")
+add(
+    "append_frames",
+    lambda spark, d: L.appended(animation(spark, d), animation(spark, d).filter("image_id % 2 = 0 AND frame_idx < 3")),
+    f"WITH {ANIM}, l AS (SELECT image_id, max(frame_idx) AS last FROM fr GROUP BY 1) SELECT * FROM fr UNION ALL SELECT image_id, CAST(frame_idx + last + 1 AS INTEGER), delay_ms FROM fr JOIN l USING (image_id) WHERE image_id % 2 = 0 AND frame_idx < 3",
+)
+
+
+def _seen(spark: SparkSession, d: str, k: int) -> DataFrame:
+    return side(spark, d, k).filter("a <> 0").select(*P.KEYS)
+
+
+_OPAQUE = "sp AS (SELECT image_id, x, y FROM s0 WHERE sa <> 0), dp AS (SELECT image_id, x, y FROM d0 WHERE da <> 0)"
+for _n, _op in {"only_first": ("exceptAll", "EXCEPT"), "both": ("intersect", "INTERSECT")}.items():
+    add(f"coverage_{_n}", lambda spark, d, o=_op[0]: getattr(_seen(spark, d, 0), o)(_seen(spark, d, 1)), f"WITH {PAIR}, {_OPAQUE} SELECT * FROM sp {_op[1]} SELECT * FROM dp")
+for _n, _how, _not in (("inside", "left_semi", ""), ("outside", "left_anti", "NOT ")):
+    add(
+        f"mask_{_n}",
+        lambda spark, d, h=_how: side(spark, d, 0).join(_seen(spark, d, 1), list(P.KEYS), h),
+        f"WITH {PAIR}, {_OPAQUE} SELECT image_id, x, y, sa AS a, sr AS r, sg AS g, sb AS b FROM s0 WHERE {_not}EXISTS (SELECT 1 FROM dp WHERE dp.image_id = s0.image_id AND dp.x = s0.x AND dp.y = s0.y)",
+    )
+
+
+def _webp_chunks(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources.webp import chunk_rows
+
+    files = R.encode_frames(_clip_frames(spark, d), "webp").select(F.col("image_id").cast("string").alias("path"), "content")
+    return chunk_rows(files).select("path", "ord", "kind")
+
+
+add(
+    "webp_chunks",
+    _webp_chunks,
+    f"WITH {CLIP}, n AS (SELECT image_id, count(DISTINCT frame_idx) AS k FROM cl GROUP BY 1), o AS (SELECT CAST(image_id AS VARCHAR) AS path, CAST(unnest(range(k + 2)) AS INTEGER) AS ord FROM n) SELECT path, ord, CASE ord WHEN 0 THEN 'VP8X' WHEN 1 THEN 'ANIM' ELSE 'ANMF' END AS kind FROM o",
+)

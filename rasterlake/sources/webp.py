@@ -620,3 +620,22 @@ def write_webp(image: Image, loop_count: int = 0) -> bytes:
         out.append(("ANMF", head + b"VP8L" + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)))
         before = f.argb
     return build_chunks(out)
+
+
+# -- rows of chunks ------------------------------------------------------------------------
+
+
+def chunk_rows(blobs):
+    """(path, content) -> (path, ord, kind, size) for each chunk of each container; other files give none."""
+    import pandas as pd
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch["path"], batch["content"]):
+                content = bytes(content)
+                if content[:4] == b"RIFF" and content[8:12] == b"WEBP":
+                    rows += [(path, k, kind, len(body)) for k, (kind, body) in enumerate(parse_chunks(content))]
+            yield pd.DataFrame(rows, columns=["path", "ord", "kind", "size"])
+
+    return blobs.select("path", "content").mapInPandas(run, "path string, ord int, kind string, size bigint")
