@@ -750,3 +750,15 @@ add(
     _webp_chunks,
     f"WITH {CLIP}, n AS (SELECT image_id, count(DISTINCT frame_idx) AS k FROM cl GROUP BY 1), o AS (SELECT CAST(image_id AS VARCHAR) AS path, CAST(unnest(range(k + 2)) AS INTEGER) AS ord FROM n) SELECT path, ord, CASE ord WHEN 0 THEN 'VP8X' WHEN 1 THEN 'ANIM' ELSE 'ANMF' END AS kind FROM o",
 )
+
+
+def _jpeg_error(spark: SparkSession, d: str) -> DataFrame:
+    """Mean squared error of each image after a trip through JPEG."""
+    px = pixels(spark, d).withColumn("a", F.lit(255))
+    files = R.encode_frames(P.to_frames(px, 8, 8).withColumn("has_alpha", F.lit(False)), "jpeg", quality=0.95, halve=False).select(F.col("image_id").cast("string").alias("path"), "content")
+    back = P.to_pixels(R.decode_files(files).select(F.col("path").cast("bigint").alias("image_id"), "width", "argb"))
+    errors = S.block_errors(P.paired(px, back), 8)
+    return errors.select("image_id", (F.col("sse") / 192).alias("mse"))
+
+
+add("jpeg_error", _jpeg_error)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lzw, plain, webp
+from . import jpeg, lzw, plain, webp
 from .model import EncodeError, Frame, Image, RasterError, UnsupportedFormat
 
 
@@ -30,12 +30,8 @@ def _begins(*marks: bytes) -> Callable[[bytes], bool]:
     return lambda d: d.startswith(marks)
 
 
-def _unread(data: bytes) -> Image:
-    raise UnsupportedFormat("JPEG pixels are decoded by the JVM: use read_jvm_images")
-
-
 _CODECS: list[Codec] = [
-    Codec("JPEG", _begins(b"\xff\xd8\xff"), _unread, None),
+    Codec("JPEG", _begins(b"\xff\xd8\xff"), jpeg.read_jpeg, jpeg.write_jpeg),
     Codec("PNG", _begins(b"\x89PNG"), plain.read_png, plain.write_png),
     Codec("BMP", _begins(b"BM"), plain.read_bmp, plain.write_bmp),
     Codec("GIF", _begins(b"GIF"), lzw.read_gif, lzw.write_gif),

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from rasterlake.sources import lzw, plain, registry, webp
+from rasterlake.sources import jpeg, lzw, plain, registry, webp
 from rasterlake.sources.model import DecodeError, EncodeError, Frame, Image, UnsupportedFormat
 
 SOLID = np.uint32(0xFF000000)
@@ -122,3 +122,31 @@ def test_jvm_reader_agrees(spark, tmp_path):
     (tmp_path / "a.png").write_bytes(plain.write_png(Image([Frame(p)])))
     row = registry.read_jvm_images(spark, str(tmp_path)).first()
     assert np.array_equal(np.array(row.argb, np.int32).view(np.uint32).reshape(p.shape), p)
+
+
+def _quality(p, q):
+    d = [np.stack([x >> s & 255 for s in (16, 8, 0)]).astype(float) for x in (p, q)]
+    return 10 * np.log10(255**2 / max(1e-9, ((d[0] - d[1]) ** 2).mean()))
+
+
+@pytest.mark.parametrize("quality,halve,least", [(0.75, True, 30), (0.95, False, 40), (1.0, False, 45)])
+def test_jpeg(spark, tmp_path, quality, halve, least):
+    p = next(x for i, x in enumerate(pictures()) if i == 1)
+    data = jpeg.write_jpeg(Image([Frame(p)], False), quality, halve)
+    own = registry.decode(data).first
+    assert registry.detect(data) == "JPEG" and _quality(p, own) > least
+    (tmp_path / "a.jpg").write_bytes(data)
+    row = registry.read_jvm_images(spark, str(tmp_path)).first()
+    other = np.array(row.argb, np.int32).view(np.uint32).reshape(row.height, row.width)
+    assert _quality(own, other) > 38
+
+
+def test_jpeg_restarts_and_kinds():
+    p = np.full((40, 40), 0xFF336699, np.uint32)
+    data = bytearray(jpeg.write_jpeg(Image([Frame(p)], False), 0.9))
+    at = data.index(b"\xff\xc0")
+    data[at + 1] = 0xC2
+    with pytest.raises(UnsupportedFormat):
+        jpeg.read_jpeg(bytes(data))
+    with pytest.raises(DecodeError):
+        jpeg.read_jpeg(b"\xff\xd8\xff")
