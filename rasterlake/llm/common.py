@@ -35,7 +35,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder, read again: lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

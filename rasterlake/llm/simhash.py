@@ -38,7 +38,7 @@ from .common import id_and_text, written
 LEAF = 256
 BLOCKS, BLOCK_BITS = 4, 16
 #: Links held before they are reduced to a spanning set; shingle hashes turned into bits at once.
-HELD_LINKS, HASHES = 1_000_000, 200_000
+HELD_LINKS, HASHES = 1_000_000, 50_000
 SEED = 42
 
 
