@@ -378,13 +378,32 @@ def _bucket_totals(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) ->
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(n[full]), pa.array(v[full])], names=["bucket", "n", "v"])
 
 
+def frequent_words(counts: DataFrame, most: int = FREQUENT) -> list:
+    """Up to ``most`` of the most frequent words, by falling count.
+
+    A count's grade is its logarithm in steps of 1/64; the words of the highest
+    grades that fit are taken.  So the driver gets a few thousand grades and then
+    the words themselves, and no task sends a top list of its own.
+    """
+    graded = counts.filter((F.col("word") != "") & (F.col("c") > 0)).withColumn("grade", F.floor(F.log2("c") * 64).cast("int"))
+    cut, taken = None, 0
+    for r in sorted(graded.groupBy("grade").count().collect(), key=lambda r: -r["grade"]):
+        taken += r["count"]
+        if taken > most:
+            break
+        cut = r["grade"]
+    if cut is None:
+        return []
+    return sorted(graded.filter(F.col("grade") >= cut).select("word", "c").collect(), key=lambda r: (-r["c"], r["word"]))
+
+
 def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     source = id_and_text(docs).withColumn("held_out", fold(F.col("doc_id"), folds) == held)
     counts = source.filter(~F.col("held_out")).select("text").mapInArrow(count_words, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
     counts = written(counts, "word-counts")
     total, kinds, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(F.col("word") == "", F.col("c"))), F.lit(0))).first()
-    top = counts.filter(F.col("word") != "").orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
+    top = frequent_words(counts)
     vocabulary = Vocabulary([r["word"] for r in top], [r["c"] for r in top], ends)
     table = written(source.withColumn("part", F.spark_partition_id().cast("bigint")).mapInArrow(lambda it: sequences(it, vocabulary), _ROW), "sequences")
     model = train(table)
