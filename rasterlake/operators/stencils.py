@@ -183,6 +183,17 @@ def _packed(p: np.ndarray) -> np.ndarray:
 def resize_bicubic(frames: DataFrame, w: int, h: int) -> DataFrame:
     """Cubic convolution (a = -0.5) of dense frames; results are near those of common toolkits, not equal to any."""
 
+    def run(batches):
+        for batch in batches:
+            rows = [(r.image_id, w, h, _packed(_cubic(_channels(r.argb, r.width, r.height), w, h))) for r in batch.itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=["image_id", "width", "height", "argb"])
+
+    return frames.select("image_id", "width", "height", "argb").mapInPandas(run, "image_id bigint, width int, height int, argb array<int>")
+
+
+def _cubic(p: np.ndarray, w: int, h: int) -> np.ndarray:
+    """(rows, columns, 4) channels at another size, by cubic convolution."""
+
     def weights(size: int, was: int) -> np.ndarray:
         at = (np.arange(size) + 0.5) * was / size - 0.5
         base = np.floor(at).astype(int)
@@ -193,13 +204,30 @@ def resize_bicubic(frames: DataFrame, w: int, h: int) -> DataFrame:
             np.add.at(out, (np.arange(size), np.clip(base + k, 0, was - 1)), v)
         return out
 
+    q = np.einsum("yj,jxc->yxc", weights(h, p.shape[0]), np.einsum("xi,jic->jxc", weights(w, p.shape[1]), p.astype(float)))
+    return np.clip(np.floor(q + 0.5), 0, 255)
+
+
+def normalize_frames(frames: DataFrame, fit: str = "contain", upscale: bool = False, width: int = 0, height: int = 0, background: int = 0) -> DataFrame:
+    """Frames (image_id, frame_idx, delay_ms, width, height, argb) drawn on one canvas size; offsets are gone."""
+    from .timeline import fit_geometry
+
+    geometry = fit_geometry(frames.select("image_id", "frame_idx", "width", "height"), fit, upscale, width, height)
+    rows = frames.select("image_id", "frame_idx", "delay_ms", "width", "height", "argb").join(geometry, ["image_id", "frame_idx"])
+
     def run(batches):
         for batch in batches:
-            rows = []
+            out = []
             for r in batch.itertuples(index=False):
-                p = _channels(r.argb, r.width, r.height).astype(float)
-                q = np.einsum("yj,jxc->yxc", weights(h, r.height), np.einsum("xi,jic->jxc", weights(w, r.width), p))
-                rows.append((r.image_id, w, h, _packed(np.clip(np.floor(q + 0.5), 0, 255))))
-            yield pd.DataFrame(rows, columns=["image_id", "width", "height", "argb"])
-
-    return frames.select("image_id", "width", "height", "argb").mapInPandas(run, "image_id bigint, width int, height int, argb array<int>")
+                p = _channels(r.argb, r.width, r.height)
+                if not r.copied:
+                    canvas = np.zeros((r.canvas_h, r.canvas_w, 4)) + np.array([background >> s & 255 for s in (24, 16, 8, 0)])
+                    q = p if (r.draw_w, r.draw_h) == (r.width, r.height) else _cubic(p, r.draw_w, r.draw_h)
+                    y0, x0 = max(0, r.draw_y), max(0, r.draw_x)
+                    y1, x1 = min(r.canvas_h, r.draw_y + r.draw_h), min(r.canvas_w, r.draw_x + r.draw_w)
+                    canvas[y0:y1, x0:x1] = q[y0 - r.draw_y : y1 - r.draw_y, x0 - r.draw_x : x1 - r.draw_x]
+                    p = canvas
+                out.append((r.image_id, r.frame_idx, r.delay_ms, r.canvas_w, r.canvas_h, _packed(p)))
+            yield pd.DataFrame(out, columns=["image_id", "frame_idx", "delay_ms", "width", "height", "argb"])
+
+    return rows.mapInPandas(run, "image_id bigint, frame_idx int, delay_ms int, width int, height int, argb array<int>")

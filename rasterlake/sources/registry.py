@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from . import jpeg, lzw, plain, webp
 from .model import EncodeError, Frame, Image, RasterError, UnsupportedFormat
+from .options import WriteOptions
 
 
 class Codec(NamedTuple):
@@ -67,7 +68,10 @@ def decode(data: bytes, format: str | None = None) -> Image:
     raise UnsupportedFormat(f"nothing reads {format}")
 
 
-def encode(image: Image, format: str, **options) -> bytes:
+def encode(image: Image, format: str | WriteOptions, **options) -> bytes:
+    """A file in a format, or as write options say."""
+    if isinstance(format, WriteOptions):
+        format, options = format.format, format.arguments() | options
     for c in _CODECS:
         if c.format == format.upper() and c.write:
             return c.write(image, **options)
@@ -122,8 +126,10 @@ def decode_files(blobs: DataFrame, permissive: bool = False) -> DataFrame:
     return blobs.select("path", "content").mapInPandas(run, _FRAMES)
 
 
-def encode_frames(frames: DataFrame, format: str, key: str = "image_id", **options) -> DataFrame:
+def encode_frames(frames: DataFrame, format: str | WriteOptions, key: str = "image_id", **options) -> DataFrame:
     """Frames (key, frame_idx, width, height, argb and perhaps delay_ms ..) -> (key, format, content), one file per key."""
+    if isinstance(format, WriteOptions):
+        format, options = format.format, format.arguments() | options
     format = format.upper()
 
     def image(rows: pd.DataFrame) -> pd.DataFrame:
@@ -142,6 +148,16 @@ def encode_frames(frames: DataFrame, format: str, key: str = "image_id", **optio
     return frames.groupBy(key).applyInPandas(image, f"{key} {kind}, format string, content binary")
 
 
+def decode_base64(texts: DataFrame, column: str = "content", permissive: bool = False) -> DataFrame:
+    """Frames of files given as Base64 text."""
+    return decode_files(texts.withColumn("content", F.unbase64(column)), permissive)
+
+
+def to_base64(files: DataFrame) -> DataFrame:
+    """The content column as Base64 text without line breaks."""
+    return files.withColumn("content", F.regexp_replace(F.base64("content"), "[\\r\\n]", ""))
+
+
 def read_files(spark: SparkSession, path: str, permissive: bool = False) -> DataFrame:
     """Frames of all files under a path, through Spark's own file source."""
     return decode_files(spark.read.format("binaryFile").load(path), permissive)

@@ -597,8 +597,28 @@ def read_webp(data: bytes) -> Image:
     return Image(frames, True, loop, background, w, h)
 
 
-def write_webp(image: Image, loop_count: int = 0) -> bytes:
-    """Lossless; frames of an animation after the first hold only the box that changed."""
+def snapped(argb: np.ndarray, level: int, least: int = 64) -> np.ndarray:
+    """Near-lossless: busy pixels lose up to 5 low bits, smooth ones and the border none; level 100 keeps all."""
+    bits = 5 - max(0, level) // 20
+    h, w = argb.shape
+    if level >= 100 or bits <= 0 or (w < least and h < least) or h < 3:
+        return argb
+    p = _split(argb)
+    for b in range(bits, 0, -1):
+        c = p[1:-1, 1:-1]
+        far = np.max([abs(c - q).max(axis=2) for q in (p[1:-1, :-2], p[1:-1, 2:], p[:-2, 1:-1], p[2:, 1:-1])], axis=0)
+        biased = c + ((1 << b) - 1 >> 1) + (c >> b & 1)
+        less = np.where(biased > 255, 255, biased >> b << b)
+        p = p.copy()
+        p[1:-1, 1:-1] = np.where((far < 1 << b)[..., None], c, less)
+    return _join(p)
+
+
+def write_webp(image: Image, loop_count: int = 0, near_lossless: int = 100) -> bytes:
+    """Lossless, or nearly; frames of an animation after the first hold only the box that changed."""
+    if near_lossless < 100:
+        frames = [Frame(snapped(f.argb, near_lossless), f.delay_ms, f.x, f.y, f.disposal, f.blend) for f in image.frames]
+        image = Image(frames, image.has_alpha, image.loop_count, image.background, image.width, image.height)
     if len(image.frames) == 1:
         return build_chunks([("VP8L", encode_lossless(image.first))])
     h, w = image.first.shape
