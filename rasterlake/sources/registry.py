@@ -132,20 +132,33 @@ def encode_frames(frames: DataFrame, format: str | WriteOptions, key: str = "ima
         format, options = format.format, format.arguments() | options
     format = format.upper()
 
-    def image(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("frame_idx") if "frame_idx" in rows else rows
-        get = lambda r, n, other: other if n not in rows or pd.isna(r[n]) else r[n]
-        made = []
-        for _, r in rows.iterrows():
-            argb = np.asarray(r["argb"], np.int32).view(np.uint32)
-            if len(argb) != r["width"] * r["height"]:
-                raise EncodeError(f"{len(argb)} colours for {r['width']}x{r['height']}")
-            made.append(Frame(argb.reshape(r["height"], r["width"]), int(get(r, "delay_ms", 0)), int(get(r, "offset_x", 0)), int(get(r, "offset_y", 0)), get(r, "disposal", "NONE"), get(r, "blend", "SOURCE")))
-        alpha = bool(rows["has_alpha"].iloc[0]) if "has_alpha" in rows else True
-        return pd.DataFrame({key: [rows[key].iloc[0]], "format": [format], "content": [encode(Image(made, alpha), format, **options)]})
-
-    kind = dict(frames.dtypes)[key]
-    return frames.groupBy(key).applyInPandas(image, f"{key} {kind}, format string, content binary")
+
+    def frame(r, names: tuple) -> Frame:
+        get = lambda n, other: other if n not in names or pd.isna(getattr(r, n)) else getattr(r, n)
+        argb = np.asarray(r.argb, np.int32).view(np.uint32)
+        if len(argb) != r.width * r.height:
+            raise EncodeError(f"{len(argb)} colours for {r.width}x{r.height}")
+        return Frame(argb.reshape(r.height, r.width), int(get("delay_ms", 0)), int(get("offset_x", 0)), int(get("offset_y", 0)), get("disposal", "NONE"), get("blend", "SOURCE"))
+
+    def file(key_value, rows: list, names: tuple) -> tuple:
+        alpha = bool(rows[0].has_alpha) if "has_alpha" in names else True
+        return key_value, format, encode(Image([frame(r, names) for r in rows], alpha), format, **options)
+
+    columns, schema = [key, "format", "content"], f"{key} {dict(frames.dtypes)[key]}, format string, content binary"
+    if "frame_idx" not in frames.columns:  # a row is a whole image: no shuffle
+
+        def stills(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                names = tuple(batch.columns)
+                yield pd.DataFrame([file(getattr(r, key), [r], names) for r in batch.itertuples(index=False)], columns=columns)
+
+        return frames.mapInPandas(stills, schema)
+
+    def animation(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("frame_idx")
+        return pd.DataFrame([file(rows[key].iloc[0], list(rows.itertuples(index=False)), tuple(rows.columns))], columns=columns)
+
+    return frames.groupBy(key).applyInPandas(animation, schema)
 
 
 def decode_base64(texts: DataFrame, column: str = "content", permissive: bool = False) -> DataFrame:

@@ -81,13 +81,11 @@ LENGTH_ORDER = [17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15
 
 def canonical(lengths: list[int]) -> list[int]:
     """Code of each symbol, bits reversed for writing least significant first."""
-    codes, code = [0] * len(lengths), 0
-    for n in range(1, 16):
-        for s, l in enumerate(lengths):
-            if l == n:
-                codes[s] = int(f"{code:0{n}b}"[::-1], 2)
-                code += 1
-        code <<= 1
+    codes, code, before = [0] * len(lengths), 0, 0
+    for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
+        code, before = code << (n - before), n
+        codes[s] = int(f"{code:0{n}b}"[::-1], 2)
+        code += 1
     return codes
 
 
