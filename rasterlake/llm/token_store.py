@@ -6,12 +6,11 @@ a 1 bit, each keeping their order.  With counts of ones per block each plane
 answers rank in constant time; from that follow, without unpacking the ids:
 ``access(i)``, ``count(id, i, j)`` and ``select(id, k)`` (place of the k-th).
 
-Documents go into the files in ascending doc_id order.  Cut points between
-shards come from quantiles of doc_id (one aggregate; the driver sees as many
-numbers as there are shards), the ids are shuffled once to their shard, sorted
-there, and written to the shared folder under a name that depends only on the
-shard, through a temporary name: a repeated or speculative task writes the same
-file again.
+Documents go into the files in ascending doc_id order.  Spark range-partitions
+them by doc_id (a sample of ids sets the bounds), each partition is a shard: its
+documents are sorted, encoded and written to the shared folder under a name that
+depends only on the shard, through a temporary name, so a repeated or speculative
+task writes the same file again.
 
 Edge cases.  Null and empty texts: the end id alone.  Null doc_ids: before all
 others, kept as null.  Equal doc_ids and repeated rows: next to each other, each
@@ -22,12 +21,14 @@ no files, no result rows.  Other columns are not read.
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ from .wordbpe import encoder
 
 MAGIC = b"WMX1"
 #: Documents of a shard, on average, and ids of a file, at most (or one document).
-SHARD_DOCS, FILE_TOKENS = 1024, 2_000_000
+SHARD_DOCS, FILE_TOKENS = 8192, 2_000_000
 _BLOCK = 512  # bits between stored counts
 
 
@@ -156,60 +157,50 @@ def read_file(content: bytes) -> tuple[int, int, list[int | None], np.ndarray, W
     return shard, number, [int(d) if k else None for d, k in zip(own, known)], sizes, WaveletMatrix(n, bits, planes, zeros, ranks)
 
 
-def _encode(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    enc = encoder(tokenizer)
-    for batch in batches:
-        ids, ends = enc.encode(batch.column("text"))
-        ids = np.insert(ids, ends, np.uint32(end_id))
-        ends = (ends + np.arange(1, len(ends) + 1)) if len(ends) else ends
-        size = 2 if len(ids) == 0 or ids.max() < 65536 else 4
-        raw = pa.py_buffer(ids.astype(f"<u{size}").tobytes())
-        offsets = pa.py_buffer((np.concatenate([[0], ends]) * size).astype(np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("shard"), pa.array(np.full(len(ends), size, np.int32)), pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, offsets, raw]).cast(pa.binary())],
-            names=["doc_id", "shard", "width", "ids"],
-        )
-
-
-def _write_files(batches: Iterator[pa.RecordBatch], folder: str, bits: int, file_tokens: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by shard and doc_id in, files out; one row for each file."""
-    from pyarrow import fs
-
-    store, root = fs.FileSystem.from_uri(folder)
-    state: dict = {"shard": None, "number": 0, "docs": [], "ids": [], "n": 0}
-
-    def flush() -> list[tuple[int, int, int, int]]:
-        if not state["docs"]:
-            return []
-        sizes = np.array([len(x) for x in state["ids"]])
-        content = file_bytes(state["shard"], state["number"], state["docs"], sizes, np.concatenate(state["ids"]), bits)
-        name = f"{root}/{state['shard']:08d}-{state['number']:05d}.wmx"
-        import uuid
-
-        part = f"{root}/_{uuid.uuid4().hex}"
-        with store.open_output_stream(part) as f:
+class _Shard:
+    """Files of one shard: documents are added in order, files go out when full."""
+
+    def __init__(self, folder: str, number: int, bits: int, file_tokens: int):
+        from pyarrow import fs
+
+        self.store, self.root = fs.FileSystem.from_uri(folder)
+        self.shard, self.bits, self.most = number, bits, file_tokens
+        self.files: list[tuple[int, int, int, int]] = []
+        self.docs: list[int | None] = []
+        self.ids: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, doc: int | None, ids: np.ndarray) -> None:
+        if self.held and self.held + len(ids) > self.most:
+            self.flush()
+        self.docs.append(doc)
+        self.ids.append(ids)
+        self.held += len(ids)
+
+    def flush(self) -> None:
+        if not self.docs:
+            return
+        sizes, number = np.array([len(x) for x in self.ids]), len(self.files)
+        content = file_bytes(self.shard, number, self.docs, sizes, np.concatenate(self.ids), self.bits)
+        part = f"{self.root}/_{uuid.uuid4().hex}"
+        with self.store.open_output_stream(part) as f:
             f.write(content)
-        store.move(part, name)
-        row = (state["shard"], state["number"], len(state["docs"]), int(sizes.sum()))
-        state.update(number=state["number"] + 1, docs=[], ids=[], n=0)
-        return [row]
+        self.store.move(part, f"{self.root}/{self.shard:08d}-{number:05d}.wmx")
+        self.files.append((self.shard, number, len(self.docs), int(sizes.sum())))
+        self.docs, self.ids, self.held = [], [], 0
 
-    def out(rows: list[tuple[int, int, int, int]]) -> Iterator[pa.RecordBatch]:
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["shard", "number", "docs", "tokens"])
 
+def _write_files(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_id: int, bits: int, file_tokens: int) -> Iterator[pa.RecordBatch]:
+    """A partition of documents in order of doc_id in, its files written; one row for each file."""
+    shard, enc = _Shard(folder, TaskContext.get().partitionId(), bits, file_tokens), encoder(tokenizer)
     for batch in batches:
-        for doc, shard, width, raw in zip(batch.column("doc_id").to_pylist(), batch.column("shard").to_pylist(), batch.column("width").to_pylist(), batch.column("ids")):
-            if shard != state["shard"]:
-                yield from out(flush())
-                state.update(shard=shard, number=0)
-            ids = np.frombuffer(raw.as_buffer(), f"<u{width}")
-            if state["n"] and state["n"] + len(ids) > file_tokens:
-                yield from out(flush())
-            state["docs"].append(doc)
-            state["ids"].append(ids.copy())
-            state["n"] += len(ids)
-    yield from out(flush())
+        ids, ends = enc.encode(batch.column("text"))
+        begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        for doc, x, y in zip(batch.column("doc_id").to_pylist(), begins.tolist(), ends.tolist()):
+            shard.add(doc, np.append(ids[x:y], np.uint32(end_id)))
+    shard.flush()
+    if shard.files:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*shard.files)], names=["shard", "number", "docs", "tokens"])
 
 
 def _read_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,22 +222,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     from pyarrow import fs
 
     rows = id_and_text(docs)
-    n = rows.count()
-    shards = max(1, -(-n // shard_docs))
-    cuts = []
-    if shards > 1:
-        at = [(i + 1) / shards for i in range(shards - 1)]
-        got = rows.agg(F.expr(f"approx_percentile(doc_id, array({','.join(f'{x:.9f}D' for x in at)}), {max(10_000, 4 * shards)})").alias("q")).first()["q"]
-        cuts = sorted(set(got or []))
-    # the cut points as one constant array; each id's shard is the number of cuts below it, by binary search
-    shard = F.lit(0).cast("bigint")
-    if cuts:
-        shard = F.coalesce(_below(F.col("doc_id"), cuts), F.lit(0)).cast("bigint")
+    shards = max(1, -(-rows.count() // shard_docs))
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
-    encoded = rows.withColumn("shard", shard).mapInArrow(lambda it: _encode(it, tokenizer, end_id), "doc_id bigint, shard bigint, width int, ids binary")
-    dealt = encoded.repartition(F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), F.length("ids"), F.xxhash64("ids"))
-    files = written(dealt.mapInArrow(lambda it: _write_files(it, folder, bits, file_tokens), "shard bigint, number bigint, docs bigint, tokens bigint"), "files")
+    dealt = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    written_files = dealt.mapInArrow(lambda it: _write_files(it, folder, tokenizer, end_id, bits, file_tokens), "shard bigint, number bigint, docs bigint, tokens bigint")
+    files = written(written_files, "files")
     # running totals in two steps, so that no window holds the files of more than about a thousand shards
     block = F.expr("shard div 1000")
     totals = files.groupBy(block.alias("block")).agg(F.sum("tokens").alias("t"))
@@ -256,18 +237,6 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     return based.select("shard", "number", "docs", "tokens", (F.col("before") + F.col("inside")).alias("base"))
 
 
-def _below(value, cuts: list[int]):
-    """Number of cuts smaller than the value, as a balanced tree of comparisons."""
-
-    def tree(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(value <= F.lit(cuts[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return F.when(value.isNotNull(), tree(0, len(cuts)))
-
-
 def read_token_files(spark, folder: str, files: DataFrame) -> DataFrame:
     """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     blobs = spark.read.format("binaryFile").option("pathGlobFilter", "*.wmx").load(folder).select("content")
