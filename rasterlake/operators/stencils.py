@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.color import Argb, snap
+from ..functions.color import snap
 
 
 def _row() -> WindowSpec:

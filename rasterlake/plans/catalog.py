@@ -324,7 +324,7 @@ add(
     lambda spark, d: P.to_pixels(P.to_frames(pixels(spark, d).filter("r % 3 <> 0"), 8, 8)),
     f"WITH {PX}, k AS (SELECT DISTINCT image_id FROM px WHERE r % 3 <> 0) " + _colors(*(f"CASE WHEN r % 3 <> 0 THEN {c} ELSE 0 END" for c in "argb"), source="px JOIN k USING (image_id)"),
 )
-for _name, _f, _cell in (("bg_checkerboard", 2, 2), ("bg_checkerboard_default", 8, 8)):
+for _name, _cell in (("bg_checkerboard", 2), ("bg_checkerboard_default", 8)):
     add(
         _name,
         lambda spark, d, c=_cell: P.over_background(pixels(spark, d), lambda x, y: P.checkerboard(x, y, cell=c)),
