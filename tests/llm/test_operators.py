@@ -5,7 +5,6 @@ import re
 import zlib
 
 import numpy as np
-import public_tokenizers as P
 import pytest
 import xxhash
 from tokenizers import Tokenizer
