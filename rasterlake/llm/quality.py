@@ -27,7 +27,7 @@ from .common import buffers, fold, id_and_text, slices, words
 
 #: Most labelled documents that a fit reads.
 TRAIN_ROWS = 16_000
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 2_000_000
 _MARKS = b"!*%&$#|.,;:?-\"'<>{}=/\\_()[]@+~"
 
 

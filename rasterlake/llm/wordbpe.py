@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 #: Entries of each memo, about 30 MB; of the one for pieces two generations are kept.
 MEMO_UNITS = 200_000
 #: Bytes of text turned into ids at once.
-SLICE_BYTES = 12_000_000
+SLICE_BYTES = 6_000_000
 #: A space beside other white space, for RE2.
 NO_CUT = r" [\s\p{Z}\x0b\x1c-\x1f\x85]|[\s\p{Z}\x0b\x1c-\x1f\x85] "
 
