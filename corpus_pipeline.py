@@ -1,7 +1,8 @@
 """A training corpus from raw documents, in five stages.
 
 quality: rows that the classifier rejects go.  exact_dedup: of equal texts (A-Z
-lower-cased) the row with the largest doc_id stays.  near_dedup: of each SimHash
+lower-cased) the row with the largest doc_id stays.  near_dedup: texts whose sets of
+five-word shingles have a Jaccard similarity of 0.8 or more are linked, and of each
 component one row stays, that of the smallest doc_id.  secrets: spans found are
 masked in the text.  packing: texts become pieces of 2048-token sequences.
 
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rasterlake.llm import exact_dedup, packing, quality, secrets, simhash
+from rasterlake.llm import exact_dedup, packing, quality, secrets, shingles
 from rasterlake.llm.common import documents, written
 from rasterlake.llm.wordbpe import vocabulary_path
 
@@ -52,7 +53,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = written(simhash.near_duplicates(docs, 3, 3, rows=True).select("doc_id", "row_hash", "root", "component_id"), "decisions")
+    rows = written(shingles.near_copies(docs, 5), "decisions")
     smallest = rows.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     one = smallest.groupBy("root").agg(F.min(F.struct("doc_id", "row_hash")).alias("k"))
     return surviving(docs, rows, one.select("k.doc_id", "k.row_hash"))

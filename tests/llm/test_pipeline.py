@@ -1,6 +1,8 @@
 """Each stage of the pipeline on its own input, against a plain version."""
 
 import hashlib
+import random
+import re
 
 import corpus_pipeline as C
 import pytest
@@ -33,6 +35,55 @@ def test_near_stage_keeps_one_row_of_each_component(spark, docs, sf_dir):
     assert all(any((p ^ q).bit_count() <= 3 * len(every) for q in prints) for p in every)
 
 
+def shingle_set(text):
+    found = re.sub(r"[A-Z]", lambda m: m[0].lower(), text or "").replace("\x1c", "|").replace("\x85", "|")
+    found = [w for w in re.split(r"[ \t-\r]+", found) if w]
+    return frozenset(tuple(found[i : i + 5]) for i in range(max(min(1, len(found)), len(found) - 4)))
+
+
+def near_rows():
+    """Random texts, each with variants of one to many changed words, and a chain of small changes."""
+    r = random.Random(4)
+    rows, vocabulary = [], [f"w{i}" for i in range(400)]
+    for _ in range(12):
+        base = [r.choice(vocabulary) for _ in range(r.choice((6, 30, 90, 200)))]
+        rows.append(base)
+        for changes in (0, 1, 1, 2, 3, 5, 9):
+            own = list(base)
+            for _ in range(changes):
+                own[r.randrange(len(own))] = r.choice(vocabulary)
+            rows.append(own)
+    chain = [r.choice(vocabulary) for _ in range(80)]
+    for k in range(25):
+        chain = [*chain[:k], "new", *chain[k + 1 :]]
+        rows.append(chain)
+    return [(1000 + i, " ".join(t), "en", "d", 1, 0.5, "f", "p", 3, 4) for i, t in enumerate(rows)]
+
+
+def test_near_stage_equals_a_plain_version(spark, sf_dir):
+    rows = odd_rows() + near_rows()
+    sets = [shingle_set(t) for _, t, *_ in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                root[find(i)] = find(j)
+    low = {}
+    for i, (d, *_) in enumerate(rows):
+        low.setdefault(find(i), []).append(d)
+    want = sorted(str(min((d for d in ids if d is not None), default=None)) for ids in low.values())
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = sorted(str(r.doc_id) for r in C.drop_near_copies(spark, docs, sf_dir).collect())
+    assert got == want
+    assert len(low) < len(set(sets)) - 20
+
+
 def test_secrets_stage_masks(spark, docs, sf_dir):
     out = C.mask_secrets(spark, docs, sf_dir)
     assert out.count() == len(odd_rows()) and out.columns == docs.columns
