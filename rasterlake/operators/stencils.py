@@ -53,20 +53,29 @@ def _half(p: Column, q: Column) -> Column:
     return F.shiftright(p + q, 1)
 
 
+def _surrounded(px: DataFrame) -> DataFrame:
+    """Columns <name>_<channel> of left, top, top left, top right and the own row's first pixel."""
+    rows = _neighbours(px, l=(_row(), F.lag))
+    rows = _neighbours(rows, t=(_column(), F.lag))
+    rows = rows.withColumns({f"f_{c}": F.first(c).over(_row()) for c in "argb"})
+    rows = rows.withColumns({f"tl_{c}": F.lag(f"l_{c}").over(_column()) for c in "argb"})
+    return rows.withColumns({f"tr_{c}": F.coalesce(F.lead(f"t_{c}").over(_row()), F.col(f"f_{c}")) for c in "argb"})
+
+
 def predicted_residual(px: DataFrame, mode: int) -> DataFrame:
     """Difference, modulo 256, from a spatial prediction; the first row predicts from the left, the first column from above.
 
-    Modes 1-4: left, top, top right, top left; 5-10: means of some of them, rounded
+    Mode 0: opaque black.  Modes 1-4: left, top, top right, top left; 5-10: means of some of them, rounded
     down; 11: the one of left and top that is nearer to left + top - top left; 12:
     that sum, clamped; 13: the mean of left and top, moved half way from top left.
     The last column takes the top right from the first pixel of the own row, as the
     public format description does.
     """
-    rows = _neighbours(px, l=(_row(), F.lag))
-    rows = _neighbours(rows, t=(_column(), F.lag))
-    rows = rows.withColumns({f"f_{c}": F.first(c).over(_row()) for c in "argb"})
-    rows = rows.withColumns({f"tl_{c}": F.lag(f"l_{c}").over(_column()) for c in "argb"})
-    rows = rows.withColumns({f"tr_{c}": F.coalesce(F.lead(f"t_{c}").over(_row()), F.col(f"f_{c}")) for c in "argb"})
+    return _surrounded(px).select("image_id", "x", "y", *(r.alias(c) for c, r in _residuals(mode).items()))
+
+
+def _residuals(mode: int) -> dict[str, Column]:
+    """The residual of each channel, over the columns of ``_surrounded``."""
 
     def n(name: str, c: str) -> Column:
         return F.col(f"{name}_{c}")
@@ -95,22 +104,22 @@ def predicted_residual(px: DataFrame, mode: int) -> DataFrame:
         raise ValueError(f"no predictor {mode} here")
 
     first = {c: F.lit(255 if c == "a" else 0) for c in "argb"}
-    out = []
+    out = {}
     for c in "argb":
         at = F.when((F.col("x") == 0) & (F.col("y") == 0), first[c]).when(F.col("y") == 0, n("l", c)).when(F.col("x") == 0, n("t", c)).otherwise(guess(c))
-        out.append(((F.col(c) - at + 256) % 256).cast("int").alias(c))
-    return rows.select("image_id", "x", "y", *out)
+        out[c] = ((F.col(c) - at + 256) % 256).cast("int")
+    return out
 
 
 def predictor_scores(px: DataFrame, modes: tuple[int, ...], tile: int) -> DataFrame:
     """Sum of absolute signed residuals of each tile under each mode, and the mode with the least (the first of equals)."""
-    parts = [predicted_residual(px, m).withColumn("mode", F.lit(m)) for m in modes]
-    rows = reduce(DataFrame.unionByName, parts)
-    signed = sum((F.abs(F.when(F.col(c) > 127, F.col(c) - 256).otherwise(F.col(c))) for c in "argb"), F.lit(0))
-    tiles = rows.groupBy("image_id", F.call_function("div", F.col("x"), F.lit(tile)).cast("int").alias("tx"), F.call_function("div", F.col("y"), F.lit(tile)).cast("int").alias("ty"), "mode")
-    scores = tiles.agg(F.sum(signed).cast("bigint").alias("score"))
-    best = F.min(F.struct("score", "mode"))
-    return scores.groupBy("image_id", "tx", "ty").agg(best.alias("b")).select("image_id", "tx", "ty", F.col("b.mode").alias("mode"), F.col("b.score").alias("score"))
+    rows = _surrounded(px)
+    cost = {m: sum((F.abs(F.when(r > 127, r - 256).otherwise(r)) for r in _residuals(m).values()), F.lit(0)) for m in modes}
+    rows = rows.select("image_id", "x", "y", *(v.alias(f"c{m}") for m, v in cost.items()))
+    tiles = rows.groupBy("image_id", F.call_function("div", F.col("x"), F.lit(tile)).cast("int").alias("tx"), F.call_function("div", F.col("y"), F.lit(tile)).cast("int").alias("ty"))
+    scores = tiles.agg(*(F.sum(f"c{m}").cast("bigint").alias(f"c{m}") for m in modes))
+    best = F.array_min(F.array(*(F.struct(F.col(f"c{m}").alias("score"), F.lit(m).alias("mode")) for m in modes)))
+    return scores.select("image_id", "tx", "ty", best.alias("b")).select("image_id", "tx", "ty", F.col("b.mode").alias("mode"), F.col("b.score").alias("score"))
 
 
 # -- edge smoothing over dense frames ---------------------------------------------------

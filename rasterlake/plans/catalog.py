@@ -689,6 +689,7 @@ add(
     + ", a AS (" + " UNION ALL ".join(f"SELECT {m} AS mode, * FROM r{m}" for m in (1, 2, 4, 11)) + "), s AS (SELECT image_id, x // 4 AS tx, y // 4 AS ty, mode, CAST(sum("
     + " + ".join(f"abs(CASE WHEN {c} > 127 THEN {c} - 256 ELSE {c} END)" for c in "argb") + ") AS BIGINT) AS score FROM a GROUP BY 1, 2, 3, 4) SELECT image_id, tx, ty, mode, score FROM s QUALIFY row_number() OVER (PARTITION BY image_id, tx, ty ORDER BY score, mode) = 1",
 )
+add("predictor_search", lambda spark, d: T.predictor_scores(pixels(spark, d), tuple(range(14)), 4))
 _SB = {c: f"CAST(CASE WHEN {c} > 127 THEN {c} - 256 ELSE {c} END AS BIGINT)" for c in "rgb"}
 
 
