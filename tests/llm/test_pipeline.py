@@ -6,7 +6,10 @@ import re
 
 import corpus_pipeline as C
 import pytest
-from test_operators import SCHEMA, fingerprint, odd_rows
+from test_operators import BYTES, SCHEMA, fingerprint, odd_rows
+from tokenizers import Tokenizer
+
+from rasterlake.llm import quality
 
 
 @pytest.fixture(scope="module")
@@ -84,6 +87,36 @@ def test_near_stage_equals_a_plain_version(spark, sf_dir):
     assert len(low) < len(set(sets)) - 20
 
 
+def near_kept(rows):
+    """(smallest doc_id of each component) of (doc_id, text) rows."""
+    sets, low = [(d, shingle_set(t)) for d, t in rows], {}
+    for d, a in sets:
+        near = [k for k, own in low.items() if any(a == b or 5 * len(a & b) >= 4 * len(a | b) for _, b in own)]
+        low[d] = [(d, a), *(x for k in near for x in low.pop(k))]
+    return {min(d for d, _ in own) for own in low.values()}
+
+
+def test_run_keeps_the_documents_of_a_plain_version(spark, sf_dir):
+    docs = C.documents(spark, sf_dir)
+    texts = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    scores = quality.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), 0.3).collect()
+    good = {r.doc_id for r in scores if r.score >= 0.3}
+    assert {r.doc_id for r in C.keep_quality(spark, docs, sf_dir).collect()} == good and 0 < len(good)
+    last = {}
+    for d in sorted(good):
+        last[texts[d].encode().lower()] = d
+    kept = near_kept([(d, texts[d]) for d in last.values()])
+    assert {r.doc_id for r in C.run(spark, sf_dir).collect()} == kept
+
+
+def test_packing_stage_keeps_every_token(spark, docs, sf_dir):
+    library = Tokenizer.from_file(BYTES)
+    want = sorted((str(d), len(library.encode(t or "", add_special_tokens=False).ids) + 1) for d, t, *_ in odd_rows())
+    pieces = C.pack(spark, docs, sf_dir).collect()
+    assert sorted((str(r.doc_id), r.doc_tokens) for r in pieces if r.start == 0) == want
+    assert sum(r.length for r in pieces) == sum(n for _, n in want)
+
+
 def test_secrets_stage_masks(spark, docs, sf_dir):
     out = C.mask_secrets(spark, docs, sf_dir)
     assert out.count() == len(odd_rows()) and out.columns == docs.columns
