@@ -43,8 +43,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Bytes of one Arrow batch on its way to Python, where the session sets none; a longer row is a batch of its own.
+BATCH_BYTES = 8_000_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches bounded by bytes, not by rows alone: ten thousand long texts would not fit a worker."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only what the operators read, so that other columns and their names cannot matter; a null text counts as empty."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 

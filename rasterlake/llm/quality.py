@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, fold, id_and_text, slices, words
+from .common import bounded_batches, buffers, fold, id_and_text, slices, words
 
 #: Most labelled documents that a fit reads.
 TRAIN_ROWS = 16_000
@@ -186,6 +186,6 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFra
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows that the classifier does not reject, with the columns they came with."""
     trees = train(docs, labels)
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *[F.col(c) for c in docs.columns if c not in ("doc_id", "text")])
-    schema = ", ".join(f"`{c}` {t}" for c, t in keyed.dtypes) + ", __quality double"
-    return keyed.mapInArrow(lambda it: _scored(it, trees, "__quality"), schema).filter(F.col("__quality") >= threshold).select(*docs.columns)
+    bounded_batches(docs.sparkSession)
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", __quality double"
+    return docs.mapInArrow(lambda it: _scored(it, trees, "__quality"), schema).filter(F.col("__quality") >= threshold).select(*docs.columns)

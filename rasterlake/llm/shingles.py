@@ -1,24 +1,9 @@
-"""Near-duplicates by shared word shingles: Jaccard similarity of at least ``LEAST`` / ``MOST`` = 0.8.
-
-A text is the set of XXH64 hashes of its word shingles (split and lower-cased as in
-``simhash``).  Equal sets are one from the start.  For all others candidates come
-from minimum hashes: ``BANDS`` bands of ``ROWS`` minima; two sets that share a band
-meet in the task of that band.  At similarity 0.8 a pair misses all bands with
-probability 3e-6, above it with less.  Within a band a pair goes on if the sizes
-allow 0.8 and at least ``ALIKE`` of all minima agree, which a pair at 0.8 misses by
-six standard deviations.  What goes on is decided by the sets themselves, so no
-link is an estimate.
-
-Bands of a large group would give all its pairs, so there are two rounds.  The
-first takes from each band only a forest of the likeliest pairs; the second takes
-every pair whose ends the links of the first left apart.  Sets are made again, and
-shuffled, only for texts in some pair.  Components come from ``simhash.components``.
-
-Edge cases.  Null and empty texts, and texts of white space: the empty set, copies
-of each other.  Fewer words than a shingle: the whole sequence is one shingle.
-Repeated rows and equal doc_ids: each row is reported.  Null doc_ids: reported,
-never a component_id unless the component has no other.  No rows: none.  Other
-columns are not read.
+"""Sets of word shingles: hashes, fingerprints of sets, bands of minimum hashes, exact similarity.
+
+A text is the set of XXH64 hashes of its word shingles.  Two sets are similar if
+their Jaccard similarity is at least ``LEAST`` / ``MOST`` = 0.8, which is decided in
+whole numbers.  ``BANDS`` bands of ``ROWS`` minima each: a pair at 0.8 shares no band
+with probability 3e-6, above it with less.
 """
 
 from __future__ import annotations
@@ -28,24 +13,42 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import id_and_text, written
-from .simhash import _shingle_hashes, components
 
+SEED = 42
 LEAST, MOST = 4, 5
 BANDS, ROWS = 32, 5
 MINIMA = BANDS * ROWS
-ALIKE = MINIMA * 3 // 5
-HASHES = 100_000
+#: Hashes held before their minima are taken, texts whose sets are sent at once.
+HASHES, SENT = 100_000, 200
 _R = np.random.default_rng(5)
 _XOR, _TIMES = _R.integers(0, 1 << 32, MINIMA, dtype=np.uint32), _R.integers(0, 1 << 31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _BAND = _R.integers(0, 1 << 63, (BANDS, ROWS + 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def shingle_hashes(text: bytes, width: int) -> list[int]:
+    found = text.lower().split()  # bytes: only A-Z change, and only space and \x09-\x0D split
+    h = xxhash.xxh64_intdigest
+    if len(found) <= width:
+        return [h(b" ".join(found), SEED)] if found else []
+    if width == 3:
+        return [h(b"%b %b %b" % t, SEED) for t in zip(found, found[1:], found[2:])]
+    return [h(b" ".join(t), SEED) for t in zip(*(found[i:] for i in range(width)))]
+
+
+def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A fingerprint of each run of hashes: bits set in over half of them; zero for an empty run."""
+    out = np.zeros(len(sizes), np.uint64)
+    full = np.flatnonzero(sizes)
+    if len(full):
+        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
+        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+        out[full] = np.packbits(2 * ones > sizes[full, None], axis=1, bitorder="little").view("<u8").ravel()
+    return out
+
+
 def shingle_set(text: bytes, width: int) -> np.ndarray:
-    return np.unique(np.array(_shingle_hashes(text, width), np.uint64))
+    return np.unique(np.array(shingle_hashes(text, width), np.uint64))
 
 
 def minima(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -66,7 +69,7 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 
 
 def signed_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, row_hash, hash of the set, its size, a byte of each minimum, band keys; none for the empty set)."""
+    """(doc_id, row_hash, hash of the set, its size, its fingerprint, band keys; none for the empty set)."""
     for batch in batches:
         sets: list[np.ndarray] = []
         first = held = 0
@@ -74,155 +77,47 @@ def signed_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
             sets.append(shingle_set(text.as_buffer().to_pybytes(), width))
             held += len(sets[-1])
             if held > HASHES or i + 1 == len(batch):
-                rows = slice(first, i + 1)
                 sizes = np.array([len(s) for s in sets])
-                full = np.flatnonzero(sizes)
-                marks, keys = np.zeros((len(sets), MINIMA), np.uint8), np.zeros((0, BANDS), np.uint64)
-                if len(full):
-                    least = minima(np.concatenate(sets), sizes[full])
-                    marks[full] = ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
-                    keys = band_keys(least)
+                full, joined = np.flatnonzero(sizes), np.concatenate(sets)
+                keys = band_keys(minima(joined, sizes[full])) if len(full) else np.zeros((0, BANDS), np.uint64)
                 ends = np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(batch.column(n).slice(rows.start, len(sets)) for n in ("doc_id", "row_hash")),
+                        *(batch.column(n).slice(first, len(sets)) for n in ("doc_id", "row_hash")),
                         pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)),
                         pa.array(sizes.astype(np.int32)),
-                        pa.array([m.tobytes() for m in marks], pa.binary()),
+                        pa.array(_in_steps(joined, sizes).view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64))),
                     ],
-                    names=["doc_id", "row_hash", "sk", "n", "marks", "bands"],
+                    names=["doc_id", "row_hash", "sk", "n", "fp", "bands"],
                 )
                 sets, first, held = [], i + 1, 0
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of two or more rows of one band; rows come sorted by band."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        band = batch.column("band").to_numpy()
-        cut = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]])).tolist() if len(band) else []
-        for a, b in zip(cut, [*cut[1:], len(band)]):
-            if held and held[-1].column("band")[0].as_py() != band[a]:
-                if sum(map(len, held)) > 1:
-                    yield pa.concat_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-    if sum(map(len, held)) > 1:
-        yield pa.concat_batches(held)
-
-
-def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of bands with more than one set; bands of the same sets get the same number."""
-    held_b, held_s = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def shared(b: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
-        same = b[1:] == b[:-1]
-        m = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        b, s = b[m], s[m]
-        if len(b):
-            starts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
-            h = s.view(np.uint64) * _BAND[0, 0]
-            h = (h ^ (h >> np.uint64(29))) * _BAND[0, 1]
-            b = np.repeat(np.add.reduceat(h ^ (h >> np.uint64(32)), starts), np.diff(np.append(starts, len(b)))).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(b), pa.array(s)], names=["band", "sk"])
-
-    for batch in batches:
-        if len(batch):
-            b = np.concatenate([held_b, batch.column("band").to_numpy()])
-            s = np.concatenate([held_s, batch.column("sk").to_numpy()])
-            last = int(np.searchsorted(b, b[-1]))  # the last band may go on in the next batch
-            if last:
-                yield shared(b[:last], s[:last])
-            held_b, held_s = b[last:], s[last:]
-    if len(held_b):
-        yield shared(held_b, held_s)
-
-
-def pairs(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
-    """(u, v) of rows (band, sk, n, marks, root) sorted by band: a forest of likely pairs, or every possible pair of two roots."""
-    us: list[np.ndarray] = []
-    vs: list[np.ndarray] = []
-
-    def flushed() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
-        us.clear()
-        vs.clear()
-        return out
-
-    for group in _groups(batches):
-        sk = group.column("sk").to_numpy()
-        order = np.argsort(sk)
-        sk, n, root = sk[order], group.column("n").to_numpy()[order].astype(np.int64), group.column("root").to_numpy()[order]
-        marks = np.frombuffer(b"".join(group.column("marks").to_pylist()), np.uint8).reshape(-1, MINIMA)[order]
-        left = np.arange(len(sk))
-        while len(left) > 1:
-            i, left = left[0], left[1:]
-            rest = left if not every else left[root[left] != root[i]]
-            found = []
-            for k in range(0, len(rest), 8192):
-                at = rest[k : k + 8192]
-                at = at[MOST * np.minimum(n[at], n[i]) >= LEAST * np.maximum(n[at], n[i])]
-                found.append(at[(marks[at] == marks[i]).sum(axis=1) >= (ALIKE if every else MINIMA * LEAST // MOST)])
-            hit = np.concatenate(found) if found else rest
-            if len(hit):
-                us.append(np.full(len(hit), sk[i]))
-                vs.append(sk[hit])
-                if len(us) > 1000 or len(hit) > 10_000:
-                    yield flushed()
-                if not every:
-                    left = np.setdiff1d(left, hit, assume_unique=True)
-    if us:
-        yield flushed()
+def _in_steps(hashes: np.ndarray, sizes: np.ndarray, most: int = 50_000) -> np.ndarray:
+    """``majority`` of a few runs at a time: the bits of a hash take 64 bytes."""
+    ends, out, i = np.cumsum(sizes), [], 0
+    while i < len(sizes):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
+        out.append(majority(hashes[ends[i] - sizes[i] : ends[j - 1]], sizes[i:j]))
+        i = j
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def sets_of(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for k in range(0, len(batch), 500):
-            part = batch.slice(k, 500)
+        for k in range(0, len(batch), SENT):
+            part = batch.slice(k, SENT)
             yield pa.RecordBatch.from_arrays([part.column("sk"), pa.array([shingle_set(t.as_buffer().to_pybytes(), width).tobytes() for t in part.column("text")], pa.binary())], names=["sk", "hashes"])
 
 
-def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs whose sets are similar enough."""
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("hu"), batch.column("hv")):
-            a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = np.sort(np.concatenate([a, b]))
-            shared = int((both[1:] == both[:-1]).sum())
-            keep.append(MOST * shared >= LEAST * (len(both) - shared))
-        yield batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
-
-
-def near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
-    """One row per document: doc_id, row_hash (xxhash64 of the text), root (a number of the component), component_id."""
-    source = id_and_text(docs).select("doc_id", F.xxhash64("text").alias("row_hash"), F.col("text").cast("binary").alias("text"))
-    schema = "doc_id bigint, row_hash bigint, sk bigint, n int, marks binary, bands array<bigint>"
-    table = written(source.mapInArrow(lambda it: signed_sets(it, width), schema), "sets")
-    distinct = written(table.groupBy("sk").agg(F.min("doc_id").alias("rep"), F.min("row_hash").alias("row_hash"), F.first("n").alias("n"), F.first("marks").alias("marks"), F.first("bands").alias("bands")), "distinct")
-    dealt = distinct.select(F.explode("bands").alias("band"), "sk").repartition("band").sortWithinPartitions("band")
-    groups = written(dealt.mapInArrow(met, "band bigint, sk bigint").distinct(), "bands")
-    marked = groups.join(distinct.select("sk", "n", "marks"), "sk")
-
-    def linked(rows: DataFrame, every: bool) -> DataFrame:
-        sorted_rows = rows.select("band", "sk", "n", "marks", "root").repartition("band").sortWithinPartitions("band")
-        found = written(sorted_rows.mapInArrow(lambda it: pairs(it, every), "u bigint, v bigint").distinct(), "pairs")
-        ends = found.select(F.col("u").alias("sk")).unionByName(found.select(F.col("v").alias("sk"))).distinct()
-        wanted = ends.join(distinct.select("sk", "row_hash"), "sk")
-        texts = source.select("row_hash", "text").join(wanted, "row_hash")
-        own = written(texts.mapInArrow(lambda it: sets_of(it, width), "sk bigint, hashes binary").dropDuplicates(["sk"]), "shingles")
-        at_u, at_v = (own.select(F.col("sk").alias(k), F.col("hashes").alias(f"h{k}")) for k in "uv")
-        return written(found.join(at_u, "u").join(at_v, "v").select("u", "v", "hu", "hv").mapInArrow(similar, "u bigint, v bigint"), "links")
-
-    links = linked(marked.withColumn("root", F.col("sk")), False)
-    low = components(links)
-    rooted = marked.join(low.select(F.col("u").alias("sk"), "p"), "sk", "left").withColumn("root", F.coalesce("p", "sk"))
-    more = linked(rooted, True)
-    if not more.isEmpty():
-        low = components(links.unionByName(more))
-    named = distinct.join(low.select(F.col("u").alias("sk"), "p"), "sk", "left").select("sk", "rep", F.coalesce("p", "sk").alias("root"))
-    named = written(named, "rooted")
-    smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = named.drop("rep").join(smallest, "root")
-    return table.select("doc_id", "row_hash", "sk").join(named, "sk").select("doc_id", "row_hash", "root", "component_id")
+def sizes_allow(size: np.ndarray, other: int) -> np.ndarray:
+    return MOST * np.minimum(size, other) >= LEAST * np.maximum(size, other)
+
+
+def similar_to(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which of the others, sorted like own and not empty, are similar to it."""
+    size = np.array([len(x) for x in others])
+    joined = np.concatenate(others)
+    shared = np.add.reduceat(own[np.minimum(np.searchsorted(own, joined), len(own) - 1)] == joined, np.cumsum(size) - size, dtype=np.int64)
+    return MOST * shared >= LEAST * (size + len(own) - shared)

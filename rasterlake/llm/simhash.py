@@ -1,72 +1,69 @@
-"""SimHash near-duplicates: shard BK-trees over fingerprints, then connected components.
-
-A text's fingerprint comes from XXH64 hashes of its word shingles.  Copies share
-a fingerprint, so links are sought between distinct fingerprints only.  Two that
-differ in at most ``radius`` = 3 of 64 bits agree in one of four 16-bit blocks, so
-each fingerprint goes to four shards (block, value of the block) and only the
-members of a shard are compared.  A shard is a BK-tree: children are keyed by
-their integer Hamming distance to the parent, and a search follows only edges
-within the radius of its own distance.  Trees are not broadcast: they grow with
-the data, so each is built in the task that holds its shard and is searched there
-by all its members at once (numpy, a node at a time), down to leaves of at most
-``LEAF`` members.  A task reports only a spanning set of links (each member with
-the smallest of its part), never all pairs.
-
-Components come from hooking and pointer jumping over those links, each step a
-table in the shared folder; hot keys occur only on plain joins of two tables,
-which adaptive execution splits.  Nothing but counts reaches the driver.
-
-Edge cases.  Null and empty texts, and texts of white space: fingerprint zero,
-linked like any other.  Fewer words than a shingle: the whole sequence is one
-shingle.  Repeated rows and equal doc_ids: each row is reported.  Null doc_ids:
-reported, never a component_id unless the component has no other.  Very long
-texts are hashed whole.  No rows: none.  Other columns are not read.
+"""SimHash near-duplicates: BK-trees over shards of fingerprints, then connected components.
+
+A text's fingerprint comes from XXH64 hashes of its word shingles.  A shard's
+fingerprints form a BK-tree: every fingerprint is a node, and a node's children are
+keyed by their integer Hamming distance to it.  A search starts at the root and
+follows only edges whose key lies within the radius of its own distance.  Trees are
+flat arrays, and all searches of a shard go down together, a level at a time.
+
+Two link rules share the trees:
+
+``near_duplicates``: fingerprints of at most ``radius`` differing bits are linked.
+    The 64 bits are cut into ``radius + m`` blocks, of which such a pair agrees in m
+    at least, so each choice of m blocks gives one shard key.  Key width follows from
+    the number of distinct fingerprints: a shard holds about ``SHARD`` of them.
+``similar_documents``: texts whose sets of shingles have a Jaccard similarity of 0.8
+    or more are linked.  Shards are bands of minimum hashes (``shingles``), the radius
+    is ``WIDE``, and what the trees find is decided by the sets themselves.  The first
+    round takes ``FIRST`` bands; the second takes the others, and only pairs that the
+    first left in different components.
+
+A shard with too many members for one tree is dealt to cells of two parts each, a
+tree of one part searched by the other, so no task holds more than two parts.  Trees
+are not broadcast: together they hold every document's fingerprint, which must not
+pass through the driver (figures in the README); each is built in the task that holds
+its cell.  A task reports a spanning set of links, never all pairs.  Components come
+from hooking and pointer jumping over those links, each step a table in the shared
+folder; only counts reach the driver.
+
+Edge cases.  Null and empty texts, and texts of white space: fingerprint zero and the
+empty set, linked like any other.  Fewer words than a shingle: the whole sequence is
+one shingle.  Repeated rows and equal doc_ids: each row is reported.  Null doc_ids:
+reported, never a component_id unless the component has no other.  Very long texts
+are hashed whole.  Ties do not occur: links have no order.  No rows: none.  Other
+columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import shingles
 from .common import id_and_text, written
+from .shingles import majority, shingle_hashes
 
-LEAF = 256
-BLOCKS, BLOCK_BITS = 4, 16
-#: Links held before they are reduced to a spanning set; shingle hashes turned into bits at once.
-HELD_LINKS, HASHES = 1_000_000, 50_000
-SEED = 42
+BITS = 64
+#: Members of a shard that are aimed at, and members or shingles of one part of a cell at most (or one text).
+SHARD, PART_ROWS, PART_SHINGLES = 512, 4096, 2_000_000
+#: Links held before they are reduced to a spanning set; shingle hashes turned into bits at once; (query, node) pairs of one level.
+HELD_LINKS, HASHES, FRONTIER = 1_000_000, 50_000, 1_000_000
+#: Differing bits within which a pair at similarity 0.8 lies: missed with probability 1e-5 for sets of five, below 1e-6 for larger ones.
+WIDE = 26
+FIRST = 4
+#: Rows up to which a list of large shards or wanted texts is broadcast (16 bytes a row); beyond, it is joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
     """64 bits: a bit is 1 if set in over half of the shingles' hashes."""
-    hashes = np.array(_shingle_hashes(text, width), np.uint64)
-    return int(_majority(hashes, np.array([len(hashes)]))[0])
-
-
-def _shingle_hashes(text: bytes, width: int) -> list[int]:
-    found = text.lower().split()  # bytes: only A-Z change, and only space and \x09-\x0D split
-    h = xxhash.xxh64_intdigest
-    if len(found) <= width:
-        return [h(b" ".join(found), SEED)] if found else []
-    if width == 3:
-        return [h(b"%b %b %b" % t, SEED) for t in zip(found, found[1:], found[2:])]
-    return [h(b" ".join(t), SEED) for t in zip(*(found[i:] for i in range(width)))]
-
-
-def _majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(sizes), np.uint64)
-    full = np.flatnonzero(sizes)
-    if len(full):
-        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-        out[full] = np.packbits(2 * ones > sizes[full, None], axis=1, bitorder="little").view("<u8").ravel()
-    return out
+    hashes = np.array(shingle_hashes(text, width), np.uint64)
+    return int(majority(hashes, np.array([len(hashes)]))[0])
 
 
 def fingerprints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -75,46 +72,60 @@ def fingerprints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.R
         sizes: list[int] = []
         parts = []
         for text in batch.column("text"):
-            own = _shingle_hashes(text.as_buffer().to_pybytes(), width)
+            own = shingle_hashes(text.as_buffer().to_pybytes(), width)
             hashes += own
             sizes.append(len(own))
             if len(hashes) > HASHES:
-                parts.append(_majority(np.array(hashes, np.uint64), np.array(sizes)))
+                parts.append(majority(np.array(hashes, np.uint64), np.array(sizes)))
                 hashes, sizes = [], []
-        parts.append(_majority(np.array(hashes, np.uint64), np.array(sizes, np.int64)))
+        parts.append(majority(np.array(hashes, np.uint64), np.array(sizes, np.int64)))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_hash"), pa.array(np.concatenate(parts).view(np.int64))], names=["doc_id", "row_hash", "fp"])
 
 
+# -- trees ----------------------------------------------------------------------
+
+
 class BKTree:
-    """Children keyed by integer Hamming distance to the parent; leaves hold up to LEAF values."""
-
-    def __init__(self, values: np.ndarray, places: np.ndarray):
-        self.leaf = len(values) <= LEAF
-        self.values, self.places, self.children = values, places, {}
-        if not self.leaf:
-            far = np.bitwise_count(values[1:] ^ values[0])
-            order = np.argsort(far, kind="stable")
-            keys, at = np.unique(far[order], return_index=True)
-            for key, part in zip(keys.tolist(), np.split(order + 1, at[1:])):
-                self.children[key] = BKTree(values[part], places[part])
-            self.values, self.places = values[:1], places[:1]
-
-    def search(self, values: np.ndarray, places: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(places of queries, places found) within the radius, in parts."""
-        if self.leaf:
-            for k in range(0, len(values), 4096):
-                near = np.bitwise_count(values[k : k + 4096, None] ^ self.values[None, :]) <= radius
-                a, b = np.nonzero(near)
-                yield places[k + a], self.places[b]
-            return
-        far = np.bitwise_count(values ^ self.values[0])
-        hit = places[far <= radius]
-        yield hit, np.full(len(hit), self.places[0])
-        far = far.astype(np.int64)
-        for key, child in self.children.items():
-            inside = np.abs(far - key) <= radius
-            if inside.any():
-                yield from child.search(values[inside], places[inside], radius)
+    """Every value is a node; edges are sorted by (parent, Hamming distance of the child to it)."""
+
+    def __init__(self, values: np.ndarray):
+        """values: distinct; the first is the root, and of the values below an edge the first is the child."""
+        self.values, self.visited, self.depth = values, 0, 0
+        parents, keys, children = [], [], []
+        rest, above = np.arange(1, len(values)), np.zeros(max(0, len(values) - 1), np.int64)
+        while len(rest):  # one level: `above` is the deepest node so far on the way to each value
+            far = np.bitwise_count(values[rest] ^ values[above]).astype(np.int64)
+            edge = above * (BITS + 1) + far
+            order = np.argsort(edge, kind="stable")
+            first = np.concatenate([[True], edge[order][1:] != edge[order][:-1]])
+            child = rest[order][first]
+            parents.append(above[order][first])
+            keys.append(far[order][first])
+            children.append(child)
+            below = child[np.cumsum(first) - 1]
+            rest, above = rest[order][~first], below[~first]
+            self.depth += 1
+        none = np.zeros(0, np.int64)
+        edges = np.concatenate([none, *parents]) * (BITS + 1) + np.concatenate([none, *keys])
+        order = np.argsort(edges, kind="stable")
+        self.edges, self.children = edges[order], np.concatenate([none, *children])[order]
+
+    def search(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place of query, place of value, distance) within the radius, in parts."""
+        step = max(1, FRONTIER // max(1, len(self.values)))
+        for start in range(0, len(queries) if len(self.values) else 0, step):
+            q = np.arange(start, min(start + step, len(queries)))
+            node = np.zeros(len(q), np.int64)
+            while len(q):
+                self.visited += len(q)
+                far = np.bitwise_count(queries[q] ^ self.values[node]).astype(np.int64)
+                hit = far <= radius
+                if hit.any():
+                    yield q[hit], node[hit], far[hit]
+                low = np.searchsorted(self.edges, node * (BITS + 1) + np.maximum(far - radius, 0))
+                n = np.searchsorted(self.edges, node * (BITS + 1) + np.minimum(far + radius, BITS), "right") - low
+                at = np.arange(int(n.sum())) + np.repeat(low - (np.cumsum(n) - n), n)
+                q, node = np.repeat(q, n), self.children[at]
 
 
 def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -131,44 +142,85 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             low = low[low]
 
 
-def link_shards(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, fp) sorted by shard in; (fp, smallest fp of its part of the shard) out."""
-    held_s, held_v = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-
-    def linked(shard: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((value, shard))
-        shard, value = shard[order], value[order]
-        cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
-        size = np.diff(np.concatenate([cut, [len(shard)]]))
-        a, b, held = [], [], 0
-        low = np.arange(len(shard))
-        for start, n in zip(cut[size > 1].tolist(), size[size > 1].tolist()):
-            places = np.arange(start, start + n)
-            for x, y in BKTree(value[start : start + n], places).search(value[start : start + n], places, radius):
-                m = x < y
-                a.append(x[m])
-                b.append(y[m])
-                held += int(m.sum())
-                if held > HELD_LINKS:
-                    low = spanning(len(shard), np.concatenate([*a, np.arange(len(low))]), np.concatenate([*b, low]))
-                    a, b, held = [], [], 0
-        if a:
-            low = spanning(len(shard), np.concatenate([*a, np.arange(len(low))]), np.concatenate([*b, low]))
-        m = low != np.arange(len(low))
-        if m.any():
-            yield pa.RecordBatch.from_arrays([pa.array(value[m].view(np.int64)), pa.array(value[low[m]].view(np.int64))], names=["u", "v"])
+# -- cells ----------------------------------------------------------------------
+
+
+def bounded_join(left: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """A join with a written table, which is broadcast up to BROADCAST_ROWS rows and shuffled beyond."""
+    return left.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, key, how)
+
+
+def in_cells(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows with ``shard`` and ``key`` dealt by cell: cell, side (0: in the tree, 1: asks it, 2: both), and their other columns.
+
+    sizes: shard, n, weight.  A shard of one part is one cell; of p parts, every two
+    parts and every part with itself are one.
+    """
+    parts = F.greatest(F.ceil(F.col("n") / PART_ROWS), F.ceil(F.col("weight") / PART_SHINGLES), F.lit(1)).cast("int")
+    large = written(sizes.select("shard", parts.alias("parts")).filter("parts > 1"), "large")
+    marked = bounded_join(rows, large, "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.pmod(F.xxhash64("key", F.lit(7)), F.col("parts")).cast("int")
+    dealt = marked.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cell = F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other"))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    return dealt.withColumn("cell", cell).withColumn("side", side.cast("int")).drop("own", "other", "parts")
+
+
+def by_cell(rows: DataFrame) -> DataFrame:
+    return rows.repartition("cell").sortWithinPartitions("cell")
 
+
+def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of one cell after the other; rows come sorted by cell."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
         if not len(batch):
             continue
-        s = np.concatenate([held_s, batch.column("shard").to_numpy()])
-        v = np.concatenate([held_v, batch.column("fp").to_numpy().view(np.uint64)])
-        last = int(np.searchsorted(s, s[-1]))  # the last shard may go on in the next batch
-        if last:
-            yield from linked(s[:last], v[:last])
-        held_s, held_v = s[last:], v[last:]
-    if len(held_s):
-        yield from linked(held_s, held_v)
+        cell = batch.column("cell").to_numpy()
+        cut = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])).tolist()
+        for a, b in zip(cut, [*cut[1:], len(batch)]):
+            if held and held[-1].column("cell")[0].as_py() != cell[a]:
+                yield pa.concat_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def found_in(cell: pa.RecordBatch, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(place, place) of rows of a cell whose fingerprints are within the radius; each pair at least once."""
+    fp, side = cell.column("fp").to_numpy().view(np.uint64), cell.column("side").to_numpy()
+    inside, asks = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    values, group = np.unique(fp[inside], return_inverse=True)
+    values_order = np.argsort(group, kind="stable")
+    begin = np.searchsorted(group[values_order], np.arange(len(values) + 1))
+    for q, v, _ in BKTree(values).search(fp[asks], radius):
+        n = begin[v + 1] - begin[v]
+        at = np.arange(int(n.sum())) + np.repeat(begin[v] - (np.cumsum(n) - n), n)
+        a, b = asks[np.repeat(q, n)], inside[values_order[at]]
+        m = (a < b) if len(inside) == len(fp) else a != b
+        yield a[m], b[m]
+
+
+def link_cells(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """(u, v): each fingerprint of a cell with the smallest of its part of the cell."""
+    for cell in cells(batches):
+        fp, low = cell.column("fp").to_numpy(), np.arange(len(cell))
+        a: list[np.ndarray] = []
+        b: list[np.ndarray] = []
+        for x, y in found_in(cell, radius) if len(cell) > 1 else ():
+            a.append(x)
+            b.append(y)
+            if sum(map(len, a)) > HELD_LINKS:
+                low, a, b = spanning(len(low), np.concatenate([*a, np.arange(len(low))]), np.concatenate([*b, low])), [], []
+        if a:
+            low = spanning(len(low), np.concatenate([*a, np.arange(len(low))]), np.concatenate([*b, low]))
+        m = low != np.arange(len(low))
+        if m.any():
+            yield pa.RecordBatch.from_arrays([pa.array(fp[m]), pa.array(fp[low[m]])], names=["u", "v"])
+
+
+# -- components -------------------------------------------------------------------
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -189,22 +241,111 @@ def components(links: DataFrame) -> DataFrame:
             low = written(low.join(to, "p", "left").select("u", F.coalesce("q", "p").alias("p")), "low")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, rows: bool = False) -> DataFrame:
-    """One row per document: doc_id, fingerprint, component_id; radius is below the number of blocks.
+def shard_keys(count: int, radius: int) -> list[Column]:
+    """One key for each choice of m of ``radius + m`` blocks of the column ``fp``; as wide as count asks."""
+    wanted = max(0, (max(1, count) // SHARD).bit_length())
+    m = 1
+    while m < 4 and m * (BITS // (radius + m)) < wanted:
+        m += 1
+    blocks = radius + m
+    edges = [BITS * j // blocks for j in range(blocks + 1)]
+    keys = []
+    for k, chosen in enumerate(combinations(range(blocks), m)):
+        key, left = F.lit(0).cast("bigint"), wanted
+        for j, i in enumerate(chosen):  # an even share of the wanted bits from each block
+            take = min(edges[i + 1] - edges[i], -(-left // (m - j)))
+            key = F.shiftleft(key, take).bitwiseOR(F.shiftrightunsigned("fp", edges[i]).bitwiseAND(F.lit((1 << take) - 1)))
+            left -= take
+        keys.append(F.xxhash64(F.lit(k), key))
+    return keys
 
-    With ``rows`` also row_hash (xxhash64 of the text) and root (a number of the component).
-    """
-    if radius >= BLOCKS:
-        raise ValueError("radius must be below the number of blocks")
-    source = id_and_text(docs).select("doc_id", F.xxhash64("text").alias("row_hash"), F.col("text").cast("binary").alias("text"))
+
+def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
+    """One row per document: doc_id, fingerprint, component_id."""
+    source = id_and_text(docs).select("doc_id", F.lit(0).cast("bigint").alias("row_hash"), F.col("text").cast("binary").alias("text"))
     table = written(source.mapInArrow(lambda it: fingerprints(it, width), "doc_id bigint, row_hash bigint, fp bigint"), "fingerprints")
     distinct = written(table.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    mask = (1 << BLOCK_BITS) - 1
-    shards = F.array(*(F.shiftrightunsigned("fp", BLOCK_BITS * j).bitwiseAND(F.lit(mask)) + F.lit(j << BLOCK_BITS) for j in range(BLOCKS)))
-    dealt = distinct.select("fp", F.explode(shards).alias("shard")).repartition("shard").sortWithinPartitions("shard")
-    low = components(dealt.select(F.col("shard").cast("bigint").alias("shard"), "fp").mapInArrow(lambda it: link_shards(it, radius), "u bigint, v bigint"))
+    rows = distinct.select(F.col("fp").alias("key"), "fp", F.explode(F.array(*shard_keys(distinct.count(), radius))).alias("shard"))
+    sizes = rows.groupBy("shard").agg(F.count("*").alias("n")).withColumn("weight", F.lit(0))
+    links = by_cell(in_cells(rows, sizes).select("cell", "side", "fp")).mapInArrow(lambda it: link_cells(it, radius), "u bigint, v bigint")
+    low = components(links)
     rooted = written(distinct.join(low.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "rep", F.coalesce("p", "fp").alias("root")), "rooted")
     smallest = written(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "smallest")
-    named = written(rooted.join(smallest, "root").select("fp", "root", "component_id"), "named")
-    more = ["row_hash", "root"] if rows else []
-    return table.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *more)
+    named = written(rooted.join(smallest, "root").select("fp", "component_id"), "named")
+    return table.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# -- the shingle rule -----------------------------------------------------------------
+
+
+def undecided(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """The rows of cells that a pair of different roots within the radius needs."""
+    for cell in cells(batches):
+        root, needed = cell.column("root").to_numpy(), np.zeros(len(cell), bool)
+        if len(cell) > 1 and (root != root[0]).any():
+            for a, b in found_in(cell, radius):
+                apart = root[a] != root[b]
+                needed[a[apart]] = True
+                needed[b[apart]] = True
+            yield cell.filter(pa.array(needed))
+
+
+def similar_in_cells(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """(u, v) of a spanning set of the pairs whose sets are similar enough; rows: cell, side, sk, fp, root, hashes."""
+    for cell in cells(batches):
+        sk, root = cell.column("sk").to_numpy(), cell.column("root").to_numpy()
+        sets = [np.frombuffer(h.as_buffer(), np.uint64) for h in cell.column("hashes")]
+        size = np.array([len(s) for s in sets])
+        partners = np.zeros((len(cell), len(cell)), bool)
+        for a, b in found_in(cell, radius):
+            partners[a, b] = partners[b, a] = True
+        low = np.unique(root, return_inverse=True)[1]
+        us: list[int] = []
+        vs: list[int] = []
+        for i in range(len(cell)):
+            near = np.flatnonzero(partners[i] & (low != low[i]))
+            near = near[shingles.sizes_allow(size[near], size[i])]
+            for k in range(0, len(near), 256):
+                at = near[k : k + 256]
+                at = at[low[at] != low[i]]
+                like = at[shingles.similar_to(sets[i], [sets[j] for j in at])] if len(at) else at
+                for j in like.tolist():
+                    us.append(int(sk[i]))
+                    vs.append(int(sk[j]))
+                    low[low == low[j]] = low[i]
+        if us:
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+
+def similar_documents(docs: DataFrame, width: int = 5) -> DataFrame:
+    """One row per document: doc_id, row_hash (xxhash64 of the text), root (a number of the component), component_id."""
+    source = id_and_text(docs).select("doc_id", F.xxhash64("text").alias("row_hash"), F.col("text").cast("binary").alias("text"))
+    schema = "doc_id bigint, row_hash bigint, sk bigint, n int, fp bigint, bands array<bigint>"
+    table = written(source.mapInArrow(lambda it: shingles.signed_sets(it, width), schema), "sets")
+    distinct = written(table.groupBy("sk").agg(F.min("doc_id").alias("rep"), F.min("row_hash").alias("row_hash"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "distinct")
+
+    def linked(first: int, end: int, rooted: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        banded = distinct.select("sk", F.explode(F.slice("bands", first + 1, end - first)).alias("band"), F.col("n").alias("w"))
+        # bands of the same sets are one shard
+        groups = banded.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.xxhash64("sk").bitwiseAND(F.lit((1 << 55) - 1)).cast("decimal(20,0)")).alias("sum"), F.sum("w").alias("weight")).filter("n > 1")
+        groups = groups.select("band", F.xxhash64("n", "sum").alias("shard"), "n", "weight")
+        groups = written(groups, "groups")
+        members = written(banded.join(groups.select("band", "shard"), "band").select("shard", "sk").distinct(), "members")
+        rows = rooted(members.join(distinct.select("sk", "fp"), "sk")).withColumn("key", F.col("sk"))
+        dealt = in_cells(rows, groups.drop("band").dropDuplicates(["shard"])).select("cell", "side", "sk", "fp", "root")
+        needed = written(by_cell(dealt).mapInArrow(lambda it: undecided(it, WIDE), "cell bigint, side int, sk bigint, fp bigint, root bigint"), "undecided")
+        wanted = needed.select("sk").distinct().join(distinct.select("sk", "row_hash"), "sk")
+        texts = bounded_join(source.select("row_hash", "text"), written(wanted, "wanted"), "row_hash")
+        own = written(texts.mapInArrow(lambda it: shingles.sets_of(it, width), "sk bigint, hashes binary").dropDuplicates(["sk"]), "shingles")
+        return written(by_cell(needed.join(own, "sk").select("cell", "side", "sk", "fp", "root", "hashes")).mapInArrow(lambda it: similar_in_cells(it, WIDE), "u bigint, v bigint"), "links")
+
+    links = linked(0, FIRST, lambda rows: rows.withColumn("root", F.col("sk")))
+    low = components(links)
+    more = linked(FIRST, shingles.BANDS, lambda rows: rows.join(low.select(F.col("u").alias("sk"), "p"), "sk", "left").withColumn("root", F.coalesce("p", "sk")))
+    if not more.isEmpty():
+        low = components(links.unionByName(more))
+    named = distinct.join(low.select(F.col("u").alias("sk"), "p"), "sk", "left").select("sk", "rep", F.coalesce("p", "sk").alias("root"))
+    named = written(named, "rooted")
+    smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = named.drop("rep").join(smallest, "root")
+    return table.select("doc_id", "row_hash", "sk").join(named, "sk").select("doc_id", "row_hash", "root", "component_id")

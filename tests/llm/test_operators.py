@@ -149,16 +149,69 @@ def test_simhash(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
-def test_bk_tree_finds_all_within_the_radius():
+def near_values():
     r = np.random.default_rng(2)
     base = r.integers(0, 1 << 63, 40, dtype=np.uint64)
-    values = np.unique(np.concatenate([base, *(base ^ (np.uint64(1) << r.integers(0, 60, 40).astype(np.uint64)) for _ in range(60))]))
-    tree, found = simhash.BKTree(values, np.arange(len(values))), set()
-    for a, b in tree.search(values, np.arange(len(values)), 3):
+    return np.unique(np.concatenate([base, *(base ^ (np.uint64(1) << r.integers(0, 60, 40).astype(np.uint64)) for _ in range(60))]))
+
+
+@pytest.mark.parametrize("radius", [0, 3, 26])
+def test_bk_tree_finds_all_within_the_radius(radius):
+    values, found = near_values(), set()
+    tree = simhash.BKTree(values)
+    for a, b, d in tree.search(values, radius):
+        assert (np.bitwise_count(values[a] ^ values[b]) == d).all()
         found |= set(zip(a.tolist(), b.tolist()))
     far = np.bitwise_count(values[:, None] ^ values[None, :])
-    assert found == set(zip(*(x.tolist() for x in np.nonzero(far <= 3))))
-    assert not tree.leaf
+    assert found == set(zip(*(x.tolist() for x in np.nonzero(far <= radius))))
+
+
+def test_bk_tree_follows_only_edges_within_the_radius():
+    values = np.unique(np.random.default_rng(5).integers(0, 1 << 63, 4000, dtype=np.uint64))
+    tree = simhash.BKTree(values)
+    parent, key = tree.edges // 65, tree.edges % 65
+    assert (np.bitwise_count(values[parent] ^ values[tree.children]) == key).all()
+    assert len(set(tree.edges.tolist())) == len(values) - 1 == len(set(tree.children.tolist())) and tree.depth > 4
+    list(tree.search(values, 3))
+    assert tree.visited < 0.1 * len(values) ** 2
+
+
+def test_shard_keys_meet_every_near_pair(spark):
+    r = np.random.default_rng(6)
+    rows = []
+    for i in range(400):
+        x = int(r.integers(0, 1 << 63))
+        y = x
+        for b in r.choice(64, 3, replace=False):
+            y ^= 1 << int(b)
+        rows.append((i, x - (1 << 64) if x >> 63 else x, y - (1 << 64) if y >> 63 else y))
+    from pyspark.sql import functions as F
+
+    for count in (1, 10**6, 10**9, 10**11):
+        keys = lambda c: F.array(*(k for k in simhash.shard_keys(count, 3)))
+        table = spark.createDataFrame(rows, "i int, x bigint, y bigint")
+        a = table.select("i", F.col("x").alias("fp")).select("i", keys("fp").alias("a"))
+        b = table.select("i", F.col("y").alias("fp")).select("i", keys("fp").alias("b"))
+        assert a.join(b, "i").filter(~F.arrays_overlap("a", "b")).count() == 0
+
+
+def test_large_shards_are_split_without_losing_links(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PART_ROWS", 40)
+    texts = [" ".join(f"w{(i * 7 + j) % 50 if j != i % 30 else 'x'}" for j in range(120)) for i in range(300)] + [f"alone {i}" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    prints = [fingerprint(t) for t in texts]
+    low = plain_components(len(texts), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 3)
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()} == dict(enumerate(low))
+
+
+def plain_components(n, near):
+    low = list(range(n))
+    for i in range(n):
+        for j in range(i):
+            if low[i] != low[j] and near(i, j):
+                a, b = sorted((low[i], low[j]))
+                low = [a if x == b else x for x in low]
+    return low
 
 
 def test_components_of_a_long_chain(spark):
