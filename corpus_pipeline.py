@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rasterlake.llm import exact_dedup, packing, quality, secrets, shingles
+from rasterlake.llm import exact_dedup, packing, quality, secrets, simhash
 from rasterlake.llm.common import documents, written
 from rasterlake.llm.wordbpe import vocabulary_path
 
@@ -53,7 +53,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = written(shingles.near_copies(docs, 5), "decisions")
+    rows = written(simhash.similar_documents(docs, 5), "decisions")
     smallest = rows.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     one = smallest.groupBy("root").agg(F.min(F.struct("doc_id", "row_hash")).alias("k"))
     return surviving(docs, rows, one.select("k.doc_id", "k.row_hash"))
