@@ -39,6 +39,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def gathered(df: DataFrame, name: str) -> DataFrame:
+    """``written`` for rows that come from a shuffle: at most four files a core, or one for sixteen shuffle partitions if that is more.
+
+    Partitions of one task follow each other, so its memory is that of one; a table of few rows is not hundreds of files.
+    """
+    spark = df.sparkSession
+    most = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16)
+    return written(df.coalesce(most), name)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -23,8 +23,9 @@ tree of one part searched by the other, so no task holds more than two parts.  T
 are not broadcast: together they hold every document's fingerprint, which must not
 pass through the driver (figures in the README); each is built in the task that holds
 its cell.  A task reports a spanning set of links, never all pairs.  Components come
-from hooking and pointer jumping over those links, each step a table in the shared
-folder; only counts reach the driver.
+from one task while the links, which are counted, are few, and beyond that from
+hooking and pointer jumping, each step a table in the shared folder; only counts
+reach the driver.
 
 Edge cases.  Null and empty texts, and texts of white space: fingerprint zero and the
 empty set, linked like any other.  Fewer words than a shingle: the whole sequence is
@@ -45,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import id_and_text, written
+from .common import gathered, id_and_text, written
 from .shingles import majority, shingle_hashes
 
 BITS = 64
@@ -58,6 +59,8 @@ WIDE = 26
 FIRST = 4
 #: Rows up to which a list of large shards or wanted texts is broadcast (16 bytes a row); beyond, it is joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Links that one task joins (16 bytes each).
+ONE_TASK_LINKS = 1_000_000
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
@@ -157,7 +160,7 @@ def in_cells(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     parts and every part with itself are one.
     """
     parts = F.greatest(F.ceil(F.col("n") / PART_ROWS), F.ceil(F.col("weight") / PART_SHINGLES), F.lit(1)).cast("int")
-    large = written(sizes.select("shard", parts.alias("parts")).filter("parts > 1"), "large")
+    large = gathered(sizes.select("shard", parts.alias("parts")).filter("parts > 1"), "large")
     marked = bounded_join(rows, large, "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.xxhash64("key", F.lit(7)), F.col("parts")).cast("int")
     dealt = marked.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -223,22 +226,39 @@ def link_cells(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Re
 # -- components -------------------------------------------------------------------
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(u, p): for every end of a link (u, v) the smallest end that links reach."""
-    links = written(links, "links")
+def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, p): every end of the links of one task with the smallest end that they reach."""
+    parts = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches]
+    if not any(len(u) for u, _ in parts):
+        return
+    u, v = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    ends, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    low = spanning(len(ends), at[: len(u)], at[len(u) :])
+    yield pa.RecordBatch.from_arrays([pa.array(ends), pa.array(ends[low])], names=["u", "p"])
+
+
+def components(links: DataFrame, one_task: int = ONE_TASK_LINKS) -> DataFrame:
+    """(u, p): for every end of a link (u, v) the smallest end that links reach.
+
+    Up to ``one_task`` links, which are counted, one task joins them; beyond, rounds of
+    hooking and pointer jumping do.
+    """
+    links = gathered(links, "links")
+    if links.count() <= one_task:
+        return written(links.coalesce(1).mapInArrow(united, "u bigint, p bigint"), "low")
     ends = links.select("u", F.col("v").alias("o")).unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("o")))
-    low = written(ends.groupBy("u").agg(F.min("o").alias("o")).select("u", F.least("u", "o").alias("p")), "low")
+    low = gathered(ends.groupBy("u").agg(F.min("o").alias("o")).select("u", F.least("u", "o").alias("p")), "low")
     while True:
         at_u = low.select("u", F.col("p").alias("pu"))
         at_v = low.select(F.col("u").alias("v"), F.col("p").alias("pv"))
         apart = links.join(at_u, "u").join(at_v, "v").filter("pu <> pv")
-        hook = written(apart.groupBy(F.greatest("pu", "pv").alias("u")).agg(F.min(F.least("pu", "pv")).alias("h")), "hook")
+        hook = gathered(apart.groupBy(F.greatest("pu", "pv").alias("u")).agg(F.min(F.least("pu", "pv")).alias("h")), "hook")
         if hook.isEmpty():
             return low
-        low = written(low.join(hook, "u", "left").select("u", F.least("p", F.coalesce("h", "p")).alias("p")), "low")
+        low = gathered(low.join(hook, "u", "left").select("u", F.least("p", F.coalesce("h", "p")).alias("p")), "low")
         for _ in range(2):
             to = low.select(F.col("u").alias("p"), F.col("p").alias("q"))
-            low = written(low.join(to, "p", "left").select("u", F.coalesce("q", "p").alias("p")), "low")
+            low = gathered(low.join(to, "p", "left").select("u", F.coalesce("q", "p").alias("p")), "low")
 
 
 def shard_keys(count: int, radius: int) -> list[Column]:
@@ -264,14 +284,14 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFra
     """One row per document: doc_id, fingerprint, component_id."""
     source = id_and_text(docs).select("doc_id", F.lit(0).cast("bigint").alias("row_hash"), F.col("text").cast("binary").alias("text"))
     table = written(source.mapInArrow(lambda it: fingerprints(it, width), "doc_id bigint, row_hash bigint, fp bigint"), "fingerprints")
-    distinct = written(table.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
+    distinct = gathered(table.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     rows = distinct.select(F.col("fp").alias("key"), "fp", F.explode(F.array(*shard_keys(distinct.count(), radius))).alias("shard"))
     sizes = rows.groupBy("shard").agg(F.count("*").alias("n")).withColumn("weight", F.lit(0))
     links = by_cell(in_cells(rows, sizes).select("cell", "side", "fp")).mapInArrow(lambda it: link_cells(it, radius), "u bigint, v bigint")
     low = components(links)
-    rooted = written(distinct.join(low.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "rep", F.coalesce("p", "fp").alias("root")), "rooted")
-    smallest = written(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "smallest")
-    named = written(rooted.join(smallest, "root").select("fp", "component_id"), "named")
+    rooted = distinct.join(low.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "rep", F.coalesce("p", "fp").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = rooted.join(smallest, "root").select("fp", "component_id")
     return table.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -321,31 +341,32 @@ def similar_documents(docs: DataFrame, width: int = 5) -> DataFrame:
     """One row per document: doc_id, row_hash (xxhash64 of the text), root (a number of the component), component_id."""
     source = id_and_text(docs).select("doc_id", F.xxhash64("text").alias("row_hash"), F.col("text").cast("binary").alias("text"))
     schema = "doc_id bigint, row_hash bigint, sk bigint, n int, fp bigint, bands array<bigint>"
-    table = written(source.mapInArrow(lambda it: shingles.signed_sets(it, width), schema), "sets")
-    distinct = written(table.groupBy("sk").agg(F.min("doc_id").alias("rep"), F.min("row_hash").alias("row_hash"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "distinct")
+    same = [F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "fp", "bands"))]
+    texts_of = source.mapInArrow(lambda it: shingles.signed_sets(it, width), schema)
+    table = gathered(texts_of.groupBy("sk", "row_hash").agg(*same), "sets")
+    same[0] = F.min("rep").alias("rep")
+    distinct = gathered(table.groupBy("sk").agg(F.min("row_hash").alias("row_hash"), *same), "distinct")
 
     def linked(first: int, end: int, rooted: Callable[[DataFrame], DataFrame]) -> DataFrame:
         banded = distinct.select("sk", F.explode(F.slice("bands", first + 1, end - first)).alias("band"), F.col("n").alias("w"))
         # bands of the same sets are one shard
         groups = banded.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.xxhash64("sk").bitwiseAND(F.lit((1 << 55) - 1)).cast("decimal(20,0)")).alias("sum"), F.sum("w").alias("weight")).filter("n > 1")
         groups = groups.select("band", F.xxhash64("n", "sum").alias("shard"), "n", "weight")
-        groups = written(groups, "groups")
-        members = written(banded.join(groups.select("band", "shard"), "band").select("shard", "sk").distinct(), "members")
+        groups = gathered(groups, "groups")
+        members = banded.join(groups.select("band", "shard"), "band").select("shard", "sk").distinct()
         rows = rooted(members.join(distinct.select("sk", "fp"), "sk")).withColumn("key", F.col("sk"))
         dealt = in_cells(rows, groups.drop("band").dropDuplicates(["shard"])).select("cell", "side", "sk", "fp", "root")
-        needed = written(by_cell(dealt).mapInArrow(lambda it: undecided(it, WIDE), "cell bigint, side int, sk bigint, fp bigint, root bigint"), "undecided")
+        needed = gathered(by_cell(dealt).mapInArrow(lambda it: undecided(it, WIDE), "cell bigint, side int, sk bigint, fp bigint, root bigint"), "undecided")
         wanted = needed.select("sk").distinct().join(distinct.select("sk", "row_hash"), "sk")
-        texts = bounded_join(source.select("row_hash", "text"), written(wanted, "wanted"), "row_hash")
-        own = written(texts.mapInArrow(lambda it: shingles.sets_of(it, width), "sk bigint, hashes binary").dropDuplicates(["sk"]), "shingles")
-        return written(by_cell(needed.join(own, "sk").select("cell", "side", "sk", "fp", "root", "hashes")).mapInArrow(lambda it: similar_in_cells(it, WIDE), "u bigint, v bigint"), "links")
+        texts = bounded_join(source.select("row_hash", "text"), gathered(wanted, "wanted"), "row_hash")
+        own = gathered(texts.mapInArrow(lambda it: shingles.sets_of(it, width), "sk bigint, hashes binary").dropDuplicates(["sk"]), "shingles")
+        return by_cell(needed.join(own, "sk").select("cell", "side", "sk", "fp", "root", "hashes")).mapInArrow(lambda it: similar_in_cells(it, WIDE), "u bigint, v bigint")
 
-    links = linked(0, FIRST, lambda rows: rows.withColumn("root", F.col("sk")))
-    low = components(links)
+    low = components(linked(0, FIRST, lambda rows: rows.withColumn("root", F.col("sk"))))
     more = linked(FIRST, shingles.BANDS, lambda rows: rows.join(low.select(F.col("u").alias("sk"), "p"), "sk", "left").withColumn("root", F.coalesce("p", "sk")))
-    if not more.isEmpty():
-        low = components(links.unionByName(more))
+    low = components(more.unionByName(low.select("u", F.col("p").alias("v"))))
     named = distinct.join(low.select(F.col("u").alias("sk"), "p"), "sk", "left").select("sk", "rep", F.coalesce("p", "sk").alias("root"))
-    named = written(named, "rooted")
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = named.drop("rep").join(smallest, "root")
-    return table.select("doc_id", "row_hash", "sk").join(named, "sk").select("doc_id", "row_hash", "root", "component_id")
+    by_text = table.select("row_hash", "sk").join(named, "sk")
+    return source.select("doc_id", "row_hash").join(by_text, "row_hash").select("doc_id", "row_hash", "root", "component_id")
