@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rasterlake.llm import exact_dedup, packing, quality, secrets, simhash
-from rasterlake.llm.common import documents, written
+from rasterlake.llm.common import documents, gathered, written
 from rasterlake.llm.wordbpe import vocabulary_path
 
 
@@ -33,7 +33,7 @@ def surviving(docs: DataFrame, rows: DataFrame, kept: DataFrame) -> DataFrame:
     kept = kept.select(F.col("doc_id").alias("__kid"), F.col("row_hash").alias("__khash")).distinct()
     same = F.col("__id").eqNullSafe(F.col("__kid")) & (F.col("__hash") == F.col("__khash"))
     counted = rows.groupBy(*keys).agg(F.count("*").alias("__n")).join(kept, same, "left")
-    marked = written(counted.filter(F.col("__khash").isNull() | (F.col("__n") > 1)).select(*keys, F.col("__khash").isNotNull().alias("__thin")), "dropped")
+    marked = gathered(counted.filter(F.col("__khash").isNull() | (F.col("__n") > 1)).select(*keys, F.col("__khash").isNotNull().alias("__thin")), "dropped")
     at = docs["doc_id"].cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__hash"))
     rest = docs.join(marked, at, "left_anti")
     thin = marked.filter("__thin")
@@ -48,12 +48,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = written(exact_dedup.dedup(docs, "largest").select("doc_id", "row_hash", "kept"), "decisions")
+    rows = gathered(exact_dedup.dedup(docs, "largest").select("doc_id", "row_hash", "kept"), "decisions")
     return surviving(docs, rows, rows.filter("kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = written(simhash.similar_documents(docs, 5), "decisions")
+    rows = gathered(simhash.similar_documents(docs, 5), "decisions")
     smallest = rows.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     one = smallest.groupBy("root").agg(F.min(F.struct("doc_id", "row_hash")).alias("k"))
     return surviving(docs, rows, one.select("k.doc_id", "k.row_hash"))
