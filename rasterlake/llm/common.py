@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,12 +51,29 @@ def gathered(df: DataFrame, name: str) -> DataFrame:
     return written(df.coalesce(most), name)
 
 
+def trimmed(batches: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """A generator over batches that returns freed memory to the system at its end: Spark keeps workers for later tasks."""
+
+    @functools.wraps(batches)
+    def run(*args, **kwargs):
+        try:
+            yield from batches(*args, **kwargs)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not glibc: nothing to return
+                pass
+
+    return run
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 #: Bytes of one Arrow batch on its way to Python, where the session sets none; a longer row is a batch of its own.
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 2_000_000
 
 
 def bounded_batches(spark: SparkSession) -> None:

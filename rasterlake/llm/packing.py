@@ -11,8 +11,9 @@ in log(bins) steps.
 
 Edge cases.  Null and empty texts: one piece with the end id alone.  Very long
 texts: many full pieces, spread over the groups.  Repeated rows and equal ids:
-each row is packed as its own document.  Null ids: kept as null.  No rows: none.
-Other columns are not read.
+each row is packed as its own document.  Null ids: kept as null.  Ties in length
+are broken by doc_id, place and checksum.  No rows: none.  Other columns are not
+read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, written
+from .common import id_and_text, trimmed, written
 from .wordbpe import encoder
 
 #: Pieces of one packing group, on average.
@@ -34,6 +35,7 @@ _PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tok
 _PACKED = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens")])
 
 
+@trimmed
 def cut(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
     """Pieces of each document, with their checksums."""
     enc = encoder(tokenizer)

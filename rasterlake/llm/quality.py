@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, buffers, fold, id_and_text, slices, words
+from .common import bounded_batches, buffers, fold, id_and_text, slices, trimmed, words
 
 #: Most labelled documents that a fit reads.
 TRAIN_ROWS = 16_000
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 _MARKS = b"!*%&$#|.,;:?-\"'<>{}=/\\_()[]@+~"
 
 
@@ -144,6 +144,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
     return Trees(np.array(features), np.array(limits), np.array(leaves), none.base)
 
 
+@trimmed
 def _taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw = statistics(batch.column("text"))
@@ -170,6 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Trees:
     return fit(x[order], raw[order])
 
 
+@trimmed
 def _scored(batches: Iterator[pa.RecordBatch], trees: Trees, name: str = "score") -> Iterator[pa.RecordBatch]:
     for batch in batches:
         i = batch.schema.get_field_index("text")

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
+from .common import trimmed
+
 SEED = 42
 LEAST, MOST = 4, 5
 BANDS, ROWS = 32, 5
@@ -68,6 +70,7 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return h
 
 
+@trimmed
 def signed_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, row_hash, hash of the set, its size, its fingerprint, band keys; none for the empty set)."""
     for batch in batches:
@@ -104,6 +107,7 @@ def _in_steps(hashes: np.ndarray, sizes: np.ndarray, most: int = 50_000) -> np.n
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+@trimmed
 def sets_of(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, len(batch), SENT):

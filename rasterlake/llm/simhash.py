@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import gathered, id_and_text, written
+from .common import gathered, id_and_text, trimmed, written
 from .shingles import majority, shingle_hashes
 
 BITS = 64
@@ -69,6 +69,7 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     return int(majority(hashes, np.array([len(hashes)]))[0])
 
 
+@trimmed
 def fingerprints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hashes: list[int] = []
@@ -205,6 +206,7 @@ def found_in(cell: pa.RecordBatch, radius: int) -> Iterator[tuple[np.ndarray, np
         yield a[m], b[m]
 
 
+@trimmed
 def link_cells(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """(u, v): each fingerprint of a cell with the smallest of its part of the cell."""
     for cell in cells(batches):
@@ -226,6 +228,7 @@ def link_cells(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Re
 # -- components -------------------------------------------------------------------
 
 
+@trimmed
 def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(u, p): every end of the links of one task with the smallest end that they reach."""
     parts = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches]
@@ -298,6 +301,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFra
 # -- the shingle rule -----------------------------------------------------------------
 
 
+@trimmed
 def undecided(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """The rows of cells that a pair of different roots within the radius needs."""
     for cell in cells(batches):
@@ -310,6 +314,7 @@ def undecided(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Rec
             yield cell.filter(pa.array(needed))
 
 
+@trimmed
 def similar_in_cells(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """(u, v) of a spanning set of the pairs whose sets are similar enough; rows: cell, side, sk, fp, root, hashes."""
     for cell in cells(batches):
@@ -350,8 +355,8 @@ def similar_documents(docs: DataFrame, width: int = 5) -> DataFrame:
     def linked(first: int, end: int, rooted: Callable[[DataFrame], DataFrame]) -> DataFrame:
         banded = distinct.select("sk", F.explode(F.slice("bands", first + 1, end - first)).alias("band"), F.col("n").alias("w"))
         # bands of the same sets are one shard
-        groups = banded.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.xxhash64("sk").bitwiseAND(F.lit((1 << 55) - 1)).cast("decimal(20,0)")).alias("sum"), F.sum("w").alias("weight")).filter("n > 1")
-        groups = groups.select("band", F.xxhash64("n", "sum").alias("shard"), "n", "weight")
+        groups = banded.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("sk")).alias("mark"), F.sum("w").alias("weight")).filter("n > 1")
+        groups = groups.select("band", F.xxhash64("n", "mark").alias("shard"), "n", "weight")
         groups = gathered(groups, "groups")
         members = banded.join(groups.select("band", "shard"), "band").select("shard", "sk").distinct()
         rows = rooted(members.join(distinct.select("sk", "fp"), "sk")).withColumn("key", F.col("sk"))

@@ -24,10 +24,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Entries of each memo, about 30 MB; of the one for pieces two generations are kept.
-MEMO_UNITS = 200_000
+#: Entries of each memo, about 12 MB; of the one for pieces two generations are kept.
+MEMO_UNITS = 80_000
 #: Bytes of text turned into ids at once.
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 2_000_000
 #: A space beside other white space, for RE2.
 NO_CUT = r" [\s\p{Z}\x0b\x1c-\x1f\x85]|[\s\p{Z}\x0b\x1c-\x1f\x85] "
 
@@ -72,6 +72,7 @@ class UnitEncoder:
         symbols = _byte_symbols()
         special = {t["content"] for t in spec["added_tokens"]}
         self.special_marks = sorted(special)
+        self._hint = "<|" if all(m.startswith("<|") for m in special) else ""
         ranks: dict[bytes, int] = {}
         for token, i in spec["model"]["vocab"].items():
             if token in special:
@@ -90,6 +91,7 @@ class UnitEncoder:
             pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self._pieces = regex.compile(pattern).findall
         self._plain = regex.compile("[\x20-\x7e\n¡-¬®-ÿ]*").fullmatch
+        self.last_id = max(max(spec["model"]["vocab"].values()), max((t["id"] for t in spec["added_tokens"]), default=0))
         self._memo: dict[str, bytes] = {}
         self._pieces_new: dict[str, bytes] = {}
         self._pieces_old: dict[str, bytes] = {}
@@ -122,7 +124,7 @@ class UnitEncoder:
 
     def encode_unit(self, u: str) -> bytes:
         """Little-endian 32-bit ids of a text, by quick path where it is exact and else by the library."""
-        if not self._plain(u) or ("<|" in u and any(m in u for m in self.special_marks)):
+        if not self._plain(u) or (self._hint in u and any(m in u for m in self.special_marks)):
             return _ids(self.library.encode(u, add_special_tokens=False).ids)
         if self.words:
             u = u.lower()
