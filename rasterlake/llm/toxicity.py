@@ -1,28 +1,34 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over word and character inputs.
 
 A text is read as words (ASCII letters lower-cased).  Each word enters as a
-vector: an embedding of its hash, the mean embedding of its hashed byte
-4-grams, and for both the learned log-odds of the hash.  Windows of ``WINDOW``
-words overlap by half, so no phrase of up to half a window is ever cut by all
-windows that see it; every window of every text is scored and the document has
-the score of its worst window.  Forward and backward states of a window are
-pooled by attention.
-
-Training runs in numpy on the driver over at most ``TRAIN_ROWS`` labelled
-documents, chosen by a hash of doc_id: the hash tables start from smoothed
-log-odds of occurrence, and Adam then trains all weights on the worst window of
-each document.  The weights have a fixed size and go to the tasks with the
-function.
-
-Edge cases.  Null and empty texts are one empty window.  Labels that are null or
-of no document are left out; several labels of one document: their mean counts.
-Without training labels, or with one class only, the score is that class's share
-(0.5 if there is none).  Null doc_ids fall into fold 0.  Repeated rows get equal
-scores.  No rows: none.  Other columns are not read.
+vector: an embedding of its hash, the mean embedding of its hashed byte n-grams
+(all of four bytes, and the word's first four to seven bytes), and the log-odds of
+the hash and of the n-grams.  Windows of ``WINDOW`` words overlap by half, so no
+phrase of up to half a window is ever cut by all windows that see it.  Forward and
+backward states of a window are pooled by attention to a logit.  Every window of
+every text is scored, and a text's logit is a rising line in the sum of its
+windows' evidence (the softplus of their logits), so hints that are weak alone add up.
+
+Training runs in numpy in one task over at most ``TRAIN_ROWS`` labelled
+documents of at most ``TRAIN_BYTES`` together, chosen by a hash of doc_id.  The
+log-odds are counted once: smoothed log-odds of occurrence in texts of either
+class, where a training text sees those of the folds it is not in.  Adam trains
+everything else: both embedding tables, the recurrent, attention and output
+weights, and the line.  A step takes the ``TAUGHT`` windows of a text with the
+highest logits; the rest of its evidence is held at its value at the start of the
+epoch.  The weights have a fixed size and go to the tasks with the function.
+
+Edge cases.  Null and empty texts are one empty window.  Very long texts: all
+windows, in blocks.  Labels that are null or of no document are left out; several
+labels of one document: their mean counts.  Without training labels, or with one
+class only, the score is that class's share (0.5 if there is none).  Null doc_ids
+fall into fold 0.  Ties among windows go to the first.  Repeated rows get equal
+scores.  No rows: none.  Other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,14 +36,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, id_and_text, slices, words
+from .common import fold, id_and_text, slices, trimmed, words
 from .quality import labelled
 
-TRAIN_ROWS = 4_000
+TRAIN_ROWS, TRAIN_BYTES = 4_000, 32_000_000
 WINDOW, HOP = 24, 12
-TABLE, HIDDEN, EMBED, GRAM = 1 << 16, 6, 2, 4
+TABLE, HIDDEN, EMBED, GRAM = 1 << 16, 8, 4, 4
+#: Lengths of a framed word's beginnings (the space before it counts).
+HEADS = (5, 6, 7, 8)
+#: Windows of a text in one step, folds of the log-odds, occurrences that their smoothing adds, weight of a toxic text.
+TAUGHT, FOLDS, PRIOR, WEIGHT = 12, 4, 8.0, 4.0
 INPUT = 2 * EMBED + 3
-SLICE_BYTES, WINDOW_BLOCK = 6_000_000, 8192
+SLICE_BYTES, WINDOW_BLOCK = 2_000_000, 8192
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,7 +57,7 @@ def _spread(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(slot of each distinct word, slots of all byte 4-grams, ends of their runs by word); a word is framed by spaces."""
+    """(slot of each distinct word, slots of its byte n-grams, ends of their runs by word); a word is framed by spaces."""
     offsets = np.frombuffer(names.buffers()[1], np.int64)[names.offset : names.offset + len(names) + 1]
     raw = np.frombuffer(names.buffers()[2], np.uint8) if names.buffers()[2] is not None else np.zeros(0, np.uint8)
     size = np.diff(offsets)
@@ -57,7 +67,7 @@ def word_hashes(names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts = ends - size - 2
     place = np.arange(int(size.sum())) + np.repeat(starts + 1 - (np.cumsum(size) - size), size)
     framed[place] = raw[offsets[0] : offsets[-1]] if len(offsets) else raw
-    power = np.cumprod(np.full(int(size.max(initial=0)) + 1, 1_000_003, np.uint64))
+    power = np.cumprod(np.full(int(size.max(initial=0)) + 2, 1_000_003, np.uint64))
     within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
     value = (framed[place] + np.uint64(1)) * power[within]
     whole = np.add.reduceat(np.concatenate([value, np.zeros(1, np.uint64)]), np.minimum(np.cumsum(size) - size, len(value))) if len(size) else np.zeros(0, np.uint64)
@@ -66,9 +76,24 @@ def word_hashes(names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for k in range(1, GRAM):
         g[:-k] = g[:-k] + framed[k:] * np.uint64(257**k)
     count = np.maximum(size + 2 - GRAM + 1, 1)  # a word of one letter has one (shorter) gram
-    gends = np.cumsum(count)
-    at = np.arange(int(gends[-1]) if len(gends) else 0) + np.repeat(starts - (gends - count), count)
-    return _spread(whole), _spread(g[at]), gends
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((framed + np.uint64(1)) * power[_places(size + 2)] if len(framed) else framed)])
+    heads = sum((size + 1 >= n).astype(np.int64) for n in HEADS)
+    gends = np.cumsum(count + heads)
+    out = np.empty(int(gends[-1]) if len(gends) else 0, np.uint64)
+    begins = gends - count - heads
+    inner = _places(count)
+    out[np.repeat(begins, count) + inner] = g[np.repeat(starts, count) + inner]
+    at = begins + count
+    for n in HEADS:
+        long = np.flatnonzero(size + 1 >= n)
+        out[at[long]] = (total[starts[long] + n] - total[starts[long]]) * np.uint64(2 * n + 1)
+        at[long] += 1
+    return _spread(whole), _spread(out), gends
+
+
+def _places(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each run."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 def _means(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -92,7 +117,7 @@ class Network:
         w = {"word_odds": word_odds.astype(np.float32), "gram_odds": gram_odds.astype(np.float32), "word": n(TABLE, EMBED, by=0.05), "gram": n(TABLE, EMBED, by=0.05)}
         for d in "fb":
             w |= {f"x_{d}": n(INPUT, 3 * HIDDEN), f"h_{d}": n(HIDDEN, 3 * HIDDEN), f"b_{d}": np.zeros(3 * HIDDEN, np.float32)}
-        w |= {"att": n(2 * HIDDEN), "out": n(2 * HIDDEN), "bias": np.full(1, -1.0, np.float32)}
+        w |= {"att": n(2 * HIDDEN), "out": n(2 * HIDDEN), "bias": np.full(1, -1.0, np.float32), "line": np.array([1.0, -2.0], np.float32)}
         return cls(w)
 
     # -- inputs ----------------------------------------------------------
@@ -101,13 +126,9 @@ class Network:
         """Input vector of each distinct word; a last row of zeros stands for no word."""
         w, out = self.w, np.zeros((len(slots) + 1, INPUT), np.float32)
         if len(slots):
-            begins = np.concatenate([[0], ends[:-1]])
-            odds = w["gram_odds"][grams]
             out[:-1, :EMBED] = w["word"][slots]
             out[:-1, EMBED : 2 * EMBED] = _means(w["gram"][grams], ends)
-            out[:-1, 2 * EMBED] = w["word_odds"][slots]
-            out[:-1, 2 * EMBED + 1] = np.maximum.reduceat(odds, begins)
-            out[:-1, 2 * EMBED + 2] = _means(odds[:, None], ends)[:, 0]
+            out[:-1, 2 * EMBED :] = odds_of(w["word_odds"], w["gram_odds"], slots, grams, ends)
         return out
 
     # -- forward and back -------------------------------------------------
@@ -179,19 +200,34 @@ class Network:
 
     # -- whole texts ------------------------------------------------------
 
+    def logits(self, inputs: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.forward(inputs, windows[:, k : k + WINDOW_BLOCK]) for k in range(0, windows.shape[1], WINDOW_BLOCK)])
+
+    def of_evidence(self, evidence: np.ndarray) -> np.ndarray:
+        a, b = self.w["line"]
+        return self._sigmoid((a * evidence + b).astype(np.float64))
+
     def score(self, texts: pa.Array) -> np.ndarray:
-        """Probability of the worst window of each text."""
+        """Probability of each text."""
         out = np.zeros(len(texts))
         for first, part in slices(texts, SLICE_BYTES):
             codes, ends, names = words(part)
-            inputs = self.inputs(*word_hashes(names))
             w, doc = window_rows(codes, ends, len(names))
-            logits = np.concatenate([self.forward(inputs, w[:, k : k + WINDOW_BLOCK]) for k in range(0, w.shape[1], WINDOW_BLOCK)])
-            begins = np.searchsorted(doc, np.arange(len(part)))
-            out[first : first + len(part)] = self._sigmoid(np.maximum.reduceat(logits, begins).astype(np.float64))
+            evidence = _softplus(self.logits(self.inputs(*word_hashes(names)), w))
+            out[first : first + len(part)] = self.of_evidence(np.bincount(doc, evidence, len(part)))
         return out
 
 
+def odds_of(word: np.ndarray, gram: np.ndarray, slots: np.ndarray, grams: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(words, 3): log-odds of the word, the largest and the mean of its n-grams."""
+    odds = gram[grams]
+    return np.stack([word[slots], np.maximum.reduceat(odds, np.concatenate([[0], ends[:-1]])), _means(odds[:, None], ends)[:, 0]], axis=1)
+
+
+def _softplus(x: np.ndarray) -> np.ndarray:
+    return np.logaddexp(0, x.astype(np.float64))
+
+
 def window_rows(codes: np.ndarray, ends: np.ndarray, blank: int) -> tuple[np.ndarray, np.ndarray]:
     """(time, windows) of word codes, blank where a text has ended, and each window's document; one at least for each."""
     begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
@@ -206,91 +242,136 @@ def window_rows(codes: np.ndarray, ends: np.ndarray, blank: int) -> tuple[np.nda
 
 
 class _Odds:
-    """Smoothed log-odds of a slot's occurrence in texts of either class; nothing is claimed of slots seen in one text."""
+    """Smoothed log-odds of a slot's occurrence in texts of either class, as a text of each fold may see them."""
 
-    def __init__(self):
-        self.seen = {True: np.zeros(TABLE, np.int64), False: np.zeros(TABLE, np.int64)}
+    def __init__(self, y: np.ndarray, fold_of: np.ndarray):
+        self.toxic, self.fold_of = y > 0.5, fold_of
+        self.seen = np.zeros((FOLDS, 2, TABLE), np.int64)
 
-    def add(self, slots: np.ndarray, doc: np.ndarray, y: np.ndarray) -> None:
+    def add(self, slots: np.ndarray, doc: np.ndarray) -> None:
         pair = np.unique(doc * TABLE + slots)
-        slot, toxic = pair % TABLE, y[pair // TABLE] > 0.5
-        for k in self.seen:
-            self.seen[k] += np.bincount(slot[toxic == k], minlength=TABLE)
+        slot, d = pair % TABLE, pair // TABLE
+        place = (self.fold_of[d] * 2 + self.toxic[d]) * TABLE + slot
+        self.seen += np.bincount(place, minlength=self.seen.size).reshape(self.seen.shape)
 
-    def table(self, y: np.ndarray) -> np.ndarray:
-        pos, neg = self.seen[True], self.seen[False]
-        rate = (pos + 0.5) / (label_count(y, True) + 1) / ((neg + 0.5) / (label_count(y, False) + 1))
-        return np.where(pos + neg >= 2, np.clip(np.log(rate), -2, 5), 0)
+    def table(self, without: int | None = None) -> np.ndarray:
+        used = [f for f in range(FOLDS) if f != without]
+        neg, pos = self.seen[used].sum(axis=0)
+        texts = np.isin(self.fold_of, used)
+        share = min(max(self.toxic[texts].mean() if texts.any() else 0.5, 0.01), 0.99)
+        return (np.log((pos + PRIOR * share) / (neg + PRIOR * (1 - share))) - np.log(share / (1 - share))).astype(np.float32)
 
 
-def label_count(y: np.ndarray, toxic: bool) -> int:
-    return int((y > 0.5).sum()) if toxic else int((y <= 0.5).sum())
-
-
-def train_on(texts: list[str], y: np.ndarray, epochs: int = 3, batch: int = 64, rate: float = 0.02) -> Network:
-    codes, ends, names = words(pa.array(texts, pa.large_string()))
+def train_on(texts: pa.Array, y: np.ndarray, epochs: int = 5, batch: int = 64, rate: float = 0.02) -> Network:
+    codes, ends, names = words(texts.cast(pa.large_string()))
     slots, grams, gends = word_hashes(names)
-    begins = np.concatenate([[0], ends[:-1]])
-    by_word, by_gram = _Odds(), _Odds()
-    gbegins, gsize = np.concatenate([[0], gends[:-1]]), np.diff(np.concatenate([[0], gends]))
-    for k in range(0, len(y), 256):  # a few texts at a time: each has thousands of grams
-        at = slice(int(begins[k]), int(ends[min(k + 256, len(y)) - 1]))
-        doc = np.repeat(np.arange(k, min(k + 256, len(y))), (ends - begins)[k : k + 256])
-        by_word.add(slots[codes[at]], doc, y)
-        pair = np.unique(doc * len(names) + codes[at])  # each word of a text once
-        w = pair % len(names)
-        n = gsize[w]
-        place = np.arange(int(n.sum())) + np.repeat(gbegins[w] - (np.cumsum(n) - n), n)
-        by_gram.add(grams[place], np.repeat(pair // len(names), n), y)
-    net = Network.start(by_word.table(y), by_gram.table(y))
+    begins, gsize = np.concatenate([[0], ends[:-1]]), np.diff(np.concatenate([[0], gends]))
+    gbegins, r = gends - gsize, np.random.default_rng(11)
+
+    def grams_of(w: np.ndarray) -> np.ndarray:
+        """Places in grams of the n-grams of some words."""
+        return np.repeat(gbegins[w], gsize[w]) + _places(gsize[w])
+
+    fold_of = r.integers(0, FOLDS, len(y))
+    by_word, by_gram = _Odds(y, fold_of), _Odds(y, fold_of)
+    for k in range(0, len(y), 64):  # a few texts at a time: each has thousands of n-grams
+        last = min(k + 64, len(y))
+        doc = np.repeat(np.arange(k, last), (ends - begins)[k:last])
+        w = np.unique(doc * max(1, len(names)) + codes[int(begins[k]) : int(ends[last - 1])])  # each word of a text once
+        doc, w = np.divmod(w, max(1, len(names)))
+        by_word.add(slots[w], doc)
+        by_gram.add(grams[grams_of(w)], np.repeat(doc, gsize[w]))
+    net = Network.start(by_word.table(), by_gram.table())
+    seen = np.zeros((FOLDS, len(slots) + 1, 3), np.float32)  # log-odds of each word for texts of each fold
+    for f in range(FOLDS if len(slots) else 0):
+        seen[f, :-1] = odds_of(by_word.table(f), by_gram.table(f), slots, grams, gends)
     windows, wdoc = window_rows(codes, ends, len(names))
     first = np.searchsorted(wdoc, np.arange(len(y) + 1))
-    inputs = net.inputs(slots, grams, gends)
+    weight = np.where(y > 0.5, WEIGHT, 1.0)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.w.items()}
-    step, r = 0, np.random.default_rng(11)
+    step = 0
     for epoch in range(epochs):
-        worst = np.empty(len(y), np.int64)
-        logits = np.concatenate([net.forward(inputs, windows[:, k : k + WINDOW_BLOCK]) for k in range(0, windows.shape[1], WINDOW_BLOCK)])
-        odds = inputs[windows, 2 * EMBED].max(axis=0) + inputs[windows, 2 * EMBED + 1].max(axis=0)
-        ranked = odds if epoch == 0 else logits  # before any training the log-odds say which window matters
-        for i in range(len(y)):
-            worst[i] = first[i] + int(np.argmax(ranked[first[i] : first[i + 1]]))
+        inputs, logits = net.inputs(slots, grams, gends), np.empty(windows.shape[1], np.float32)
+        for f in range(FOLDS):
+            own = np.flatnonzero(fold_of[wdoc] == f)
+            inputs[:, 2 * EMBED :] = seen[f]
+            for k in range(0, len(own), WINDOW_BLOCK):
+                at = own[k : k + WINDOW_BLOCK]
+                logits[at] = net.forward(inputs, windows[:, at])
+                if epoch == 0:  # before any training the log-odds say which windows matter
+                    logits[at] = inputs[windows[:, at], 2 * EMBED + 1].max(axis=0)
+        by_rank = np.lexsort((-logits, wdoc))
+        rank = np.arange(len(wdoc)) - first[wdoc]
+        taught, rest = by_rank[rank < TAUGHT], by_rank[rank >= TAUGHT]
+        held = np.bincount(wdoc[rest], _softplus(logits[rest]) if epoch else None, len(y)) * (1.0 if epoch else 0.01)
+        tfirst = np.searchsorted(wdoc[taught], np.arange(len(y) + 1))
         for rows in np.array_split(r.permutation(len(y)), max(1, len(y) // batch)):
-            own = windows[:, worst[rows]]
+            n = (tfirst[1:] - tfirst[:-1])[rows]
+            at = taught[np.repeat(tfirst[rows], n) + _places(n)]
+            doc = np.repeat(np.arange(len(rows)), n)
+            used, local = np.unique(fold_of[rows][doc][None, :] * (len(slots) + 1) + windows[:, at], return_inverse=True)
+            f, w = np.divmod(used, len(slots) + 1)
+            real = np.flatnonzero(w < len(slots))
+            place = grams_of(w[real])
+            x = np.zeros((len(used), INPUT), np.float32)
+            x[:, 2 * EMBED :] = seen[f, w]
+            if len(real):
+                x[real, :EMBED] = net.w["word"][slots[w[real]]]
+                x[real, EMBED : 2 * EMBED] = _means(net.w["gram"][grams[place]], np.cumsum(gsize[w[real]]))
             keep: dict = {}
-            used, local = np.unique(own, return_inverse=True)
-            x, local = inputs[used], local.reshape(own.shape)
-            g = (net._sigmoid(net.forward(x, local, keep)) - y[rows]).astype(np.float32) / len(rows)
-            grads, gin = net.backward(x, local, keep, g)
+            z = net.forward(x, local.reshape(len(windows), -1), keep)
+            evidence = held[rows] + np.bincount(doc, _softplus(z), len(rows))
+            error = (net.of_evidence(evidence) - y[rows]) * weight[rows] / len(rows)
+            g = (error * net.w["line"][0])[doc] * net._sigmoid(z)
+            grads, gin = net.backward(x, local.reshape(len(windows), -1), keep, g.astype(np.float32))
+            grads["line"] = np.array([(error * evidence).sum(), error.sum()], np.float32)
+            grads["word"] = _summed(slots[w[real]], gin[real, :EMBED])
+            grads["gram"] = _summed(grams[place], np.repeat(gin[real, EMBED : 2 * EMBED] / gsize[w[real], None], gsize[w[real]], axis=0))
             step += 1
-            real = used < len(slots)
-            table = np.zeros((TABLE, EMBED), np.float32)
-            np.add.at(table, slots[used[real]], gin[real, :EMBED])
-            grads["word"] = table
             for k, v in grads.items():
                 m, s = moments[k]
                 m += 0.1 * (v - m)
                 s += 0.01 * (v * v - s)
                 net.w[k] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-            inputs[used[real], :EMBED] = net.w["word"][slots[used[real]]]
-        inputs = net.inputs(slots, grams, gends)
+            net.w["line"][0] = max(net.w["line"][0], 0.05)  # more evidence never lowers a score
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS):
+def _summed(slots: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Rows added up by slot."""
+    return np.stack([np.bincount(slots, rows[:, j], TABLE) for j in range(EMBED)], axis=1).astype(np.float32)
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES):
     """A function from texts to scores."""
-    rows = labelled(docs, labels, "toxic", 5, 0, most, "toxic").toPandas().sort_values(["doc_id", "text"], ignore_index=True)
-    y = rows["label"].to_numpy(np.float32)
-    if len(y) == 0 or y.min() == y.max():
-        share = float(y.mean()) if len(y) else 0.5
-        return lambda texts: np.full(len(texts), share)
-    return train_on(rows["text"].tolist(), y).score
+    rows = labelled(docs, labels, "toxic", 5, 0, most, "toxic")
+    sizes = rows.select("doc_id", F.octet_length("text").alias("n"), F.xxhash64("doc_id", "text").alias("h")).toPandas().sort_values(["h", "doc_id"])
+    if sizes["n"].sum() > most_bytes:  # then as many as fit, in the order of a hash
+        fits = sizes[sizes["n"].cumsum() <= most_bytes]
+        rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(fits[["doc_id"]].drop_duplicates())), "doc_id")
+    share = rows.agg(F.count("*").alias("n"), F.avg("label").alias("p"), F.countDistinct("label").alias("kinds")).first()
+    if share["kinds"] < 2:
+        p = share["p"] if share["n"] else 0.5
+        return lambda texts: np.full(len(texts), float(p))
+    trained = rows.repartition(1).mapInArrow(_trained, "weights binary").first()["weights"]
+    with np.load(io.BytesIO(trained)) as w:
+        return Network({k: w[k] for k in w.files}).score
+
+
+@trimmed
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The weights from all training rows, which are bounded, in one task."""
+    table = pa.Table.from_batches(list(batches)).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    out = io.BytesIO()
+    np.savez(out, **train_on(table.column("text").combine_chunks(), table.column("label").to_numpy().astype(np.float32)).w)
+    yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["weights"])
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     scorer = train(docs, labels)
 
+    @trimmed
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scorer(batch.column("text")))], names=["doc_id", "score"])
