@@ -22,7 +22,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digest(secrets.scan(documents(spark, sf_dir), "doc_id", "text")[1])
+    return secrets.digest(secrets.scan(documents(spark, sf_dir), "doc_id", "text"))
 
 
 def op3_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,15 @@
 """Secret scans with an incremental blob ledger, in DataFrame and SQL functions only.
 
 Every version of every path is addressed by the SHA-256 of its content.  The
-ledger has one row per (blob, rule version) that was scanned: the spans found in
-it.  A scan takes the versions, drops the blobs that the ledger has under the
-current rule version, scans one copy of each of the rest, appends to the ledger,
-and joins the findings back to all paths and versions that hold the blob.  Copies
-are scanned once, and a later run scans only what is new; a new rule version
-scans all again.
+ledger, a folder of Parquet files, has one row per (blob, rule version) that was
+scanned: the spans found in it.  A scan takes the versions, drops the blobs that the
+stored ledger has under the rule version, scans one copy of each of the rest, appends
+to the ledger, reads it back, and joins the findings to all paths and versions that
+hold the blob.  Copies are scanned once, and a later scan with the same ledger scans
+only what is new; a new rule version scans all again.
+
+Blobs that occur once, nearly all of them, are scanned where they stand; only the
+texts of repeated blobs are shuffled to keep one of each.
 
 Rules find leftmost non-overlapping matches.  Spans are (kind, start, end) in
 code points, end exclusive.  The base kinds are assign, access and hex; pem and
@@ -14,16 +17,18 @@ token add headers of private keys and well-known token prefixes.
 
 Edge cases.  Null content counts as empty, which has no spans.  Repeated
 (path, version) rows each get their findings.  A blob with thousands of paths is
-one row until the last join, whose hot keys adaptive execution splits.  Very long
-texts are scanned whole.  No rows: none.  Other columns are not read.
+one row until the last join, whose hot keys adaptive execution splits.  Spans that
+start together go in the order of the rules.  Very long texts are scanned whole.  No
+rows: none.  Other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import gathered, new_folder
 
 #: Kind, pattern (for Java and RE2 alike), group that has a least length, that length.
 RULES = [
@@ -66,27 +71,62 @@ def spans_of(text: Column) -> Column:
     return F.array_sort(F.concat(*(_rule_spans(text, i, k, p, n) for i, (k, p, n) in enumerate(RULES))))
 
 
-def addressed(versions: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+#: Addresses (32 bytes) and spans (about 60) together up to which a list is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_BLOBS = 200_000
+_LEDGER = f"blob_id binary, rule_version int, spans {_SPANS}"
+
+
+class Ledger:
+    """Scanned blobs in a folder that driver and executors share."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def rows(self) -> DataFrame:
+        """blob_id, rule_version, spans of everything scanned so far."""
+        try:
+            return self.spark.read.schema(_LEDGER).parquet(self.folder)
+        except AnalysisException:  # nothing was ever scanned
+            return self.spark.createDataFrame([], _LEDGER)
+
+    def append(self, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(self.folder)
+
+
+def addressed(versions: DataFrame, path: str = "path", content: str = "content", version: str | None = None) -> DataFrame:
+    """path, version (null if there is no such column), blob_id, content of every row."""
     text = F.coalesce(F.col(content), F.lit(""))
-    return versions.select(F.col(path).alias("path"), F.sha2(text, 256).alias("blob_id"), text.alias("content"))
+    number = F.col(version).cast("string") if version else F.lit(None).cast("string")
+    return versions.select(F.col(path).alias("path"), number.alias("version"), F.unhex(F.sha2(text, 256)).alias("blob_id"), text.alias("content"))
+
+
+def _few(blobs: DataFrame, name: str, weight: Column | None = None) -> DataFrame:
+    """A written list of addresses, marked for broadcast up to BROADCAST_BLOBS; weight: what a row counts for."""
+    table = gathered(blobs, name)
+    size = table.agg(F.coalesce(F.sum(F.lit(1) if weight is None else weight), F.lit(0))).first()[0]
+    return F.broadcast(table) if size <= BROADCAST_BLOBS else table
 
 
 def scan_unseen(blobs: DataFrame, ledger: DataFrame | None, rule_version: int = RULE_VERSION) -> DataFrame:
     """Ledger rows (blob_id, rule_version, spans) of blobs that the ledger has not under this rule version."""
     if ledger is not None:
-        blobs = blobs.join(ledger.filter(F.col("rule_version") == rule_version).select("blob_id"), "blob_id", "left_anti")
-    once = blobs.groupBy("blob_id").agg(F.first("content").alias("content"))
-    return once.select("blob_id", F.lit(rule_version).alias("rule_version"), spans_of(F.col("content")).alias("spans"))
+        seen = ledger.filter(F.col("rule_version") == rule_version).select("blob_id").distinct()
+        blobs = blobs.join(_few(seen.join(blobs.select("blob_id").distinct(), "blob_id"), "seen"), "blob_id", "left_anti")
+    repeated = _few(blobs.groupBy("blob_id").agg(F.count("*").alias("n")).filter("n > 1").select("blob_id"), "repeated")
+    alone = blobs.select("blob_id", "content").join(repeated, "blob_id", "left_anti")
+    one = blobs.join(repeated, "blob_id").groupBy("blob_id").agg(F.first("content").alias("content"))
+    return alone.unionByName(one).select("blob_id", F.lit(rule_version).alias("rule_version"), spans_of(F.col("content")).alias("spans"))
 
 
-def scan(versions: DataFrame, path: str = "path", content: str = "content", ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(ledger with the new rows, findings: path, blob_id, spans of every version row)."""
-    blobs = addressed(versions, path, content)
-    fresh = written(scan_unseen(blobs, ledger), "ledger")
-    now = fresh if ledger is None else ledger.unionByName(fresh)
-    found = now.filter((F.col("rule_version") == RULE_VERSION) & (F.size("spans") > 0)).select("blob_id", "spans")
-    findings = blobs.select("path", "blob_id").join(found, "blob_id", "left")
-    return now, findings.withColumn("spans", F.coalesce("spans", F.array().cast(_SPANS)))
+def scan(versions: DataFrame, path: str = "path", content: str = "content", ledger: Ledger | None = None, version: str | None = None, rule_version: int = RULE_VERSION) -> DataFrame:
+    """path, version, blob_id, spans of every row; what was scanned is in the ledger (one of its own if none is given)."""
+    spark = versions.sparkSession
+    ledger = ledger or Ledger(spark, new_folder(spark, "ledger"))
+    blobs = addressed(versions, path, content, version)
+    ledger.append(scan_unseen(blobs, ledger.rows(), rule_version))
+    found = ledger.rows().filter((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select("blob_id", "spans").dropDuplicates(["blob_id"])
+    findings = blobs.select("path", "version", "blob_id").join(found, "blob_id", "left")
+    return findings.select("path", "version", "blob_id", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
 
 
 def _joined(spans: Column) -> Column:
@@ -118,9 +158,11 @@ def redacted(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The same rows and columns with secrets masked; n_chars, where there is one, follows the text."""
-    keyed = docs.withColumn("__blob", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    fresh = written(scan_unseen(addressed(docs, id_col, text_col), None), "ledger")
-    found = fresh.filter(F.size("spans") > 0).select(F.col("blob_id").alias("__blob"), F.col("spans").alias("__spans"))
+    spark = docs.sparkSession
+    ledger = Ledger(spark, new_folder(spark, "ledger"))
+    keyed = docs.withColumn("__blob", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
+    ledger.append(scan_unseen(addressed(docs, id_col, text_col), None))
+    found = _few(ledger.rows().filter(F.size("spans") > 0).select(F.col("blob_id").alias("__blob"), F.col("spans").alias("__spans")), "found", F.size("__spans") + 1)
     out = keyed.join(found, "__blob", "left").withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(redacted(F.col(text_col), F.col("__spans"))))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast("bigint")))
