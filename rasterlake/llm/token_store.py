@@ -14,12 +14,15 @@ task writes the same file again.
 
 Edge cases.  Null and empty texts: the end id alone.  Null doc_ids: before all
 others, kept as null.  Equal doc_ids and repeated rows: next to each other, each
-its own document.  Very long texts: a file of their own if need be.  No rows:
-no files, no result rows.  Other columns are not read.
+its own document.  Very long texts: a file of their own if need be.  Ties in
+doc_id go by a hash of the text.  No rows: no files, no result rows.  Other columns
+are not read, so their names cannot clash.  An id that does not fit the planes is an
+error, never cut.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -32,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, new_folder, written
+from .common import id_and_text, new_folder, trimmed, written
 from .wordbpe import encoder
 
 MAGIC = b"WMX1"
@@ -49,6 +52,8 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, values: np.ndarray, bits: int) -> WaveletMatrix:
+        if len(values) and not 0 <= int(values.min()) <= int(values.max()) < 1 << bits:
+            raise ValueError(f"an id does not fit {bits} bits")
         v, n = values.astype(np.uint16 if bits <= 16 else np.uint32), len(values)
         planes, zeros, ranks = [], [], []
         for b in range(bits - 1, -1, -1):
@@ -157,13 +162,21 @@ def read_file(content: bytes) -> tuple[int, int, list[int | None], np.ndarray, W
     return shard, number, [int(d) if k else None for d, k in zip(own, known)], sizes, WaveletMatrix(n, bits, planes, zeros, ranks)
 
 
+def _store(folder: str):
+    """(file system, path) of a folder that driver and tasks reach; pyarrow's name for S3 is taken where Hadoop has another."""
+    from pyarrow import fs
+
+    try:
+        return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", folder))
+    except pa.ArrowInvalid as e:
+        raise ValueError(f"token files cannot be written to {folder}: {e}") from e
+
+
 class _Shard:
     """Files of one shard: documents are added in order, files go out when full."""
 
     def __init__(self, folder: str, number: int, bits: int, file_tokens: int):
-        from pyarrow import fs
-
-        self.store, self.root = fs.FileSystem.from_uri(folder)
+        self.store, self.root = _store(folder)
         self.shard, self.bits, self.most = number, bits, file_tokens
         self.files: list[tuple[int, int, int, int]] = []
         self.docs: list[int | None] = []
@@ -190,6 +203,7 @@ class _Shard:
         self.docs, self.ids, self.held = [], [], 0
 
 
+@trimmed
 def _write_files(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_id: int, bits: int, file_tokens: int) -> Iterator[pa.RecordBatch]:
     """A partition of documents in order of doc_id in, its files written; one row for each file."""
     shard, enc = _Shard(folder, TaskContext.get().partitionId(), bits, file_tokens), encoder(tokenizer)
@@ -203,6 +217,7 @@ def _write_files(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str,
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*shard.files)], names=["shard", "number", "docs", "tokens"])
 
 
+@trimmed
 def _read_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document of each file: place before it in the file, number of ids, checksum."""
     for batch in batches:
@@ -217,15 +232,18 @@ def _read_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, bits: int = 16, shard_docs: int = SHARD_DOCS, file_tokens: int = FILE_TOKENS) -> DataFrame:
-    """Writes the files; one row for each: shard, number, docs, tokens, base (ids in all files before it)."""
-    from pyarrow import fs
+def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, bits: int | None = None, shard_docs: int = SHARD_DOCS, file_tokens: int = FILE_TOKENS) -> DataFrame:
+    """Writes the files; one row for each: shard, number, docs, tokens, base (ids in all files before it).
 
+    bits: planes of a matrix; as many as the vocabulary and the end id need if not given.
+    """
     rows = id_and_text(docs)
+    bits = bits or max(1, max(encoder(tokenizer).last_id, end_id).bit_length())
     shards = max(1, -(-rows.count() // shard_docs))
-    store, root = fs.FileSystem.from_uri(folder)
+    store, root = _store(folder)
     store.create_dir(root, recursive=True)
-    dealt = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]  # many rows with one id, or none, are many ranges
+    dealt = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     written_files = dealt.mapInArrow(lambda it: _write_files(it, folder, tokenizer, end_id, bits, file_tokens), "shard bigint, number bigint, docs bigint, tokens bigint")
     files = written(written_files, "files")
     # running totals in two steps, so that no window holds the files of more than about a thousand shards
