@@ -40,13 +40,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, id_and_text, slices, words, written
+from .common import fold, id_and_text, slices, trimmed, words, written
 
 CLASSES, MEMBERS, PAIRS = 16, 64, 2048
 BUCKETS = CLASSES * MEMBERS
 #: Buckets of one word each, the end's included; the rest are shared.
 OWN = 512
-FREQUENT, ROUNDS, SLICE_BYTES, STEP_TOKENS = 50_000, 2, 6_000_000, 16_384
+FREQUENT, ROUNDS, SLICE_BYTES, STEP_TOKENS = 50_000, 2, 2_000_000, 16_384
+#: Longest word of the list of frequent words, which goes to the driver and the tasks.
+WORD_BYTES = 64
 START = BUCKETS  # stands before the first word
 _ROW = "doc_id bigint, uid bigint, held_out boolean, n_tokens bigint, freq_log double, freq_known bigint, buckets binary, rare array<struct<word:string,tf:bigint>>"
 
@@ -86,6 +88,7 @@ class Vocabulary:
         return out
 
 
+@trimmed
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, count) of each run of texts; the end is the empty word."""
     for batch in batches:
@@ -97,6 +100,7 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.concat_arrays([found, pa.array([""], pa.string())]), pa.array(np.append(n[full], len(ends)))], names=["word", "c"])
 
 
+@trimmed
 def sequences(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
     """One row per text: bucket sequence, what its frequent words add, and its other words with their counts."""
     logs = np.log10(vocabulary.counts + 1.0)
@@ -281,6 +285,7 @@ def _classes(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _BLOCK = "block bigint, weight double, content binary"
 
 
+@trimmed
 def pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros((BUCKETS + 1) * BUCKETS, np.float32)
     for batch in batches:
@@ -337,6 +342,7 @@ def train(table: DataFrame) -> Model:
 
 
 def _updater(model: Model, rate: float):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, tokens = Model(model.of_class, model.member, {k: v.copy() for k, v in model.w.items()}), 0
         for batch in batches:
@@ -354,6 +360,7 @@ def _updater(model: Model, rate: float):
 def _scorer(model: Model, less: np.ndarray):
     """less: by bucket, log10 of what divides (count + 1) of a word within its bucket."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "uid", "held_out", "n_tokens", "freq_log", "freq_known"]
         for batch in batches:
@@ -367,6 +374,7 @@ def _scorer(model: Model, less: np.ndarray):
     return run
 
 
+@trimmed
 def _bucket_totals(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names = batch.column("word").cast(pa.large_string())
@@ -385,7 +393,7 @@ def frequent_words(counts: DataFrame, most: int = FREQUENT) -> list:
     grades that fit are taken.  So the driver gets a few thousand grades and then
     the words themselves, and no task sends a top list of its own.
     """
-    graded = counts.filter((F.col("word") != "") & (F.col("c") > 0)).withColumn("grade", F.floor(F.log2("c") * 64).cast("int"))
+    graded = counts.filter((F.col("word") != "") & (F.col("c") > 0) & (F.octet_length("word") <= WORD_BYTES)).withColumn("grade", F.floor(F.log2("c") * 64).cast("int"))
     cut, taken = None, 0
     for r in sorted(graded.groupBy("grade").count().collect(), key=lambda r: -r["grade"]):
         taken += r["count"]
