@@ -95,6 +95,42 @@ def test_chunks_are_reused_and_cut_by_content():
     assert c.encoded - before <= 3 and c.repairs > 0
 
 
+def test_joins_widen_until_they_agree(tmp_path, monkeypatch):
+    """A vocabulary with a token over spaces: chunks cut inside it hold other ids than the text has there."""
+    import json
+
+    import pyarrow as pa
+
+    with open(WORDS) as f:
+        spec = json.load(f)
+    token = dict(spec["added_tokens"][-1], content="alpha beta gamma", id=max(spec["model"]["vocab"].values()) + 7, special=False, normalized=False)
+    spec["added_tokens"].append(token)
+    path = str(tmp_path / "spaced.json")
+    with open(path, "w") as f:
+        json.dump(spec, f)
+    monkeypatch.setattr(chunk_bpe, "CUT_BITS", 4)
+    monkeypatch.setattr(chunk_bpe, "LEAST_CHUNK", 24)
+    r = np.random.default_rng(2)
+    names = ["alpha beta gamma", "alpha", "beta gamma", "one", "twoandahalf", "three,", "<|endoftext|>", "gammas", "x"]
+    texts = [" ".join(r.choice(names, r.integers(1, 120))) for _ in range(300)]
+    c, library = chunk_bpe.ChunkEncoder(path), Tokenizer.from_file(path)
+    got = c.encode(pa.array(texts))
+    assert [x.tolist() for x in got] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert c.apart == 3 and c.widened > 0 and c.repairs > c.widened
+
+
+def test_joins_without_widening(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(chunk_bpe, "CUT_BITS", 4)
+    r = np.random.default_rng(8)
+    alphabet = list("abcdefgh ABC.,!'é  \n0129") + ["the ", "ing ", " and", "'s", "🙂", "́", " ", "<|endoftext|>", "<|endof"]
+    texts = ["".join(r.choice(alphabet, r.integers(1, 400))) for _ in range(300)]
+    c = chunk_bpe.ChunkEncoder(WORDS)
+    assert [x.tolist() for x in c.encode(pa.array(texts))] == [e.ids for e in Tokenizer.from_file(WORDS).encode_batch(texts, add_special_tokens=False)]
+    assert c.repairs > 500 and c.wholes < 300
+
+
 def test_exact_dedup(docs, none):
     got = exact_dedup.dedup(docs).collect()
     groups = {}
@@ -149,6 +185,31 @@ def test_simhash(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def run_of(r, n):
+    """A run of random rows with few distinct digests, and its rows."""
+    names = r.integers(0, 40, n)
+    digests = np.array([hashlib.sha256(bytes([x])).digest() for x in names], "S32")
+    rows = [digests, r.integers(0, 9, n), r.permutation(n), np.ones(n, np.int64), names.astype(np.int64), names.astype(np.int64)]
+    return exact_dedup.Run.sorted(*rows), list(zip(names.tolist(), rows[1].tolist(), rows[2].tolist()))
+
+
+def test_runs_merge_as_their_rows():
+    r = np.random.default_rng(7)
+    for parts in ([0, 5], [30, 1, 200, 0, 17], [500] * 8):
+        runs, rows = zip(*(run_of(r, n) for n in parts))
+        got = exact_dedup.Run.merged(list(runs))
+        every = [x for part in rows for x in part]
+        want = {hashlib.sha256(bytes([x])).digest().rstrip(b"\0"): (max((i, k) for y, i, k in every if y == x), sum(y == x for y, *_ in every)) for x, *_ in every}
+        assert got.digests.tolist() == sorted(want)
+        assert [want[d] for d in got.digests.tolist()] == [((int(i), int(k)), int(c)) for i, k, c in zip(got.ids, got.rows, got.counts)]
+
+
+def test_merge_refuses_different_texts_with_one_digest():
+    a, b = (exact_dedup.Run.sorted(np.array([b"x" * 32], "S32"), *(np.array([v]) for v in (1, 1, 1, 3, m))) for m in (5, 6))
+    with pytest.raises(ValueError, match="share a digest"):
+        a.merge(b)
+
+
 def near_values():
     r = np.random.default_rng(2)
     base = r.integers(0, 1 << 63, 40, dtype=np.uint64)
@@ -235,18 +296,29 @@ def base_spans(text):
 
 
 def test_secrets(docs, none):
-    got = sorted((str(r.doc_id), r.base_sha256) for r in secrets.digest(secrets.scan(docs, "doc_id", "text")[1]).collect())
-    want = sorted((str(i), hashlib.sha256(base_spans(t).encode()).hexdigest()) for i, t, *_ in odd_rows() if "ſ" not in (t or ""))
-    assert [g for g in got if g[0] != str(ODD.index("ſ K"))] == want
-    assert secrets.digest(secrets.scan(none, "doc_id", "text")[1]).count() == 0
+    got = sorted((str(r.doc_id), r.base_sha256) for r in secrets.digest(secrets.scan(docs, "doc_id", "text")).collect())
+    assert got == sorted((str(i), hashlib.sha256(base_spans(t).encode()).hexdigest()) for i, t, *_ in odd_rows())
+    assert secrets.digest(secrets.scan(none, "doc_id", "text")).count() == 0
 
 
-def test_ledger_scans_only_unseen_blobs(docs):
-    ledger, _ = secrets.scan(docs, "doc_id", "text")
-    blobs = secrets.addressed(docs, "doc_id", "text")
-    assert ledger.count() == blobs.select("blob_id").distinct().count()
-    assert secrets.scan_unseen(blobs, ledger).count() == 0
-    assert secrets.scan_unseen(blobs, ledger, secrets.RULE_VERSION + 1).count() == ledger.count()
+def spans_by_path(findings):
+    return sorted((r.path, r.version, [(s.kind, s.start, s.end) for s in r.spans]) for r in findings.collect())
+
+
+def test_ledger_scans_only_unseen_blobs(spark, tmp_path):
+    first = [("a", "1", "token = abcdef1"), ("b", "1", "token = abcdef1"), ("c", "1", None), ("c", "1", None)]
+    second = [("a", "2", "token = abcdef1"), ("d", "1", "secret: abcdefgh x"), ("c", "2", ""), ("e", "1", "secret: abcdefgh x")]
+    table = lambda rows: spark.createDataFrame(rows, "path string, version string, content string")
+    ledger = secrets.Ledger(spark, f"file://{tmp_path}/ledger")
+    scan = lambda rows, **k: spans_by_path(secrets.scan(table(rows), ledger=ledger, version="version", **k))
+    assert scan(first) == [("a", "1", [("assign", 0, 15)]), ("b", "1", [("assign", 0, 15)]), ("c", "1", []), ("c", "1", [])]
+    assert ledger.rows().count() == 2
+    unseen = secrets.scan_unseen(secrets.addressed(table(second)), ledger.rows()).collect()
+    assert [[(s.kind, s.start, s.end) for s in r.spans] for r in unseen] == [[("assign", 0, 16)]]
+    assert scan(second) == [("a", "2", [("assign", 0, 15)]), ("c", "2", []), ("d", "1", [("assign", 0, 16)]), ("e", "1", [("assign", 0, 16)])]
+    assert ledger.rows().count() == 3
+    assert scan(second) == scan(second) and ledger.rows().count() == 3
+    assert scan(second, rule_version=secrets.RULE_VERSION + 1) == scan(second) and ledger.rows().count() == 6
 
 
 def test_redaction_masks_every_span(spark):
@@ -278,24 +350,97 @@ def test_quality_on_held_out_documents(spark, sf_dir):
     assert (got.predicted == got.quality).mean() > 0.95
 
 
-def test_toxicity_gradients():
-    r = np.random.default_rng(0)
+def small_network(r):
     net = toxicity.Network.start(r.standard_normal(toxicity.TABLE), r.standard_normal(toxicity.TABLE))
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
+    return net
+
+
+def test_toxicity_gradients():
+    r = np.random.default_rng(0)
+    net = small_network(r)
     x, w = r.standard_normal((7, toxicity.INPUT)), r.integers(0, 7, (5, 3))
     keep = {}
     net.forward(x, w, keep)
     g = r.standard_normal(3)
     grads, gin = net.backward(x, w, keep, g)
-    for name in ("h_f", "x_b", "att", "out", "b_f"):
-        at = tuple(0 for _ in net.w[name].shape)
-        old = net.w[name][at]
-        net.w[name][at] = old + 1e-4
+
+    def slope(table, at):
+        old = table[at]
+        table[at] = old + 1e-4
         up = (net.forward(x, w) * g).sum()
-        net.w[name][at] = old - 1e-4
+        table[at] = old - 1e-4
         down = (net.forward(x, w) * g).sum()
-        net.w[name][at] = old
-        assert abs((up - down) / 2e-4 - grads[name][at]) < 1e-2 * max(1, abs(grads[name][at]))
+        table[at] = old
+        return (up - down) / 2e-4
+
+    for name in ("h_f", "x_b", "att", "out", "b_f"):
+        at = tuple(0 for _ in net.w[name].shape)
+        assert abs(slope(net.w[name], at) - grads[name][at]) < 1e-2 * max(1, abs(grads[name][at]))
+    for at in ((2, 0), (5, toxicity.EMBED), (int(w[0, 0]), toxicity.INPUT - 1)):
+        assert abs(slope(x, at) - gin[at]) < 1e-2 * max(1, abs(gin[at]))
+
+
+def plain_gru(net, vectors):
+    """Logit of one window, a step and a unit at a time."""
+    from math import exp, tanh
+
+    h, w, sides = toxicity.HIDDEN, net.w, []
+    for d in "fb":
+        state, seen = [0.0] * h, {}
+        for t in range(len(vectors)) if d == "f" else reversed(range(len(vectors))):
+            x = [sum(vectors[t][i] * w[f"x_{d}"][i][j] for i in range(toxicity.INPUT)) + w[f"b_{d}"][j] for j in range(3 * h)]
+            gate = lambda j: 1 / (1 + exp(-(x[j] + sum(state[i] * w[f"h_{d}"][i][j] for i in range(h)))))  # noqa: B023, E731
+            z, r = [gate(j) for j in range(h)], [gate(h + j) for j in range(h)]
+            c = [tanh(x[2 * h + j] + sum(r[i] * state[i] * w[f"h_{d}"][i][2 * h + j] for i in range(h))) for j in range(h)]
+            state = [a + u * (b - a) for a, b, u in zip(state, c, z)]
+            seen[t] = state
+        sides.append(seen)
+    both = [sides[0][t] + sides[1][t] for t in range(len(vectors))]
+    a = [exp(sum(x * y for x, y in zip(s, w["att"]))) for s in both]
+    pooled = [sum(k * s[j] for k, s in zip(a, both)) / sum(a) for j in range(2 * h)]
+    return sum(x * y for x, y in zip(pooled, w["out"])) + w["bias"][0]
+
+
+def test_toxicity_equals_a_plain_network():
+    import math
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(12)
+    net = small_network(r)
+    texts = [None, "", "one", " ".join(f"w{i % 17}" for i in range(61)), "Einé ſtraße! " * 9]
+    got = net.score(pa.array(texts, pa.string()))
+    for text, score in zip(texts, got):
+        found = tokens(text)
+        evidence = 0.0
+        for start in range(0, max(1, len(found) - (toxicity.WINDOW - toxicity.HOP)), toxicity.HOP):
+            window = [w.decode() for w in found[start : start + toxicity.WINDOW]]
+            vectors = [net.inputs(*toxicity.word_hashes(pa.array([w], pa.large_string())))[0].tolist() for w in window]
+            vectors += [[0.0] * toxicity.INPUT] * (toxicity.WINDOW - len(vectors))
+            evidence += math.log1p(math.exp(plain_gru(net, vectors)))
+        assert abs(score - 1 / (1 + math.exp(-(net.w["line"][0] * evidence + net.w["line"][1])))) < 1e-5
+
+
+def test_word_beginnings_are_inputs():
+    import pyarrow as pa
+
+    _, grams, ends = toxicity.word_hashes(pa.array(["abcdefgh", "abcdefzz", "abc", ""], pa.large_string()))
+    a, b, c, d = (set(x.tolist()) for x in np.split(grams, ends[:-1]))
+    assert len(a & b) == 7  # " abc", "abcd", "bcde", "cdef" and the beginnings " abcd", " abcde", " abcdef"
+    assert len(c) == 2 and len(d) == 1
+
+
+def test_training_moves_every_weight():
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    texts = [" ".join(r.choice(["aa", "bb", "cc", "bad" if i % 2 else "dd"], 30)) for i in range(60)]
+    net = toxicity.train_on(pa.array(texts), np.arange(60) % 2.0, epochs=40)
+    start = toxicity.Network.start(net.w["word_odds"], net.w["gram_odds"])
+    assert all((net.w[k] != start.w[k]).any() for k in net.w if not k.endswith("odds"))
+    score = net.score(pa.array(["aa bad cc bad", "aa bb cc dd"]))
+    assert score[0] > 0.5 > score[1]
 
 
 def test_windows_cover_every_word():
@@ -313,7 +458,8 @@ def test_toxicity(docs, none, labels, spark, sf_dir):
     assert {r.score for r in toxicity.score(docs, labels.filter("false")).collect()} == {0.5}
     table = lambda n: spark.read.parquet(f"{sf_dir}/../sf0.1/{n}.parquet")
     seen = toxicity.score(table("documents"), table("labels")).join(table("labels"), "doc_id").filter("held_out").toPandas()
-    assert (seen.predicted == seen.toxic).mean() > 0.93
+    toxic, found = seen.toxic == 1, seen.predicted == 1
+    assert (toxic & found).sum() >= 0.88 * toxic.sum() and (toxic & found).sum() >= 0.88 * found.sum()
 
 
 def test_language_model_base(docs, none):
@@ -368,6 +514,9 @@ def test_wavelet_matrix():
     assert (shard, number, docs, sizes.tolist()) == (7, 2, [4, None], [2000, 3000]) and (wm.values() == v).all()
     assert all(wm.access(i) == v[i] for i in range(0, 5000, 131))
     assert all(wm.count(x, 100, 4000) == (v[100:4000] == x).sum() for x in range(0, 300, 37))
+    with pytest.raises(ValueError, match="bits"):
+        token_store.WaveletMatrix.build(np.array([3, 70_000]), 16)
+    assert (token_store.WaveletMatrix.build(np.array([3, 70_000]), 17).values() == [3, 70_000]).all()
     at = np.flatnonzero(v == 42)
     assert [wm.select(42, k) for k in range(len(at))] == at.tolist() and wm.select(42, len(at)) == -1
 
@@ -412,26 +561,45 @@ def test_first_fit_decreasing_is_first_fit():
     assert where == want
 
 
-def test_top_k(spark):
+def plain_top_k(rows, k=5):
+    """(query_id, rank, vec_id, score), each row a query of its own."""
+    whole = [(n, i, [int(np.floor(256 * float(x))) for x in v]) for n, (i, v) in enumerate(rows) if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for n, q, x in whole:
+        if q % 50 == 0:
+            scores = [(max(min(sum(a * b for a, b in zip(x, y)), 2**63 - 1), -(2**63)), i) for m, i, y in whole if m != n and len(y) == len(x)]
+            out += [(q, r + 1, i, s) for r, (s, i) in enumerate(sorted(scores, key=lambda t: (-t[0], t[1]))[:k])]
+    return sorted(out)
+
+
+def test_top_k(spark, monkeypatch):
     r = np.random.default_rng(9)
     rows = [(i, (r.standard_normal(8) * 3).tolist()) for i in range(400)]
     rows += [(400 + i, rows[7][1]) for i in range(20)]  # ties
-    rows += [(500, None), (501, [1.0] * 7 + [None]), (502, [float("nan")] * 8), (503, [float("inf")] + [0.0] * 7), (550, [1.0, 2.0]), (551, [3.0, 4.0]), (None, [0.0] * 8)]
+    rows += [(50, (r.standard_normal(8) * 3).tolist()), (50, rows[50][1]), rows[100], rows[7]]  # repeated ids and rows
+    rows += [(500, None), (501, [1.0] * 7 + [None]), (502, [float("nan")] * 8), (503, [float("inf")] + [0.0] * 7), (550, [1.0, 2.0]), (551, [3.0, 4.0]), (600, []), (None, [0.0] * 8)]
     frame = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id bigint, embedding array<double>, score int").repartition(6)
-    whole = {i: np.floor(256 * np.array(v)).astype(np.int64) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
-    want = []
-    for q in [i for i in whole if i % 50 == 0]:
-        best = sorted((-int(whole[q] @ x), i) for i, x in whole.items() if i != q and len(x) == len(whole[q]))[:5]
-        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert sorted(map(tuple, vector_search.top_k(frame).collect())) == sorted(want)
+    got = vector_search.top_k(frame)
+    assert sorted(map(tuple, got.collect())) == plain_top_k(rows)
+    monkeypatch.setattr(vector_search, "BLOCK_BYTES", 200)
+    assert sorted(map(tuple, vector_search.top_k(frame).collect())) == plain_top_k(rows)
     assert vector_search.top_k(frame.filter("false")).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rows = [(0, [1.0, 2.0]), (50, [3e10, 1.0]), (1, [3e10, -5.0]), (2, [1e17, 1.0]), (3, [-1e300, 2.0]), (4, [1.0, 1.0]), (100, [1e300, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert sorted(map(tuple, vector_search.top_k(frame).collect())) == plain_top_k(rows)
+
+
 def test_max_score_leaves_terms_out():
     r = np.random.default_rng(3)
-    v = np.floor(256 * r.standard_normal((3000, 16)) / np.arange(1, 17) ** 2).astype(np.int64)
+    v = np.floor(256 * r.standard_normal((3000, 16)) / np.arange(1, 17) ** 2)
     ids = np.arange(3000)
-    got = vector_search.max_score(v[50], 50, np.ascontiguousarray(v.T), ids, v.min(axis=0), v.max(axis=0), 5)
-    s = v @ v[50]
-    want = [(int(s[i]), int(i)) for i in np.lexsort((ids, -s)) if i != 50][:5]
-    assert got == want
+    block = vector_search.Block(v[:100], ids[:100], 5)
+    for a in range(0, 3000, 500):
+        block.search(ids[a : a + 500], ids[a : a + 500], v[a : a + 500])
+    for q in range(100):
+        s = v @ v[q]
+        assert block.best[q] == [(int(s[i]), int(i)) for i in np.lexsort((ids, -s)) if i != q][:5]
+    assert 0 < block.probed < 16 * block.left_out
