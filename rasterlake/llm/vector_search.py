@@ -8,8 +8,8 @@ cannot lift a vector to the query's threshold, and the essential rest.  The
 essential postings of a run of vectors are traversed; non-essential terms are
 probed from the largest bound down, only for vectors that can still reach the
 threshold with all bounds left.  The threshold is the k-th best score so far, and
-the comparison is "not below", so ties are never lost.  Queries without a
-non-essential term are traversed together, as one matrix product.
+the comparison is "not below", so ties are never lost.  Queries with few or no
+non-essential terms are traversed together, as one matrix product.
 
 Vectors are packed into shards of at most ``SHARD_BYTES`` once, in the shared
 folder.  Queries go out in blocks of at most ``BLOCK_BYTES``, which travel with the
@@ -41,7 +41,11 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, new_folder, trimmed, written
 
-SHARD_BYTES, BLOCK_BYTES, STEP_ROWS = 4_000_000, 4_000_000, 1024
+SHARD_BYTES, BLOCK_BYTES, STEP_ROWS, STEP_QUERIES = 4_000_000, 4_000_000, 4096, 512
+#: Share of the terms that must be non-essential for them to be probed apart; with fewer a query is traversed whole.
+APART = 0.25
+#: Non-essential terms probed at once.
+PROBED = 8
 _COLUMNS = ("ids", "uids", "vectors")
 _BLOB = "dims bigint, shard bigint, ids binary, uids binary, vectors binary"
 _BLOB_ARROW = pa.schema([("dims", pa.int64()), ("shard", pa.int64()), *((n, pa.binary()) for n in _COLUMNS)])
@@ -131,11 +135,14 @@ class Block:
             block = lists[:, a : a + STEP_ROWS]
             # bounds of order[:split] sum to less than what is needed above the base
             split = (below < (self.need - base)[:, None]).sum(axis=1)
-            whole = np.flatnonzero(split == 0)
-            scores = self.q[whole] @ block
-            for j in np.flatnonzero((scores >= self.need[whole, None]).any(axis=1)).tolist():
-                self._take(int(whole[j]), scores[j], np.arange(block.shape[1]), ids[a:], uids[a:])
-            for i in np.flatnonzero(split).tolist():
+            apart = split > APART * lists.shape[0]
+            together = np.flatnonzero(~apart)
+            for k in range(0, len(together), STEP_QUERIES):
+                own = together[k : k + STEP_QUERIES]
+                scores = self.q[own] @ block
+                for j in np.flatnonzero(scores.max(axis=1) >= self.need[own]).tolist():
+                    self._take(int(own[j]), scores[j], np.arange(block.shape[1]), ids[a:], uids[a:])
+            for i in np.flatnonzero(apart).tolist():
                 self._probe(i, int(split[i]), block, order[i], below[i], least[i], ids[a:], uids[a:])
 
     def _take(self, i: int, scores: np.ndarray, at: np.ndarray, ids: np.ndarray, uids: np.ndarray) -> None:
@@ -149,13 +156,15 @@ class Block:
         essential, q = order[split:], self.q[i]
         part = q[essential] @ block[essential] + least[order[:split]].sum()
         live = np.arange(block.shape[1])
-        for p in range(split - 1, -1, -1):
-            keep = part + below[p] >= self.need[i]
-            live, part = live[keep], part[keep]
-            self.probed += len(live)
+        for p in range(split, 0, -PROBED):  # the largest bounds first, a few terms at a time
+            keep = part + below[p - 1] >= self.need[i]
+            if np.count_nonzero(keep) < 0.8 * len(live):  # dropping rows costs a copy
+                live, part = live[keep], part[keep]
+            self.probed += len(live) * min(p, PROBED)
             if not len(live):
                 break
-            part = part + (q[order[p]] * block[order[p], live] - least[order[p]])
+            terms = order[max(0, p - PROBED) : p]
+            part = part + (q[terms] @ (block[terms] if len(live) == block.shape[1] else block[terms[:, None], live]) - least[terms].sum())
         self.left_out += block.shape[1] - len(live)
         if len(live):
             self._take(i, part, live, ids, uids)
