@@ -28,12 +28,32 @@ def blank(spark: SparkSession, image_id: int, width: int, height: int, argb: int
 
 
 def to_frames(px: DataFrame, width: int, height: int, *keys: str) -> DataFrame:
-    """One row per image with its colours in row-major order; gaps are transparent."""
+    """One row per image with its colours in row-major order, laid out in one pass.
+
+    Gaps are transparent, pixels outside are left out, and of several at one place the
+    one with the largest packed colour stays.
+    """
+    import numpy as np
+    import pyarrow as pa
+
     keys = keys or ("image_id",)
-    at = F.col("y") * width + F.col("x")
-    entries = px.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(at.alias("k"), pack(*Argb.of()).alias("v")))).alias("m"))
-    cells = F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0)))
-    return entries.select(*keys, F.lit(width).alias("width"), F.lit(height).alias("height"), cells.alias("argb"))
+    cell = F.struct((F.col("y") * width + F.col("x")).cast("int").alias("k"), pack(*Argb.of()).cast("int").alias("v"))
+    rows = px.groupBy(*keys).agg(F.collect_list(F.when(contains(F.col("x"), F.col("y"), width, height), cell)).alias("cells"))
+
+    def laid(batches):
+        for batch in batches:
+            cells = batch.column("cells")
+            ends = cells.offsets.to_numpy().astype(np.int64)
+            k, v = (cells.values.field(n).to_numpy() for n in "kv")
+            for i in range(len(batch)):
+                at, colors, out = k[ends[i] : ends[i + 1]], v[ends[i] : ends[i + 1]], np.zeros(width * height, np.int32)
+                order = np.lexsort((colors, at))
+                out[at[order]] = colors[order]
+                sizes = [pa.array([n], pa.int32()) for n in (width, height)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in keys), *sizes, pa.array([out], pa.list_(pa.int32()))], names=[*keys, "width", "height", "argb"])
+
+    kinds = dict(px.dtypes)
+    return rows.mapInArrow(laid, ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", width int, height int, argb array<int>")
 
 
 def to_pixels(frames: DataFrame, *keys: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import quantise
 from ..functions.color import Argb, idiv, pack, quick_luma, unsigned
 
 
@@ -50,7 +51,7 @@ def nearest_slot(colors: DataFrame, palette: DataFrame) -> DataFrame:
 
 
 def median_cut(histogram: DataFrame, capacity: int = 256) -> DataFrame:
-    """(image_id, slot, r, g, b): the widest bucket is split at its weighted median until there are enough."""
+    """(image_id, slot, r, g, b): see ``quantise.median_cut``; colours come in the order of their first pixels."""
     import numpy as np
     import pandas as pd
 
@@ -59,19 +60,7 @@ def median_cut(histogram: DataFrame, capacity: int = 256) -> DataFrame:
         rgb = rows["rgb"].to_numpy()
         colors = np.stack([rgb >> 16 & 255, rgb >> 8 & 255, rgb & 255], axis=1)
         weight = rows["n"].to_numpy()
-        buckets = [np.arange(len(rows))]
-        while len(buckets) < capacity:
-            spreads = [int((colors[b].max(axis=0) - colors[b].min(axis=0)).max()) if len(b) > 1 else -1 for b in buckets]
-            k = int(np.argmax(spreads))
-            if spreads[k] < 0:
-                break
-            b = buckets[k]
-            axis = int(np.argmax(colors[b].max(axis=0) - colors[b].min(axis=0)))
-            b = b[np.argsort(colors[b, axis], kind="stable")]
-            total = np.cumsum(weight[b])
-            at = min(max(1, int(np.searchsorted(total, total[-1] / 2)) + 1), len(b) - 1)
-            buckets[k : k + 1] = [b[:at], b[at:]]
-        means = [(colors[b] * weight[b, None]).sum(axis=0) // weight[b].sum() for b in buckets]
+        means = quantise.median_cut(colors.astype(np.int64), weight, capacity)
         return pd.DataFrame({"image_id": rows["image_id"].iloc[0], "slot": np.arange(len(means)), **{c: [int(m[i]) for m in means] for i, c in enumerate("rgb")}})
 
     return histogram.groupBy("image_id").applyInPandas(cut, "image_id bigint, slot int, r int, g int, b int")

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 
+from ..functions.quantise import median_cut
 from .model import DISPOSALS, DecodeError, EncodeError, Frame, Image, channels, packed
 
 
@@ -181,19 +182,7 @@ def shared_palette(flat: list[np.ndarray], slot: int | None) -> np.ndarray:
     rgb, n = rgb[order], n[order]
     colors = np.stack([rgb >> 16, rgb >> 8 & 255, rgb & 255], axis=1).astype(np.int64)
     if len(rgb) > room:
-        buckets = [np.arange(len(rgb))]
-        while len(buckets) < room:
-            spread = [int((colors[b].max(axis=0) - colors[b].min(axis=0)).max()) if len(b) > 1 else -1 for b in buckets]
-            k = int(np.argmax(spread))
-            if spread[k] < 0:
-                break
-            b = buckets[k]
-            axis = int(np.argmax(colors[b].max(axis=0) - colors[b].min(axis=0)))
-            b = b[np.argsort(colors[b, axis], kind="stable")]
-            total = np.cumsum(n[b])
-            cut = min(max(1, int(np.searchsorted(total, total[-1] / 2)) + 1), len(b) - 1)
-            buckets[k : k + 1] = [b[:cut], b[cut:]]
-        colors = np.array([(colors[b] * n[b, None]).sum(axis=0) // n[b].sum() for b in buckets])
+        colors = median_cut(colors, n, room)
     if slot is not None:
         at = min(slot, len(colors))
         colors = np.insert(colors, at, 0, axis=0)

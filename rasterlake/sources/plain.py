@@ -189,6 +189,7 @@ def read_qoi(data: bytes) -> Image:
     _need(len(data) >= 22 and data[:4] == b"qoif", "not a QOI file")
     w, h, bands = struct.unpack_from(">IIB", data, 4)
     _need(w > 0 and h > 0 and bands in (3, 4), "bad header")
+    _need(w * h <= 62 * (len(data) - 22), "more pixels than the longest runs can hold")
     out, table = np.empty(w * h, np.uint32), [(0, 0, 0, 0)] * 64
     r, g, b, a, at, n, end = 0, 0, 0, 255, 14, 0, len(data) - 8
     while n < w * h:

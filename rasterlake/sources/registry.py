@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import jpeg, lzw, plain, webp
-from .model import EncodeError, Frame, Image, RasterError, UnsupportedFormat
+from .model import DecodeError, EncodeError, Frame, Image, RasterError, UnsupportedFormat
 from .options import WriteOptions
 
 
@@ -64,7 +64,12 @@ def decode(data: bytes, format: str | None = None) -> Image:
     format = format or detect(data)
     for c in _CODECS:
         if c.format == format and c.read:
-            return c.read(data)
+            try:
+                return c.read(data)
+            except RasterError:
+                raise
+            except Exception as e:  # whatever a parser trips over in damaged bytes
+                raise DecodeError(f"damaged {format} file: {type(e).__name__}: {e}") from e
     raise UnsupportedFormat(f"nothing reads {format}")
 
 
