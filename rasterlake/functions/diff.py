@@ -1,4 +1,4 @@
-"""Visual differences of two colours; each gives the colour of the difference image."""
+"""Visual differences of two colours; each gives the colour of the difference picture."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .color import Argb, clamp, f32, idiv, over_white, plain_luma, when
 
-#: Colours of the difference images.
+#: Colours of the difference pictures.
 MAGENTA, CYAN, BOTH, MATCH = 0xFFFF00FF, 0xFF00FFFF, 0xFF303034, 0xFF101010
 
 

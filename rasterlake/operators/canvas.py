@@ -1,4 +1,4 @@
-"""A drawing surface with a pen: calls are collected as shape rows and laid over an image in order."""
+"""A drawing surface with a pen: calls are collected as shape rows and laid over a picture in order."""
 
 from __future__ import annotations
 
@@ -98,11 +98,11 @@ class Canvas:
         raise NotImplementedError("text is not drawn here")
 
     def pixels(self) -> DataFrame:
-        """The image with all calls laid over it: the last call on a pixel wins."""
+        """The picture with all calls laid over it: the last call on a pixel wins."""
         if not self._calls:
             return self.base
         changes = reduce(DataFrame.unionByName, self._calls)
-        # every image gets the same drawing: the last colour of each place, met by the image's pixels at that place
+        # every picture gets the same drawing: the last colour of each place, met by the picture's pixels at that place
         last = changes.groupBy("x", "y").agg(F.max_by(F.struct("a", "r", "g", "b"), "ord").alias("n"))
         joined = self.base.join(last, ["x", "y"], "left")
-        return joined.select("image_id", "x", "y", *(F.coalesce(F.col(f"n.{c}"), F.col(c)).cast("int").alias(c) for c in "argb"))
+        return joined.select("picture_id", "x", "y", *(F.coalesce(F.col(f"n.{c}"), F.col(c)).cast("int").alias(c) for c in "argb"))

@@ -1,7 +1,7 @@
 """Drawing as row generators: each shape row becomes the pixels it covers.
 
 Shapes are columns of a DataFrame; every function returns the input's ``keys``
-columns with one row per pixel (x, y).  Pixels then go over an image through
+columns with one row per pixel (x, y).  Pixels then go over a picture through
 ``pixels.put``, where the largest ``ord`` wins.  All shapes are expressions and
 ``explode``: no shape is walked pixel by pixel.
 """
@@ -221,16 +221,16 @@ def draw_cubic(shapes: DataFrame, keys: list[str], *points: tuple[str, str]) ->
 
 
 def copy_area(px: DataFrame, x: int, y: int, w: int, h: int, dx: int, dy: int, width: int, height: int) -> DataFrame:
-    """Changes for ``pixels.put``: the area again at an offset; places outside the image count as clear."""
+    """Changes for ``pixels.put``: the area again at an offset; places outside the picture count as clear."""
     spark = px.sparkSession
     cells = spark.range(w * h).select((F.col("id") % w + x).cast("int").alias("sx"), (F.expr(f"id div {w}") + y).cast("int").alias("sy"))
     inside = cells.filter(F.col("sx").between(-dx, width - 1 - dx) & F.col("sy").between(-dy, height - 1 - dy))
-    images = px.select("image_id").distinct().withColumn("o", F.lit(1))
+    pictures = px.select("picture_id").distinct().withColumn("o", F.lit(1))
     # the area has w * h cells, a property of the call and not of the data
-    grid = images.join(F.broadcast(inside))
-    source = px.select("image_id", F.col("x").alias("sx"), F.col("y").alias("sy"), "a", "r", "g", "b")
-    rows = grid.join(source, ["image_id", "sx", "sy"], "left")
-    return rows.select("image_id", (F.col("sx") + dx).alias("x"), (F.col("sy") + dy).alias("y"), *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in "argb"), F.lit(0).alias("ord"))
+    grid = pictures.join(F.broadcast(inside))
+    source = px.select("picture_id", F.col("x").alias("sx"), F.col("y").alias("sy"), "a", "r", "g", "b")
+    rows = grid.join(source, ["picture_id", "sx", "sy"], "left")
+    return rows.select("picture_id", (F.col("sx") + dx).alias("x"), (F.col("sy") + dy).alias("y"), *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in "argb"), F.lit(0).alias("ord"))
 
 
 def draw_affine(target: DataFrame, source: DataFrame, matrix: tuple[float, float, float, float, float, float], width: int, height: int, mode: str = "normal") -> DataFrame:
@@ -241,11 +241,11 @@ def draw_affine(target: DataFrame, source: DataFrame, matrix: tuple[float, float
     det = a * d - b * c
     if det == 0:
         raise ValueError("the map cannot be inverted")
-    t = target.select("image_id", "x", "y")
+    t = target.select("picture_id", "x", "y")
     u, v = F.col("x") - F.lit(e), F.col("y") - F.lit(f)
     sx, sy = F.floor((u * d - v * c) / det).cast("int"), F.floor((v * a - u * b) / det).cast("int")
-    wanted = t.select("image_id", "x", "y", sx.alias("sx"), sy.alias("sy")).filter(F.col("sx").between(0, width - 1) & F.col("sy").between(0, height - 1))
-    moved = wanted.join(source.select("image_id", F.col("x").alias("sx"), F.col("y").alias("sy"), "a", "r", "g", "b"), ["image_id", "sx", "sy"]).drop("sx", "sy")
+    wanted = t.select("picture_id", "x", "y", sx.alias("sx"), sy.alias("sy")).filter(F.col("sx").between(0, width - 1) & F.col("sy").between(0, height - 1))
+    moved = wanted.join(source.select("picture_id", F.col("x").alias("sx"), F.col("y").alias("sy"), "a", "r", "g", "b"), ["picture_id", "sx", "sy"]).drop("sx", "sy")
     return blit(target, moved, 0, 0, mode)
 
 

@@ -1,6 +1,6 @@
 """Where pixels come from and how they change shape.
 
-``pixels`` rows are (image_id, x, y, a, r, g, b); ``frames`` rows hold one
+``pixels`` rows are (picture_id, x, y, a, r, g, b); ``frames`` rows hold one
 row-major array of packed colours.  A pixel that has no row is transparent black.
 """
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.color import Argb, blend, f32, idiv, pack
 
-KEYS = ("image_id", "x", "y")
+KEYS = ("picture_id", "x", "y")
 
 
 def colored(px: DataFrame, f, *keep: str) -> DataFrame:
@@ -22,13 +22,13 @@ def colored(px: DataFrame, f, *keep: str) -> DataFrame:
 # -- shape conversion ------------------------------------------------------------
 
 
-def blank(spark: SparkSession, image_id: int, width: int, height: int, argb: int = 0) -> DataFrame:
+def blank(spark: SparkSession, picture_id: int, width: int, height: int, argb: int = 0) -> DataFrame:
     cells = spark.range(height).select(F.col("id").cast("int").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"))
-    return cells.select(F.lit(image_id).cast("bigint").alias("image_id"), "x", "y", *Argb.literal(argb).named())
+    return cells.select(F.lit(picture_id).cast("bigint").alias("picture_id"), "x", "y", *Argb.literal(argb).named())
 
 
 def to_frames(px: DataFrame, width: int, height: int, *keys: str) -> DataFrame:
-    """One row per image with its colours in row-major order, laid out in one pass.
+    """One row per picture with its colours in row-major order, laid out in one pass.
 
     Gaps are transparent, pixels outside are left out, and of several at one place the
     one with the largest packed colour stays.
@@ -36,7 +36,7 @@ def to_frames(px: DataFrame, width: int, height: int, *keys: str) -> DataFrame:
     import numpy as np
     import pyarrow as pa
 
-    keys = keys or ("image_id",)
+    keys = keys or ("picture_id",)
     cell = F.struct((F.col("y") * width + F.col("x")).cast("int").alias("k"), pack(*Argb.of()).cast("int").alias("v"))
     rows = px.groupBy(*keys).agg(F.collect_list(F.when(contains(F.col("x"), F.col("y"), width, height), cell)).alias("cells"))
 
@@ -57,7 +57,7 @@ def to_frames(px: DataFrame, width: int, height: int, *keys: str) -> DataFrame:
 
 
 def to_pixels(frames: DataFrame, *keys: str) -> DataFrame:
-    keys = keys or ("image_id",)
+    keys = keys or ("picture_id",)
     rows = frames.select(*keys, "width", F.posexplode("argb").alias("i", "p"))
     return rows.select(*keys, (F.col("i") % F.col("width")).alias("x"), idiv(F.col("i"), F.col("width")).alias("y"), *Argb.unpacked(F.col("p")).named())
 
@@ -83,11 +83,11 @@ def put(px: DataFrame, changes: DataFrame) -> DataFrame:
 def crop(px: DataFrame, x: int, y: int, w: int, h: int, width: int, height: int) -> DataFrame:
     if w < 0 or h < 0 or x < 0 or y < 0 or x + w > width or y + h > height:
         raise ValueError(f"crop ({x},{y},{w},{h}) leaves {width}x{height}")
-    return region(px, x, y, w, h).select("image_id", (F.col("x") - x).alias("x"), (F.col("y") - y).alias("y"), "a", "r", "g", "b")
+    return region(px, x, y, w, h).select("picture_id", (F.col("x") - x).alias("x"), (F.col("y") - y).alias("y"), "a", "r", "g", "b")
 
 
 def moved(px: DataFrame, x: Column, y: Column) -> DataFrame:
-    return px.select("image_id", x.cast("int").alias("x"), y.cast("int").alias("y"), "a", "r", "g", "b")
+    return px.select("picture_id", x.cast("int").alias("x"), y.cast("int").alias("y"), "a", "r", "g", "b")
 
 
 def flip_horizontal(px: DataFrame, w: int, h: int) -> DataFrame:
@@ -117,7 +117,7 @@ def fill_rect(px: DataFrame, x: int, y: int, w: int, h: int, argb: int) -> DataF
 
 def opaque_bounds(px: DataFrame, *keys: str) -> DataFrame:
     """Tightest box of pixels that are not clear; zeros where there is none."""
-    keys = keys or ("image_id",)
+    keys = keys or ("picture_id",)
     x, y = (F.when(F.col("a") != 0, F.col(c)) for c in "xy")
     boxes = px.groupBy(*keys).agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
     zero = F.lit(0)
@@ -126,8 +126,8 @@ def opaque_bounds(px: DataFrame, *keys: str) -> DataFrame:
 
 
 def trim(px: DataFrame) -> DataFrame:
-    """Crop to the opaque bounds; an image without opaque pixels stays as it is."""
-    w = Window.partitionBy("image_id")
+    """Crop to the opaque bounds; a picture without opaque pixels stays as it is."""
+    w = Window.partitionBy("picture_id")
     x, y = (F.when(F.col("a") != 0, F.col(c)) for c in "xy")
     boxed = px.withColumns({"x0": F.min(x).over(w), "x1": F.max(x).over(w), "y0": F.min(y).over(w), "y1": F.max(y).over(w)})
     inside = F.col("x0").isNull() | (F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
@@ -170,17 +170,17 @@ def resize_bilinear(px: DataFrame, width: int, height: int, w: int, h: int) -> D
         both = F.array(F.struct(F.col("low").alias("s"), (f32(1) - F.col("part")).cast("float").alias("w"), F.lit(0).alias("o")), F.struct((F.col("low") + 1).alias("s"), F.col("part").alias("w"), F.lit(1).alias("o")))
         return t.select("t", F.explode(both).alias("k")).select(F.col("k.s").alias(axis), F.col("t").alias(f"t{axis}"), F.col("k.w").alias(f"w{axis}"), F.col("k.o").alias(f"o{axis}"))
 
-    # the tap tables have two rows for each target column or row: their size is the image's, not the data's
+    # the tap tables have two rows for each target column or row: their size is the picture's, not the data's
     rows = px.join(F.broadcast(taps("x", w, width)), "x").join(F.broadcast(taps("y", h, height)), "y")
     weight = (F.col("wx") * F.col("wy")).cast("float")
     tap = F.struct((F.col("oy") * 2 + F.col("ox")).alias("o"), *((f32(F.col(c)) * weight).cast("float").alias(c) for c in "argb"))
-    met = rows.groupBy("image_id", F.col("tx").alias("x"), F.col("ty").alias("y")).agg(F.array_sort(F.collect_list(tap)).alias("taps"))
+    met = rows.groupBy("picture_id", F.col("tx").alias("x"), F.col("ty").alias("y")).agg(F.array_sort(F.collect_list(tap)).alias("taps"))
 
     def total(c: str) -> Column:
         return F.aggregate("taps", f32(0), lambda acc, t: (acc + t[c]).cast("float"))
 
     sums = [total(c) for c in "argb"]
-    return met.select("image_id", "x", "y", *(F.least(F.lit(255), F.greatest(F.lit(0), s.cast("int"))).alias(n) for s, n in zip(sums, "argb")))
+    return met.select("picture_id", "x", "y", *(F.least(F.lit(255), F.greatest(F.lit(0), s.cast("int"))).alias(n) for s, n in zip(sums, "argb")))
 
 
 # -- compositing -------------------------------------------------------------------------
@@ -209,7 +209,7 @@ def _blitted(mode: str, opaque_source: bool) -> list[Column]:
 
 def blit(target: DataFrame, source: DataFrame, dx: int = 0, dy: int = 0, mode: str = "normal", opaque_source: bool = False) -> DataFrame:
     """Source pixels over target pixels at an offset; clear source pixels are skipped whatever the mode."""
-    s = source.select("image_id", (F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), *(F.col(c).alias(f"s{c}") for c in "argb"))
+    s = source.select("picture_id", (F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), *(F.col(c).alias(f"s{c}") for c in "argb"))
     t = target.select(*KEYS, *(F.col(c).alias(f"d{c}") for c in "argb"))
     return t.join(s, list(KEYS), "left").select(*KEYS, *_blitted(mode, opaque_source))
 
@@ -220,7 +220,7 @@ def blit_scaled(target: DataFrame, source: DataFrame, dx: int, dy: int, dw: int,
 
 
 def paired(first: DataFrame, second: DataFrame, how: str = "inner") -> DataFrame:
-    """Rows of two images side by side: sa..sb of the first, da..db of the second."""
+    """Rows of two pictures side by side: sa..sb of the first, da..db of the second."""
     s = first.select(*KEYS, *(F.col(c).alias(f"s{c}") for c in "argb"))
     d = second.select(*KEYS, *(F.col(c).alias(f"d{c}") for c in "argb"))
     return s.join(d, list(KEYS), how)

@@ -13,11 +13,11 @@ from ..functions.color import snap
 
 
 def _row() -> WindowSpec:
-    return Window.partitionBy("image_id", "y").orderBy("x")
+    return Window.partitionBy("picture_id", "y").orderBy("x")
 
 
 def _column() -> WindowSpec:
-    return Window.partitionBy("image_id", "x").orderBy("y")
+    return Window.partitionBy("picture_id", "x").orderBy("y")
 
 
 def _neighbours(px: DataFrame, **at: tuple) -> DataFrame:
@@ -35,7 +35,7 @@ def near_lossless_pass(px: DataFrame, bits: int, width: int, height: int) -> Dat
             smooth = smooth & (F.abs(F.col(c) - F.col(f"{n}_{c}")) < limit)
     border = (F.col("x") == 0) | (F.col("y") == 0) | (F.col("x") == width - 1) | (F.col("y") == height - 1)
     keep = border | F.coalesce(smooth, F.lit(False))
-    return rows.select("image_id", "x", "y", *(F.when(keep, F.col(c)).otherwise(snap(F.col(c), bits)).cast("int").alias(c) for c in "argb"))
+    return rows.select("picture_id", "x", "y", *(F.when(keep, F.col(c)).otherwise(snap(F.col(c), bits)).cast("int").alias(c) for c in "argb"))
 
 
 def near_lossless(px: DataFrame, level: int, width: int, height: int, least: int = 64) -> DataFrame:
@@ -71,7 +71,7 @@ def predicted_residual(px: DataFrame, mode: int) -> DataFrame:
     The last column takes the top right from the first pixel of the own row, as the
     public format description does.
     """
-    return _surrounded(px).select("image_id", "x", "y", *(r.alias(c) for c, r in _residuals(mode).items()))
+    return _surrounded(px).select("picture_id", "x", "y", *(r.alias(c) for c, r in _residuals(mode).items()))
 
 
 def _residuals(mode: int) -> dict[str, Column]:
@@ -115,11 +115,11 @@ def predictor_scores(px: DataFrame, modes: tuple[int, ...], tile: int) -> DataFr
     """Sum of absolute signed residuals of each tile under each mode, and the mode with the least (the first of equals)."""
     rows = _surrounded(px)
     cost = {m: sum((F.abs(F.when(r > 127, r - 256).otherwise(r)) for r in _residuals(m).values()), F.lit(0)) for m in modes}
-    rows = rows.select("image_id", "x", "y", *(v.alias(f"c{m}") for m, v in cost.items()))
-    tiles = rows.groupBy("image_id", F.call_function("div", F.col("x"), F.lit(tile)).cast("int").alias("tx"), F.call_function("div", F.col("y"), F.lit(tile)).cast("int").alias("ty"))
+    rows = rows.select("picture_id", "x", "y", *(v.alias(f"c{m}") for m, v in cost.items()))
+    tiles = rows.groupBy("picture_id", F.call_function("div", F.col("x"), F.lit(tile)).cast("int").alias("tx"), F.call_function("div", F.col("y"), F.lit(tile)).cast("int").alias("ty"))
     scores = tiles.agg(*(F.sum(f"c{m}").cast("bigint").alias(f"c{m}") for m in modes))
     best = F.array_min(F.array(*(F.struct(F.col(f"c{m}").alias("score"), F.lit(m).alias("mode")) for m in modes)))
-    return scores.select("image_id", "tx", "ty", best.alias("b")).select("image_id", "tx", "ty", F.col("b.mode").alias("mode"), F.col("b.score").alias("score"))
+    return scores.select("picture_id", "tx", "ty", best.alias("b")).select("picture_id", "tx", "ty", F.col("b.mode").alias("mode"), F.col("b.score").alias("score"))
 
 
 # -- edge smoothing over dense frames ---------------------------------------------------
@@ -167,7 +167,7 @@ def smooth_edges(argb: np.ndarray) -> np.ndarray:
 
 
 def fxaa(frames: DataFrame) -> DataFrame:
-    """Edge smoothing of (image_id, width, height, argb array) rows."""
+    """Edge smoothing of (picture_id, width, height, argb array) rows."""
     columns = frames.columns
 
     def run(batches):
@@ -194,10 +194,10 @@ def resize_bicubic(frames: DataFrame, w: int, h: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = [(r.image_id, w, h, _packed(_cubic(_channels(r.argb, r.width, r.height), w, h))) for r in batch.itertuples(index=False)]
-            yield pd.DataFrame(rows, columns=["image_id", "width", "height", "argb"])
+            rows = [(r.picture_id, w, h, _packed(_cubic(_channels(r.argb, r.width, r.height), w, h))) for r in batch.itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=["picture_id", "width", "height", "argb"])
 
-    return frames.select("image_id", "width", "height", "argb").mapInPandas(run, "image_id bigint, width int, height int, argb array<int>")
+    return frames.select("picture_id", "width", "height", "argb").mapInPandas(run, "picture_id bigint, width int, height int, argb array<int>")
 
 
 def _cubic(p: np.ndarray, w: int, h: int) -> np.ndarray:
@@ -218,11 +218,11 @@ def _cubic(p: np.ndarray, w: int, h: int) -> np.ndarray:
 
 
 def normalize_frames(frames: DataFrame, fit: str = "contain", upscale: bool = False, width: int = 0, height: int = 0, background: int = 0) -> DataFrame:
-    """Frames (image_id, frame_idx, delay_ms, width, height, argb) drawn on one canvas size; offsets are gone."""
+    """Frames (picture_id, frame_idx, delay_ms, width, height, argb) drawn on one canvas size; offsets are gone."""
     from .timeline import fit_geometry
 
-    geometry = fit_geometry(frames.select("image_id", "frame_idx", "width", "height"), fit, upscale, width, height)
-    rows = frames.select("image_id", "frame_idx", "delay_ms", "width", "height", "argb").join(geometry, ["image_id", "frame_idx"])
+    geometry = fit_geometry(frames.select("picture_id", "frame_idx", "width", "height"), fit, upscale, width, height)
+    rows = frames.select("picture_id", "frame_idx", "delay_ms", "width", "height", "argb").join(geometry, ["picture_id", "frame_idx"])
 
     def run(batches):
         for batch in batches:
@@ -236,7 +236,7 @@ def normalize_frames(frames: DataFrame, fit: str = "contain", upscale: bool = Fa
                     y1, x1 = min(r.canvas_h, r.draw_y + r.draw_h), min(r.canvas_w, r.draw_x + r.draw_w)
                     canvas[y0:y1, x0:x1] = q[y0 - r.draw_y : y1 - r.draw_y, x0 - r.draw_x : x1 - r.draw_x]
                     p = canvas
-                out.append((r.image_id, r.frame_idx, r.delay_ms, r.canvas_w, r.canvas_h, _packed(p)))
-            yield pd.DataFrame(out, columns=["image_id", "frame_idx", "delay_ms", "width", "height", "argb"])
+                out.append((r.picture_id, r.frame_idx, r.delay_ms, r.canvas_w, r.canvas_h, _packed(p)))
+            yield pd.DataFrame(out, columns=["picture_id", "frame_idx", "delay_ms", "width", "height", "argb"])
 
-    return rows.mapInPandas(run, "image_id bigint, frame_idx int, delay_ms int, width int, height int, argb array<int>")
+    return rows.mapInPandas(run, "picture_id bigint, frame_idx int, delay_ms int, width int, height int, argb array<int>")

@@ -10,27 +10,27 @@ from ..functions.color import Argb, idiv, pack, quick_luma, unsigned
 
 
 def color_histogram(px: DataFrame, width: int) -> DataFrame:
-    """(image_id, rgb, n, first_seen) of pixels that are not clear."""
+    """(picture_id, rgb, n, first_seen) of pixels that are not clear."""
     rgb = unsigned(pack(F.lit(0), F.col("r"), F.col("g"), F.col("b")))
-    seen = px.filter("a <> 0").groupBy("image_id", rgb.alias("rgb"))
+    seen = px.filter("a <> 0").groupBy("picture_id", rgb.alias("rgb"))
     return seen.agg(F.count("*").alias("n"), F.min(F.col("y") * width + F.col("x")).alias("first_seen"))
 
 
 def exact_palette(px: DataFrame, width: int, transparent_slot: int | None = None, most: int = 256) -> DataFrame:
-    """Colours by first appearance, for images with few enough; a reserved slot is left free."""
+    """Colours by first appearance, for pictures with few enough; a reserved slot is left free."""
     room = most - (transparent_slot is not None)
     found = color_histogram(px, width)
-    slot = F.row_number().over(Window.partitionBy("image_id").orderBy("first_seen")) - 1
+    slot = F.row_number().over(Window.partitionBy("picture_id").orderBy("first_seen")) - 1
     if transparent_slot is not None:
         slot = F.when(slot >= transparent_slot, slot + 1).otherwise(slot)
-    fits = F.count("*").over(Window.partitionBy("image_id")) <= room
-    return found.select("image_id", slot.alias("slot"), "rgb", "n", fits.alias("fits")).filter("fits").drop("fits")
+    fits = F.count("*").over(Window.partitionBy("picture_id")) <= room
+    return found.select("picture_id", slot.alias("slot"), "rgb", "n", fits.alias("fits")).filter("fits").drop("fits")
 
 
 def sorted_palette(px: DataFrame, most: int = 256) -> DataFrame:
     """Distinct packed colours in signed order; null where there are more than ``most``."""
     colors = F.array_sort(F.collect_set(pack(*Argb.of())))
-    return px.groupBy("image_id").agg(colors.alias("c")).select("image_id", F.size("c").alias("n"), F.when(F.size("c") <= most, F.col("c")).alias("palette"))
+    return px.groupBy("picture_id").agg(colors.alias("c")).select("picture_id", F.size("c").alias("n"), F.when(F.size("c") <= most, F.col("c")).alias("palette"))
 
 
 def nearest_slot(colors: DataFrame, palette: DataFrame) -> DataFrame:
@@ -51,7 +51,7 @@ def nearest_slot(colors: DataFrame, palette: DataFrame) -> DataFrame:
 
 
 def median_cut(histogram: DataFrame, capacity: int = 256) -> DataFrame:
-    """(image_id, slot, r, g, b): see ``quantise.median_cut``; colours come in the order of their first pixels."""
+    """(picture_id, slot, r, g, b): see ``quantise.median_cut``; colours come in the order of their first pixels."""
     import numpy as np
     import pandas as pd
 
@@ -61,15 +61,15 @@ def median_cut(histogram: DataFrame, capacity: int = 256) -> DataFrame:
         colors = np.stack([rgb >> 16 & 255, rgb >> 8 & 255, rgb & 255], axis=1)
         weight = rows["n"].to_numpy()
         means = quantise.median_cut(colors.astype(np.int64), weight, capacity)
-        return pd.DataFrame({"image_id": rows["image_id"].iloc[0], "slot": np.arange(len(means)), **{c: [int(m[i]) for m in means] for i, c in enumerate("rgb")}})
+        return pd.DataFrame({"picture_id": rows["picture_id"].iloc[0], "slot": np.arange(len(means)), **{c: [int(m[i]) for m in means] for i, c in enumerate("rgb")}})
 
-    return histogram.groupBy("image_id").applyInPandas(cut, "image_id bigint, slot int, r int, g int, b int")
+    return histogram.groupBy("picture_id").applyInPandas(cut, "picture_id bigint, slot int, r int, g int, b int")
 
 
 def palette_deltas(palette: DataFrame) -> DataFrame:
     """Each channel minus that of the slot before, modulo 256."""
-    w = Window.partitionBy("image_id").orderBy("slot")
-    return palette.select("image_id", "slot", *(((F.col(c) - F.lag(c, 1, 0).over(w) + 256) % 256).alias(c) for c in "argb"))
+    w = Window.partitionBy("picture_id").orderBy("slot")
+    return palette.select("picture_id", "slot", *(((F.col(c) - F.lag(c, 1, 0).over(w) + 256) % 256).alias(c) for c in "argb"))
 
 
 def palette_bits(n: Column) -> Column:
@@ -77,10 +77,10 @@ def palette_bits(n: Column) -> Column:
 
 
 def packed_indices(indexed: DataFrame, bits: int) -> DataFrame:
-    """Palette indices (image_id, x, y, slot) packed into bytes, lowest bits first."""
+    """Palette indices (picture_id, x, y, slot) packed into bytes, lowest bits first."""
     per = 8 // bits
     value = F.sum(F.call_function("shiftleft", F.col("slot"), (F.col("x") % per) * bits)).cast("int")
-    return indexed.groupBy("image_id", "y", idiv(F.col("x"), per).alias("x")).agg(value.alias("packed"))
+    return indexed.groupBy("picture_id", "y", idiv(F.col("x"), per).alias("x")).agg(value.alias("packed"))
 
 
 def mask_downsample(marks: DataFrame, width: int, height: int, w: int, h: int) -> DataFrame:
@@ -99,20 +99,20 @@ def mask_downsample(marks: DataFrame, width: int, height: int, w: int, h: int) -
         return F.filter(F.sequence(F.lit(0), F.lit(size - 1)), inside)
 
     rows = marks.withColumn("ox", F.explode(boxes("x", width, w))).withColumn("oy", F.explode(boxes("y", height, h)))
-    return rows.select("image_id", F.col("ox").alias("x"), F.col("oy").alias("y")).distinct()
+    return rows.select("picture_id", F.col("ox").alias("x"), F.col("oy").alias("y")).distinct()
 
 
 def tile_variance(px: DataFrame, tile: int = 16) -> DataFrame:
     """Scaled variance of the quick luma by tile: sum of squares less the squared sum over the count."""
     y = quick_luma(Argb.of()).cast("bigint")
-    tiles = px.groupBy("image_id", idiv(F.col("x"), tile).alias("tx"), idiv(F.col("y"), tile).alias("ty"))
+    tiles = px.groupBy("picture_id", idiv(F.col("x"), tile).alias("tx"), idiv(F.col("y"), tile).alias("ty"))
     sums = tiles.agg(F.sum(y).alias("s"), F.sum(y * y).alias("q"), F.count("*").alias("n"))
-    return sums.select("image_id", "tx", "ty", F.expr("cast(q - (s * s) div n as int)").alias("variance"))
+    return sums.select("picture_id", "tx", "ty", F.expr("cast(q - (s * s) div n as int)").alias("variance"))
 
 
 def tile_segments(variances: DataFrame, gate: int = 400) -> DataFrame:
-    """Quartile segment 0-3 of each tile; 0 where the image is too flat to split."""
-    w = Window.partitionBy("image_id")
+    """Quartile segment 0-3 of each tile; 0 where the picture is too flat to split."""
+    w = Window.partitionBy("picture_id")
     v = F.col("variance")
     ordered = F.array_sort(F.collect_list(v).over(w))
 
@@ -121,15 +121,15 @@ def tile_segments(variances: DataFrame, gate: int = 400) -> DataFrame:
 
     rows = variances.withColumn("ordered", ordered).withColumn("flat", (F.max(v).over(w) - F.min(v).over(w)) < gate)
     segment = F.when(F.col("flat"), 0).when(v < cut(1), 0).when(v < cut(2), 1).when(v < cut(3), 2).otherwise(3)
-    return rows.select("image_id", "tx", "ty", "variance", segment.alias("segment"))
+    return rows.select("picture_id", "tx", "ty", "variance", segment.alias("segment"))
 
 
 def block_errors(pairs: DataFrame, size: int = 16) -> DataFrame:
-    """Sums of absolute and squared differences of each block of two aligned images."""
+    """Sums of absolute and squared differences of each block of two aligned pictures."""
     s, d = Argb.of("s"), Argb.of("d")
     delta = [(x - y).cast("bigint") for x, y in zip(s, d)]
     total = lambda f: F.sum(sum((f(x) for x in delta[1:]), F.lit(0)))
-    blocks = pairs.groupBy("image_id", idiv(F.col("x"), size).alias("bx"), idiv(F.col("y"), size).alias("by"))
+    blocks = pairs.groupBy("picture_id", idiv(F.col("x"), size).alias("bx"), idiv(F.col("y"), size).alias("by"))
     return blocks.agg(total(F.abs).alias("sad"), total(lambda x: x * x).alias("sse"))
 
 
@@ -141,8 +141,8 @@ def cross_color_fit(px: DataFrame, tile: int) -> DataFrame:
     from ..functions.color import signed_byte
 
     r, g, b = (signed_byte(F.col(c)).cast("bigint") for c in "rgb")
-    rows = px.select("image_id", idiv(F.col("x"), tile).alias("tx"), idiv(F.col("y"), tile).alias("ty"), r.alias("r"), g.alias("g"), b.alias("b"))
-    keys = ["image_id", "tx", "ty"]
+    rows = px.select("picture_id", idiv(F.col("x"), tile).alias("tx"), idiv(F.col("y"), tile).alias("ty"), r.alias("r"), g.alias("g"), b.alias("b"))
+    keys = ["picture_id", "tx", "ty"]
 
     def fit(top: Column, bottom: Column) -> Column:
         value = F.floor(top * 32.0 / F.when(bottom != 0, bottom) + 0.5)

@@ -9,11 +9,11 @@ from ..functions.color import Argb, f32, idiv, lerp, over, pack
 
 
 def _by_frame() -> WindowSpec:
-    return Window.partitionBy("image_id").orderBy("frame_idx")
+    return Window.partitionBy("picture_id").orderBy("frame_idx")
 
 
 def total_duration(frames: DataFrame) -> DataFrame:
-    return frames.groupBy("image_id").agg(F.sum("delay_ms").cast("bigint").alias("total_ms"), F.count("*").alias("frames"))
+    return frames.groupBy("picture_id").agg(F.sum("delay_ms").cast("bigint").alias("total_ms"), F.count("*").alias("frames"))
 
 
 def quantized_delays(frames: DataFrame, minimum: int) -> DataFrame:
@@ -26,30 +26,30 @@ def quantized_delays(frames: DataFrame, minimum: int) -> DataFrame:
     rows = frames.withColumn("i", i).withColumn("due", due)
     emitted = F.col("i") * minimum + F.greatest(F.lit(0), F.max(F.col("due") - F.col("i") * minimum).over(_by_frame()))
     rows = rows.withColumn("emitted", emitted)
-    return rows.select("image_id", "frame_idx", (F.col("emitted") - F.lag("emitted", 1, 0).over(_by_frame())).cast("bigint").alias("delay_cs"))
+    return rows.select("picture_id", "frame_idx", (F.col("emitted") - F.lag("emitted", 1, 0).over(_by_frame())).cast("bigint").alias("delay_cs"))
 
 
 def frame_at(frames: DataFrame, instants: DataFrame, interpolate: bool = False) -> DataFrame:
-    """(image_id, elapsed_ms) -> frame_idx, next_idx and share of the next frame (null if not between two).
+    """(picture_id, elapsed_ms) -> frame_idx, next_idx and share of the next frame (null if not between two).
 
-    An image's schedule is an array on one row, so each instant finds its frame without an interval join.
+    A picture's schedule is an array on one row, so each instant finds its frame without an interval join.
     """
     ends = F.sum("delay_ms").over(_by_frame())
-    rows = frames.withColumn("stop", ends).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "delay_ms", "stop"))).alias("schedule"))
+    rows = frames.withColumn("stop", ends).groupBy("picture_id").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "delay_ms", "stop"))).alias("schedule"))
     rows = rows.withColumn("total", F.element_at("schedule", -1)["stop"]).withColumn("n", F.size("schedule"))
-    met = instants.join(rows, "image_id").withColumn("t", F.when(F.col("total") > 0, F.col("elapsed_ms") % F.when(F.col("total") > 0, F.col("total"))))
+    met = instants.join(rows, "picture_id").withColumn("t", F.when(F.col("total") > 0, F.col("elapsed_ms") % F.when(F.col("total") > 0, F.col("total"))))
     hit = F.filter("schedule", lambda s: (s["delay_ms"] > 0) & (F.col("t") < s["stop"]))
     met = met.withColumn("hit", F.when(F.col("total") > 0, F.get(hit, 0)))
     here = F.coalesce(F.col("hit.frame_idx"), F.element_at("schedule", 1)["frame_idx"])
     if not interpolate:
-        return met.select("image_id", "elapsed_ms", here.alias("frame_idx"))
+        return met.select("picture_id", "elapsed_ms", here.alias("frame_idx"))
     span = F.col("t") - (F.col("hit.stop") - F.col("hit.delay_ms"))
     share = span / F.col("hit.delay_ms").cast("double")
     place = F.array_position(F.transform("schedule", lambda s: s["frame_idx"]), here).cast("int")
     after = F.element_at("schedule", F.when(place == F.col("n"), 1).otherwise(place + 1))["frame_idx"]
     whole = F.col("hit").isNull() | (F.col("n") == 1) | (span <= 0)
     return met.select(
-        "image_id",
+        "picture_id",
         "elapsed_ms",
         F.when(~whole & (share >= 0.999), after).otherwise(here).alias("frame_idx"),
         F.when(~whole & (share < 0.999), after).alias("next_idx"),
@@ -59,12 +59,12 @@ def frame_at(frames: DataFrame, instants: DataFrame, interpolate: bool = False)
 
 def interpolated(at: DataFrame, px: DataFrame) -> DataFrame:
     """Pixels of each instant: of its frame, or mixed with the next."""
-    first = at.join(px, ["image_id", "frame_idx"])
-    second = px.select("image_id", F.col("frame_idx").alias("next_idx"), "x", "y", *(F.col(c).alias(f"n{c}") for c in "argb"))
-    both = first.join(second, ["image_id", "next_idx", "x", "y"], "left")
+    first = at.join(px, ["picture_id", "frame_idx"])
+    second = px.select("picture_id", F.col("frame_idx").alias("next_idx"), "x", "y", *(F.col(c).alias(f"n{c}") for c in "argb"))
+    both = first.join(second, ["picture_id", "next_idx", "x", "y"], "left")
     p, q = Argb.of(), Argb.of("n")
     mixed = lerp(p, q, f32(F.col("share")))
-    return both.select("image_id", "elapsed_ms", "x", "y", *(F.when(F.col("na").isNull(), u).otherwise(m).cast("int").alias(n) for u, m, n in zip(p, mixed, "argb")))
+    return both.select("picture_id", "elapsed_ms", "x", "y", *(F.when(F.col("na").isNull(), u).otherwise(m).cast("int").alias(n) for u, m, n in zip(p, mixed, "argb")))
 
 
 def keyframe_interval(option: Column, frames: Column) -> Column:
@@ -82,22 +82,22 @@ def frame_flags(disposal: Column, blend: Column) -> Column:
 
 def changed_boxes(px: DataFrame) -> DataFrame:
     """Box of pixels that differ from the frame before, its corner moved to even places; a 1x1 box where none does."""
-    w = Window.partitionBy("image_id", "x", "y").orderBy("frame_idx")
+    w = Window.partitionBy("picture_id", "x", "y").orderBy("frame_idx")
     p = pack(*Argb.of())
-    rows = px.select("image_id", "frame_idx", "x", "y", p.alias("p"), F.lag(p).over(w).alias("before"))
+    rows = px.select("picture_id", "frame_idx", "x", "y", p.alias("p"), F.lag(p).over(w).alias("before"))
     x, y = (F.when(F.col("p") != F.col("before"), F.col(c)) for c in "xy")
-    boxes = rows.filter(F.col("before").isNotNull()).groupBy("image_id", "frame_idx").agg(F.min(x).alias("x0"), F.min(y).alias("y0"), F.max(x).alias("x1"), F.max(y).alias("y1"))
+    boxes = rows.filter(F.col("before").isNotNull()).groupBy("picture_id", "frame_idx").agg(F.min(x).alias("x0"), F.min(y).alias("y0"), F.max(x).alias("x1"), F.max(y).alias("y1"))
     even = {c: F.coalesce(F.col(f"{c}0") - F.col(f"{c}0") % 2, F.lit(0)) for c in "xy"}
     size = [F.coalesce(F.col(f"{c}1") - even[c] + 1, F.lit(1)).alias(n) for c, n in (("x", "width"), ("y", "height"))]
-    return boxes.select("image_id", "frame_idx", even["x"].alias("x"), even["y"].alias("y"), *size, F.col("x0").isNotNull().alias("changed"))
+    return boxes.select("picture_id", "frame_idx", even["x"].alias("x"), even["y"].alias("y"), *size, F.col("x0").isNotNull().alias("changed"))
 
 
 def canvas_source(px: DataFrame, grid: DataFrame) -> DataFrame:
     """Frames laid on a canvas by plain copy: at each place the last frame that has a pixel there."""
-    w = Window.partitionBy("image_id", "x", "y").orderBy("frame_idx")
-    rows = grid.join(px, ["image_id", "frame_idx", "x", "y"], "left")
+    w = Window.partitionBy("picture_id", "x", "y").orderBy("frame_idx")
+    rows = grid.join(px, ["picture_id", "frame_idx", "x", "y"], "left")
     last = [F.coalesce(F.last(c, ignorenulls=True).over(w), F.lit(0)).cast("int").alias(c) for c in "argb"]
-    return rows.select("image_id", "frame_idx", "x", "y", *last)
+    return rows.select("picture_id", "frame_idx", "x", "y", *last)
 
 
 def canvas_over(px: DataFrame, background: int = 0) -> DataFrame:
@@ -105,22 +105,22 @@ def canvas_over(px: DataFrame, background: int = 0) -> DataFrame:
 
     Truncation makes the step non-associative, so each place folds its frames in order.
     """
-    steps = px.groupBy("image_id", "x", "y").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "a", "r", "g", "b"))).alias("steps"))
+    steps = px.groupBy("picture_id", "x", "y").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "a", "r", "g", "b"))).alias("steps"))
     start = F.struct(*(c.cast("int").alias(n) for c, n in zip(Argb.literal(background), "argb")))
 
     def step(acc: Column, s: Column) -> Column:
         out = over(Argb(*(s[c] for c in "argb")), Argb(*(acc[c] for c in "argb")))
         return F.struct(*(c.cast("int").alias(n) for c, n in zip(out, "argb")))
 
-    return steps.select("image_id", "x", "y", F.aggregate("steps", start, step).alias("p")).select("image_id", "x", "y", "p.a", "p.r", "p.g", "p.b")
+    return steps.select("picture_id", "x", "y", F.aggregate("steps", start, step).alias("p")).select("picture_id", "x", "y", "p.a", "p.r", "p.g", "p.b")
 
 
 def fit_geometry(sizes: DataFrame, fit: str = "contain", upscale: bool = False, width: int = 0, height: int = 0) -> DataFrame:
-    """(image_id, frame_idx, width, height) -> canvas size and the place and size of the drawn frame.
+    """(picture_id, frame_idx, width, height) -> canvas size and the place and size of the drawn frame.
 
     Without a size the canvas is the smallest frame width by the smallest height.
     """
-    w = Window.partitionBy("image_id")
+    w = Window.partitionBy("picture_id")
     cw = F.lit(width) if width > 0 else F.min("width").over(w)
     ch = F.lit(height) if height > 0 else F.min("height").over(w)
     rows = sizes.withColumn("canvas_w", cw).withColumn("canvas_h", ch)
@@ -135,12 +135,12 @@ def fit_geometry(sizes: DataFrame, fit: str = "contain", upscale: bool = False,
         scale = scale if upscale else F.least(F.lit(1.0), scale)
         dw, dh = (F.greatest(F.lit(1), F.floor(s * scale + 0.5).cast("int")) for s in (sw, sh))
     rows = rows.withColumn("draw_w", dw.cast("int")).withColumn("draw_h", dh.cast("int"))
-    return rows.select("image_id", "frame_idx", "canvas_w", "canvas_h", "draw_w", "draw_h", idiv(cw - F.col("draw_w"), 2).alias("draw_x"), idiv(ch - F.col("draw_h"), 2).alias("draw_y"), copied.alias("copied"))
+    return rows.select("picture_id", "frame_idx", "canvas_w", "canvas_h", "draw_w", "draw_h", idiv(cw - F.col("draw_w"), 2).alias("draw_x"), idiv(ch - F.col("draw_h"), 2).alias("draw_y"), copied.alias("copied"))
 
 
 def runs(px: DataFrame, *keys: str) -> DataFrame:
     """Maximal runs of equal neighbours along each row of pixels."""
-    keys = keys or ("image_id", "y")
+    keys = keys or ("picture_id", "y")
     w = Window.partitionBy(*keys).orderBy("x")
     p = pack(*Argb.of())
     rows = px.select(*keys, "x", p.alias("p"))
@@ -171,6 +171,6 @@ def first_frames(frames: DataFrame) -> DataFrame:
 
 def appended(frames: DataFrame, more: DataFrame) -> DataFrame:
     """More frames after the last of each animation, in their own order."""
-    last = frames.groupBy("image_id").agg(F.max("frame_idx").alias("last"))
-    moved = more.join(last, "image_id", "left").withColumn("frame_idx", (F.col("frame_idx") + F.coalesce(F.col("last") + 1, F.lit(0))).cast("int"))
+    last = frames.groupBy("picture_id").agg(F.max("frame_idx").alias("last"))
+    moved = more.join(last, "picture_id", "left").withColumn("frame_idx", (F.col("frame_idx") + F.coalesce(F.col("last") + 1, F.lit(0))).cast("int"))
     return frames.unionByName(moved.drop("last"))

@@ -1,6 +1,6 @@
 """Registered queries of the raster operators and their SQL counterparts.
 
-Each entry is a builder over the derived images of ``inputs`` and, where SQL can
+Each entry is a builder over the derived pictures of ``inputs`` and, where SQL can
 say it, the same result in SQL text written on its own.
 """
 
@@ -48,7 +48,7 @@ def _rnd(x: str) -> str:
     return f"CAST(floor(CAST({x} AS DOUBLE) + 0.5) AS INTEGER)"
 
 
-def _colors(a: str, r: str, g: str, b: str, source: str = "px", keys: str = "image_id, x, y") -> str:
+def _colors(a: str, r: str, g: str, b: str, source: str = "px", keys: str = "picture_id, x, y") -> str:
     return f"SELECT {keys}, " + ", ".join(f"CAST({e} AS INTEGER) AS {n}" for e, n in zip((a, r, g, b), "argb")) + f" FROM {source}"
 
 
@@ -105,13 +105,13 @@ for _bits in (1, 3, 5):
 add(
     "px_pack",
     lambda spark, d: pixels(spark, d).select(*P.KEYS, C.unsigned(C.pack(*C.Argb.of())).alias("argb"), C.unsigned(C.with_alpha(C.pack(*C.Argb.of()), F.lit(128))).alias("half")),
-    f"WITH {PX} SELECT image_id, x, y, {_PACKED} AS argb, {_PACK.format(a='CAST(128 AS BIGINT)', r='r', g='g', b='b')} AS half FROM px",
+    f"WITH {PX} SELECT picture_id, x, y, {_PACKED} AS argb, {_PACK.format(a='CAST(128 AS BIGINT)', r='r', g='g', b='b')} AS half FROM px",
 )
 add("px_unpack", lambda spark, d: pixels(spark, d).select(*P.KEYS, *C.Argb.unpacked(C.pack(*C.Argb.of())).named()), f"WITH {PX} " + _colors("a", "r", "g", "b"))
 add(
     "px_lumas",
     lambda spark, d: pixels(spark, d).select(*P.KEYS, C.luma(C.Argb.of()).cast("double").alias("weighted"), C.plain_luma(C.Argb.of()).cast("double").alias("plain"), C.print_luma(C.Argb.of()).alias("printed"), C.quick_luma(C.Argb.of()).alias("quick")),
-    f"WITH {PX} SELECT image_id, x, y, CAST(CAST(({_LUMA}) AS FLOAT) * CAST({_fl('a')} / {_fl(255)} AS FLOAT) AS DOUBLE) AS weighted, CAST({_LUMA} AS DOUBLE) AS plain, (299 * r + 587 * g + 114 * b + 500) // 1000 AS printed, (r + 2 * g + b) // 4 AS quick FROM px",
+    f"WITH {PX} SELECT picture_id, x, y, CAST(CAST(({_LUMA}) AS FLOAT) * CAST({_fl('a')} / {_fl(255)} AS FLOAT) AS DOUBLE) AS weighted, CAST({_LUMA} AS DOUBLE) AS plain, (299 * r + 587 * g + 114 * b + 500) // 1000 AS printed, (r + 2 * g + b) // 4 AS quick FROM px",
 )
 
 
@@ -131,14 +131,14 @@ _add_color("px_hsv", lambda p: C.hsv(p.r * 3 - 200, C.f32(p.g) / C.f32(255), C.f
 add(
     "px_ycbcr",
     lambda spark, d: pixels(spark, d).select(*P.KEYS, *(c.cast("int").alias(n) for c, n in zip(C.to_ycbcr(C.Argb.of()), ("luma", "cb", "cr")))),
-    f"""WITH {PX} SELECT image_id, x, y, CAST(greatest(0, least(255, floor((66 * r + 129 * g + 25 * b + 128) / 256.0) + 16)) AS INTEGER) AS luma,
+    f"""WITH {PX} SELECT picture_id, x, y, CAST(greatest(0, least(255, floor((66 * r + 129 * g + 25 * b + 128) / 256.0) + 16)) AS INTEGER) AS luma,
 CAST(greatest(0, least(255, floor((-38 * r - 74 * g + 112 * b + 128) / 256.0) + 128)) AS INTEGER) AS cb,
 CAST(greatest(0, least(255, floor((112 * r - 94 * g - 18 * b + 128) / 256.0) + 128)) AS INTEGER) AS cr FROM px""",
 )
 add(
     "px_chroma_plane",
-    lambda spark, d: pixels(spark, d).filter((F.col("x") % 2 == 0) & (F.col("y") % 2 == 0)).select("image_id", C.idiv(F.col("x"), 2).alias("x"), C.idiv(F.col("y"), 2).alias("y"), *(c.cast("int").alias(n) for c, n in zip(C.to_ycbcr(C.Argb.of())[1:], ("cb", "cr")))),
-    f"""WITH {PX} SELECT image_id, x // 2 AS x, y // 2 AS y,
+    lambda spark, d: pixels(spark, d).filter((F.col("x") % 2 == 0) & (F.col("y") % 2 == 0)).select("picture_id", C.idiv(F.col("x"), 2).alias("x"), C.idiv(F.col("y"), 2).alias("y"), *(c.cast("int").alias(n) for c, n in zip(C.to_ycbcr(C.Argb.of())[1:], ("cb", "cr")))),
+    f"""WITH {PX} SELECT picture_id, x // 2 AS x, y // 2 AS y,
 CAST(greatest(0, least(255, floor((-38 * r - 74 * g + 112 * b + 128) / 256.0) + 128)) AS INTEGER) AS cb,
 CAST(greatest(0, least(255, floor((112 * r - 94 * g - 18 * b + 128) / 256.0) + 128)) AS INTEGER) AS cr FROM px WHERE x % 2 = 0 AND y % 2 = 0""",
 )
@@ -152,7 +152,7 @@ _add_color("px_from_ycbcr", lambda p: C.from_ycbcr(p.r, p.g, p.b), f"WITH {PX} "
 add(
     "px_cache_slot",
     lambda spark, d: pixels(spark, d).select(*P.KEYS, C.cache_slot(C.pack(*C.Argb.of()), 10).alias("slot")),
-    f"WITH {PX} SELECT image_id, x, y, CAST((CAST({_PACKED} AS HUGEINT) * 506832829 % 4294967296) // 4194304 AS INTEGER) AS slot FROM px",
+    f"WITH {PX} SELECT picture_id, x, y, CAST((CAST({_PACKED} AS HUGEINT) * 506832829 % 4294967296) // 4194304 AS INTEGER) AS slot FROM px",
 )
 add(
     "px_prefix_code",
@@ -165,7 +165,7 @@ CAST(CASE WHEN v < 5 THEN 0 ELSE (v - 1) % (1 << (hb - 1)) END AS INTEGER) AS ex
 add(
     "px_scale_sample",
     lambda spark, d: pixels(spark, d).select(*P.KEYS, C.scale_sample(F.col("r") * 3, 1023).alias("narrow"), C.scale_sample(F.col("g"), 100).alias("wide")),
-    f"WITH {PX} SELECT image_id, x, y, least(255, r * 3 * 255 // 1023) AS narrow, least(255, g * 255 // 100) AS wide FROM px",
+    f"WITH {PX} SELECT picture_id, x, y, least(255, r * 3 * 255 // 1023) AS narrow, least(255, g * 255 // 100) AS wide FROM px",
 )
 add(
     "px_quality_index",
@@ -202,19 +202,19 @@ for _mode in C.BLENDS:
     add(
         f"blit_{_mode}",
         lambda spark, d, m=_mode: P.blit(side(spark, d, 1), side(spark, d, 0), 3, -2, m),
-        f"WITH {PAIR}, bl AS (SELECT d0.*, sa, sr, sg, sb FROM d0 LEFT JOIN s0 ON d0.image_id = s0.image_id AND d0.x = s0.x + 3 AND d0.y = s0.y - 2) "
+        f"WITH {PAIR}, bl AS (SELECT d0.*, sa, sr, sg, sb FROM d0 LEFT JOIN s0 ON d0.picture_id = s0.picture_id AND d0.x = s0.x + 3 AND d0.y = s0.y - 2) "
         + _colors(*(f"CASE WHEN sa IS NULL OR sa = 0 THEN d{n} ELSE {_BLEND_SQL[_mode](n)} END" for n in "argb"), source="bl"),
     )
 add(
     "blit_opaque_copy",
     lambda spark, d: P.blit(side(spark, d, 1), side(spark, d, 0), -1, 1, opaque_source=True),
-    f"WITH {PAIR} SELECT d0.image_id, d0.x, d0.y, coalesce(sa, da) AS a, coalesce(sr, dr) AS r, coalesce(sg, dg) AS g, coalesce(sb, db) AS b FROM d0 LEFT JOIN s0 ON d0.image_id = s0.image_id AND d0.x = s0.x - 1 AND d0.y = s0.y + 1",
+    f"WITH {PAIR} SELECT d0.picture_id, d0.x, d0.y, coalesce(sa, da) AS a, coalesce(sr, dr) AS r, coalesce(sg, dg) AS g, coalesce(sb, db) AS b FROM d0 LEFT JOIN s0 ON d0.picture_id = s0.picture_id AND d0.x = s0.x - 1 AND d0.y = s0.y + 1",
 )
 add(
     "blit_scaled",
     lambda spark, d: P.blit_scaled(side(spark, d, 1), side(spark, d, 0), 1, 2, 5, 11, 8, 8),
     f"WITH {PAIR}, g AS (SELECT CAST(t.tx AS INTEGER) AS tx, CAST(u.ty AS INTEGER) AS ty FROM range(5) t(tx), range(11) u(ty)), "
-    "sc AS (SELECT image_id, tx + 1 AS x, ty + 2 AS y, sa, sr, sg, sb FROM s0 JOIN g ON s0.x = tx * 8 // 5 AND s0.y = ty * 8 // 11), bl AS (SELECT * FROM d0 LEFT JOIN sc USING (image_id, x, y)) "
+    "sc AS (SELECT picture_id, tx + 1 AS x, ty + 2 AS y, sa, sr, sg, sb FROM s0 JOIN g ON s0.x = tx * 8 // 5 AND s0.y = ty * 8 // 11), bl AS (SELECT * FROM d0 LEFT JOIN sc USING (picture_id, x, y)) "
     + _colors(*(f"CASE WHEN sa IS NULL OR sa = 0 THEN d{n} ELSE {_BLEND_SQL['normal'](n)} END" for n in "argb"), source="bl"),
 )
 
@@ -226,8 +226,8 @@ def _tinted(n: str) -> str:
 add(
     "blit_tinted",
     lambda spark, d: P.blit(side(spark, d, 1), P.colored(side(spark, d, 0), lambda p: C.tint(p, 0xFFC840A0)), 0, 0, "add"),
-    f"WITH {PX}, s0 AS (SELECT image_id // 2 AS image_id, x, y, " + ", ".join(f"{_tinted(n)} AS s{n}" for n in "argb") + " FROM px WHERE image_id % 2 = 0), "
-    "d0 AS (SELECT image_id // 2 AS image_id, x, y, a AS da, r AS dr, g AS dg, b AS db FROM px WHERE image_id % 2 = 1), bl AS (SELECT * FROM d0 LEFT JOIN s0 USING (image_id, x, y)) "
+    f"WITH {PX}, s0 AS (SELECT picture_id // 2 AS picture_id, x, y, " + ", ".join(f"{_tinted(n)} AS s{n}" for n in "argb") + " FROM px WHERE picture_id % 2 = 0), "
+    "d0 AS (SELECT picture_id // 2 AS picture_id, x, y, a AS da, r AS dr, g AS dg, b AS db FROM px WHERE picture_id % 2 = 1), bl AS (SELECT * FROM d0 LEFT JOIN s0 USING (picture_id, x, y)) "
     + _colors(*(f"CASE WHEN sa IS NULL OR sa = 0 THEN d{n} ELSE {_BLEND_SQL['add'](n)} END" for n in "argb"), source="bl"),
 )
 add(
@@ -262,7 +262,7 @@ for _mode, _sql in _DIFF_SQL.items():
 add(
     "diff_coverage",
     lambda spark, d: P.paired(side(spark, d, 0).filter("r % 5 <> 0"), side(spark, d, 1).filter("r % 7 <> 0"), "full").select(*P.KEYS, *DIFFS["coverage"](C.Argb.of("s"), C.Argb.of("d")).named()),
-    f"WITH {PAIR}, pr2 AS (SELECT image_id, x, y, coalesce(sa, 0) AS sa, coalesce(da, 0) AS da FROM (SELECT * FROM s0 WHERE sr % 5 <> 0) FULL JOIN (SELECT * FROM d0 WHERE dr % 7 <> 0) USING (image_id, x, y)) "
+    f"WITH {PAIR}, pr2 AS (SELECT picture_id, x, y, coalesce(sa, 0) AS sa, coalesce(da, 0) AS da FROM (SELECT * FROM s0 WHERE sr % 5 <> 0) FULL JOIN (SELECT * FROM d0 WHERE dr % 7 <> 0) USING (picture_id, x, y)) "
     + _colors(*(f"CASE WHEN sa = 0 AND da = 0 THEN 0 WHEN sa > 0 AND da > 0 THEN {b} WHEN sa > 0 THEN {m} ELSE {c} END" for b, m, c in ((255, 255, 255), (0x30, 255, 0), (0x30, 0, 255), (0x34, 255, 255))), source="pr2"),
 )
 
@@ -270,7 +270,7 @@ add(
 
 
 def _add_move(name: str, build, x: str, y: str, where: str = "") -> None:
-    add(name, lambda spark, d: build(pixels(spark, d)), f"WITH {PX} SELECT image_id, {x} AS x, {y} AS y, a, r, g, b FROM px {where}")
+    add(name, lambda spark, d: build(pixels(spark, d)), f"WITH {PX} SELECT picture_id, {x} AS x, {y} AS y, a, r, g, b FROM px {where}")
 
 
 _add_move("geo_crop", lambda px: P.crop(px, 2, 1, 4, 5, 8, 8), "x - 2", "y - 1", "WHERE x BETWEEN 2 AND 5 AND y BETWEEN 1 AND 5")
@@ -285,7 +285,7 @@ _add_move("geo_rot270", lambda px: P.rotate270(px, 8, 8), "y", "7 - x")
 add(
     "geo_resize_nearest",
     lambda spark, d: P.resize_nearest(pixels(spark, d), 8, 8, 5, 13),
-    f"WITH {PX}, g AS (SELECT CAST(t.tx AS INTEGER) AS tx, CAST(u.ty AS INTEGER) AS ty FROM range(5) t(tx), range(13) u(ty)) SELECT image_id, tx AS x, ty AS y, a, r, g, b FROM px JOIN (SELECT tx, ty FROM g) k ON x = tx * 8 // 5 AND y = ty * 8 // 13",
+    f"WITH {PX}, g AS (SELECT CAST(t.tx AS INTEGER) AS tx, CAST(u.ty AS INTEGER) AS ty FROM range(5) t(tx), range(13) u(ty)) SELECT picture_id, tx AS x, ty AS y, a, r, g, b FROM px JOIN (SELECT tx, ty FROM g) k ON x = tx * 8 // 5 AND y = ty * 8 // 13",
 )
 
 
@@ -300,67 +300,67 @@ def _bilinear_sql(w: int, h: int) -> str:
         taps = [f"{_fl(f'p{k}.{c}')} * CAST({wx} * {wy} AS FLOAT)" for k, (wx, wy) in {"00": (f"({one} - ax.f)", f"({one} - ay.f)"), "10": ("ax.f", f"({one} - ay.f)"), "01": (f"({one} - ax.f)", "ay.f"), "11": ("ax.f", "ay.f")}.items()]
         return f"greatest(0, least(255, CAST(trunc({' + '.join(taps)}) AS INTEGER)))"
 
-    joins = " ".join(f"JOIN px p{i}{j} ON p{i}{j}.image_id = p00.image_id AND p{i}{j}.x = ax.s + {i} AND p{i}{j}.y = ay.s + {j}" for i, j in ((1, 0), (0, 1), (1, 1)))
-    return f"WITH {PX}, {axis('ax', w)}, {axis('ay', h)} SELECT p00.image_id, ax.t AS x, ay.t AS y, " + ", ".join(f"{mix(c)} AS {c}" for c in "argb") + f" FROM ax CROSS JOIN ay JOIN px p00 ON p00.x = ax.s AND p00.y = ay.s {joins}"
+    joins = " ".join(f"JOIN px p{i}{j} ON p{i}{j}.picture_id = p00.picture_id AND p{i}{j}.x = ax.s + {i} AND p{i}{j}.y = ay.s + {j}" for i, j in ((1, 0), (0, 1), (1, 1)))
+    return f"WITH {PX}, {axis('ax', w)}, {axis('ay', h)} SELECT p00.picture_id, ax.t AS x, ay.t AS y, " + ", ".join(f"{mix(c)} AS {c}" for c in "argb") + f" FROM ax CROSS JOIN ay JOIN px p00 ON p00.x = ax.s AND p00.y = ay.s {joins}"
 
 
 add("geo_resize_bilinear", lambda spark, d: P.resize_bilinear(pixels(spark, d), 8, 8, 5, 11), _bilinear_sql(5, 11))
 add(
     "geo_trim",
-    lambda spark, d: P.trim(pixels(spark, d).withColumn("a", F.when((F.col("x") < F.col("image_id") % 4) | (F.col("y") > 6), 0).otherwise(F.col("a")))),
-    f"WITH {PX}, q AS (SELECT image_id, x, y, CASE WHEN x < image_id % 4 OR y > 6 THEN 0 ELSE a END AS a, r, g, b FROM px), "
-    "bx AS (SELECT image_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM q WHERE a <> 0 GROUP BY image_id) "
-    "SELECT image_id, x - coalesce(x0, 0) AS x, y - coalesce(y0, 0) AS y, a, r, g, b FROM q LEFT JOIN bx USING (image_id) WHERE x0 IS NULL OR (x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1)",
+    lambda spark, d: P.trim(pixels(spark, d).withColumn("a", F.when((F.col("x") < F.col("picture_id") % 4) | (F.col("y") > 6), 0).otherwise(F.col("a")))),
+    f"WITH {PX}, q AS (SELECT picture_id, x, y, CASE WHEN x < picture_id % 4 OR y > 6 THEN 0 ELSE a END AS a, r, g, b FROM px), "
+    "bx AS (SELECT picture_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM q WHERE a <> 0 GROUP BY picture_id) "
+    "SELECT picture_id, x - coalesce(x0, 0) AS x, y - coalesce(y0, 0) AS y, a, r, g, b FROM q LEFT JOIN bx USING (picture_id) WHERE x0 IS NULL OR (x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1)",
 )
 add("fill_rect", lambda spark, d: P.fill_rect(pixels(spark, d), -2, 3, 5, 9, 0x80102030), f"WITH {PX} " + _colors(*(f"CASE WHEN x <= 2 AND y >= 3 THEN {v} ELSE {c} END" for c, v in zip("argb", (0x80, 0x10, 0x20, 0x30)))))
 add("fill", lambda spark, d: P.colored(pixels(spark, d), lambda p: C.Argb.literal(0x7F010203)), f"WITH {PX} " + _colors("127", "1", "2", "3"))
 add(
     "put_pixels",
     lambda spark, d: P.put(side(spark, d, 0), side(spark, d, 1).filter("r % 4 = 0").withColumn("ord", F.col("r"))),
-    f"WITH {PAIR} SELECT image_id, x, y, " + ", ".join(f"CASE WHEN dr % 4 = 0 THEN d{n} ELSE s{n} END AS {n}" for n in "argb") + " FROM pr",
+    f"WITH {PAIR} SELECT picture_id, x, y, " + ", ".join(f"CASE WHEN dr % 4 = 0 THEN d{n} ELSE s{n} END AS {n}" for n in "argb") + " FROM pr",
 )
 add(
     "frames_round_trip",
     lambda spark, d: P.to_pixels(P.to_frames(pixels(spark, d).filter("r % 3 <> 0"), 8, 8)),
-    f"WITH {PX}, k AS (SELECT DISTINCT image_id FROM px WHERE r % 3 <> 0) " + _colors(*(f"CASE WHEN r % 3 <> 0 THEN {c} ELSE 0 END" for c in "argb"), source="px JOIN k USING (image_id)"),
+    f"WITH {PX}, k AS (SELECT DISTINCT picture_id FROM px WHERE r % 3 <> 0) " + _colors(*(f"CASE WHEN r % 3 <> 0 THEN {c} ELSE 0 END" for c in "argb"), source="px JOIN k USING (picture_id)"),
 )
 for _name, _cell in (("bg_checkerboard", 2), ("bg_checkerboard_default", 8)):
     add(
         _name,
         lambda spark, d, c=_cell: P.over_background(pixels(spark, d), lambda x, y: P.checkerboard(x, y, cell=c)),
-        f"WITH {PX}, pr AS (SELECT image_id, x, y, a AS sa, r AS sr, g AS sg, b AS sb, 255 AS da, " + ", ".join(f"CASE WHEN (x // {_cell} + y // {_cell}) % 2 = 0 THEN {p} ELSE {q} END AS d{n}" for n, p, q in (("r", 0x20, 0x18), ("g", 0x20, 0x18), ("b", 0x24, 0x20))) + " FROM px) "
+        f"WITH {PX}, pr AS (SELECT picture_id, x, y, a AS sa, r AS sr, g AS sg, b AS sb, 255 AS da, " + ", ".join(f"CASE WHEN (x // {_cell} + y // {_cell}) % 2 = 0 THEN {p} ELSE {q} END AS d{n}" for n, p, q in (("r", 0x20, 0x18), ("g", 0x20, 0x18), ("b", 0x24, 0x20))) + " FROM px) "
         + _colors(*(_BLEND_SQL["normal"](n) for n in "argb"), source="pr"),
     )
 add(
     "bg_solid",
     lambda spark, d: P.over_background(pixels(spark, d), lambda x, y: C.Argb.literal(0xFF336699)),
-    f"WITH {PX}, pr AS (SELECT image_id, x, y, a AS sa, r AS sr, g AS sg, b AS sb, 255 AS da, 51 AS dr, 102 AS dg, 153 AS db FROM px) " + _colors(*(_BLEND_SQL["normal"](n) for n in "argb"), source="pr"),
+    f"WITH {PX}, pr AS (SELECT picture_id, x, y, a AS sa, r AS sr, g AS sg, b AS sb, 255 AS da, 51 AS dr, 102 AS dg, 153 AS db FROM px) " + _colors(*(_BLEND_SQL["normal"](n) for n in "argb"), source="pr"),
 )
 add(
     "luma_histogram",
-    lambda spark, d: P.colored(P.over_background(pixels(spark, d), lambda x, y: P.checkerboard(x, y, cell=2)), C.grayscale).groupBy("image_id", F.col("r").alias("level")).agg(F.count("*").alias("n")),
-    f"WITH {PX}, pr AS (SELECT image_id, x, y, a AS sa, r AS sr, g AS sg, b AS sb, 255 AS da, " + ", ".join(f"CASE WHEN (x // 2 + y // 2) % 2 = 0 THEN {p} ELSE {q} END AS d{n}" for n, p, q in (("r", 0x20, 0x18), ("g", 0x20, 0x18), ("b", 0x24, 0x20))) + " FROM px), bl AS ("
-    + _colors(*(_BLEND_SQL["normal"](n) for n in "argb"), source="pr") + f") SELECT image_id, {_gray} AS level, count(*) AS n FROM bl GROUP BY 1, 2",
+    lambda spark, d: P.colored(P.over_background(pixels(spark, d), lambda x, y: P.checkerboard(x, y, cell=2)), C.grayscale).groupBy("picture_id", F.col("r").alias("level")).agg(F.count("*").alias("n")),
+    f"WITH {PX}, pr AS (SELECT picture_id, x, y, a AS sa, r AS sr, g AS sg, b AS sb, 255 AS da, " + ", ".join(f"CASE WHEN (x // 2 + y // 2) % 2 = 0 THEN {p} ELSE {q} END AS d{n}" for n, p, q in (("r", 0x20, 0x18), ("g", 0x20, 0x18), ("b", 0x24, 0x20))) + " FROM px), bl AS ("
+    + _colors(*(_BLEND_SQL["normal"](n) for n in "argb"), source="pr") + f") SELECT picture_id, {_gray} AS level, count(*) AS n FROM bl GROUP BY 1, 2",
 )
 
 # -- aggregates ---------------------------------------------------------------------------------
 
-_BOUNDS = "SELECT image_id, coalesce(min(x) FILTER (a <> 0), 0) AS x, coalesce(min(y) FILTER (a <> 0), 0) AS y, coalesce(max(x) FILTER (a <> 0) - min(x) FILTER (a <> 0) + 1, 0) AS width, coalesce(max(y) FILTER (a <> 0) - min(y) FILTER (a <> 0) + 1, 0) AS height FROM {} GROUP BY image_id"
+_BOUNDS = "SELECT picture_id, coalesce(min(x) FILTER (a <> 0), 0) AS x, coalesce(min(y) FILTER (a <> 0), 0) AS y, coalesce(max(x) FILTER (a <> 0) - min(x) FILTER (a <> 0) + 1, 0) AS width, coalesce(max(y) FILTER (a <> 0) - min(y) FILTER (a <> 0) + 1, 0) AS height FROM {} GROUP BY picture_id"
 add("opaque_bounds", lambda spark, d: P.opaque_bounds(pixels(spark, d)), f"WITH {PX} " + _BOUNDS.format("px"))
 add("opaque_bounds_sparse", lambda spark, d: P.opaque_bounds(sparse(spark, d)), f"WITH {SPARSE} " + _BOUNDS.format("ln"))
-_HIST = f"SELECT image_id, CAST(r * 65536 + g * 256 + b AS BIGINT) AS rgb, count(*) AS n, min(y * 8 + x) AS first_seen FROM px WHERE a <> 0 GROUP BY 1, 2"
+_HIST = f"SELECT picture_id, CAST(r * 65536 + g * 256 + b AS BIGINT) AS rgb, count(*) AS n, min(y * 8 + x) AS first_seen FROM px WHERE a <> 0 GROUP BY 1, 2"
 add("color_histogram", lambda spark, d: S.color_histogram(pixels(spark, d), 8), f"WITH {PX} {_HIST}")
-add("palette_exact", lambda spark, d: S.exact_palette(pixels(spark, d), 8), f"WITH {PX}, h AS ({_HIST}) SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY first_seen) - 1 AS INTEGER) AS slot, rgb, n FROM h QUALIFY count(*) OVER (PARTITION BY image_id) <= 256")
+add("palette_exact", lambda spark, d: S.exact_palette(pixels(spark, d), 8), f"WITH {PX}, h AS ({_HIST}) SELECT picture_id, CAST(row_number() OVER (PARTITION BY picture_id ORDER BY first_seen) - 1 AS INTEGER) AS slot, rgb, n FROM h QUALIFY count(*) OVER (PARTITION BY picture_id) <= 256")
 add(
     "palette_exact_reserved",
     lambda spark, d: S.exact_palette(pixels(spark, d), 8, transparent_slot=5, most=40),
-    f"WITH {PX}, h AS ({_HIST}), k AS (SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY first_seen) - 1 AS INTEGER) AS slot, rgb, n FROM h QUALIFY count(*) OVER (PARTITION BY image_id) <= 39) SELECT image_id, CASE WHEN slot >= 5 THEN slot + 1 ELSE slot END AS slot, rgb, n FROM k",
+    f"WITH {PX}, h AS ({_HIST}), k AS (SELECT picture_id, CAST(row_number() OVER (PARTITION BY picture_id ORDER BY first_seen) - 1 AS INTEGER) AS slot, rgb, n FROM h QUALIFY count(*) OVER (PARTITION BY picture_id) <= 39) SELECT picture_id, CASE WHEN slot >= 5 THEN slot + 1 ELSE slot END AS slot, rgb, n FROM k",
 )
 _SIGNED = f"CASE WHEN {_PACKED} > 2147483647 THEN {_PACKED} - 4294967296 ELSE {_PACKED} END"
 add(
     "palette_sorted",
-    lambda spark, d: S.sorted_palette(pixels(spark, d), 40).select("image_id", "n", F.array_join(F.transform("palette", lambda c: c.cast("string")), ",").alias("palette")),
-    f"WITH {PX}, k AS (SELECT DISTINCT image_id, {_SIGNED} AS c FROM px) SELECT image_id, CAST(count(*) AS INTEGER) AS n, CASE WHEN count(*) <= 40 THEN string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) END AS palette FROM k GROUP BY image_id",
+    lambda spark, d: S.sorted_palette(pixels(spark, d), 40).select("picture_id", "n", F.array_join(F.transform("palette", lambda c: c.cast("string")), ",").alias("palette")),
+    f"WITH {PX}, k AS (SELECT DISTINCT picture_id, {_SIGNED} AS c FROM px) SELECT picture_id, CAST(count(*) AS INTEGER) AS n, CASE WHEN count(*) <= 40 THEN string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) END AS palette FROM k GROUP BY picture_id",
 )
 
 
@@ -377,51 +377,51 @@ add(
 add("palette_median_cut", lambda spark, d: S.median_cut(S.color_histogram(pixels(spark, d), 8), 16))
 add(
     "palette_delta",
-    lambda spark, d: S.palette_deltas(S.exact_palette(pixels(spark, d), 8).select("image_id", "slot", *C.Argb.unpacked((F.col("rgb") - 16777216).cast("int")).named())),
-    f"WITH {PX}, h AS ({_HIST}), k AS (SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY first_seen) - 1 AS INTEGER) AS slot, 255 AS a, rgb // 65536 AS r, rgb // 256 % 256 AS g, rgb % 256 AS b FROM h) SELECT image_id, slot, "
-    + ", ".join(f"CAST(({c} - coalesce(lag({c}) OVER (PARTITION BY image_id ORDER BY slot), 0) + 256) % 256 AS INTEGER) AS {c}" for c in "argb") + " FROM k",
+    lambda spark, d: S.palette_deltas(S.exact_palette(pixels(spark, d), 8).select("picture_id", "slot", *C.Argb.unpacked((F.col("rgb") - 16777216).cast("int")).named())),
+    f"WITH {PX}, h AS ({_HIST}), k AS (SELECT picture_id, CAST(row_number() OVER (PARTITION BY picture_id ORDER BY first_seen) - 1 AS INTEGER) AS slot, 255 AS a, rgb // 65536 AS r, rgb // 256 % 256 AS g, rgb % 256 AS b FROM h) SELECT picture_id, slot, "
+    + ", ".join(f"CAST(({c} - coalesce(lag({c}) OVER (PARTITION BY picture_id ORDER BY slot), 0) + 256) % 256 AS INTEGER) AS {c}" for c in "argb") + " FROM k",
 )
 add(
     "palette_pack",
     lambda spark, d: S.packed_indices(pixels(spark, d).withColumn("slot", F.col("r") % 4), 2),
-    f"WITH {PX} SELECT image_id, y, x // 4 AS x, CAST(sum((r % 4) << (x % 4 * 2)) AS INTEGER) AS packed FROM px GROUP BY 1, 2, 3",
+    f"WITH {PX} SELECT picture_id, y, x // 4 AS x, CAST(sum((r % 4) << (x % 4 * 2)) AS INTEGER) AS packed FROM px GROUP BY 1, 2, 3",
 )
-add("palette_bits", lambda spark, d: S.sorted_palette(pixels(spark, d)).select("image_id", S.palette_bits(F.col("n")).alias("bits")), f"WITH {PX} SELECT image_id, CASE WHEN count(DISTINCT {_PACKED}) <= 2 THEN 1 WHEN count(DISTINCT {_PACKED}) <= 4 THEN 2 WHEN count(DISTINCT {_PACKED}) <= 16 THEN 4 ELSE 8 END AS bits FROM px GROUP BY 1")
+add("palette_bits", lambda spark, d: S.sorted_palette(pixels(spark, d)).select("picture_id", S.palette_bits(F.col("n")).alias("bits")), f"WITH {PX} SELECT picture_id, CASE WHEN count(DISTINCT {_PACKED}) <= 2 THEN 1 WHEN count(DISTINCT {_PACKED}) <= 4 THEN 2 WHEN count(DISTINCT {_PACKED}) <= 16 THEN 4 ELSE 8 END AS bits FROM px GROUP BY 1")
 for _w, _h in ((3, 5), (13, 20)):
     add(
         f"mask_downsample_{_w}x{_h}",
         lambda spark, d, w=_w, h=_h: S.mask_downsample(pixels(spark, d).filter("r % 9 = 0").select(*P.KEYS), 8, 8, w, h),
         f"WITH {PX}, gx AS (SELECT CAST(i AS INTEGER) AS o, CAST(i * 8 // {_w} AS INTEGER) AS lo, CAST(greatest(i * 8 // {_w} + 1, (i + 1) * 8 // {_w}) AS INTEGER) AS hi FROM range({_w}) t(i)), gy AS (SELECT CAST(i AS INTEGER) AS o, CAST(i * 8 // {_h} AS INTEGER) AS lo, CAST(greatest(i * 8 // {_h} + 1, (i + 1) * 8 // {_h}) AS INTEGER) AS hi FROM range({_h}) t(i)) "
-        "SELECT DISTINCT image_id, gx.o AS x, gy.o AS y FROM px JOIN gx ON x >= gx.lo AND x < gx.hi JOIN gy ON y >= gy.lo AND y < gy.hi WHERE r % 9 = 0",
+        "SELECT DISTINCT picture_id, gx.o AS x, gy.o AS y FROM px JOIN gx ON x >= gx.lo AND x < gx.hi JOIN gy ON y >= gy.lo AND y < gy.hi WHERE r % 9 = 0",
     )
-_VAR = "SELECT image_id, x // 4 AS tx, y // 4 AS ty, CAST(sum(((r + 2 * g + b) // 4) * ((r + 2 * g + b) // 4)) - (sum((r + 2 * g + b) // 4) * sum((r + 2 * g + b) // 4)) // count(*) AS INTEGER) AS variance FROM px GROUP BY 1, 2, 3"
+_VAR = "SELECT picture_id, x // 4 AS tx, y // 4 AS ty, CAST(sum(((r + 2 * g + b) // 4) * ((r + 2 * g + b) // 4)) - (sum((r + 2 * g + b) // 4) * sum((r + 2 * g + b) // 4)) // count(*) AS INTEGER) AS variance FROM px GROUP BY 1, 2, 3"
 add("tile_variance", lambda spark, d: S.tile_variance(pixels(spark, d), 4), f"WITH {PX} {_VAR}")
 add(
     "tile_segments",
     lambda spark, d: S.tile_segments(S.tile_variance(pixels(spark, d), 2)),
-    f"WITH {PX}, v AS ({_VAR.replace('// 4 AS t', '// 2 AS t')}), k AS (SELECT image_id, list(variance ORDER BY variance) AS o, max(variance) - min(variance) AS spread FROM v GROUP BY 1) "
-    "SELECT image_id, tx, ty, variance, CASE WHEN spread < 400 THEN 0 WHEN variance < o[len(o) // 4 + 1] THEN 0 WHEN variance < o[len(o) * 2 // 4 + 1] THEN 1 WHEN variance < o[len(o) * 3 // 4 + 1] THEN 2 ELSE 3 END AS segment FROM v JOIN k USING (image_id)",
+    f"WITH {PX}, v AS ({_VAR.replace('// 4 AS t', '// 2 AS t')}), k AS (SELECT picture_id, list(variance ORDER BY variance) AS o, max(variance) - min(variance) AS spread FROM v GROUP BY 1) "
+    "SELECT picture_id, tx, ty, variance, CASE WHEN spread < 400 THEN 0 WHEN variance < o[len(o) // 4 + 1] THEN 0 WHEN variance < o[len(o) * 2 // 4 + 1] THEN 1 WHEN variance < o[len(o) * 3 // 4 + 1] THEN 2 ELSE 3 END AS segment FROM v JOIN k USING (picture_id)",
 )
 add(
     "block_errors",
     lambda spark, d: S.block_errors(P.paired(side(spark, d, 0), side(spark, d, 1)), 4),
-    f"WITH {PAIR} SELECT image_id, x // 4 AS bx, y // 4 AS by, CAST(sum(abs(sr - dr) + abs(sg - dg) + abs(sb - db)) AS BIGINT) AS sad, CAST(sum((sr - dr) * (sr - dr) + (sg - dg) * (sg - dg) + (sb - db) * (sb - db)) AS BIGINT) AS sse FROM pr GROUP BY 1, 2, 3",
+    f"WITH {PAIR} SELECT picture_id, x // 4 AS bx, y // 4 AS by, CAST(sum(abs(sr - dr) + abs(sg - dg) + abs(sb - db)) AS BIGINT) AS sad, CAST(sum((sr - dr) * (sr - dr) + (sg - dg) * (sg - dg) + (sb - db) * (sb - db)) AS BIGINT) AS sse FROM pr GROUP BY 1, 2, 3",
 )
 add(
     "buffer_equality",
-    lambda spark, d: P.paired(side(spark, d, 0), side(spark, d, 1), "full").groupBy("image_id").agg(F.coalesce(F.every(F.expr("sa <=> da AND sr <=> dr AND sg <=> dg AND sb <=> db")), F.lit(True)).alias("equal")),
-    f"WITH {PAIR} SELECT image_id, bool_and(sa IS NOT DISTINCT FROM da AND sr IS NOT DISTINCT FROM dr AND sg IS NOT DISTINCT FROM dg AND sb IS NOT DISTINCT FROM db) AS equal FROM s0 FULL JOIN d0 USING (image_id, x, y) GROUP BY 1",
+    lambda spark, d: P.paired(side(spark, d, 0), side(spark, d, 1), "full").groupBy("picture_id").agg(F.coalesce(F.every(F.expr("sa <=> da AND sr <=> dr AND sg <=> dg AND sb <=> db")), F.lit(True)).alias("equal")),
+    f"WITH {PAIR} SELECT picture_id, bool_and(sa IS NOT DISTINCT FROM da AND sr IS NOT DISTINCT FROM dr AND sg IS NOT DISTINCT FROM dg AND sb IS NOT DISTINCT FROM db) AS equal FROM s0 FULL JOIN d0 USING (picture_id, x, y) GROUP BY 1",
 )
 
 # -- time ------------------------------------------------------------------------------------------
 
-add("total_duration", lambda spark, d: L.total_duration(animation(spark, d)), f"WITH {ANIM} SELECT image_id, CAST(sum(delay_ms) AS BIGINT) AS total_ms, count(*) AS frames FROM fr GROUP BY 1")
+add("total_duration", lambda spark, d: L.total_duration(animation(spark, d)), f"WITH {ANIM} SELECT picture_id, CAST(sum(delay_ms) AS BIGINT) AS total_ms, count(*) AS frames FROM fr GROUP BY 1")
 
 
 def _delays_sql(m: int) -> str:
-    return f"""WITH {ANIM}, b AS (SELECT *, frame_idx + 1 AS i, CAST(floor(sum(delay_ms) OVER (PARTITION BY image_id ORDER BY frame_idx) / 10.0 + 0.5) AS BIGINT) AS due FROM fr),
-e AS (SELECT *, {m} * i + greatest(0, max(due - {m} * i) OVER (PARTITION BY image_id ORDER BY frame_idx)) AS emitted FROM b)
-SELECT image_id, frame_idx, CAST(emitted - lag(emitted, 1, 0) OVER (PARTITION BY image_id ORDER BY frame_idx) AS BIGINT) AS delay_cs FROM e"""
+    return f"""WITH {ANIM}, b AS (SELECT *, frame_idx + 1 AS i, CAST(floor(sum(delay_ms) OVER (PARTITION BY picture_id ORDER BY frame_idx) / 10.0 + 0.5) AS BIGINT) AS due FROM fr),
+e AS (SELECT *, {m} * i + greatest(0, max(due - {m} * i) OVER (PARTITION BY picture_id ORDER BY frame_idx)) AS emitted FROM b)
+SELECT picture_id, frame_idx, CAST(emitted - lag(emitted, 1, 0) OVER (PARTITION BY picture_id ORDER BY frame_idx) AS BIGINT) AS delay_cs FROM e"""
 
 
 add("gif_delays_playable", lambda spark, d: L.quantized_delays(animation(spark, d), 2), _delays_sql(2))
@@ -429,37 +429,37 @@ add("gif_delays_exact", lambda spark, d: L.quantized_delays(animation(spark, d),
 
 
 def _instants(spark: SparkSession, d: str) -> DataFrame:
-    return animation(spark, d).select("image_id", (F.col("frame_idx") * 57 + 13).cast("bigint").alias("elapsed_ms"))
+    return animation(spark, d).select("picture_id", (F.col("frame_idx") * 57 + 13).cast("bigint").alias("elapsed_ms"))
 
 
-_AT = f"""WITH {ANIM}, t AS (SELECT image_id, CAST(frame_idx * 57 + 13 AS BIGINT) AS elapsed_ms FROM fr),
-c AS (SELECT *, sum(delay_ms) OVER (PARTITION BY image_id ORDER BY frame_idx) AS stop, sum(delay_ms) OVER (PARTITION BY image_id) AS total, count(*) OVER (PARTITION BY image_id) AS n,
-  lead(frame_idx, 1, 0) OVER (PARTITION BY image_id ORDER BY frame_idx) AS after FROM fr),
-j AS (SELECT t.image_id, elapsed_ms, frame_idx, delay_ms, stop, total, n, after, elapsed_ms % total AS m FROM t JOIN c USING (image_id) WHERE total > 0 AND delay_ms > 0 AND elapsed_ms % total < stop AND elapsed_ms % total >= stop - delay_ms),
-z AS (SELECT t.image_id, elapsed_ms FROM t JOIN (SELECT image_id FROM fr GROUP BY 1 HAVING sum(delay_ms) <= 0) USING (image_id))"""
-add("frame_at_time", lambda spark, d: L.frame_at(animation(spark, d), _instants(spark, d)), f"{_AT} SELECT image_id, elapsed_ms, frame_idx FROM j UNION ALL SELECT image_id, elapsed_ms, 0 FROM z")
+_AT = f"""WITH {ANIM}, t AS (SELECT picture_id, CAST(frame_idx * 57 + 13 AS BIGINT) AS elapsed_ms FROM fr),
+c AS (SELECT *, sum(delay_ms) OVER (PARTITION BY picture_id ORDER BY frame_idx) AS stop, sum(delay_ms) OVER (PARTITION BY picture_id) AS total, count(*) OVER (PARTITION BY picture_id) AS n,
+  lead(frame_idx, 1, 0) OVER (PARTITION BY picture_id ORDER BY frame_idx) AS after FROM fr),
+j AS (SELECT t.picture_id, elapsed_ms, frame_idx, delay_ms, stop, total, n, after, elapsed_ms % total AS m FROM t JOIN c USING (picture_id) WHERE total > 0 AND delay_ms > 0 AND elapsed_ms % total < stop AND elapsed_ms % total >= stop - delay_ms),
+z AS (SELECT t.picture_id, elapsed_ms FROM t JOIN (SELECT picture_id FROM fr GROUP BY 1 HAVING sum(delay_ms) <= 0) USING (picture_id))"""
+add("frame_at_time", lambda spark, d: L.frame_at(animation(spark, d), _instants(spark, d)), f"{_AT} SELECT picture_id, elapsed_ms, frame_idx FROM j UNION ALL SELECT picture_id, elapsed_ms, 0 FROM z")
 _MID = "n > 1 AND m > stop - delay_ms"
 _SHARE = "CAST(m - (stop - delay_ms) AS DOUBLE) / delay_ms"
 add(
     "frame_at_time_lerp",
     lambda spark, d: L.frame_at(animation(spark, d), _instants(spark, d), True),
-    f"{_AT} SELECT image_id, elapsed_ms, CASE WHEN {_MID} AND {_SHARE} >= 0.999 THEN after ELSE frame_idx END AS frame_idx, CASE WHEN {_MID} AND {_SHARE} < 0.999 THEN after END AS next_idx, CASE WHEN {_MID} AND {_SHARE} < 0.999 THEN {_SHARE} END AS share FROM j UNION ALL SELECT image_id, elapsed_ms, 0, NULL, NULL FROM z",
+    f"{_AT} SELECT picture_id, elapsed_ms, CASE WHEN {_MID} AND {_SHARE} >= 0.999 THEN after ELSE frame_idx END AS frame_idx, CASE WHEN {_MID} AND {_SHARE} < 0.999 THEN after END AS next_idx, CASE WHEN {_MID} AND {_SHARE} < 0.999 THEN {_SHARE} END AS share FROM j UNION ALL SELECT picture_id, elapsed_ms, 0, NULL, NULL FROM z",
 )
 add(
     "keyframes",
-    lambda spark, d: animation(spark, d).withColumn("k", L.keyframe_interval(F.when(F.col("image_id") % 3 == 0, 4).otherwise(-1), F.count("*").over(P.Window.partitionBy("image_id")))).select("image_id", "frame_idx", F.coalesce(L.is_keyframe(F.col("frame_idx"), F.col("k")), F.lit(False)).alias("keyframe")),
-    f"WITH {ANIM}, k AS (SELECT *, CASE WHEN image_id % 3 = 0 THEN 4 WHEN count(*) OVER (PARTITION BY image_id) > 60 THEN 30 ELSE 0 END AS k FROM fr) SELECT image_id, frame_idx, frame_idx = 0 OR (k > 0 AND frame_idx % CASE WHEN k > 0 THEN k ELSE 1 END = 0) AS keyframe FROM k",
+    lambda spark, d: animation(spark, d).withColumn("k", L.keyframe_interval(F.when(F.col("picture_id") % 3 == 0, 4).otherwise(-1), F.count("*").over(P.Window.partitionBy("picture_id")))).select("picture_id", "frame_idx", F.coalesce(L.is_keyframe(F.col("frame_idx"), F.col("k")), F.lit(False)).alias("keyframe")),
+    f"WITH {ANIM}, k AS (SELECT *, CASE WHEN picture_id % 3 = 0 THEN 4 WHEN count(*) OVER (PARTITION BY picture_id) > 60 THEN 30 ELSE 0 END AS k FROM fr) SELECT picture_id, frame_idx, frame_idx = 0 OR (k > 0 AND frame_idx % CASE WHEN k > 0 THEN k ELSE 1 END = 0) AS keyframe FROM k",
 )
 add(
     "change_box",
     lambda spark, d: L.changed_boxes(clip(spark, d)),
-    f"WITH {CLIP}, k AS (SELECT image_id, frame_idx, x, y, {_PACKED} AS p, lag({_PACKED}) OVER (PARTITION BY image_id, x, y ORDER BY frame_idx) AS q FROM cl), b AS (SELECT image_id, frame_idx, min(x) FILTER (p <> q) AS x0, max(x) FILTER (p <> q) AS x1, min(y) FILTER (p <> q) AS y0, max(y) FILTER (p <> q) AS y1 FROM k WHERE q IS NOT NULL GROUP BY 1, 2) "
-    "SELECT image_id, frame_idx, coalesce(x0 - x0 % 2, 0) AS x, coalesce(y0 - y0 % 2, 0) AS y, coalesce(x1 - (x0 - x0 % 2) + 1, 1) AS width, coalesce(y1 - (y0 - y0 % 2) + 1, 1) AS height, x0 IS NOT NULL AS changed FROM b",
+    f"WITH {CLIP}, k AS (SELECT picture_id, frame_idx, x, y, {_PACKED} AS p, lag({_PACKED}) OVER (PARTITION BY picture_id, x, y ORDER BY frame_idx) AS q FROM cl), b AS (SELECT picture_id, frame_idx, min(x) FILTER (p <> q) AS x0, max(x) FILTER (p <> q) AS x1, min(y) FILTER (p <> q) AS y0, max(y) FILTER (p <> q) AS y1 FROM k WHERE q IS NOT NULL GROUP BY 1, 2) "
+    "SELECT picture_id, frame_idx, coalesce(x0 - x0 % 2, 0) AS x, coalesce(y0 - y0 % 2, 0) AS y, coalesce(x1 - (x0 - x0 % 2) + 1, 1) AS width, coalesce(y1 - (y0 - y0 % 2) + 1, 1) AS height, x0 IS NOT NULL AS changed FROM b",
 )
 add(
     "canvas_source",
-    lambda spark, d: L.canvas_source(clip(spark, d).filter("r % 3 = 0"), clip(spark, d).select("image_id", "frame_idx", "x", "y")),
-    f"WITH {CLIP} SELECT image_id, frame_idx, x, y, " + ", ".join(f"coalesce(last_value(CASE WHEN r % 3 = 0 THEN {c} END IGNORE NULLS) OVER w, 0) AS {c}" for c in "argb") + " FROM cl WINDOW w AS (PARTITION BY image_id, x, y ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
+    lambda spark, d: L.canvas_source(clip(spark, d).filter("r % 3 = 0"), clip(spark, d).select("picture_id", "frame_idx", "x", "y")),
+    f"WITH {CLIP} SELECT picture_id, frame_idx, x, y, " + ", ".join(f"coalesce(last_value(CASE WHEN r % 3 = 0 THEN {c} END IGNORE NULLS) OVER w, 0) AS {c}" for c in "argb") + " FROM cl WINDOW w AS (PARTITION BY picture_id, x, y ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
 )
 
 
@@ -471,20 +471,20 @@ def _over_sql() -> str:
         return f"CASE WHEN k.a = 255 THEN k.{n} WHEN k.a = 0 THEN c{n} ELSE {mix} END"
 
     return f"""WITH RECURSIVE {CLIP}, k AS (SELECT * FROM cl),
-f AS (SELECT image_id, x, y, -1 AS frame_idx, 0 AS ca, 0 AS cr, 0 AS cg, 0 AS cb FROM cl WHERE frame_idx = 0
-  UNION ALL SELECT f.image_id, f.x, f.y, k.frame_idx, {", ".join(ch(n) for n in "argb")} FROM f JOIN k ON k.image_id = f.image_id AND k.x = f.x AND k.y = f.y AND k.frame_idx = f.frame_idx + 1)
-SELECT image_id, x, y, ca AS a, cr AS r, cg AS g, cb AS b FROM f QUALIFY row_number() OVER (PARTITION BY image_id, x, y ORDER BY frame_idx DESC) = 1"""
+f AS (SELECT picture_id, x, y, -1 AS frame_idx, 0 AS ca, 0 AS cr, 0 AS cg, 0 AS cb FROM cl WHERE frame_idx = 0
+  UNION ALL SELECT f.picture_id, f.x, f.y, k.frame_idx, {", ".join(ch(n) for n in "argb")} FROM f JOIN k ON k.picture_id = f.picture_id AND k.x = f.x AND k.y = f.y AND k.frame_idx = f.frame_idx + 1)
+SELECT picture_id, x, y, ca AS a, cr AS r, cg AS g, cb AS b FROM f QUALIFY row_number() OVER (PARTITION BY picture_id, x, y ORDER BY frame_idx DESC) = 1"""
 
 
 add("canvas_over", lambda spark, d: L.canvas_over(clip(spark, d)), _over_sql())
 
 
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
-    return animation(spark, d).select("image_id", "frame_idx", (F.col("delay_ms") + 20).alias("width"), (F.col("frame_idx") % 17 + 9).alias("height"))
+    return animation(spark, d).select("picture_id", "frame_idx", (F.col("delay_ms") + 20).alias("width"), (F.col("frame_idx") % 17 + 9).alias("height"))
 
 
 def _fit_sql(fit: str, upscale: bool, w: int, h: int) -> str:
-    size = [str(n) if n else f"min({c}) OVER (PARTITION BY image_id)" for n, c in ((w, "width"), (h, "height"))]
+    size = [str(n) if n else f"min({c}) OVER (PARTITION BY picture_id)" for n, c in ((w, "width"), (h, "height"))]
     pick = "greatest" if fit == "cover" else "least"
     scale = f"{pick}(CAST(canvas_w AS DOUBLE) / width, CAST(canvas_h AS DOUBLE) / height)"
     scale = scale if upscale else f"least(1.0::DOUBLE, {scale})"
@@ -493,15 +493,15 @@ def _fit_sql(fit: str, upscale: bool, w: int, h: int) -> str:
     else:
         dw, dh = (f"greatest(1, CAST(floor({s} * {scale} + 0.5) AS INTEGER))" for s in ("width", "height"))
     copied = "width = canvas_w AND height = canvas_h" if fit != "cover" else "false"
-    return f"""WITH {ANIM}, z AS (SELECT image_id, frame_idx, delay_ms + 20 AS width, frame_idx % 17 + 9 AS height FROM fr),
+    return f"""WITH {ANIM}, z AS (SELECT picture_id, frame_idx, delay_ms + 20 AS width, frame_idx % 17 + 9 AS height FROM fr),
 c AS (SELECT *, {size[0]} AS canvas_w, {size[1]} AS canvas_h FROM z), q AS (SELECT *, {dw} AS draw_w, {dh} AS draw_h, {copied} AS copied FROM c)
-SELECT image_id, frame_idx, canvas_w, canvas_h, draw_w, draw_h, CAST(trunc((canvas_w - draw_w) / 2.0) AS INTEGER) AS draw_x, CAST(trunc((canvas_h - draw_h) / 2.0) AS INTEGER) AS draw_y, copied FROM q"""
+SELECT picture_id, frame_idx, canvas_w, canvas_h, draw_w, draw_h, CAST(trunc((canvas_w - draw_w) / 2.0) AS INTEGER) AS draw_x, CAST(trunc((canvas_h - draw_h) / 2.0) AS INTEGER) AS draw_y, copied FROM q"""
 
 
 for _n, _a in {"contain": ("contain", False, 0, 0), "contain_up": ("contain", True, 64, 48), "cover": ("cover", True, 30, 30), "stretch": ("stretch", False, 32, 16)}.items():
     add(f"normalize_{_n}", lambda spark, d, a=_a: L.fit_geometry(_sizes(spark, d), *a), _fit_sql(*_a))
-_RUNS = "WITH {0}, k AS (SELECT image_id, y, x, {1} AS p, lag({1}) OVER (PARTITION BY image_id, y ORDER BY x) AS q FROM {2}), g AS (SELECT *, sum(CASE WHEN q IS NULL OR p <> q THEN 1 ELSE 0 END) OVER (PARTITION BY image_id, y ORDER BY x) AS run FROM k) SELECT image_id, y, min(x) AS start, count(*) AS length FROM g GROUP BY image_id, y, run"
-add("rle_runs", lambda spark, d: L.runs(P.colored(pixels(spark, d), lambda p: C.Argb(*(C.idiv(c, 64) for c in p)))), _RUNS.format(PX.replace("px AS (SELECT", "p1 AS (SELECT") + ", px AS (SELECT image_id, x, y, a // 64 AS a, r // 64 AS r, g // 64 AS g, b // 64 AS b FROM p1)", _PACKED, "px"))
+_RUNS = "WITH {0}, k AS (SELECT picture_id, y, x, {1} AS p, lag({1}) OVER (PARTITION BY picture_id, y ORDER BY x) AS q FROM {2}), g AS (SELECT *, sum(CASE WHEN q IS NULL OR p <> q THEN 1 ELSE 0 END) OVER (PARTITION BY picture_id, y ORDER BY x) AS run FROM k) SELECT picture_id, y, min(x) AS start, count(*) AS length FROM g GROUP BY picture_id, y, run"
+add("rle_runs", lambda spark, d: L.runs(P.colored(pixels(spark, d), lambda p: C.Argb(*(C.idiv(c, 64) for c in p)))), _RUNS.format(PX.replace("px AS (SELECT", "p1 AS (SELECT") + ", px AS (SELECT picture_id, x, y, a // 64 AS a, r // 64 AS r, g // 64 AS g, b // 64 AS b FROM p1)", _PACKED, "px"))
 
 # -- stencils ----------------------------------------------------------------------------------------
 
@@ -511,8 +511,8 @@ def _near_lossless_sql(bits: int) -> str:
         return " AND ".join(f"abs(c.{k} - {n}.{k}) < {1 << bits}" for k in "argb")
 
     keep = "l.x IS NULL OR r.x IS NULL OR u.x IS NULL OR d.x IS NULL OR (" + " AND ".join(near(n) for n in "lrud") + ")"
-    joins = " ".join(f"LEFT JOIN px {n} ON {n}.image_id = c.image_id AND {n}.x = c.x + {i} AND {n}.y = c.y + {j}" for n, i, j in (("l", -1, 0), ("r", 1, 0), ("u", 0, -1), ("d", 0, 1)))
-    return f"WITH {PX} SELECT c.image_id, c.x, c.y, " + ", ".join(f"CAST(CASE WHEN {keep} THEN c.{k} ELSE {_snapped('c.' + k, bits)} END AS INTEGER) AS {k}" for k in "argb") + f" FROM px c {joins}"
+    joins = " ".join(f"LEFT JOIN px {n} ON {n}.picture_id = c.picture_id AND {n}.x = c.x + {i} AND {n}.y = c.y + {j}" for n, i, j in (("l", -1, 0), ("r", 1, 0), ("u", 0, -1), ("d", 0, 1)))
+    return f"WITH {PX} SELECT c.picture_id, c.x, c.y, " + ", ".join(f"CAST(CASE WHEN {keep} THEN c.{k} ELSE {_snapped('c.' + k, bits)} END AS INTEGER) AS {k}" for k in "argb") + f" FROM px c {joins}"
 
 
 add("near_lossless_pass", lambda spark, d: T.near_lossless_pass(pixels(spark, d), 3, 8, 8), _near_lossless_sql(3))
@@ -521,8 +521,8 @@ add("near_lossless_bypass", lambda spark, d: T.near_lossless(pixels(spark, d), 2
 
 
 def _predictor_sql(mode: int) -> str:
-    joins = " ".join(f"LEFT JOIN px {n} ON {n}.image_id = c.image_id AND {n}.x = c.x + {i} AND {n}.y = c.y + {j}" for n, i, j in (("l", -1, 0), ("t", 0, -1), ("z", -1, -1), ("w", 1, -1)))
-    joins += " LEFT JOIN px f ON f.image_id = c.image_id AND f.x = 0 AND f.y = c.y"
+    joins = " ".join(f"LEFT JOIN px {n} ON {n}.picture_id = c.picture_id AND {n}.x = c.x + {i} AND {n}.y = c.y + {j}" for n, i, j in (("l", -1, 0), ("t", 0, -1), ("z", -1, -1), ("w", 1, -1)))
+    joins += " LEFT JOIN px f ON f.picture_id = c.picture_id AND f.x = 0 AND f.y = c.y"
     left = " + ".join(f"abs(t.{k} - z.{k})" for k in "argb")
     top = " + ".join(f"abs(l.{k} - z.{k})" for k in "argb")
 
@@ -535,7 +535,7 @@ def _predictor_sql(mode: int) -> str:
         first = 255 if k == "a" else 0
         return f"CAST((c.{k} - CASE WHEN c.x = 0 AND c.y = 0 THEN {first} WHEN c.y = 0 THEN l.{k} WHEN c.x = 0 THEN t.{k} ELSE {guess(k)} END + 256) % 256 AS INTEGER) AS {k}"
 
-    return f"WITH {PX} SELECT c.image_id, c.x, c.y, {', '.join(out(k) for k in 'argb')} FROM px c {joins}"
+    return f"WITH {PX} SELECT c.picture_id, c.x, c.y, {', '.join(out(k) for k in 'argb')} FROM px c {joins}"
 
 
 for _m in range(1, 14):
@@ -549,61 +549,61 @@ add("resize_bicubic", lambda spark, d: T.resize_bicubic(P.to_frames(pixels(spark
 def _shapes(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
     cols = {"x": k % 23, "y": k % 19, "w": k % 13 + 1, "h": k % 7 + 1, "x2": k * 7 % 29, "y2": k * 5 % 31}
-    return table(spark, d, "customer").select(k.alias("image_id"), *(v.cast("int").alias(n) for n, v in cols.items()))
+    return table(spark, d, "customer").select(k.alias("picture_id"), *(v.cast("int").alias(n) for n, v in cols.items()))
 
 
-_SHAPES = "sh AS (SELECT c_custkey AS image_id, CAST(c_custkey % 23 AS INTEGER) AS x, CAST(c_custkey % 19 AS INTEGER) AS y, CAST(c_custkey % 13 + 1 AS INTEGER) AS w, CAST(c_custkey % 7 + 1 AS INTEGER) AS h, CAST(c_custkey * 7 % 29 AS INTEGER) AS x2, CAST(c_custkey * 5 % 31 AS INTEGER) AS y2 FROM customer), n AS (SELECT CAST(i AS INTEGER) AS i FROM range(-40, 80) t(i))"
-add("draw_fill_rect", lambda spark, d: D.fill_rect(_shapes(spark, d), ["image_id"], "x", "y", "w", "h"), f"WITH {_SHAPES} SELECT image_id, x + p.i AS x, y + q.i AS y FROM sh JOIN n p ON p.i >= 0 AND p.i < w JOIN n q ON q.i >= 0 AND q.i < h")
+_SHAPES = "sh AS (SELECT c_custkey AS picture_id, CAST(c_custkey % 23 AS INTEGER) AS x, CAST(c_custkey % 19 AS INTEGER) AS y, CAST(c_custkey % 13 + 1 AS INTEGER) AS w, CAST(c_custkey % 7 + 1 AS INTEGER) AS h, CAST(c_custkey * 7 % 29 AS INTEGER) AS x2, CAST(c_custkey * 5 % 31 AS INTEGER) AS y2 FROM customer), n AS (SELECT CAST(i AS INTEGER) AS i FROM range(-40, 80) t(i))"
+add("draw_fill_rect", lambda spark, d: D.fill_rect(_shapes(spark, d), ["picture_id"], "x", "y", "w", "h"), f"WITH {_SHAPES} SELECT picture_id, x + p.i AS x, y + q.i AS y FROM sh JOIN n p ON p.i >= 0 AND p.i < w JOIN n q ON q.i >= 0 AND q.i < h")
 add(
     "draw_rect",
-    lambda spark, d: D.draw_rect(_shapes(spark, d), ["image_id"], "x", "y", "w", "h"),
-    f"WITH {_SHAPES} SELECT image_id, x + p.i AS x, y + q.i AS y FROM sh JOIN n p ON p.i >= 0 AND p.i <= w JOIN n q ON q.i >= 0 AND q.i <= h WHERE p.i IN (0, w) OR q.i IN (0, h)",
+    lambda spark, d: D.draw_rect(_shapes(spark, d), ["picture_id"], "x", "y", "w", "h"),
+    f"WITH {_SHAPES} SELECT picture_id, x + p.i AS x, y + q.i AS y FROM sh JOIN n p ON p.i >= 0 AND p.i <= w JOIN n q ON q.i >= 0 AND q.i <= h WHERE p.i IN (0, w) OR q.i IN (0, h)",
 )
 add(
     "draw_line",
-    lambda spark, d: D.draw_line(_shapes(spark, d), ["image_id"], "x", "y", "x2", "y2"),
-    f"""WITH RECURSIVE {_SHAPES}, s AS (SELECT image_id, x, y, x2, y2, abs(x2 - x) AS dx, abs(y2 - y) AS dy, CASE WHEN x < x2 THEN 1 ELSE -1 END AS sx, CASE WHEN y < y2 THEN 1 ELSE -1 END AS sy FROM sh),
-b AS (SELECT image_id, x, y, x2, y2, dx, dy, sx, sy, dx - dy AS err FROM s UNION ALL
-  SELECT image_id, CASE WHEN 2 * err > -dy THEN x + sx ELSE x END, CASE WHEN 2 * err < dx THEN y + sy ELSE y END, x2, y2, dx, dy, sx, sy,
+    lambda spark, d: D.draw_line(_shapes(spark, d), ["picture_id"], "x", "y", "x2", "y2"),
+    f"""WITH RECURSIVE {_SHAPES}, s AS (SELECT picture_id, x, y, x2, y2, abs(x2 - x) AS dx, abs(y2 - y) AS dy, CASE WHEN x < x2 THEN 1 ELSE -1 END AS sx, CASE WHEN y < y2 THEN 1 ELSE -1 END AS sy FROM sh),
+b AS (SELECT picture_id, x, y, x2, y2, dx, dy, sx, sy, dx - dy AS err FROM s UNION ALL
+  SELECT picture_id, CASE WHEN 2 * err > -dy THEN x + sx ELSE x END, CASE WHEN 2 * err < dx THEN y + sy ELSE y END, x2, y2, dx, dy, sx, sy,
     err - CASE WHEN 2 * err > -dy THEN dy ELSE 0 END + CASE WHEN 2 * err < dx THEN dx ELSE 0 END FROM b WHERE x <> x2 OR y <> y2)
-SELECT image_id, x, y FROM b""",
+SELECT picture_id, x, y FROM b""",
 )
 add(
     "draw_fill_oval",
-    lambda spark, d: D.fill_oval(_shapes(spark, d), ["image_id"], "x", "y", "x2", "y2"),
-    f"""WITH {_SHAPES}, o AS (SELECT image_id, x + x2 // 2 AS cx, y + y2 // 2 AS cy, x2 // 2 AS rx, y2 // 2 AS ry FROM sh),
-r AS (SELECT image_id, cx, cy + i AS y, CASE WHEN rx = 0 OR ry = 0 THEN 0 ELSE CAST(floor(rx * sqrt(greatest(0.0::DOUBLE, 1.0::DOUBLE - CAST(i AS DOUBLE) * i / (CAST(greatest(ry, 1) AS DOUBLE) * greatest(ry, 1)))) + 0.5) AS INTEGER) END AS half
+    lambda spark, d: D.fill_oval(_shapes(spark, d), ["picture_id"], "x", "y", "x2", "y2"),
+    f"""WITH {_SHAPES}, o AS (SELECT picture_id, x + x2 // 2 AS cx, y + y2 // 2 AS cy, x2 // 2 AS rx, y2 // 2 AS ry FROM sh),
+r AS (SELECT picture_id, cx, cy + i AS y, CASE WHEN rx = 0 OR ry = 0 THEN 0 ELSE CAST(floor(rx * sqrt(greatest(0.0::DOUBLE, 1.0::DOUBLE - CAST(i AS DOUBLE) * i / (CAST(greatest(ry, 1) AS DOUBLE) * greatest(ry, 1)))) + 0.5) AS INTEGER) END AS half
   FROM o JOIN n ON abs(i) <= CASE WHEN rx = 0 OR ry = 0 THEN 0 ELSE ry END)
-SELECT image_id, cx + i AS x, y FROM r JOIN n ON abs(i) <= half""",
+SELECT picture_id, cx + i AS x, y FROM r JOIN n ON abs(i) <= half""",
 )
 for _n, _f in {
-    "draw_oval": lambda s: D.draw_oval(s, ["image_id"], "x", "y", "x2", "y2"),
-    "draw_fill_round_rect": lambda s: D.fill_round_rect(s, ["image_id"], "x", "y", "x2", "y2", "w", "h"),
-    "draw_round_rect": lambda s: D.draw_round_rect(s, ["image_id"], "x", "y", "x2", "y2", "w", "h"),
-    "draw_fill_arc": lambda s: D.fill_arc(s, ["image_id"], "x", "y", "x2", "y2", F.col("x") * 11, F.col("y") * 13 - 90),
-    "draw_arc": lambda s: D.draw_arc(s, ["image_id"], "x", "y", "x2", "y2", F.col("x") * 11, F.col("y") * 13 - 90),
-    "draw_quad": lambda s: D.draw_quad(s, ["image_id"], ("x", "y"), ("w", "y2"), ("x2", "h")),
-    "draw_cubic": lambda s: D.draw_cubic(s, ["image_id"], ("x", "y"), ("w", "y2"), ("x2", "h"), ("y2", "x")),
-    "draw_polygon": lambda s: D.draw_polyline(s.select("image_id", F.array("x", "x2", "w").alias("xs"), F.array("y", "y2", "h").alias("ys")), ["image_id"], "xs", "ys", True),
+    "draw_oval": lambda s: D.draw_oval(s, ["picture_id"], "x", "y", "x2", "y2"),
+    "draw_fill_round_rect": lambda s: D.fill_round_rect(s, ["picture_id"], "x", "y", "x2", "y2", "w", "h"),
+    "draw_round_rect": lambda s: D.draw_round_rect(s, ["picture_id"], "x", "y", "x2", "y2", "w", "h"),
+    "draw_fill_arc": lambda s: D.fill_arc(s, ["picture_id"], "x", "y", "x2", "y2", F.col("x") * 11, F.col("y") * 13 - 90),
+    "draw_arc": lambda s: D.draw_arc(s, ["picture_id"], "x", "y", "x2", "y2", F.col("x") * 11, F.col("y") * 13 - 90),
+    "draw_quad": lambda s: D.draw_quad(s, ["picture_id"], ("x", "y"), ("w", "y2"), ("x2", "h")),
+    "draw_cubic": lambda s: D.draw_cubic(s, ["picture_id"], ("x", "y"), ("w", "y2"), ("x2", "h"), ("y2", "x")),
+    "draw_polygon": lambda s: D.draw_polyline(s.select("picture_id", F.array("x", "x2", "w").alias("xs"), F.array("y", "y2", "h").alias("ys")), ["picture_id"], "xs", "ys", True),
 }.items():
     add(_n, lambda spark, d, f=_f: f(_shapes(spark, d)))
 add(
     "draw_fill_polygon",
-    lambda spark, d: D.fill_polygon(_shapes(spark, d).select("image_id", F.array("x", "x2", "w").alias("xs"), F.array("y", "y2", "h").alias("ys")), ["image_id"], "xs", "ys"),
-    f"""WITH {_SHAPES}, e AS (SELECT image_id, unnest([x, x2, w]) AS xi, unnest([y, y2, h]) AS yi, unnest([w, x, x2]) AS xj, unnest([h, y, y2]) AS yj FROM sh),
-c AS (SELECT image_id, i AS y, xi + CAST(trunc((i - yi) * (xj - xi) / CAST(yj - yi AS DOUBLE)) AS INTEGER) AS x, row_number() OVER (PARTITION BY image_id, i ORDER BY xi + CAST(trunc((i - yi) * (xj - xi) / CAST(yj - yi AS DOUBLE)) AS INTEGER)) AS k
+    lambda spark, d: D.fill_polygon(_shapes(spark, d).select("picture_id", F.array("x", "x2", "w").alias("xs"), F.array("y", "y2", "h").alias("ys")), ["picture_id"], "xs", "ys"),
+    f"""WITH {_SHAPES}, e AS (SELECT picture_id, unnest([x, x2, w]) AS xi, unnest([y, y2, h]) AS yi, unnest([w, x, x2]) AS xj, unnest([h, y, y2]) AS yj FROM sh),
+c AS (SELECT picture_id, i AS y, xi + CAST(trunc((i - yi) * (xj - xi) / CAST(yj - yi AS DOUBLE)) AS INTEGER) AS x, row_number() OVER (PARTITION BY picture_id, i ORDER BY xi + CAST(trunc((i - yi) * (xj - xi) / CAST(yj - yi AS DOUBLE)) AS INTEGER)) AS k
   FROM e JOIN n ON yi <> yj AND ((yi < i AND yj >= i) OR (yj < i AND yi >= i)))
-SELECT DISTINCT a.image_id, n.i AS x, a.y FROM c a JOIN c b ON a.image_id = b.image_id AND a.y = b.y AND b.k = a.k + 1 AND a.k % 2 = 1 JOIN n ON n.i BETWEEN a.x AND b.x""",
+SELECT DISTINCT a.picture_id, n.i AS x, a.y FROM c a JOIN c b ON a.picture_id = b.picture_id AND a.y = b.y AND b.k = a.k + 1 AND a.k % 2 = 1 JOIN n ON n.i BETWEEN a.x AND b.x""",
 )
 add(
     "draw_copy_area",
     lambda spark, d: P.put(pixels(spark, d), D.copy_area(pixels(spark, d), 1, 2, 4, 3, 2, 3, 8, 8)),
-    f"WITH {PX} SELECT c.image_id, c.x, c.y, " + ", ".join(f"CASE WHEN c.x BETWEEN 3 AND 6 AND c.y BETWEEN 5 AND 7 THEN coalesce(s.{k}, 0) ELSE c.{k} END AS {k}" for k in "argb") + " FROM px c LEFT JOIN px s ON s.image_id = c.image_id AND s.x = c.x - 2 AND s.y = c.y - 3",
+    f"WITH {PX} SELECT c.picture_id, c.x, c.y, " + ", ".join(f"CASE WHEN c.x BETWEEN 3 AND 6 AND c.y BETWEEN 5 AND 7 THEN coalesce(s.{k}, 0) ELSE c.{k} END AS {k}" for k in "argb") + " FROM px c LEFT JOIN px s ON s.picture_id = c.picture_id AND s.x = c.x - 2 AND s.y = c.y - 3",
 )
 add(
     "draw_affine",
     lambda spark, d: D.draw_affine(side(spark, d, 1), side(spark, d, 0), (0.0, 2.0, -2.0, 0.0, 7.0, 0.0), 8, 8),
-    f"WITH {PAIR}, bl AS (SELECT d0.*, sa, sr, sg, sb FROM d0 LEFT JOIN s0 ON d0.image_id = s0.image_id AND s0.x = CAST(floor(d0.y / 2.0) AS INTEGER) AND s0.y = CAST(floor((7 - d0.x) / 2.0) AS INTEGER)) "
+    f"WITH {PAIR}, bl AS (SELECT d0.*, sa, sr, sg, sb FROM d0 LEFT JOIN s0 ON d0.picture_id = s0.picture_id AND s0.x = CAST(floor(d0.y / 2.0) AS INTEGER) AND s0.y = CAST(floor((7 - d0.x) / 2.0) AS INTEGER)) "
     + _colors(*(f"CASE WHEN sa IS NULL OR sa = 0 THEN d{n} ELSE {_BLEND_SQL['normal'](n)} END" for n in "argb"), source="bl"),
 )
 
@@ -631,14 +631,14 @@ add("base64_round_trip", lambda spark, d: table(spark, d, "documents").select("d
 
 
 def _through(format: str, opaque: bool = False, **options) -> Query:
-    """Encode every image, decode the files, and give the pixels."""
+    """Encode every picture, decode the files, and give the pixels."""
 
     def build(spark: SparkSession, d: str) -> DataFrame:
         px = pixels(spark, d)
         px = px.withColumn("a", F.lit(255)) if opaque else px
         frames = P.to_frames(px, 8, 8).withColumn("has_alpha", F.lit(not opaque))
-        files = R.encode_frames(frames, format, **options).select(F.col("image_id").cast("string").alias("path"), "content")
-        back = R.decode_files(files).select(F.col("path").cast("bigint").alias("image_id"), "width", "argb")
+        files = R.encode_frames(frames, format, **options).select(F.col("picture_id").cast("string").alias("path"), "content")
+        back = R.decode_files(files).select(F.col("path").cast("bigint").alias("picture_id"), "width", "argb")
         return P.to_pixels(back)
 
     return build
@@ -661,23 +661,23 @@ add("gif_round_trip", _through("gif", True, transparent=False), _SOLID)
 
 
 def _clip_frames(spark: SparkSession, d: str) -> DataFrame:
-    return P.to_frames(clip(spark, d), 8, 8, "image_id", "frame_idx").withColumn("delay_ms", (F.col("frame_idx") % 5 * 10 + 20).cast("int"))
+    return P.to_frames(clip(spark, d), 8, 8, "picture_id", "frame_idx").withColumn("delay_ms", (F.col("frame_idx") % 5 * 10 + 20).cast("int"))
 
 
 def _animated(format: str, **options) -> Query:
     def build(spark: SparkSession, d: str) -> DataFrame:
-        files = R.encode_frames(_clip_frames(spark, d), format, **options).select(F.col("image_id").cast("string").alias("path"), "content")
-        return R.decode_files(files).select(F.col("path").cast("bigint").alias("image_id"), "frame_idx", "delay_ms", "argb", "width")
+        files = R.encode_frames(_clip_frames(spark, d), format, **options).select(F.col("picture_id").cast("string").alias("path"), "content")
+        return R.decode_files(files).select(F.col("path").cast("bigint").alias("picture_id"), "frame_idx", "delay_ms", "argb", "width")
 
-    return lambda spark, d: P.to_pixels(build(spark, d), "image_id", "frame_idx", "delay_ms")
+    return lambda spark, d: P.to_pixels(build(spark, d), "picture_id", "frame_idx", "delay_ms")
 
 
-add("webp_animation_round_trip", _animated("webp"), f"WITH {CLIP} SELECT image_id, frame_idx, frame_idx % 5 * 10 + 20 AS delay_ms, x, y, a, r, g, b FROM cl")
-add("tiff_pages_round_trip", _animated("tiff"), f"WITH {CLIP} SELECT image_id, frame_idx, 100 AS delay_ms, x, y, a, r, g, b FROM cl")
+add("webp_animation_round_trip", _animated("webp"), f"WITH {CLIP} SELECT picture_id, frame_idx, frame_idx % 5 * 10 + 20 AS delay_ms, x, y, a, r, g, b FROM cl")
+add("tiff_pages_round_trip", _animated("tiff"), f"WITH {CLIP} SELECT picture_id, frame_idx, 100 AS delay_ms, x, y, a, r, g, b FROM cl")
 add(
     "pnm_text",
-    lambda spark, d: pixels(spark, d).groupBy("image_id", "y").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "r", "g", "b"))), lambda p: F.concat_ws(" ", p["r"], p["g"], p["b"])), " ").alias("line")),
-    f"WITH {PX} SELECT image_id, y, string_agg(r || ' ' || g || ' ' || b, ' ' ORDER BY x) AS line FROM px GROUP BY 1, 2",
+    lambda spark, d: pixels(spark, d).groupBy("picture_id", "y").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "r", "g", "b"))), lambda p: F.concat_ws(" ", p["r"], p["g"], p["b"])), " ").alias("line")),
+    f"WITH {PX} SELECT picture_id, y, string_agg(r || ' ' || g || ' ' || b, ' ' ORDER BY x) AS line FROM px GROUP BY 1, 2",
 )
 
 # -- the rest --------------------------------------------------------------------------------------------
@@ -686,8 +686,8 @@ add(
     "predictor_best",
     lambda spark, d: T.predictor_scores(pixels(spark, d), (1, 2, 4, 11), 4),
     "WITH " + ", ".join([PX, *(f"r{m} AS ({_predictor_sql(m)[len('WITH ') + len(PX) :]})" for m in (1, 2, 4, 11))])
-    + ", a AS (" + " UNION ALL ".join(f"SELECT {m} AS mode, * FROM r{m}" for m in (1, 2, 4, 11)) + "), s AS (SELECT image_id, x // 4 AS tx, y // 4 AS ty, mode, CAST(sum("
-    + " + ".join(f"abs(CASE WHEN {c} > 127 THEN {c} - 256 ELSE {c} END)" for c in "argb") + ") AS BIGINT) AS score FROM a GROUP BY 1, 2, 3, 4) SELECT image_id, tx, ty, mode, score FROM s QUALIFY row_number() OVER (PARTITION BY image_id, tx, ty ORDER BY score, mode) = 1",
+    + ", a AS (" + " UNION ALL ".join(f"SELECT {m} AS mode, * FROM r{m}" for m in (1, 2, 4, 11)) + "), s AS (SELECT picture_id, x // 4 AS tx, y // 4 AS ty, mode, CAST(sum("
+    + " + ".join(f"abs(CASE WHEN {c} > 127 THEN {c} - 256 ELSE {c} END)" for c in "argb") + ") AS BIGINT) AS score FROM a GROUP BY 1, 2, 3, 4) SELECT picture_id, tx, ty, mode, score FROM s QUALIFY row_number() OVER (PARTITION BY picture_id, tx, ty ORDER BY score, mode) = 1",
 )
 add("predictor_search", lambda spark, d: T.predictor_scores(pixels(spark, d), tuple(range(14)), 4))
 _SB = {c: f"CAST(CASE WHEN {c} > 127 THEN {c} - 256 ELSE {c} END AS BIGINT)" for c in "rgb"}
@@ -700,8 +700,8 @@ def _fit(top: str, bottom: str) -> str:
 add(
     "cross_color_fit",
     lambda spark, d: S.cross_color_fit(pixels(spark, d), 4),
-    f"WITH {PX}, q AS (SELECT image_id, x // 4 AS tx, y // 4 AS ty, {_SB['r']} AS r, {_SB['g']} AS g, {_SB['b']} AS b FROM px), s AS (SELECT image_id, tx, ty, sum(g * g) AS gg, sum(g * r) AS gr, sum(g * b) AS gb, sum(r * r) AS rr, sum(r * b) AS rb FROM q GROUP BY 1, 2, 3), "
-    f"k AS (SELECT *, {_fit('CAST(gr AS DOUBLE)', 'gg')} AS green_to_red, {_fit('CAST(gb AS DOUBLE)', 'gg')} AS green_to_blue FROM s) SELECT image_id, tx, ty, green_to_red, green_to_blue, {_fit('CAST(rb AS DOUBLE) - green_to_blue * CAST(gr AS DOUBLE) / 32.0::DOUBLE', 'rr')} AS red_to_blue FROM k",
+    f"WITH {PX}, q AS (SELECT picture_id, x // 4 AS tx, y // 4 AS ty, {_SB['r']} AS r, {_SB['g']} AS g, {_SB['b']} AS b FROM px), s AS (SELECT picture_id, tx, ty, sum(g * g) AS gg, sum(g * r) AS gr, sum(g * b) AS gb, sum(r * r) AS rr, sum(r * b) AS rb FROM q GROUP BY 1, 2, 3), "
+    f"k AS (SELECT *, {_fit('CAST(gr AS DOUBLE)', 'gg')} AS green_to_red, {_fit('CAST(gb AS DOUBLE)', 'gg')} AS green_to_blue FROM s) SELECT picture_id, tx, ty, green_to_red, green_to_blue, {_fit('CAST(rb AS DOUBLE) - green_to_blue * CAST(gr AS DOUBLE) / 32.0::DOUBLE', 'rr')} AS red_to_blue FROM k",
 )
 add(
     "icon_entry",
@@ -719,8 +719,8 @@ add(
 add("first_frame", lambda spark, d: L.first_frames(clip(spark, d)), f"WITH {CLIP} SELECT * FROM cl WHERE frame_idx = 0")
 add(
     "append_frames",
-    lambda spark, d: L.appended(animation(spark, d), animation(spark, d).filter("image_id % 2 = 0 AND frame_idx < 3")),
-    f"WITH {ANIM}, l AS (SELECT image_id, max(frame_idx) AS last FROM fr GROUP BY 1) SELECT * FROM fr UNION ALL SELECT image_id, CAST(frame_idx + last + 1 AS INTEGER), delay_ms FROM fr JOIN l USING (image_id) WHERE image_id % 2 = 0 AND frame_idx < 3",
+    lambda spark, d: L.appended(animation(spark, d), animation(spark, d).filter("picture_id % 2 = 0 AND frame_idx < 3")),
+    f"WITH {ANIM}, l AS (SELECT picture_id, max(frame_idx) AS last FROM fr GROUP BY 1) SELECT * FROM fr UNION ALL SELECT picture_id, CAST(frame_idx + last + 1 AS INTEGER), delay_ms FROM fr JOIN l USING (picture_id) WHERE picture_id % 2 = 0 AND frame_idx < 3",
 )
 
 
@@ -728,38 +728,38 @@ def _seen(spark: SparkSession, d: str, k: int) -> DataFrame:
     return side(spark, d, k).filter("a <> 0").select(*P.KEYS)
 
 
-_OPAQUE = "sp AS (SELECT image_id, x, y FROM s0 WHERE sa <> 0), dp AS (SELECT image_id, x, y FROM d0 WHERE da <> 0)"
+_OPAQUE = "sp AS (SELECT picture_id, x, y FROM s0 WHERE sa <> 0), dp AS (SELECT picture_id, x, y FROM d0 WHERE da <> 0)"
 for _n, _op in {"only_first": ("exceptAll", "EXCEPT"), "both": ("intersect", "INTERSECT")}.items():
     add(f"coverage_{_n}", lambda spark, d, o=_op[0]: getattr(_seen(spark, d, 0), o)(_seen(spark, d, 1)), f"WITH {PAIR}, {_OPAQUE} SELECT * FROM sp {_op[1]} SELECT * FROM dp")
 for _n, _how, _not in (("inside", "left_semi", ""), ("outside", "left_anti", "NOT ")):
     add(
         f"mask_{_n}",
         lambda spark, d, h=_how: side(spark, d, 0).join(_seen(spark, d, 1), list(P.KEYS), h),
-        f"WITH {PAIR}, {_OPAQUE} SELECT image_id, x, y, sa AS a, sr AS r, sg AS g, sb AS b FROM s0 WHERE {_not}EXISTS (SELECT 1 FROM dp WHERE dp.image_id = s0.image_id AND dp.x = s0.x AND dp.y = s0.y)",
+        f"WITH {PAIR}, {_OPAQUE} SELECT picture_id, x, y, sa AS a, sr AS r, sg AS g, sb AS b FROM s0 WHERE {_not}EXISTS (SELECT 1 FROM dp WHERE dp.picture_id = s0.picture_id AND dp.x = s0.x AND dp.y = s0.y)",
     )
 
 
 def _webp_chunks(spark: SparkSession, d: str) -> DataFrame:
     from ..sources.webp import chunk_rows
 
-    files = R.encode_frames(_clip_frames(spark, d), "webp").select(F.col("image_id").cast("string").alias("path"), "content")
+    files = R.encode_frames(_clip_frames(spark, d), "webp").select(F.col("picture_id").cast("string").alias("path"), "content")
     return chunk_rows(files).select("path", "ord", "kind")
 
 
 add(
     "webp_chunks",
     _webp_chunks,
-    f"WITH {CLIP}, n AS (SELECT image_id, count(DISTINCT frame_idx) AS k FROM cl GROUP BY 1), o AS (SELECT CAST(image_id AS VARCHAR) AS path, CAST(unnest(range(k + 2)) AS INTEGER) AS ord FROM n) SELECT path, ord, CASE ord WHEN 0 THEN 'VP8X' WHEN 1 THEN 'ANIM' ELSE 'ANMF' END AS kind FROM o",
+    f"WITH {CLIP}, n AS (SELECT picture_id, count(DISTINCT frame_idx) AS k FROM cl GROUP BY 1), o AS (SELECT CAST(picture_id AS VARCHAR) AS path, CAST(unnest(range(k + 2)) AS INTEGER) AS ord FROM n) SELECT path, ord, CASE ord WHEN 0 THEN 'VP8X' WHEN 1 THEN 'ANIM' ELSE 'ANMF' END AS kind FROM o",
 )
 
 
 def _jpeg_error(spark: SparkSession, d: str) -> DataFrame:
-    """Mean squared error of each image after a trip through JPEG."""
+    """Mean squared error of each picture after a trip through JPEG."""
     px = pixels(spark, d).withColumn("a", F.lit(255))
-    files = R.encode_frames(P.to_frames(px, 8, 8).withColumn("has_alpha", F.lit(False)), "jpeg", quality=0.95, halve=False).select(F.col("image_id").cast("string").alias("path"), "content")
-    back = P.to_pixels(R.decode_files(files).select(F.col("path").cast("bigint").alias("image_id"), "width", "argb"))
+    files = R.encode_frames(P.to_frames(px, 8, 8).withColumn("has_alpha", F.lit(False)), "jpeg", quality=0.95, halve=False).select(F.col("picture_id").cast("string").alias("path"), "content")
+    back = P.to_pixels(R.decode_files(files).select(F.col("path").cast("bigint").alias("picture_id"), "width", "argb"))
     errors = S.block_errors(P.paired(px, back), 8)
-    return errors.select("image_id", (F.col("sse") / 192).alias("mse"))
+    return errors.select("picture_id", (F.col("sse") / 192).alias("mse"))
 
 
 add("jpeg_error", _jpeg_error)

@@ -1,4 +1,4 @@
-"""Spark data source "raster": frames of image files in, one file per image out.
+"""Spark data source "raster": frames of picture files in, one file per picture out.
 
 ``spark.dataSource.register(RasterSource)``, then ``spark.read.format("raster").load(folder)``
 gives one row per frame, and ``df.write.format("raster").option("format", "qoi").save(folder)``

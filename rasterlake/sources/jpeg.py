@@ -12,7 +12,7 @@ import struct
 
 import numpy as np
 
-from .model import DecodeError, Frame, Image, UnsupportedFormat, channels, packed
+from .model import DecodeError, Frame, Picture, UnsupportedFormat, channels, packed
 from .webp import code_lengths
 
 #: Quantiser steps at quality 50, row by row, for light and for colour.
@@ -91,13 +91,13 @@ def _fitted(counts: np.ndarray) -> tuple[bytes, dict[int, tuple[int, int]]]:
     return bytes(sizes.tolist()) + bytes(longest), out
 
 
-def write_jpeg(image: Image, quality: float = 0.75, halve: bool = True) -> bytes:
+def write_jpeg(picture: Picture, quality: float = 0.75, halve: bool = True) -> bytes:
     """Colours as they are over black."""
-    p = channels(image.first).astype(np.float64)
+    p = channels(picture.first).astype(np.float64)
     rgb = p[..., :3] * p[..., 3:] / 255
     r, g, b = rgb[..., 0], rgb[..., 1], rgb[..., 2]
     planes = [0.299 * r + 0.587 * g + 0.114 * b, 128 - 0.168736 * r - 0.331264 * g + 0.5 * b, 128 + 0.5 * r - 0.418688 * g - 0.081312 * b]
-    h, w = image.first.shape
+    h, w = picture.first.shape
     f = 2 if halve else 1
     unit = 8 * f
     pad = ((0, -h % unit), (0, -w % unit))
@@ -192,7 +192,7 @@ def _table(content: bytes) -> tuple[list[tuple[int, int]], int]:
     return out, at
 
 
-def read_jpeg(data: bytes) -> Image:
+def read_jpeg(data: bytes) -> Picture:
     if data[:2] != b"\xff\xd8":
         raise DecodeError("not a JPEG file")
     at, steps, tables, frame, restart = 2, {}, {}, None, 0
@@ -287,4 +287,4 @@ def read_jpeg(data: bytes) -> Image:
     else:
         y, u, v = planes[0], planes[1] - 128, planes[2] - 128
         rgb = np.stack([y + 1.402 * v, y - 0.344136 * u - 0.714136 * v, y + 1.772 * u], axis=2)
-    return Image([Frame(packed(np.clip(np.floor(rgb + 0.5), 0, 255).astype(np.uint8)))], False)
+    return Picture([Frame(packed(np.clip(np.floor(rgb + 0.5), 0, 255).astype(np.uint8)))], False)

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 
 from ..functions.quantise import median_cut
-from .model import DISPOSALS, DecodeError, EncodeError, Frame, Image, channels, packed
+from .model import DISPOSALS, DecodeError, EncodeError, Frame, Picture, channels, packed
 
 
 def lzw_decode(data: bytes, bits: int, msb: bool) -> bytes:
@@ -102,7 +102,7 @@ def lzw_encode(data: bytes, bits: int, msb: bool) -> bytes:
 # -- GIF ------------------------------------------------------------------------------------
 
 
-def read_gif(data: bytes) -> Image:
+def read_gif(data: bytes) -> Picture:
     """All frames as they are stored, with offset, delay (0 means 100 ms) and disposal; nothing is composed."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise DecodeError("not a GIF file")
@@ -159,8 +159,8 @@ def read_gif(data: bytes) -> Image:
         raise DecodeError("no frames")
     if len(frames) == 1:
         frames[0].delay_ms = 0
-        return Image(frames, True)
-    return Image(frames, True, loop, 0, w, h)
+        return Picture(frames, True)
+    return Picture(frames, True, loop, 0, w, h)
 
 
 def quantized(delays: list[int], minimum: int) -> list[int]:
@@ -189,10 +189,10 @@ def shared_palette(flat: list[np.ndarray], slot: int | None) -> np.ndarray:
     return colors if len(colors) else np.zeros((1, 3), np.int64)
 
 
-def write_gif(image: Image, transparent: bool = True, slot: int = 0, background: int = 0, threshold: int = 128, loop_count: int | None = None, exact: bool = False) -> bytes:
+def write_gif(picture: Picture, transparent: bool = True, slot: int = 0, background: int = 0, threshold: int = 128, loop_count: int | None = None, exact: bool = False) -> bytes:
     """Frames flattened onto the background, one palette for all, delays that keep time."""
     flat = []
-    for f in image.frames:
+    for f in picture.frames:
         p = channels(f.argb).astype(np.int64)
         a, bg = p[..., 3:], np.array([background >> 16 & 255, background >> 8 & 255, background & 255])
         argb = packed((p[..., :3] * a + bg * (255 - a)) // 255)
@@ -203,13 +203,13 @@ def write_gif(image: Image, transparent: bool = True, slot: int = 0, background:
     bits = max(2, int(len(colors) - 1).bit_length())
     table = np.zeros((1 << bits, 3), np.uint8)
     table[: len(colors)] = colors
-    w, h = max(f.x + f.width for f in image.frames), max(f.y + f.height for f in image.frames)
+    w, h = max(f.x + f.width for f in picture.frames), max(f.y + f.height for f in picture.frames)
     if max(w, h) > 65535:
         raise EncodeError("too large")
     out = bytearray(struct.pack("<6sHHBBB", b"GIF89a", w, h, 0xF0 | bits - 1, 0, 0) + table.tobytes())
-    if len(image.frames) > 1:
-        out += b"\x21\xff\x0bNETSCAPE2.0" + struct.pack("<BBHB", 3, 1, image.loop_count if loop_count is None else loop_count, 0)
-    for f, argb, cs in zip(image.frames, flat, quantized([f.delay_ms for f in image.frames], 1 if exact else 2)):
+    if len(picture.frames) > 1:
+        out += b"\x21\xff\x0bNETSCAPE2.0" + struct.pack("<BBHB", 3, 1, picture.loop_count if loop_count is None else loop_count, 0)
+    for f, argb, cs in zip(picture.frames, flat, quantized([f.delay_ms for f in picture.frames], 1 if exact else 2)):
         rgb, inverse = np.unique(argb & 0xFFFFFF, return_inverse=True)
         p = np.stack([rgb >> 16, rgb >> 8 & 255, rgb & 255], axis=1).astype(np.int64)
         nearest = usable[((p[:, None, :] - colors[None, usable]) ** 2).sum(axis=2).argmin(axis=1)]
@@ -217,7 +217,7 @@ def write_gif(image: Image, transparent: bool = True, slot: int = 0, background:
         if transparent:
             index = np.where(argb >> 24 == 0, slot, index)
         code = DISPOSALS.index(f.disposal) if f.disposal in DISPOSALS else 0
-        out += struct.pack("<BBBBHBB", 0x21, 0xF9, 4, code << 2 | transparent, cs if len(image.frames) > 1 else 0, slot if transparent else 0, 0)
+        out += struct.pack("<BBBBHBB", 0x21, 0xF9, 4, code << 2 | transparent, cs if len(picture.frames) > 1 else 0, slot if transparent else 0, 0)
         out += struct.pack("<BHHHHBB", 0x2C, f.x, f.y, f.width, f.height, 0, bits)
         body = lzw_encode(index.astype(np.uint8).tobytes(), bits, False)
         for k in range(0, len(body), 255):
@@ -263,7 +263,7 @@ def _packbits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def read_tiff(data: bytes) -> Image:
+def read_tiff(data: bytes) -> Picture:
     """Strips of 8-bit gray, palette, RGB and RGBA, plain, LZW, deflate or packed bits; several pages are frames of 100 ms."""
     if data[:4] not in (b"II*\0", b"MM\0*"):
         raise DecodeError("not a TIFF file")
@@ -314,15 +314,15 @@ def read_tiff(data: bytes) -> Image:
         raise DecodeError("no pages")
     if len(frames) == 1:
         frames[0].delay_ms = 0
-    return Image(frames, alpha)
+    return Picture(frames, alpha)
 
 
-def write_tiff(image: Image, compression: str = "deflate") -> bytes:
+def write_tiff(picture: Picture, compression: str = "deflate") -> bytes:
     """A page for each frame, one strip each."""
     code, pack = {"none": (1, bytes), "lzw": (5, lambda b: lzw_encode(b, 8, True)), "deflate": (8, zlib.compress), "packbits": (32773, _packbits)}[compression.lower()]
     out, link = bytearray(b"II*\0\0\0\0\0"), 4
-    for f in image.frames:
-        p = channels(f.argb)[..., : 4 if image.has_alpha else 3]
+    for f in picture.frames:
+        p = channels(f.argb)[..., : 4 if picture.has_alpha else 3]
         body, bands = pack(p.tobytes()), p.shape[2]
         start = len(out)
         out += body + b"\0" * (len(body) % 2)

@@ -1,4 +1,4 @@
-"""Images in memory: what codecs read and write."""
+"""Pictures in memory: what codecs read and write."""
 
 from __future__ import annotations
 
@@ -47,7 +47,7 @@ class Frame:
 
 
 @dataclass
-class Image:
+class Picture:
     frames: list[Frame]
     has_alpha: bool = True
     loop_count: int = 0
@@ -57,7 +57,7 @@ class Image:
 
     def __post_init__(self) -> None:
         if not self.frames:
-            raise RasterError("an image has at least one frame")
+            raise RasterError("a picture has at least one frame")
         self.width = self.frames[0].width if self.width < 0 else self.width
         self.height = self.frames[0].height if self.height < 0 else self.height
 

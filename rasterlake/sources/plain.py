@@ -7,11 +7,11 @@ import zlib
 
 import numpy as np
 
-from .model import DecodeError, EncodeError, Frame, Image, channels, packed
+from .model import DecodeError, EncodeError, Frame, Picture, channels, packed
 
 
-def _still(argb: np.ndarray, has_alpha: bool) -> Image:
-    return Image([Frame(argb.astype(np.uint32))], has_alpha)
+def _still(argb: np.ndarray, has_alpha: bool) -> Picture:
+    return Picture([Frame(argb.astype(np.uint32))], has_alpha)
 
 
 def _need(ok: bool, message: str) -> None:
@@ -27,7 +27,7 @@ def _printed_luma(argb: np.ndarray) -> np.ndarray:
     return (p[..., 0] * 299 + p[..., 1] * 587 + p[..., 2] * 114 + 500) // 1000
 
 
-def read_pnm(data: bytes) -> Image:
+def read_pnm(data: bytes) -> Picture:
     """P1 to P6, comments, samples up to 65535; plain bits stand apart by white space."""
     _need(len(data) > 2 and data[:1] == b"P" and data[1:2] in b"123456", "not a portable any-map")
     kind, at = data[1] - 48, 2
@@ -68,8 +68,8 @@ def read_pnm(data: bytes) -> Image:
     return _still(packed(np.broadcast_to(values.reshape(h, w, bands), (h, w, 3))), False)
 
 
-def write_pnm(image: Image, variant: str = "ppm", ascii: bool = False) -> bytes:
-    argb = image.first
+def write_pnm(picture: Picture, variant: str = "ppm", ascii: bool = False) -> bytes:
+    argb = picture.first
     h, w = argb.shape
     bands = {"pbm": 0, "pgm": 1, "ppm": 2}[variant]
     head = f"P{bands + 1 + (0 if ascii else 3)}\n{w} {h}\n" + ("" if bands == 0 else "255\n")
@@ -83,7 +83,7 @@ def write_pnm(image: Image, variant: str = "ppm", ascii: bool = False) -> bytes:
 # -- bitmap ------------------------------------------------------------------------------
 
 
-def read_bmp(data: bytes) -> Image:
+def read_bmp(data: bytes) -> Picture:
     """Uncompressed 1, 4, 8, 24 and 32 bits, bottom-up or top-down."""
     _need(len(data) >= 54 and data[:2] == b"BM", "not a bitmap")
     start, size, w, h, _, depth, packing = struct.unpack_from("<IIiiHHI", data, 10)
@@ -101,11 +101,11 @@ def read_bmp(data: bytes) -> Image:
     return _still(packed(colors[index][..., 2::-1]), False)
 
 
-def write_bmp(image: Image) -> bytes:
+def write_bmp(picture: Picture) -> bytes:
     """24 bits, bottom-up; colours as they are over black."""
-    p = channels(image.first).astype(np.int64)
+    p = channels(picture.first).astype(np.int64)
     rgb = (p[..., :3] * p[..., 3:] + 127) // 255
-    h, w = image.first.shape
+    h, w = picture.first.shape
     stride = (w * 3 + 3) // 4 * 4
     body = np.zeros((h, stride), np.uint8)
     body[:, : w * 3] = rgb[::-1, :, ::-1].reshape(h, w * 3)
@@ -117,7 +117,7 @@ def write_bmp(image: Image) -> bytes:
 TGA_FOOTER = bytes(8) + b"TRUEVISION-XFILE.\0"
 
 
-def read_tga(data: bytes) -> Image:
+def read_tga(data: bytes) -> Picture:
     """True colour, raw or run-length, 24 or 32 bits, either direction of rows."""
     _need(len(data) >= 18, "header cut short")
     skip, mapped, kind = data[0], data[1], data[2]
@@ -142,9 +142,9 @@ def read_tga(data: bytes) -> Image:
     return _still(argb if descriptor & 0x20 else argb[::-1], size == 4)
 
 
-def write_tga(image: Image, rle: bool = True) -> bytes:
+def write_tga(picture: Picture, rle: bool = True) -> bytes:
     """Top-down with a footer; packets stay within their row."""
-    argb, size = image.first, 4 if image.has_alpha else 3
+    argb, size = picture.first, 4 if picture.has_alpha else 3
     h, w = argb.shape
     head = struct.pack("<BBBHHBHHHHBB", 0, 0, 10 if rle else 2, 0, 0, 0, 0, 0, w, h, size * 8, (8 if size == 4 else 0) | 0x20)
     p = np.ascontiguousarray(channels(argb)[..., [2, 1, 0, 3][:size]])
@@ -178,14 +178,14 @@ def write_tga(image: Image, rle: bool = True) -> bytes:
     return bytes(out) + TGA_FOOTER
 
 
-# -- quite OK image ---------------------------------------------------------------------------
+# -- quite OK picture ---------------------------------------------------------------------------
 
 
 def _slot(r: int, g: int, b: int, a: int) -> int:
     return (r * 3 + g * 5 + b * 7 + a * 11) & 63
 
 
-def read_qoi(data: bytes) -> Image:
+def read_qoi(data: bytes) -> Picture:
     _need(len(data) >= 22 and data[:4] == b"qoif", "not a QOI file")
     w, h, bands = struct.unpack_from(">IIB", data, 4)
     _need(w > 0 and h > 0 and bands in (3, 4), "bad header")
@@ -218,11 +218,11 @@ def read_qoi(data: bytes) -> Image:
     return _still(out.reshape(h, w), bands == 4)
 
 
-def write_qoi(image: Image) -> bytes:
-    h, w = image.first.shape
-    out = bytearray(struct.pack(">4sIIBB", b"qoif", w, h, 4 if image.has_alpha else 3, 0))
+def write_qoi(picture: Picture) -> bytes:
+    h, w = picture.first.shape
+    out = bytearray(struct.pack(">4sIIBB", b"qoif", w, h, 4 if picture.has_alpha else 3, 0))
     table, last, run = [(0, 0, 0, 0)] * 64, (0, 0, 0, 255), 0
-    for p in map(tuple, channels(image.first).reshape(-1, 4).tolist()):
+    for p in map(tuple, channels(picture.first).reshape(-1, 4).tolist()):
         if p == last:
             run += 1
             if run == 62:
@@ -288,7 +288,7 @@ def _unfiltered(raw: np.ndarray, step: int) -> np.ndarray:
 _PASSES = [(0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)]
 
 
-def read_png(data: bytes) -> Image:
+def read_png(data: bytes) -> Picture:
     _need(data[:8] == _PNG, "not a PNG file")
     at, parts, palette, clear, head = 8, [], None, b"", None
     while at + 8 <= len(data):
@@ -346,9 +346,9 @@ def read_png(data: bytes) -> Image:
     return _still(packed(np.concatenate([rgb, a], axis=2)), color in (4, 6) or key is not None)
 
 
-def write_png(image: Image, level: int = 6) -> bytes:
+def write_png(picture: Picture, level: int = 6) -> bytes:
     """8 bits with or without alpha; each row takes the filter with the smallest sum of signed residuals."""
-    p = channels(image.first)[..., : 4 if image.has_alpha else 3]
+    p = channels(picture.first)[..., : 4 if picture.has_alpha else 3]
     h, w, step = p.shape
     rows = p.reshape(h, w * step).astype(np.int16)
     left = np.zeros_like(rows)
@@ -373,7 +373,7 @@ def write_png(image: Image, level: int = 6) -> bytes:
 # -- icons --------------------------------------------------------------------------------------------
 
 
-def read_ico(data: bytes) -> Image:
+def read_ico(data: bytes) -> Picture:
     """The largest entry, the first of equals; PNG or 32-bit bitmap."""
     _need(len(data) >= 6 and data[:4] == b"\0\0\1\0", "not an icon")
     count = struct.unpack_from("<H", data, 4)[0]
@@ -392,9 +392,9 @@ def read_ico(data: bytes) -> Image:
     return _still(packed(p[..., [2, 1, 0, 3]]), True)
 
 
-def write_ico(image: Image) -> bytes:
-    h, w = image.first.shape
+def write_ico(picture: Picture) -> bytes:
+    h, w = picture.first.shape
     if max(w, h) > 256:
         raise EncodeError(f"icons are at most 256 pixels wide and high, not {w}x{h}")
-    png = write_png(image)
+    png = write_png(picture)
     return struct.pack("<HHHBBBBHHII", 0, 1, 1, w % 256, h % 256, 0, 0, 1, 32, len(png), 22) + png

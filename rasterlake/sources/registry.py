@@ -16,14 +16,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import jpeg, lzw, plain, webp
-from .model import DecodeError, EncodeError, Frame, Image, RasterError, UnsupportedFormat
+from .model import DecodeError, EncodeError, Frame, Picture, RasterError, UnsupportedFormat
 from .options import WriteOptions
 
 
 class Codec(NamedTuple):
     format: str
     matches: Callable[[bytes], bool]
-    read: Callable[[bytes], Image] | None
+    read: Callable[[bytes], Picture] | None
     write: Callable[..., bytes] | None
 
 
@@ -60,7 +60,7 @@ def detect(data: bytes) -> str:
     raise UnsupportedFormat("no known format begins like this")
 
 
-def decode(data: bytes, format: str | None = None) -> Image:
+def decode(data: bytes, format: str | None = None) -> Picture:
     format = format or detect(data)
     for c in _CODECS:
         if c.format == format and c.read:
@@ -73,13 +73,13 @@ def decode(data: bytes, format: str | None = None) -> Image:
     raise UnsupportedFormat(f"nothing reads {format}")
 
 
-def encode(image: Image, format: str | WriteOptions, **options) -> bytes:
+def encode(picture: Picture, format: str | WriteOptions, **options) -> bytes:
     """A file in a format, or as write options say."""
     if isinstance(format, WriteOptions):
         format, options = format.format, format.arguments() | options
     for c in _CODECS:
         if c.format == format.upper() and c.write:
-            return c.write(image, **options)
+            return c.write(picture, **options)
     raise UnsupportedFormat(f"nothing writes {format}")
 
 
@@ -109,9 +109,9 @@ _FRAMES = "path string, frame_idx int, width int, height int, delay_ms int, offs
 _FRAME_NAMES = [c.split()[0] for c in _FRAMES.split(", ")]
 
 
-def _rows(path: str, image: Image) -> Iterator[tuple]:
-    for k, f in enumerate(image.frames):
-        yield path, k, f.width, f.height, f.delay_ms, f.x, f.y, f.disposal, f.blend, image.has_alpha, image.loop_count, f.argb.astype(np.uint32).view(np.int32).ravel(), None
+def _rows(path: str, picture: Picture) -> Iterator[tuple]:
+    for k, f in enumerate(picture.frames):
+        yield path, k, f.width, f.height, f.delay_ms, f.x, f.y, f.disposal, f.blend, picture.has_alpha, picture.loop_count, f.argb.astype(np.uint32).view(np.int32).ravel(), None
 
 
 def decode_files(blobs: DataFrame, permissive: bool = False) -> DataFrame:
@@ -131,7 +131,7 @@ def decode_files(blobs: DataFrame, permissive: bool = False) -> DataFrame:
     return blobs.select("path", "content").mapInPandas(run, _FRAMES)
 
 
-def encode_frames(frames: DataFrame, format: str | WriteOptions, key: str = "image_id", **options) -> DataFrame:
+def encode_frames(frames: DataFrame, format: str | WriteOptions, key: str = "picture_id", **options) -> DataFrame:
     """Frames (key, frame_idx, width, height, argb and perhaps delay_ms ..) -> (key, format, content), one file per key."""
     if isinstance(format, WriteOptions):
         format, options = format.format, format.arguments() | options
@@ -147,10 +147,10 @@ def encode_frames(frames: DataFrame, format: str | WriteOptions, key: str = "ima
 
     def file(key_value, rows: list, names: tuple) -> tuple:
         alpha = bool(rows[0].has_alpha) if "has_alpha" in names else True
-        return key_value, format, encode(Image([frame(r, names) for r in rows], alpha), format, **options)
+        return key_value, format, encode(Picture([frame(r, names) for r in rows], alpha), format, **options)
 
     columns, schema = [key, "format", "content"], f"{key} {dict(frames.dtypes)[key]}, format string, content binary"
-    if "frame_idx" not in frames.columns:  # a row is a whole image: no shuffle
+    if "frame_idx" not in frames.columns:  # a row is a whole picture: no shuffle
 
         def stills(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -181,9 +181,9 @@ def read_files(spark: SparkSession, path: str, permissive: bool = False) -> Data
     return decode_files(spark.read.format("binaryFile").load(path), permissive)
 
 
-def read_jvm_images(spark: SparkSession, path: str) -> DataFrame:
+def read_jvm_pictures(spark: SparkSession, path: str) -> DataFrame:
     """First frames of JPEG, PNG, BMP files by the JVM's decoders: path, width, height, argb."""
-    rows = spark.read.format("image").load(path).select("image.*")
+    rows = spark.read.format("image").load(path).select("image.*")  # the name of the JVM source
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

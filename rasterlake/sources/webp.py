@@ -11,7 +11,7 @@ import struct
 
 import numpy as np
 
-from .model import DecodeError, Frame, Image, UnsupportedFormat
+from .model import EncodeError, DecodeError, Frame, Picture, UnsupportedFormat
 
 # -- container ---------------------------------------------------------------------
 
@@ -176,7 +176,7 @@ def _distance(code: int, width: int) -> int:
 
 
 def _pixels(bits: BitReader, w: int, h: int, top: bool) -> np.ndarray:
-    """An entropy-coded image of packed colours."""
+    """An entropy-coded picture of packed colours."""
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
         raise DecodeError("bad colour cache")
@@ -476,7 +476,7 @@ def _less_green(out: BitWriter, argb: np.ndarray) -> np.ndarray:
 
 
 def _by_left(out: BitWriter, argb: np.ndarray) -> np.ndarray:
-    """One prediction for the whole image: the pixel to the left, or above in the first column."""
+    """One prediction for the whole picture: the pixel to the left, or above in the first column."""
     out.write(1, 1)
     out.write(0, 2)
     out.write(7, 3)
@@ -555,13 +555,13 @@ def _sub_chunks(body: bytes) -> dict[str, bytes]:
     return out
 
 
-def read_webp(data: bytes) -> Image:
+def read_webp(data: bytes) -> Picture:
     """Stills and animations of lossless frames; animations come as whole canvases."""
     chunks = parse_chunks(data)
     found = dict(chunks)
     if "ANIM" not in found:
         if "VP8L" in found:
-            return Image([Frame(decode_lossless(found["VP8L"]))], True)
+            return Picture([Frame(decode_lossless(found["VP8L"]))], True)
         if "VP8 " in found:
             raise UnsupportedFormat("lossy WebP bitstreams are not decoded")
         raise DecodeError("no picture in the container")
@@ -592,7 +592,7 @@ def read_webp(data: bytes) -> Image:
         frames.append(Frame(canvas.copy(), ms, 0, 0, "RESTORE_TO_BACKGROUND" if flags & 1 else "DO_NOT_DISPOSE", "SOURCE" if flags & 2 else "OVER"))
     if not frames:
         raise DecodeError("an animation without frames")
-    return Image(frames, True, loop, background, w, h)
+    return Picture(frames, True, loop, background, w, h)
 
 
 def snapped(argb: np.ndarray, level: int, least: int = 64) -> np.ndarray:
@@ -612,19 +612,19 @@ def snapped(argb: np.ndarray, level: int, least: int = 64) -> np.ndarray:
     return _join(p)
 
 
-def write_webp(image: Image, loop_count: int = 0, near_lossless: int = 100) -> bytes:
+def write_webp(picture: Picture, loop_count: int = 0, near_lossless: int = 100) -> bytes:
     """Lossless, or nearly; frames of an animation after the first hold only the box that changed."""
     if near_lossless < 100:
-        frames = [Frame(snapped(f.argb, near_lossless), f.delay_ms, f.x, f.y, f.disposal, f.blend) for f in image.frames]
-        image = Image(frames, image.has_alpha, image.loop_count, image.background, image.width, image.height)
-    if len(image.frames) == 1:
-        return build_chunks([("VP8L", encode_lossless(image.first))])
-    h, w = image.first.shape
-    out = [("VP8X", struct.pack("<I", 0x12) + _u24(w - 1) + _u24(h - 1)), ("ANIM", struct.pack("<IH", image.background & 0xFFFFFFFF, loop_count or image.loop_count))]
+        frames = [Frame(snapped(f.argb, near_lossless), f.delay_ms, f.x, f.y, f.disposal, f.blend) for f in picture.frames]
+        picture = Picture(frames, picture.has_alpha, picture.loop_count, picture.background, picture.width, picture.height)
+    if len(picture.frames) == 1:
+        return build_chunks([("VP8L", encode_lossless(picture.first))])
+    h, w = picture.first.shape
+    out = [("VP8X", struct.pack("<I", 0x12) + _u24(w - 1) + _u24(h - 1)), ("ANIM", struct.pack("<IH", picture.background & 0xFFFFFFFF, loop_count or picture.loop_count))]
     before = None
-    for f in image.frames:
+    for f in picture.frames:
         if f.argb.shape != (h, w):
-            raise DecodeError("frames of an animation share one size")
+            raise EncodeError("frames of an animation share one size")
         box = (0, 0, w, h)
         if before is not None:
             ys, xs = np.nonzero(before != f.argb)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..sources.registry import decode_files
 from ..sources.webp import over
 
-_OUT = "image_id bigint, frame_idx int, x int, y int, width int, height int, keyframe boolean"
+_OUT = "picture_id bigint, frame_idx int, x int, y int, width int, height int, keyframe boolean"
 _STATE = "width int, height int, frames bigint, argb binary"
 
 
@@ -25,7 +25,7 @@ def watch_folder(spark: SparkSession, path: str, per_trigger: int = 100, permiss
 
 def frames_per_window(frames: DataFrame, time: str, length: str, late: str) -> DataFrame:
     """Frames and shown milliseconds of each animation in tumbling windows; rows later than ``late`` are dropped."""
-    windows = frames.withWatermark(time, late).groupBy(F.window(time, length), "image_id")
+    windows = frames.withWatermark(time, late).groupBy(F.window(time, length), "picture_id")
     return windows.agg(F.count("*").alias("frames"), F.sum("delay_ms").alias("shown_ms"))
 
 
@@ -61,7 +61,7 @@ def delta_stream(frames: DataFrame, keyframe_every: int = 0) -> DataFrame:
             state.update((int(w), int(h), int(n), last.tobytes()))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
 
-    return frames.groupBy("image_id").applyInPandasWithState(step, _OUT, _STATE, "append", "NoTimeout")
+    return frames.groupBy("picture_id").applyInPandasWithState(step, _OUT, _STATE, "append", "NoTimeout")
 
 
 def composed(frames: DataFrame, width: int, height: int, background: int = 0) -> DataFrame:
@@ -77,7 +77,7 @@ def composed(frames: DataFrame, width: int, height: int, background: int = 0) ->
             p = p[y.start - r.offset_y : y.stop - r.offset_y, x.start - r.offset_x : x.stop - r.offset_x]
             canvas[y, x] = p if r.blend == "SOURCE" else over(p, canvas[y, x])
             gone = (y, x) if r.disposal == "RESTORE_TO_BACKGROUND" else None
-            out.append((r.image_id, r.frame_idx, width, height, r.delay_ms, canvas.view(np.int32).ravel().copy()))
-        return pd.DataFrame(out, columns=["image_id", "frame_idx", "width", "height", "delay_ms", "argb"])
+            out.append((r.picture_id, r.frame_idx, width, height, r.delay_ms, canvas.view(np.int32).ravel().copy()))
+        return pd.DataFrame(out, columns=["picture_id", "frame_idx", "width", "height", "delay_ms", "argb"])
 
-    return frames.groupBy("image_id").applyInPandas(fold, "image_id bigint, frame_idx int, width int, height int, delay_ms int, argb array<int>")
+    return frames.groupBy("picture_id").applyInPandas(fold, "picture_id bigint, frame_idx int, width int, height int, delay_ms int, argb array<int>")

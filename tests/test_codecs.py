@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from rasterlake.sources import jpeg, lzw, plain, registry, webp
-from rasterlake.sources.model import DecodeError, EncodeError, Frame, Image, UnsupportedFormat
+from rasterlake.sources.model import DecodeError, EncodeError, Frame, Picture, UnsupportedFormat
 
 SOLID = np.uint32(0xFF000000)
 
@@ -20,7 +20,7 @@ def pictures():
 @pytest.mark.parametrize("format,options", [("PNG", {}), ("PNG", {"level": 0}), ("QOI", {}), ("TGA", {}), ("TGA", {"rle": False}), ("ICO", {}), ("WEBP", {}), ("TIFF", {}), *(("TIFF", {"compression": c}) for c in ("none", "lzw", "packbits"))])
 def test_round_trip_with_alpha(format, options):
     for p in pictures():
-        data = registry.encode(Image([Frame(p)]), format, **options)
+        data = registry.encode(Picture([Frame(p)]), format, **options)
         assert registry.detect(data) == format
         assert np.array_equal(registry.decode(data).first, p)
 
@@ -29,19 +29,19 @@ def test_round_trip_with_alpha(format, options):
 def test_round_trip_opaque(format, options):
     for p in pictures():
         p = p | SOLID
-        assert np.array_equal(registry.decode(registry.encode(Image([Frame(p)], False), format, **options)).first, p)
+        assert np.array_equal(registry.decode(registry.encode(Picture([Frame(p)], False), format, **options)).first, p)
 
 
 def test_gif_keeps_few_colours_time_and_loop():
     p = np.where(np.indices((20, 30)).sum(axis=0) % 3 == 0, 0xFF112233, 0xFFAABBCC).astype(np.uint32)
-    back = registry.decode(lzw.write_gif(Image([Frame(p, 50, 2, 4, "RESTORE_TO_BACKGROUND"), Frame(p, 33)], True, 7)))
+    back = registry.decode(lzw.write_gif(Picture([Frame(p, 50, 2, 4, "RESTORE_TO_BACKGROUND"), Frame(p, 33)], True, 7)))
     assert np.array_equal(back.first, p) and back.loop_count == 7
     assert [f.delay_ms for f in back.frames] == [50, 30] and (back.frames[0].x, back.frames[0].y, back.frames[0].disposal) == (2, 4, "RESTORE_TO_BACKGROUND")
 
 
 def test_gif_clears_below_the_threshold():
     p = np.array([[0x7F102030, 0x80102030, 0xFF102030]], np.uint32)
-    back = lzw.read_gif(lzw.write_gif(Image([Frame(p)]))).first
+    back = lzw.read_gif(lzw.write_gif(Picture([Frame(p)]))).first
     assert (back[0] >> 24).tolist() == [0, 255, 255]
 
 
@@ -66,7 +66,7 @@ def test_webp_animation_stores_changed_boxes():
     frames = [Frame(a.copy(), 50) for _ in range(5)]
     for k, f in enumerate(frames):
         f.argb[40:48, 40:48] = 0xFF000000 | 64 * k * 0x010101 & 0xFFFFFF
-    data = webp.write_webp(Image(frames, True, 3))
+    data = webp.write_webp(Picture(frames, True, 3))
     back = webp.read_webp(data)
     assert all(np.array_equal(f.argb, g.argb) for f, g in zip(frames, back.frames)) and back.loop_count == 3
     assert len(data) <= 20_000
@@ -81,7 +81,7 @@ def test_pnm_comments_and_wide_samples():
 @pytest.mark.parametrize("format", ["PNG", "QOI", "TGA", "BMP", "GIF", "TIFF", "ICO", "WEBP", "PNM"])
 def test_cut_short_files_are_errors(format):
     p = next(x for i, x in enumerate(pictures()) if i == 1)
-    data = registry.encode(Image([Frame(p)], format not in ("BMP",)), format)
+    data = registry.encode(Picture([Frame(p)], format not in ("BMP",)), format)
     with pytest.raises(Exception) as e:
         registry.decode(data[: len(data) // 2], format)
     assert not isinstance(e.value, (IndexError, KeyError)) or format in ("QOI", "GIF", "TIFF")
@@ -91,13 +91,13 @@ def test_unknown_and_too_large():
     with pytest.raises(UnsupportedFormat):
         registry.detect(b"nothing known")
     with pytest.raises(EncodeError):
-        plain.write_ico(Image([Frame(np.zeros((1, 257), np.uint32))]))
+        plain.write_ico(Picture([Frame(np.zeros((1, 257), np.uint32))]))
     with pytest.raises(DecodeError):
         plain.read_ico(b"\0\0\1\0\0\0")
 
 
 def test_a_registered_codec_serves_what_others_do_not_claim():
-    registry.register(registry.Codec("FLAT", lambda d: d[:4] == b"FLAT", lambda d: Image([Frame(np.full((1, d[4]), SOLID))]), None))
+    registry.register(registry.Codec("FLAT", lambda d: d[:4] == b"FLAT", lambda d: Picture([Frame(np.full((1, d[4]), SOLID))]), None))
     try:
         assert registry.decode(b"FLAT\3").width == 3
     finally:
@@ -108,7 +108,7 @@ def test_data_source_reads_and_writes(spark, tmp_path):
     from rasterlake.sources.datasource import RasterSource
 
     spark.dataSource.register(RasterSource)
-    rows = [(f"i{k}", bytearray(registry.encode(Image([Frame(np.full((2, k + 1), SOLID | np.uint32(k)))]), "QOI"))) for k in range(5)]
+    rows = [(f"i{k}", bytearray(registry.encode(Picture([Frame(np.full((2, k + 1), SOLID | np.uint32(k)))]), "QOI"))) for k in range(5)]
     spark.createDataFrame(rows, "name string, content binary").write.format("raster").option("format", "qoi").mode("append").save(str(tmp_path / "out"))
     back = spark.read.format("raster").load(str(tmp_path / "out"))
     assert sorted((r.width, r.argb[0] & 255) for r in back.collect()) == [(k + 1, k) for k in range(5)]
@@ -119,8 +119,8 @@ def test_data_source_reads_and_writes(spark, tmp_path):
 
 def test_jvm_reader_agrees(spark, tmp_path):
     p = next(x for i, x in enumerate(pictures()) if i == 2)
-    (tmp_path / "a.png").write_bytes(plain.write_png(Image([Frame(p)])))
-    row = registry.read_jvm_images(spark, str(tmp_path)).first()
+    (tmp_path / "a.png").write_bytes(plain.write_png(Picture([Frame(p)])))
+    row = registry.read_jvm_pictures(spark, str(tmp_path)).first()
     assert np.array_equal(np.array(row.argb, np.int32).view(np.uint32).reshape(p.shape), p)
 
 
@@ -132,18 +132,18 @@ def _quality(p, q):
 @pytest.mark.parametrize("quality,halve,least", [(0.75, True, 30), (0.95, False, 40), (1.0, False, 45)])
 def test_jpeg(spark, tmp_path, quality, halve, least):
     p = next(x for i, x in enumerate(pictures()) if i == 1)
-    data = jpeg.write_jpeg(Image([Frame(p)], False), quality, halve)
+    data = jpeg.write_jpeg(Picture([Frame(p)], False), quality, halve)
     own = registry.decode(data).first
     assert registry.detect(data) == "JPEG" and _quality(p, own) > least
     (tmp_path / "a.jpg").write_bytes(data)
-    row = registry.read_jvm_images(spark, str(tmp_path)).first()
+    row = registry.read_jvm_pictures(spark, str(tmp_path)).first()
     other = np.array(row.argb, np.int32).view(np.uint32).reshape(row.height, row.width)
     assert _quality(own, other) > 38
 
 
 def test_jpeg_restarts_and_kinds():
     p = np.full((40, 40), 0xFF336699, np.uint32)
-    data = bytearray(jpeg.write_jpeg(Image([Frame(p)], False), 0.9))
+    data = bytearray(jpeg.write_jpeg(Picture([Frame(p)], False), 0.9))
     at = data.index(b"\xff\xc0")
     data[at + 1] = 0xC2
     with pytest.raises(UnsupportedFormat):

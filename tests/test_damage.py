@@ -6,14 +6,14 @@ import pytest
 from rasterlake.functions.quantise import median_cut
 from rasterlake.operators import pixels as P
 from rasterlake.sources import registry
-from rasterlake.sources.model import Frame, Image, RasterError
+from rasterlake.sources.model import Frame, Picture, RasterError
 
 
 def samples(format):
     r = np.random.default_rng(4)
     y, x = np.mgrid[0:9, 0:13]
     for p in (np.uint32(0xFF000000) | (x * 16 << 8) | y * 20, r.integers(0, 1 << 32, (9, 13), dtype=np.uint32) | np.uint32(0xFF000000)):
-        yield registry.encode(Image([Frame(p.astype(np.uint32))], False), format)
+        yield registry.encode(Picture([Frame(p.astype(np.uint32))], False), format)
 
 
 @pytest.mark.parametrize("format", registry.formats())
@@ -70,13 +70,13 @@ def test_median_cut_equals_a_plain_version(capacity):
 
 def test_frames_hold_repeated_and_outside_pixels(spark):
     rows = [(1, 0, 0, 255, 1, 2, 3), (1, 0, 0, 255, 9, 2, 3), (1, 1, 1, 255, 7, 7, 7), (1, 2, 0, 255, 1, 1, 1), (1, 0, -1, 255, 1, 1, 1), (2, 5, 5, 255, 1, 1, 1)]
-    px = spark.createDataFrame(rows, "image_id bigint, x int, y int, a int, r int, g int, b int")
-    got = {r.image_id: [v & 0xFFFFFFFF for v in r.argb] for r in P.to_frames(px, 2, 2).collect()}
+    px = spark.createDataFrame(rows, "picture_id bigint, x int, y int, a int, r int, g int, b int")
+    got = {r.picture_id: [v & 0xFFFFFFFF for v in r.argb] for r in P.to_frames(px, 2, 2).collect()}
     assert got == {1: [0xFF090203, 0, 0, 0xFF070707], 2: [0, 0, 0, 0]}
 
 
 def test_frames_of_a_large_picture_are_laid_out_in_one_pass(spark):
     side = 1000
-    px = spark.range(side * side).selectExpr("cast(1 as bigint) image_id", f"cast(id % {side} as int) x", f"cast(id div {side} as int) y", "255 a", "cast(id % 251 as int) r", "0 g", "0 b")
+    px = spark.range(side * side).selectExpr("cast(1 as bigint) picture_id", f"cast(id % {side} as int) x", f"cast(id div {side} as int) y", "255 a", "cast(id % 251 as int) r", "0 g", "0 b")
     row = P.to_frames(px, side, side).selectExpr("width", "size(argb) n", "argb[999999] last").first()
     assert (row.width, row.n, row["last"] & 0xFFFFFFFF) == (side, side * side, 0xFF000000 | (999999 % 251 << 16))

@@ -8,8 +8,8 @@ from rasterlake.plans import catalog
 SIDE, TILE = 8, 4
 
 
-def images():
-    """Images that differ in what predicts them best: noise, ramps, opaque black with dots, diagonals."""
+def pictures():
+    """Pictures that differ in what predicts them best: noise, ramps, opaque black with dots, diagonals."""
     r = random.Random(3)
     out = {}
     for i in range(12):
@@ -73,8 +73,8 @@ def plain(ims):
 
 
 def test_search_over_all_modes_equals_a_plain_version(spark, sf_dir, monkeypatch):
-    ims = images()
-    px = spark.createDataFrame([(i, x, y, *c) for i, p in ims.items() for (x, y), c in p.items()], "image_id bigint, x int, y int, a int, r int, g int, b int")
+    ims = pictures()
+    px = spark.createDataFrame([(i, x, y, *c) for i, p in ims.items() for (x, y), c in p.items()], "picture_id bigint, x int, y int, a int, r int, g int, b int")
     want = plain(ims)
     assert len({m for *_, m, _ in want} - {1, 2, 4, 11}) > 2
     monkeypatch.setattr(catalog, "pixels", lambda spark, d: px)

@@ -2,10 +2,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from rasterlake.sources import plain
-from rasterlake.sources.model import Frame, Image
+from rasterlake.sources.model import Frame, Picture
 from rasterlake.streaming import sessions
 
-SCHEMA = "image_id bigint, frame_idx int, width int, height int, argb array<int>, ts timestamp, delay_ms int"
+SCHEMA = "picture_id bigint, frame_idx int, width int, height int, argb array<int>, ts timestamp, delay_ms int"
 
 
 def _land(spark, folder, rows, name):
@@ -41,7 +41,7 @@ def test_windows_count_frames(spark, tmp_path):
 
 def test_watched_folder_decodes_and_reports(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.qoi").write_bytes(plain.write_qoi(Image([Frame(np.full((2, 3), 0xFF010203, np.uint32))])))
+    (tmp_path / "in" / "a.qoi").write_bytes(plain.write_qoi(Picture([Frame(np.full((2, 3), 0xFF010203, np.uint32))])))
     (tmp_path / "in" / "b.bin").write_bytes(b"no picture")
     q = sessions.watch_folder(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("landed").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/_c").start()
     q.awaitTermination(120)
@@ -54,7 +54,7 @@ def test_composed_clears_and_blends(spark):
         (1, 0, 2, 1, 0, 0, 10, "RESTORE_TO_BACKGROUND", "SOURCE", [-1, -1]),
         (1, 1, 1, 1, 1, 0, 10, "NONE", "OVER", [-0x80000000 + 0x00FF0000]),
     ]
-    frames = spark.createDataFrame(rows, "image_id bigint, frame_idx int, width int, height int, offset_x int, offset_y int, delay_ms int, disposal string, blend string, argb array<int>")
+    frames = spark.createDataFrame(rows, "picture_id bigint, frame_idx int, width int, height int, offset_x int, offset_y int, delay_ms int, disposal string, blend string, argb array<int>")
     got = {r.frame_idx: [v & 0xFFFFFFFF for v in r.argb] for r in sessions.composed(frames, 2, 1).collect()}
     assert got == {0: [0xFFFFFFFF, 0xFFFFFFFF], 1: [0, 0x80FF0000]}
 

@@ -5,7 +5,7 @@ from rasterlake.operators import stencils
 from rasterlake.operators.canvas import Canvas
 from rasterlake.operators.pixels import to_frames
 from rasterlake.sources import options, registry, webp
-from rasterlake.sources.model import Frame, Image
+from rasterlake.sources.model import Frame, Picture
 
 
 def grid(px, w, h):
@@ -43,7 +43,7 @@ def test_options_are_limited_and_used():
         options.TiffOptions("zip")
     p = np.arange(64, dtype=np.uint32).reshape(8, 8) | np.uint32(0xFF000000)
     for o in (options.PngOptions(9), options.TgaOptions(False), options.TiffOptions("lzw"), options.PnmOptions("ppm", True), options.WebpOptions()):
-        assert np.array_equal(registry.decode(registry.encode(Image([Frame(p)], False), o)).first, p)
+        assert np.array_equal(registry.decode(registry.encode(Picture([Frame(p)], False), o)).first, p)
 
 
 def test_near_lossless_gets_smaller_and_stays_near():
@@ -51,10 +51,10 @@ def test_near_lossless_gets_smaller_and_stays_near():
     v = np.where((x + y) % 16 == 0, 200, 40 + (x + y) // 8).astype(np.uint32)
     p = np.uint32(0xFF000000) | v << 16 | v << 8 | v
     for level, most in ((100, 0), (60, 3), (0, 47)):
-        data = webp.write_webp(Image([Frame(p)]), near_lossless=level)
+        data = webp.write_webp(Picture([Frame(p)]), near_lossless=level)
         assert abs((webp.read_webp(data).first & 255).astype(int) - (p & 255).astype(int)).max() <= most
     noise = np.uint32(0xFF000000) | np.random.default_rng(2).integers(0, 1 << 24, (70, 70), dtype=np.uint32)
-    sizes = [len(webp.write_webp(Image([Frame(noise)]), near_lossless=level)) for level in (100, 60, 0)]
+    sizes = [len(webp.write_webp(Picture([Frame(noise)]), near_lossless=level)) for level in (100, 60, 0)]
     assert sizes[0] > sizes[1] > sizes[2]
 
 
@@ -62,14 +62,14 @@ def test_near_lossless_forms_agree(spark):
     r = np.random.default_rng(4)
     p = r.integers(0, 1 << 32, (9, 11), dtype=np.uint32)
     rows = [(0, x, y, *(int(p[y, x]) >> s & 255 for s in (24, 16, 8, 0))) for y in range(9) for x in range(11)]
-    px = spark.createDataFrame(rows, "image_id bigint, x int, y int, a int, r int, g int, b int")
+    px = spark.createDataFrame(rows, "picture_id bigint, x int, y int, a int, r int, g int, b int")
     for level in (90, 50, 10):
         assert np.array_equal(grid(stencils.near_lossless(px, level, 11, 9, least=0), 11, 9), webp.snapped(p, level, least=0))
 
 
 def test_frames_are_normalized(spark):
     a, b = [0xFF000000 - (1 << 32)] * 16, [0xFFFF0000 - (1 << 32)] * 64
-    frames = spark.createDataFrame([(1, 0, 100, 4, 4, a), (1, 1, 100, 8, 8, b)], "image_id bigint, frame_idx int, delay_ms int, width int, height int, argb array<int>")
+    frames = spark.createDataFrame([(1, 0, 100, 4, 4, a), (1, 1, 100, 8, 8, b)], "picture_id bigint, frame_idx int, delay_ms int, width int, height int, argb array<int>")
     got = {r.frame_idx: r for r in stencils.normalize_frames(frames).collect()}
     assert [(got[k].width, got[k].height, got[k].delay_ms) for k in (0, 1)] == [(4, 4, 100)] * 2
     assert got[0].argb == a and set(got[1].argb) == {b[0]}
@@ -79,6 +79,6 @@ def test_frames_are_normalized(spark):
 
 def test_base64_files(spark):
     p = np.full((2, 3), 0xFF010203, np.uint32)
-    rows = spark.createDataFrame([("a", bytearray(registry.encode(Image([Frame(p)]), "QOI")))], "path string, content binary")
+    rows = spark.createDataFrame([("a", bytearray(registry.encode(Picture([Frame(p)]), "QOI")))], "path string, content binary")
     back = registry.decode_base64(registry.to_base64(rows)).first()
     assert (back.width, back.height, back.argb[0] & 0xFFFFFFFF) == (3, 2, 0xFF010203)
