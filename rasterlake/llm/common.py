@@ -73,7 +73,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Bytes of one Arrow batch on its way to Python, where the session sets none; a longer row is a batch of its own.
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 4_000_000
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -5,7 +5,8 @@ characters, whatever stands on either side: the word vocabulary drops white
 space, the byte vocabulary glues the space to the word after it.  A batch is
 therefore split at spaces by Arrow, dictionary-encoded, each distinct unit is
 encoded once, and the ids are gathered back by numpy.  Nothing here is done per
-occurrence in Python.
+occurrence in Python, and for units that are a plain word, perhaps with a mark, not
+even per distinct unit: all of a slice are merged in one call.
 
 Units made of ASCII and Latin-1 letters, digits and marks take the quick path
 (byte-pair merges by rank, through tiktoken, over the ranks stated in the
@@ -24,14 +25,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Entries of each memo, about 12 MB; of the one for pieces two generations are kept.
-MEMO_UNITS = 80_000
+#: Units of a generation of the memo, about 18 MB; two are kept.  Pieces of compound units have a quarter of that.
+MEMO_UNITS = 120_000
 #: Bytes of text turned into ids at once.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 4_000_000
 #: A space beside other white space, for RE2.
 NO_CUT = r" [\s\p{Z}\x0b\x1c-\x1f\x85]|[\s\p{Z}\x0b\x1c-\x1f\x85] "
 
 
+#: Byte for the end of a word; what stands between units that are merged together, and between a word and its mark.
+END, BETWEEN, INSIDE = b"\x01", "\n", "\t"
+#: Units of Latin letters and perhaps a mark, for RE2: such a word is one piece, and so is the mark.
+WORD, MARK = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,!?;:]?$", "([.,!?;:])$"
+
+
 def vocabulary_path(name: str) -> str:
     import public_tokenizers
 
@@ -79,12 +86,13 @@ class UnitEncoder:
                 continue
             last = self.words and token.endswith(self.END_OF_WORD)
             body = bytes(symbols[c] for c in (token.removesuffix(self.END_OF_WORD) if last else token))
-            ranks[body + b"\xff" * last] = i
-        # 0xFF never occurs in UTF-8: in the word vocabulary it stands for the end of a word.
+            ranks[body + END * last] = i
+        # No text of the quick path holds END: in the word vocabulary it stands for the end of a word.
         # Merging in order of rank asks that a byte and the end mark merge before all else.
         order = {t: n for n, t in enumerate(" ".join(m) if isinstance(m, list) else m for m in spec["model"]["merges"])}
         self._check_ranks(ranks, order, symbols)
-        self._bpe = tiktoken.Encoding("unit", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+        self._bpe = tiktoken.Encoding("unit", pat_str=r"[^\n\t]+|\n|\t", mergeable_ranks=ranks, special_tokens={})._core_bpe
+        self._between, self._inside = ranks[BETWEEN.encode()], ranks[INSIDE.encode()]
         if self.words:
             pattern = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
         else:
@@ -93,6 +101,7 @@ class UnitEncoder:
         self._plain = regex.compile("[\x20-\x7e\n¡-¬®-ÿ]*").fullmatch
         self.last_id = max(max(spec["model"]["vocab"].values()), max((t["id"] for t in spec["added_tokens"]), default=0))
         self._memo: dict[str, bytes] = {}
+        self._memo_old: dict[str, bytes] = {}
         self._pieces_new: dict[str, bytes] = {}
         self._pieces_old: dict[str, bytes] = {}
         self._marks = {c: self.encode_unit(c) for c in ".,!?;:"}
@@ -104,20 +113,23 @@ class UnitEncoder:
             if n % 1000 == 0 or n == len(merges) - 1:
                 joined = pair.replace(" ", "")
                 last = self.words and joined.endswith(self.END_OF_WORD)
-                body = bytes(symbols[c] for c in (joined.removesuffix(self.END_OF_WORD) if last else joined)) + b"\xff" * last
+                body = bytes(symbols[c] for c in (joined.removesuffix(self.END_OF_WORD) if last else joined)) + END * last
                 if ranks[body] != first + n:
                     raise ValueError("this tokenizer file does not number its tokens in merge order")
 
     # -- one unit --------------------------------------------------------
 
+    def _merged(self, p: str) -> bytes:
+        raw = p.encode()
+        return _ids(self._bpe.encode_single_piece(raw + END if self.words else raw))
+
     def _piece(self, p: str) -> bytes:
         got = self._pieces_new.get(p)
         if got is None:
             got = self._pieces_old.get(p)
             if got is None:
-                raw = p.encode()
-                got = _ids(self._bpe.encode_single_piece(raw + b"\xff" if self.words else raw))
-            if len(self._pieces_new) >= MEMO_UNITS:
+                got = self._merged(p)
+            if len(self._pieces_new) >= MEMO_UNITS // 4:
                 self._pieces_old, self._pieces_new = self._pieces_new, {}
             self._pieces_new[p] = got
         return got
@@ -132,21 +144,28 @@ class UnitEncoder:
 
     def _unit(self, key: str, lead: str) -> bytes:
         """Into the memo; lead is the space that a unit inside a text starts with in the byte vocabulary."""
-        if key.isascii() or self._plain(key):
-            body = key.lower() if self.words else key
-            if body.isalpha():
-                got = self._piece(lead + body)
-            elif body[-1:] in self._marks and body[:-1].isalpha():
-                got = self._piece(lead + body[:-1]) + self._marks[body[-1]]
-            else:
-                got = self.encode_unit(lead + key)
-        else:
-            got = self.encode_unit(lead + key)
+        got = self._memo_old.get(key)
+        if got is None:
+            got = self._fresh(key, lead)
         if len(self._memo) >= MEMO_UNITS:
-            self._memo.clear()
+            self._memo_old, self._memo = self._memo, {}
         self._memo[key] = got
         return got
 
+    def _fresh(self, key: str, lead: str) -> bytes:
+        """A word is one piece; with a capital or a mark behind it, it is the plain word's unit, which is known more often."""
+        if key.isascii() or self._plain(key):
+            body = key.lower() if self.words else key
+            if body.isalpha():
+                return self._merged(lead + body) if body == key else self._known(body, lead)
+            if body[-1:] in self._marks and body[:-1].isalpha():
+                return self._known(body[:-1], lead) + self._marks[body[-1]]
+        return self.encode_unit(lead + key)
+
+    def _known(self, key: str, lead: str) -> bytes:
+        got = self._memo.get(key)
+        return self._unit(key, lead) if got is None else got
+
     # -- whole columns ---------------------------------------------------
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -169,31 +188,50 @@ class UnitEncoder:
         values = lists.values.slice(bounds[0], bounds[-1] - bounds[0])
         bounds = bounds - bounds[0]
         coded = values.dictionary_encode()
-        codes = coded.indices.to_numpy().astype(np.int64)
-        names = coded.dictionary.to_pylist()
+        codes = coded.indices.to_numpy().astype(np.int32)  # a slice has fewer than 2^31 units and ids
         lead = "" if self.words else " "
+        plain, known, known_size = self._words(coded.dictionary, lead)
+        names = coded.dictionary.filter(pa.array(~plain)).to_pylist()
         get = self._memo.get
         blobs = [b if (b := get(n)) is not None else self._unit(n, lead) for n in names]
         odd_docs: list[int] = []
         if not self.words:
             # a text's first unit has no space before it
             firsts = values.take(pa.array(bounds[:-1])).dictionary_encode()
-            codes[bounds[:-1]] = len(names) + firsts.indices.to_numpy()
+            codes[bounds[:-1]] = len(plain) + firsts.indices.to_numpy()
             blobs += [self.encode_unit(n) for n in firsts.dictionary.to_pylist()]
+            plain = np.concatenate([plain, np.zeros(len(blobs) - len(names), bool)])
             # a space beside other white space is no cut
             odd_docs = np.flatnonzero(pc.match_substring_regex(texts, NO_CUT).to_numpy(zero_copy_only=False)).tolist()
-        table = np.frombuffer(b"".join(blobs), "<u4")
-        size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
-        start = np.concatenate([[0], np.cumsum(size)[:-1]])
+        table = np.concatenate([known, np.frombuffer(b"".join(blobs), "<u4")])
+        size, start = np.empty(len(plain), np.int32), np.empty(len(plain), np.int32)
+        size[plain], size[~plain] = known_size, np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        start[plain] = np.cumsum(size[plain]) - size[plain]
+        start[~plain] = len(known) + np.cumsum(size[~plain]) - size[~plain]
         n = size[codes]
-        cum = np.cumsum(n)
+        cum = np.cumsum(n, dtype=np.int32)
         total = int(cum[-1]) if len(cum) else 0
-        ids = table[np.repeat(start[codes] - (cum - n), n) + np.arange(total)]
-        ends = cum[bounds[1:] - 1]
+        ids = table[np.repeat(start[codes] - (cum - n), n) + np.arange(total, dtype=np.int32)]
+        ends = cum[bounds[1:] - 1].astype(np.int64)
         if odd_docs:
             return self._with_whole(ids, ends, texts, odd_docs)
         return ids, ends
 
+    def _words(self, names: pa.Array, lead: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which units are plain words, their ids, number of ids of each), merged in one call."""
+        plain = pc.match_substring_regex(names, WORD).to_numpy(zero_copy_only=False).astype(bool)
+        chosen = names.filter(pa.array(plain))
+        if not len(chosen):
+            return plain, np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        end = END.decode() if self.words else ""
+        if self.words:
+            chosen = pc.utf8_lower(chosen)
+        parts = pc.replace_substring_regex(chosen, MARK, f"{end}{INSIDE}\\1").to_pylist()
+        ids = np.array(self._bpe.encode_ordinary(lead + f"{end}{BETWEEN}{lead}".join(parts) + end), np.uint32)
+        ends, own = ids == self._between, ids != self._inside
+        own &= ~ends
+        return plain, ids[own], np.bincount(np.cumsum(ends)[own], minlength=len(chosen))
+
     def _with_whole(self, ids: np.ndarray, ends: np.ndarray, texts: pa.Array, odd: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Replace the ids of texts with spaces beside other white space: those are cut only at lone spaces."""
         starts = np.concatenate([[0], ends[:-1]])
