@@ -6,12 +6,15 @@ end per text.  All counts come from all training texts.
 The model.  Words fall into ``CLASSES * MEMBERS`` buckets: the end and the most
 frequent words have their own, the others share buckets by a hash of their last
 two bytes.  P(word | history) = P(class | history) * P(bucket | class, history) *
-P(word | bucket); the last is an add-one unigram of the bucket's words, with one
-share for unseen words.  The first two are softmaxes over sums of weights of
-hashed features: previous bucket, two skip features (buckets two and three back),
-the hashed pair of the previous two, and for buckets within a class the classes
-one and two back.  Classes come from halving the buckets along the main direction
-of what they stand next to.
+P(word | bucket, previous word).  The first two are softmaxes over sums of weights
+of hashed features: previous bucket, two skip features (buckets two and three
+back), the hashed pair of the previous two, and for buckets within a class the
+classes one and two back.  Classes come from halving the buckets along the main
+direction of what they stand next to.  The third is a softmax too: the log of an
+add-one unigram of the bucket's words, with one share for unseen words, plus a
+weight for each pair of a hashed previous word and a frequent word.  Only pairs met
+in training have weights, so its divisor needs only those of one previous word and
+bucket, and is exact.
 
 Training.  Texts are read twice: once for word counts, once to turn them into
 bucket sequences, which are kept as a table.  Over that table run one pass for
@@ -21,6 +24,14 @@ every task makes minibatch updates over its rows, and the changes are averaged b
 tokens, block by block, through a shuffle.  The driver holds one model (under
 1 MB) and one table of bucket pairs (4 MB).
 
+The weights of word pairs grow with the corpus and are never in one place.  The
+tokens of shared buckets go to blocks by previous word and bucket, as hashes of 8
+bytes, packed; there are more blocks with more training tokens.  A block has all
+that its weights rest on: it fits them by gradient updates and sends back what its
+tokens add, summed for each text.  The most frequent words have buckets of their own
+and take no part, so a pair holds at most 1 in ``OWN`` of all tokens, words of over
+``WORD_BYTES`` bytes excepted; previous words of any frequency are spread by bucket.
+
 Word counts meet the texts in two ways: the ``FREQUENT`` most frequent words go to
 the tasks (a bounded list), all others are joined by word.
 
@@ -50,7 +61,11 @@ FREQUENT, ROUNDS, SLICE_BYTES, STEP_TOKENS = 50_000, 2, 2_000_000, 16_384
 #: Longest word of the list of frequent words, which goes to the driver and the tasks.
 WORD_BYTES = 64
 START = BUCKETS  # stands before the first word
-_ROW = "doc_id bigint, uid bigint, held_out boolean, n_tokens bigint, freq_log double, freq_known bigint, buckets binary, rare array<struct<word:string,tf:bigint>>"
+#: Training tokens a block of word pairs stands for; fewest blocks; pseudo-tokens of the unigram in the fit; gradient updates.
+BLOCK_TOKENS, LEAST_BLOCKS, PRIOR, UPDATES = 2_000_000, 16, 4.0, 16
+#: Place of all words outside the list of frequent words, in a packed pair.
+RARE = 65_535
+_ROW = "doc_id bigint, uid bigint, text_key bigint, held_out boolean, n_tokens bigint, freq_log double, freq_known bigint, buckets binary, rare array<struct<word:string,tf:bigint>>"
 
 
 # -- words and buckets --------------------------------------------------------
@@ -125,12 +140,106 @@ def sequences(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iter
             part_id = batch.column("part")[0].as_py()
             rows = slice(first, first + n)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(first, n), pa.array((part_id << 40) + seen + np.arange(n)), batch.column("held_out").slice(rows.start, n), pa.array((ends - begins + 1).astype(np.int64)), pa.array(freq_log), pa.array(freq_known.astype(np.int64)), blobs, pa.ListArray.from_arrays(pa.array(rends), rare)],
-                names=["doc_id", "uid", "held_out", "n_tokens", "freq_log", "freq_known", "buckets", "rare"],
+                [batch.column("doc_id").slice(first, n), pa.array((part_id << 40) + seen + np.arange(n)), batch.column("text_key").slice(first, n), batch.column("held_out").slice(rows.start, n), pa.array((ends - begins + 1).astype(np.int64)), pa.array(freq_log), pa.array(freq_known.astype(np.int64)), blobs, pa.ListArray.from_arrays(pa.array(rends), rare)],
+                names=["doc_id", "uid", "text_key", "held_out", "n_tokens", "freq_log", "freq_known", "buckets", "rare"],
             )
             seen += n
 
 
+# -- weights of word pairs ----------------------------------------------------------
+
+
+def word_hashes(names: pa.Array) -> np.ndarray:
+    """39 bits of a polynomial hash of each word's bytes."""
+    offsets = np.frombuffer(names.buffers()[1], np.int64)[names.offset : names.offset + len(names) + 1]
+    size = np.diff(offsets)
+    out = np.zeros(len(names), np.uint64)
+    if size.sum():
+        raw = np.frombuffer(names.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64)
+        powers = np.cumprod(np.full(int(size.max()), 0x9E3779B97F4A7C15, np.uint64))
+        full = np.flatnonzero(size)
+        place = np.arange(len(raw)) - np.repeat(offsets[:-1] - offsets[0], size)
+        out[full] = np.add.reduceat((raw + np.uint64(1)) * powers[place], (offsets[:-1] - offsets[0])[full])
+    out ^= out >> np.uint64(32)
+    return (out * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(25)
+
+
+@trimmed
+def word_pairs(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, blocks: int) -> Iterator[pa.RecordBatch]:
+    """Tokens of shared buckets by block: pairs (previous word 39 bits, bucket 9, place 16), tokens of each text, and the texts' keys."""
+    for batch in batches:
+        for first, part in slices(batch.column("text"), SLICE_BYTES):
+            codes, ends, names = words(part)
+            at, bucket = vocabulary.look_up(names)
+            begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+            before = np.zeros(len(codes), np.uint64)
+            before[1:] = word_hashes(names)[codes[:-1]]
+            before[begins[ends > begins]] = 0
+            # the part of a pair that the word alone decides
+            own = (np.maximum(bucket - OWN, 0).astype(np.uint64) << np.uint64(16)) | np.where(at < 0, RARE, at).astype(np.uint64)
+            chosen = np.flatnonzero((bucket >= OWN)[codes])
+            pairs = (before[chosen] << np.uint64(25)) | own[codes[chosen]]
+            block = (((pairs >> np.uint64(16)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(blocks)
+            order = np.argsort(block.astype(np.min_scalar_type(blocks)), kind="stable")
+            block, pairs = block[order].astype(np.int64), pairs[order]
+            doc = np.repeat(np.arange(len(part)), ends - begins)[chosen][order]
+            keys = batch.column("text_key").slice(first, len(part)).to_numpy()
+            runs = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (block[1:] != block[:-1])])) if len(doc) else np.zeros(0, np.int64)
+            sizes = np.diff(np.concatenate([runs, [len(doc)]])).astype("<u4")
+            present, cuts = np.unique(block, return_index=True)
+            cuts = np.append(cuts, len(block))
+            at_run = np.searchsorted(runs, cuts)
+            run_keys = keys[doc[runs]]
+            packed = [(pairs[i:j].tobytes(), sizes[k:m].tobytes(), run_keys[k:m].tobytes()) for i, j, k, m in zip(cuts[:-1], cuts[1:], at_run[:-1], at_run[1:])]
+            if packed:
+                yield pa.RecordBatch.from_arrays([pa.array(present), *(pa.array(c, pa.binary()) for c in zip(*packed))], names=["block", "pairs", "sizes", "keys"])
+
+
+def pair_gains(pairs: np.ndarray, training: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct pair of each token, log10 of P(word | bucket, previous word) / P(word | bucket) of each distinct pair).
+
+    ``shares`` is P(word | bucket) by place.  The weights maximise the likelihood of
+    the training tokens and of ``PRIOR`` tokens of the unigram for each previous word
+    and bucket.
+    """
+    distinct, of = np.unique(pairs, return_inverse=True)
+    count = np.bincount(of, weights=training, minlength=len(distinct))
+    group = np.cumsum(np.concatenate([[0], (distinct[1:] >> np.uint64(16)) != (distinct[:-1] >> np.uint64(16))])).astype(np.int64)
+    place = (distinct & np.uint64(RARE)).astype(np.int64)
+    met = np.flatnonzero((place != RARE) & (count > 0))
+    groups = int(group[-1]) + 1 if len(group) else 0
+    total = np.bincount(group, weights=count, minlength=groups) + PRIOR
+    share, at = shares[place[met]], group[met]
+    wanted = (count[met] + PRIOR * share) / total[at]
+    weight = np.zeros(len(met))
+    # what is left for the words without a weight, before and after
+    others, wanted_others = (1 - np.bincount(at, weights=x, minlength=groups) for x in (share, wanted))
+    for _ in range(UPDATES):
+        raised = share * np.exp(weight)
+        divisor = others + np.bincount(at, weights=raised, minlength=groups)
+        p, rest = raised / divisor[at], others / divisor
+        # the gradient times the inverse of the softmax's curvature, each part at most one either way
+        weight += (wanted - p) / np.maximum(wanted, p) - ((wanted_others - rest) / np.maximum(wanted_others, rest))[at]
+    divisor = 1 + np.bincount(at, weights=share * np.expm1(weight), minlength=groups)
+    gain = -np.log10(divisor)[group]
+    gain[met] += weight / np.log(10)
+    return of, gain
+
+
+def _fitted(shares: np.ndarray):
+    def run(table: pa.Table) -> pa.Table:
+        """What the tokens of one block add to each text; copies of a text come back as one row."""
+        joined = {n: np.frombuffer(b"".join(table.column(n).to_pylist()), t) for n, t in (("pairs", np.uint64), ("sizes", np.uint32), ("keys", np.int64))}
+        sizes, keys = joined["sizes"], joined["keys"]
+        of, gain = pair_gains(joined["pairs"], np.repeat((keys & 1) == 0, sizes), shares)
+        begins = np.concatenate([[0], np.cumsum(sizes[:-1])]).astype(np.int64)
+        texts, text, copies = np.unique(keys, return_inverse=True, return_counts=True)
+        value = np.bincount(text, weights=np.add.reduceat(gain[of], begins), minlength=len(texts)) / copies
+        return pa.table({"text_key": texts, "gain": value})
+
+    return run
+
+
 # -- the model ------------------------------------------------------------------
 
 
@@ -362,7 +471,7 @@ def _scorer(model: Model, less: np.ndarray):
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "uid", "held_out", "n_tokens", "freq_log", "freq_known"]
+        names = ["doc_id", "uid", "text_key", "held_out", "n_tokens", "freq_log", "freq_known"]
         for batch in batches:
             parts = []
             for k in range(0, len(batch), 500):
@@ -408,6 +517,8 @@ def frequent_words(counts: DataFrame, most: int = FREQUENT) -> list:
 def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     source = id_and_text(docs).withColumn("held_out", fold(F.col("doc_id"), folds) == held)
+    # equal texts of the same side share a key: what word pairs add depends on the text alone
+    source = source.withColumn("text_key", F.xxhash64("text").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("held_out").cast("bigint")))
     counts = source.filter(~F.col("held_out")).select("text").mapInArrow(count_words, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
     counts = written(counts, "word-counts")
     total, kinds, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(F.col("word") == "", F.col("c"))), F.lit(0))).first()
@@ -420,12 +531,16 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     for r in shared:
         less[r["bucket"]] = np.log10(r["n"] + r["v"] + 1)
     less[:OWN] = np.log10(vocabulary.own_counts() + 1.0)
+    shares = (vocabulary.counts[:-1] + 1) / 10 ** less[vocabulary.look_up(vocabulary.names)[1]]
+    blocks = max(LEAST_BLOCKS, total // BLOCK_TOKENS)
+    packed = source.select("text", "text_key").mapInArrow(lambda it: word_pairs(it, vocabulary, blocks), "block bigint, pairs binary, sizes binary, keys binary")
+    gains = packed.groupBy("block").applyInArrow(_fitted(shares), "text_key bigint, gain double").groupBy("text_key").agg(F.sum("gain").alias("gain"))
     scored = table.drop("rare", "buckets").columns
-    scored = table.select(*scored, "buckets").mapInArrow(_scorer(model, less), "doc_id bigint, uid bigint, held_out boolean, n_tokens bigint, freq_log double, freq_known bigint, model_log double")
+    scored = table.select(*scored, "buckets").mapInArrow(_scorer(model, less), "doc_id bigint, uid bigint, text_key bigint, held_out boolean, n_tokens bigint, freq_log double, freq_known bigint, model_log double")
     rare = table.select("uid", F.explode("rare").alias("r")).select("uid", F.col("r.word").alias("word"), F.col("r.tf").alias("tf"))
     others = counts.join(F.broadcast(counts.sparkSession.createDataFrame([(r["word"],) for r in top] or [("",)], "word string")), "word", "left_anti")
     met = rare.join(others, "word").groupBy("uid").agg(F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("rare_log"), F.sum("tf").alias("rare_known"))
-    out = scored.join(met, "uid", "left")
+    out = scored.join(met, "uid", "left").join(gains, "text_key", "left")
     rare_log = F.coalesce("rare_log", F.lit(0.0))
     return out.select(
         "doc_id",
@@ -434,5 +549,5 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
         (F.col("freq_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),
         (F.col("freq_log") + rare_log - F.col("n_tokens") * float(np.log10(total + kinds + 1))).alias("base_score"),
-        (F.col("model_log") + F.col("freq_log") + rare_log).alias("score"),
+        (F.col("model_log") + F.col("freq_log") + rare_log + F.coalesce("gain", F.lit(0.0))).alias("score"),
     )

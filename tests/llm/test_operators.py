@@ -480,6 +480,9 @@ def test_language_model_base(docs, none):
 def test_language_model_beats_its_base(spark, sf_dir):
     got = maxent_lm.score(spark.read.parquet(f"{sf_dir}/documents.parquet")).filter("held_out").toPandas()
     assert got.score.sum() > got.base_score.sum()
+    table = spark.read.parquet(f"{sf_dir}/../sf0.1/documents.parquet")
+    n, score, base = maxent_lm.score(table).filter("held_out").groupBy().sum("n_tokens", "score", "base_score").first()
+    assert -score / n / np.log10(2) < 12.2 < -base / n / np.log10(2) - 1.5  # bits a token
 
 
 def test_model_is_a_distribution():
@@ -492,6 +495,61 @@ def test_model_is_a_distribution():
     assert abs((10.0**last).sum() - 1) < 1e-3
 
 
+def test_word_pair_weights():
+    r = np.random.default_rng(8)
+    shares = r.random(30)
+    shares *= 0.9 / shares.sum()
+    group, place = r.integers(0, 6, 4000), np.minimum(r.geometric(0.1, 4000), 40)
+    place = np.where(place >= 30, maxent_lm.RARE, place)
+    training = r.random(4000) < 0.8
+    pairs = (group.astype(np.uint64) << np.uint64(16)) | place.astype(np.uint64)
+    of, gain = maxent_lm.pair_gains(pairs, training, shares)
+    distinct = np.unique(pairs)
+    assert (distinct[of] == pairs).all()
+    for g in range(6):
+        at = {int(p) & maxent_lm.RARE: 10.0 ** gain[k] for k, p in enumerate(distinct) if int(p) >> 16 == g}
+        counted = {w: int((training & (group == g) & (place == w)).sum()) for w in at}
+        total = sum(counted.values()) + maxent_lm.PRIOR
+        met = {w for w in at if w != maxent_lm.RARE and counted[w]}
+        for w in met:  # where the gradient is zero
+            assert shares[w] * at[w] == pytest.approx((counted[w] + maxent_lm.PRIOR * shares[w]) / total, rel=1e-3)
+        # all words of the bucket, unseen ones too, have probability 1 together
+        left = 1 - sum(shares[w] for w in met)
+        assert sum(shares[w] * at[w] for w in met) + left * at[maxent_lm.RARE] == pytest.approx(1)
+
+
+def test_word_pairs_reach_every_text(spark):
+    """The blocks' sums are those of one plain pass over the texts, whatever the number of blocks and copies."""
+    import pyarrow as pa
+
+    texts = ["", "a b a b zz", "a b a b zz", "zz zz yy a", "q" * 80 + " a b", "b " * 500, "a b yy"]
+    keys = np.array([2, 4, 4, 6, 8, 10, 13])  # the last is held out
+    vocabulary = maxent_lm.Vocabulary([f"w{k}" for k in range(maxent_lm.OWN - 1)] + ["a", "b", "zz"], [9] * (maxent_lm.OWN + 2), 7)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(keys)], names=["text", "text_key"])
+    shares = np.full(maxent_lm.OWN + 2, 0.01)
+    sums = []
+    for blocks in (1, 3, 50):
+        got, table = {}, pa.Table.from_batches(maxent_lm.word_pairs(iter([batch]), vocabulary, blocks))
+        assert sum(len(x) // 8 for x in table.column("pairs").to_pylist()) == sum(len(t.split()) for t in texts)
+        for b in set(table.column("block").to_pylist()):
+            part = maxent_lm._fitted(shares)(table.filter(pa.compute.equal(table.column("block"), b)))
+            for k, v in zip(part.column("text_key").to_pylist(), part.column("gain").to_pylist()):
+                got[k] = got.get(k, 0) + v
+        sums.append(got)
+    plain, bucket = {}, {w: int(b) for w, b in zip(("a", "b", "zz", "yy", "q" * 80), vocabulary.look_up(pa.array(["a", "b", "zz", "yy", "q" * 80], pa.large_string()))[1])}
+    seen = [(k, before, w) for k, t in zip(keys.tolist(), texts) for before, w in zip([None, *t.split()], t.split())]
+    learnt = [x for x in seen if not x[0] & 1]
+    for k, before, w in seen:
+        same = [x for x in learnt if x[1] == before and bucket[x[2]] == bucket[w]]
+        total = len(same) + maxent_lm.PRIOR
+        met = {x[2] for x in same if x[2] in ("a", "b", "zz")}
+        p = {x: (sum(y[2] == x for y in same) + maxent_lm.PRIOR * 0.01) / total for x in met}
+        ratio = p[w] / 0.01 if w in met else (1 - sum(p.values())) / (1 - 0.01 * len(met))
+        plain[k] = plain.get(k, 0) + np.log10(ratio) / keys.tolist().count(k)
+    for got in sums:
+        assert got.keys() == plain.keys() and all(got[k] == pytest.approx(plain[k], abs=1e-3) for k in plain)
+
+
 def test_token_files(docs, none):
     library = Tokenizer.from_file(WORDS)
     got = sorted((r.start, str(r.doc_id), r.n_tokens, r.ids_crc32) for r in token_store.store_and_read(docs, WORDS).collect())
