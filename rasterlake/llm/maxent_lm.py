@@ -61,8 +61,8 @@ FREQUENT, ROUNDS, SLICE_BYTES, STEP_TOKENS = 50_000, 2, 2_000_000, 16_384
 #: Longest word of the list of frequent words, which goes to the driver and the tasks.
 WORD_BYTES = 64
 START = BUCKETS  # stands before the first word
-#: Training tokens a block of word pairs stands for; fewest blocks; pseudo-tokens of the unigram in the fit; gradient updates.
-BLOCK_TOKENS, LEAST_BLOCKS, PRIOR, UPDATES = 2_000_000, 16, 4.0, 16
+#: Training tokens a block of word pairs stands for, training texts a part of their sums; fewest of both; pseudo-tokens of the unigram in the fit; gradient updates.
+BLOCK_TOKENS, PART_TEXTS, LEAST_BLOCKS, PRIOR, UPDATES = 2_000_000, 20_000, 16, 4.0, 16
 #: Place of all words outside the list of frequent words, in a packed pair.
 RARE = 65_535
 _ROW = "doc_id bigint, uid bigint, text_key bigint, held_out boolean, n_tokens bigint, freq_log double, freq_known bigint, buckets binary, rare array<struct<word:string,tf:bigint>>"
@@ -226,20 +226,33 @@ def pair_gains(pairs: np.ndarray, training: np.ndarray, shares: np.ndarray) -> t
     return of, gain
 
 
-def _fitted(shares: np.ndarray):
+def _fitted(shares: np.ndarray, parts: int):
     def run(table: pa.Table) -> pa.Table:
-        """What the tokens of one block add to each text; copies of a text come back as one row."""
+        """What the tokens of one block add to each text, packed by parts of the texts; copies of a text are one entry."""
         joined = {n: np.frombuffer(b"".join(table.column(n).to_pylist()), t) for n, t in (("pairs", np.uint64), ("sizes", np.uint32), ("keys", np.int64))}
         sizes, keys = joined["sizes"], joined["keys"]
         of, gain = pair_gains(joined["pairs"], np.repeat((keys & 1) == 0, sizes), shares)
         begins = np.concatenate([[0], np.cumsum(sizes[:-1])]).astype(np.int64)
         texts, text, copies = np.unique(keys, return_inverse=True, return_counts=True)
         value = np.bincount(text, weights=np.add.reduceat(gain[of], begins), minlength=len(texts)) / copies
-        return pa.table({"text_key": texts, "gain": value})
+        part = ((texts.view(np.uint64) >> np.uint64(1)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        texts, value = texts[order], value[order].astype(np.float32)
+        present, cuts = np.unique(part[order], return_index=True)
+        spans = list(zip(cuts, np.append(cuts[1:], len(texts))))
+        packed = [pa.array([x[i:j].tobytes() for i, j in spans], pa.binary()) for x in (texts, value)]
+        return pa.table({"part": present, "keys": packed[0], "gains": packed[1]})
 
     return run
 
 
+def added(table: pa.Table) -> pa.Table:
+    """Sum over all blocks for each text of one part."""
+    keys, gains = (np.frombuffer(b"".join(table.column(n).to_pylist()), t) for n, t in (("keys", np.int64), ("gains", np.float32)))
+    texts, text = np.unique(keys, return_inverse=True)
+    return pa.table({"text_key": texts, "gain": np.bincount(text, weights=gains, minlength=len(texts))})
+
+
 # -- the model ------------------------------------------------------------------
 
 
@@ -534,7 +547,8 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     shares = (vocabulary.counts[:-1] + 1) / 10 ** less[vocabulary.look_up(vocabulary.names)[1]]
     blocks = max(LEAST_BLOCKS, total // BLOCK_TOKENS)
     packed = source.select("text", "text_key").mapInArrow(lambda it: word_pairs(it, vocabulary, blocks), "block bigint, pairs binary, sizes binary, keys binary")
-    gains = packed.groupBy("block").applyInArrow(_fitted(shares), "text_key bigint, gain double").groupBy("text_key").agg(F.sum("gain").alias("gain"))
+    gains = packed.groupBy("block").applyInArrow(_fitted(shares, max(LEAST_BLOCKS, ends // PART_TEXTS)), "part bigint, keys binary, gains binary")
+    gains = gains.groupBy("part").applyInArrow(added, "text_key bigint, gain double")
     scored = table.drop("rare", "buckets").columns
     scored = table.select(*scored, "buckets").mapInArrow(_scorer(model, less), "doc_id bigint, uid bigint, text_key bigint, held_out boolean, n_tokens bigint, freq_log double, freq_known bigint, model_log double")
     rare = table.select("uid", F.explode("rare").alias("r")).select("uid", F.col("r.word").alias("word"), F.col("r.tf").alias("tf"))

@@ -529,13 +529,14 @@ def test_word_pairs_reach_every_text(spark):
     shares = np.full(maxent_lm.OWN + 2, 0.01)
     sums = []
     for blocks in (1, 3, 50):
-        got, table = {}, pa.Table.from_batches(maxent_lm.word_pairs(iter([batch]), vocabulary, blocks))
+        found, table = [], pa.Table.from_batches(maxent_lm.word_pairs(iter([batch]), vocabulary, blocks))
         assert sum(len(x) // 8 for x in table.column("pairs").to_pylist()) == sum(len(t.split()) for t in texts)
         for b in set(table.column("block").to_pylist()):
-            part = maxent_lm._fitted(shares)(table.filter(pa.compute.equal(table.column("block"), b)))
-            for k, v in zip(part.column("text_key").to_pylist(), part.column("gain").to_pylist()):
-                got[k] = got.get(k, 0) + v
-        sums.append(got)
+            found.append(maxent_lm._fitted(shares, 2)(table.filter(pa.compute.equal(table.column("block"), b))))
+        found = pa.concat_tables(found)
+        rows = pa.concat_tables(maxent_lm.added(found.filter(pa.compute.equal(found.column("part"), p))) for p in (0, 1))
+        sums.append(dict(zip(rows.column("text_key").to_pylist(), rows.column("gain").to_pylist())))
+        assert len(sums[-1]) == len(rows)
     plain, bucket = {}, {w: int(b) for w, b in zip(("a", "b", "zz", "yy", "q" * 80), vocabulary.look_up(pa.array(["a", "b", "zz", "yy", "q" * 80], pa.large_string()))[1])}
     seen = [(k, before, w) for k, t in zip(keys.tolist(), texts) for before, w in zip([None, *t.split()], t.split())]
     learnt = [x for x in seen if not x[0] & 1]
