@@ -8,12 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import color as C
+from ..functions import layouts as Y
+from ..functions import lossy as V
 from ..functions.diff import DIFFS
+from ..operators import blocks as B
 from ..operators import drawing as D
+from ..operators import masks as M
 from ..operators import pixels as P
 from ..operators import stencils as T
 from ..operators import summaries as S
@@ -528,7 +532,7 @@ def _predictor_sql(mode: int) -> str:
 
     def guess(k: str) -> str:
         tr = f"coalesce(w.{k}, f.{k})"
-        return {5: f"((l.{k} + {tr}) // 2 + t.{k}) // 2", 6: f"(l.{k} + z.{k}) // 2", 8: f"(z.{k} + t.{k}) // 2", 9: f"(t.{k} + {tr}) // 2", 10: f"((l.{k} + z.{k}) // 2 + (t.{k} + {tr}) // 2) // 2",
+        return {0: "255" if k == "a" else "0", 5: f"((l.{k} + {tr}) // 2 + t.{k}) // 2", 6: f"(l.{k} + z.{k}) // 2", 8: f"(z.{k} + t.{k}) // 2", 9: f"(t.{k} + {tr}) // 2", 10: f"((l.{k} + z.{k}) // 2 + (t.{k} + {tr}) // 2) // 2",
             13: f"greatest(0, least(255, (l.{k} + t.{k}) // 2 + CAST(trunc(((l.{k} + t.{k}) // 2 - z.{k}) / 2.0) AS INTEGER)))", 1: f"l.{k}", 2: f"t.{k}", 3: f"coalesce(w.{k}, f.{k})", 4: f"z.{k}", 7: f"(l.{k} + t.{k}) // 2", 11: f"CASE WHEN {left} < {top} THEN l.{k} ELSE t.{k} END", 12: f"greatest(0, least(255, l.{k} + t.{k} - z.{k}))"}[mode]
 
     def out(k: str) -> str:
@@ -538,7 +542,7 @@ def _predictor_sql(mode: int) -> str:
     return f"WITH {PX} SELECT c.picture_id, c.x, c.y, {', '.join(out(k) for k in 'argb')} FROM px c {joins}"
 
 
-for _m in range(1, 14):
+for _m in range(14):
     add(f"predictor_{_m}", lambda spark, d, m=_m: T.predicted_residual(pixels(spark, d), m), _predictor_sql(_m))
 add("fxaa", lambda spark, d: T.fxaa(P.to_frames(pixels(spark, d), 8, 8)))
 add("resize_bicubic", lambda spark, d: T.resize_bicubic(P.to_frames(pixels(spark, d), 8, 8), 5, 12))
@@ -682,14 +686,20 @@ add(
 
 # -- the rest --------------------------------------------------------------------------------------------
 
-add(
-    "predictor_best",
-    lambda spark, d: T.predictor_scores(pixels(spark, d), (1, 2, 4, 11), 4),
-    "WITH " + ", ".join([PX, *(f"r{m} AS ({_predictor_sql(m)[len('WITH ') + len(PX) :]})" for m in (1, 2, 4, 11))])
-    + ", a AS (" + " UNION ALL ".join(f"SELECT {m} AS mode, * FROM r{m}" for m in (1, 2, 4, 11)) + "), s AS (SELECT picture_id, x // 4 AS tx, y // 4 AS ty, mode, CAST(sum("
-    + " + ".join(f"abs(CASE WHEN {c} > 127 THEN {c} - 256 ELSE {c} END)" for c in "argb") + ") AS BIGINT) AS score FROM a GROUP BY 1, 2, 3, 4) SELECT picture_id, tx, ty, mode, score FROM s QUALIFY row_number() OVER (PARTITION BY picture_id, tx, ty ORDER BY score, mode) = 1",
-)
-add("predictor_search", lambda spark, d: T.predictor_scores(pixels(spark, d), tuple(range(14)), 4))
+
+
+def _search_sql(modes: tuple[int, ...]) -> str:
+    residuals = ", ".join(f"r{m} AS ({_predictor_sql(m)[len('WITH ') + len(PX) :]})" for m in modes)
+    every = " UNION ALL ".join(f"SELECT {m} AS mode, * FROM r{m}" for m in modes)
+    cost = " + ".join(f"abs(CASE WHEN {c} > 127 THEN {c} - 256 ELSE {c} END)" for c in "argb")
+    return (
+        f"WITH {PX}, {residuals}, a AS ({every}), s AS (SELECT picture_id, x // 4 AS tx, y // 4 AS ty, mode, CAST(sum({cost}) AS BIGINT) AS score FROM a GROUP BY 1, 2, 3, 4) "
+        "SELECT picture_id, tx, ty, mode, score FROM s QUALIFY row_number() OVER (PARTITION BY picture_id, tx, ty ORDER BY score, mode) = 1"
+    )
+
+
+for _n, _modes in (("predictor_best", (1, 2, 4, 11)), ("predictor_search", tuple(range(14)))):
+    add(_n, lambda spark, d, m=_modes: T.predictor_scores(pixels(spark, d), m, 4), _search_sql(_modes))
 _SB = {c: f"CAST(CASE WHEN {c} > 127 THEN {c} - 256 ELSE {c} END AS BIGINT)" for c in "rgb"}
 
 
@@ -763,3 +773,98 @@ def _jpeg_error(spark: SparkSession, d: str) -> DataFrame:
 
 
 add("jpeg_error", _jpeg_error)
+
+
+# -- layouts, masks, blocks of the lossy format ------------------------------------------------------------
+
+_RGB = "CAST(r AS BIGINT) * 65536 + g * 256 + b"
+
+
+def _unpacked(f: Callable[[], C.Argb]) -> Query:
+    return lambda spark, d: pixels(spark, d).select(*P.KEYS, *f().named())
+
+
+add("unpack_int_rgb", _unpacked(lambda: Y.int_rgb(C.pack(*C.Argb.of()))), f"WITH {PX} " + _colors("255", "r", "g", "b"))
+add("unpack_int_bgr", _unpacked(lambda: Y.int_bgr(C.pack(*C.Argb.of()))), f"WITH {PX} " + _colors("255", "b", "g", "r"))
+add("unpack_gray", _unpacked(lambda: Y.gray(F.col("g"))), f"WITH {PX} " + _colors("255", "g", "g", "g"))
+add("unpack_gray_alpha", _unpacked(lambda: Y.gray(F.col("b"), F.col("a"))), f"WITH {PX} " + _colors("a", "b", "b", "b"))
+add(
+    "unpack_indexed",
+    _unpacked(lambda: Y.indexed(F.col("g") % 5, F.expr("array(0, -1, -8355712, 2130706687, 305419896)"))),
+    f"WITH {PX}, q AS (SELECT picture_id, x, y, ([0, 4294967295, 4286611584, 2130706687, 305419896])[g % 5 + 1] AS c FROM px) " + _colors("c // 16777216", "c // 65536 % 256", "c // 256 % 256", "c % 256", "q"),
+)
+
+
+def _bands(order: str, f: Callable[[Column, Column], C.Argb]) -> Query:
+    def build(spark: SparkSession, d: str) -> DataFrame:
+        """Pictures as bytes in this order of bands, and back."""
+        place = (F.col("y") * 8 + F.col("x")).alias("place")
+        cell = F.concat(*(F.lpad(F.hex(c), 2, "0") for c in order))
+        rows = pixels(spark, d).groupBy("picture_id").agg(F.array_sort(F.collect_list(F.struct(place, cell.alias("cell")))).alias("cells"))
+        packed = rows.select("picture_id", F.unhex(F.array_join(F.transform("cells", lambda c: c["cell"]), "")).alias("content"))
+        spots = packed.select("picture_id", "content", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("place"))
+        return spots.select("picture_id", (F.col("place") % 8).alias("x"), C.idiv(F.col("place"), 8).alias("y"), *f(F.col("content"), F.col("place")).named())
+
+    return build
+
+
+add("unpack_bytes_abgr", _bands("abgr", Y.bytes_abgr), f"WITH {PX} " + _colors("a", "r", "g", "b"))
+add("unpack_bytes_bgr", _bands("bgr", Y.bytes_bgr), f"WITH {PX} " + _colors("255", "r", "g", "b"))
+
+_MARKED = "SELECT picture_id, x, y FROM px WHERE r % 9 = 0"
+add(
+    "mask_mark",
+    lambda spark, d: M.mark(pixels(spark, d).filter("r % 9 = 0"), pixels(spark, d).filter("g % 5 = 0").withColumn("x", F.col("x") + 3).withColumn("y", F.col("y") - 2), 8, 8),
+    f"WITH {PX} {_MARKED} UNION SELECT picture_id, x + 3, y - 2 FROM px WHERE g % 5 = 0 AND x < 5 AND y > 1",
+)
+add(
+    "mask_attach",
+    lambda spark, d: M.attach(M.enable(pixels(spark, d)), pixels(spark, d).filter("r % 9 = 0")),
+    f"WITH {PX} " + _colors("a", "r", "g", "b").replace(" FROM px", ", r % 9 = 0 AS marked FROM px"),
+)
+add("mask_clear", lambda spark, d: M.clear(M.attach(pixels(spark, d), pixels(spark, d).filter("r % 9 = 0"))), f"WITH {PX} " + _colors("a", "r", "g", "b"))
+
+add(
+    "filter_level",
+    lambda spark, d: table(spark, d, "part").select("p_partkey", V.ac_step(F.col("p_partkey") % 128).alias("step"), V.filter_level(F.col("p_partkey") % 128).alias("level")),
+    f"WITH q AS (SELECT p_partkey, ({list(V.AC_STEPS)})[p_partkey % 128 + 1] AS step FROM part), v AS (SELECT *, least(63, least(63, step // 4) * 300 // 256) AS k FROM q) SELECT p_partkey, step, CASE WHEN k < 2 THEN 0 ELSE k END AS level FROM v",
+)
+
+
+def _block_pass(source: str, down: bool, terms: list[str]) -> str:
+    """Four values along a row (or down a column) of each block, and four new ones from them."""
+    at, line = ("i", "j") if down else ("j", "i")
+    picked = ", ".join(f"max(v) FILTER ({at} = {k}) AS {n}" for k, n in enumerate("pqrs"))
+    return f"SELECT picture_id, tx, ty, {line}, unnest(range(4)) AS {at}, unnest([{', '.join(f'CAST({t} AS BIGINT)' for t in terms)}]) AS v FROM (SELECT picture_id, tx, ty, {line}, {picked} FROM {source} GROUP BY ALL)"
+
+
+def _down(x: str, bits: int) -> str:
+    return f"floor(({x}) / {1 << bits}.0)"
+
+
+def _forward(scale: Callable[[str], str], bits: int, second: int, last: int, extra: str = "") -> list[str]:
+    return [scale("p + q + r + s"), _down(f"(q - r) * 2217 + (p - s) * 5352 + {second}", bits) + extra, scale("p - q - r + s"), _down(f"(p - s) * 2217 - (q - r) * 5352 + {last}", bits)]
+
+
+def _inverse(p: str, bits: int) -> list[str]:
+    m = {c: f"({_down(f'{c} * 20091', 16)} + {c})" for c in "qs"}
+    n = {c: _down(f"{c} * 35468", 16) for c in "qs"}
+    return [_down(t, bits) for t in (f"{p} + r + {m['q']} + {n['s']}", f"{p} - r + {n['q']} - {m['s']}", f"{p} - r - {n['q']} + {m['s']}", f"{p} + r - {m['q']} - {n['s']}")]
+
+
+def _signs(p: str, bits: int) -> list[str]:
+    return [_down(f"{p} {x} q {y} r {z} s", bits) for x, y, z in ("+++", "+--", "--+", "-+-")]
+
+
+for _n, _f, _v, _one, _two in (
+    ("forward_dct", B.forward_dct, "r - 128", (False, _forward(lambda t: f"({t}) * 8", 9, 1812, 937)), (True, _forward(lambda t: _down(f"{t} + 7", 4), 16, 12_000, 51_000, " + CASE WHEN p <> s THEN 1 ELSE 0 END"))),
+    ("inverse_dct", B.inverse_dct, "(r - 128) * 5", (True, _inverse("p", 0)), (False, _inverse("(p + 4)", 3))),
+    ("forward_wht", B.forward_wht, "r - 128", (False, _signs("p", 0)), (True, _signs("p", 1))),
+    ("inverse_wht", B.inverse_wht, "(r - 128) * 5", (True, _signs("p", 0)), (False, _signs("p + 3", 3))),
+):
+    add(
+        f"block_{_n}",
+        lambda spark, d, f=_f, v=_v: B.gathered(pixels(spark, d), F.expr(v)).select("picture_id", "tx", "ty", F.posexplode(f(F.col("block"))).alias("place", "v")),
+        f"WITH {PX}, b0 AS (SELECT picture_id, x // 4 AS tx, y // 4 AS ty, y % 4 AS i, x % 4 AS j, CAST({_v} AS BIGINT) AS v FROM px), b1 AS ({_block_pass('b0', *_one)}), b2 AS ({_block_pass('b1', *_two)}) "
+        "SELECT picture_id, tx, ty, CAST(i * 4 + j AS INTEGER) AS place, CAST(v AS INTEGER) AS v FROM b2",
+    )
