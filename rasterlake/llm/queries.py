@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chunk_bpe, exact_dedup, maxent_lm, packing, quality, secrets, simhash, token_store, toxicity, vector_search
+from . import chunk_bpe, exact_dedup, hard_negatives, maxent_lm, packing, quality, secrets, simhash, substring_dedup, token_store, toxicity, vector_search
 from .common import documents
 from .wordbpe import vocabulary_path
 
@@ -57,6 +58,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary_path(BYTES), 1, 2048)
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.without_repeats(documents(spark, sf_dir), 20))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved), 100, 5, 5, 80, 100, 256)
+
+
 def queries() -> dict:
     return {
         "op1_quality": op1_quality,
@@ -69,9 +80,11 @@ def queries() -> dict:
         "op8_toxicity": op8_toxicity,
         "op9_token_files": op9_token_files,
         "op10_packing": op10_packing,
+        "op11_substring_dedup": op11_substring_dedup,
+        "op12_hard_negatives": op12_hard_negatives,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secrets": secrets.SECRETS_SQL, "op4_exact_dedup": exact_dedup.DEDUP_SQL, "op7_top_k": vector_search.TOP_K_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op2_secrets": secrets.SECRETS_SQL, "op4_exact_dedup": exact_dedup.DEDUP_SQL, "op7_top_k": vector_search.TOP_K_SQL, "op11_substring_dedup": substring_dedup.REPEATS_SQL, "op12_hard_negatives": hard_negatives.MINE_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
