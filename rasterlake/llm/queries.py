@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chunk_bpe, exact_dedup, hard_negatives, maxent_lm, packing, quality, secrets, simhash, substring_dedup, token_store, toxicity, vector_search
+from . import chunk_bpe, collocations, exact_dedup, hard_negatives, maxent_lm, packing, quality, secrets, simhash, substring_dedup, token_store, toxicity, vector_search
 from .common import documents
 from .wordbpe import vocabulary_path
 
@@ -68,6 +68,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(vectors.withColumn("label", moved), 100, 5, 5, 80, 100, 256)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(documents(spark, sf_dir), 4, 30, 2_000_000, 80, 2000)
+
+
 def queries() -> dict:
     return {
         "op1_quality": op1_quality,
@@ -82,9 +86,10 @@ def queries() -> dict:
         "op10_packing": op10_packing,
         "op11_substring_dedup": op11_substring_dedup,
         "op12_hard_negatives": op12_hard_negatives,
+        "op13_collocations": op13_collocations,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secrets": secrets.SECRETS_SQL, "op4_exact_dedup": exact_dedup.DEDUP_SQL, "op7_top_k": vector_search.TOP_K_SQL, "op11_substring_dedup": substring_dedup.REPEATS_SQL, "op12_hard_negatives": hard_negatives.MINE_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op2_secrets": secrets.SECRETS_SQL, "op4_exact_dedup": exact_dedup.DEDUP_SQL, "op7_top_k": vector_search.TOP_K_SQL, "op11_substring_dedup": substring_dedup.REPEATS_SQL, "op12_hard_negatives": hard_negatives.MINE_SQL, "op13_collocations": collocations.PHRASES_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
