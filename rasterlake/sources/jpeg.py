@@ -16,14 +16,30 @@ from .model import DecodeError, Frame, Picture, UnsupportedFormat, channels, pac
 from .webp import code_lengths
 
 #: Quantiser steps at quality 50, row by row, for light and for colour.
-LIGHT = """16 11 10 16 24 40 51 61  12 12 14 19 26 58 60 55  14 13 16 24 40 57 69 56  14 17 22 29 51 87 80 62
-18 22 37 56 68 109 103 77  24 35 55 64 81 104 113 92  49 64 78 87 103 121 120 101  72 92 95 98 112 100 103 99"""
-COLOUR = """17 18 24 47 99 99 99 99  18 21 26 66 99 99 99 99  24 26 56 99 99 99 99 99  47 66 99 99 99 99 99 99"""
-
-
-def _steps(text: str, quality: float) -> np.ndarray:
-    base = np.array(text.split(), np.int64)
-    base = np.concatenate([base, np.full(64 - len(base), 99)])
+LIGHT = (
+    16, 11, 10, 16, 24, 40, 51, 61,
+    12, 12, 14, 19, 26, 58, 60, 55,
+    14, 13, 16, 24, 40, 57, 69, 56,
+    14, 17, 22, 29, 51, 87, 80, 62,
+    18, 22, 37, 56, 68, 109, 103, 77,
+    24, 35, 55, 64, 81, 104, 113, 92,
+    49, 64, 78, 87, 103, 121, 120, 101,
+    72, 92, 95, 98, 112, 100, 103, 99,
+)
+COLOUR = (
+    17, 18, 24, 47, 99, 99, 99, 99,
+    18, 21, 26, 66, 99, 99, 99, 99,
+    24, 26, 56, 99, 99, 99, 99, 99,
+    47, 66, 99, 99, 99, 99, 99, 99,
+    99, 99, 99, 99, 99, 99, 99, 99,
+    99, 99, 99, 99, 99, 99, 99, 99,
+    99, 99, 99, 99, 99, 99, 99, 99,
+    99, 99, 99, 99, 99, 99, 99, 99,
+)
+
+
+def _steps(steps: tuple[int, ...], quality: float) -> np.ndarray:
+    base = np.array(steps, np.int64)
     q = min(100, max(1, round(quality * 100)))
     scale = 5000 // q if q < 50 else 200 - 2 * q
     return np.clip((base * scale + 50) // 100, 1, 255).reshape(8, 8)

@@ -180,18 +180,3 @@ def read_files(spark: SparkSession, path: str, permissive: bool = False) -> Data
     """Frames of all files under a path, through Spark's own file source."""
     return decode_files(spark.read.format("binaryFile").load(path), permissive)
 
-
-def read_jvm_pictures(spark: SparkSession, path: str) -> DataFrame:
-    """First frames of JPEG, PNG, BMP files by the JVM's decoders: path, width, height, argb."""
-    rows = spark.read.format("image").load(path).select("image.*")  # the name of the JVM source
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                p = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels)
-                p = np.repeat(p, 3, axis=2) if r.nChannels == 1 else p
-                out.append((r.origin, r.width, r.height, plain.packed(p[..., [2, 1, 0, 3][: p.shape[2]]]).view(np.int32).ravel()))
-            yield pd.DataFrame(out, columns=["path", "width", "height", "argb"])
-
-    return rows.select("origin", "width", "height", "nChannels", "data").mapInPandas(run, "path string, width int, height int, argb array<int>")

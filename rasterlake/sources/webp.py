@@ -1,7 +1,7 @@
-"""WebP: the container, lossless bitstreams (both ways), alpha planes and animation.
+"""WebP: the container, lossless bitstreams (both ways) and animation.
 
-The lossless format follows its public description (RFC 9649).  Lossy bitstreams
-are not decoded: ``read_webp`` says so.
+The lossless format follows its public description (RFC 9649).  Lossy bitstreams,
+and the alpha planes that go with them, are not decoded: ``read_webp`` says so.
 """
 
 from __future__ import annotations
@@ -150,15 +150,20 @@ def read_code(bits: BitReader, size: int) -> PrefixCode:
 
 
 #: Fixed values: (columns left, rows up) of the 120 short distance codes, in the order of the format description.
-SHORT_DISTANCES = """
-(0,1) (1,0) (1,1) (-1,1) (0,2) (2,0) (1,2) (-1,2) (2,1) (-2,1) (2,2) (-2,2) (0,3) (3,0) (1,3) (-1,3) (3,1) (-3,1) (2,3) (-2,3)
-(3,2) (-3,2) (0,4) (4,0) (1,4) (-1,4) (4,1) (-4,1) (3,3) (-3,3) (2,4) (-2,4) (4,2) (-4,2) (0,5) (3,4) (-3,4) (4,3) (-4,3) (5,0)
-(1,5) (-1,5) (5,1) (-5,1) (2,5) (-2,5) (5,2) (-5,2) (4,4) (-4,4) (3,5) (-3,5) (5,3) (-5,3) (0,6) (6,0) (1,6) (-1,6) (6,1) (-6,1)
-(2,6) (-2,6) (6,2) (-6,2) (4,5) (-4,5) (5,4) (-5,4) (3,6) (-3,6) (6,3) (-6,3) (0,7) (7,0) (1,7) (-1,7) (5,5) (-5,5) (7,1) (-7,1)
-(4,6) (-4,6) (6,4) (-6,4) (2,7) (-2,7) (7,2) (-7,2) (3,7) (-3,7) (7,3) (-7,3) (5,6) (-5,6) (6,5) (-6,5) (8,0) (4,7) (-4,7) (7,4)
-(-7,4) (8,1) (8,2) (6,6) (-6,6) (8,3) (5,7) (-5,7) (7,5) (-7,5) (8,4) (6,7) (-6,7) (7,6) (-7,6) (8,5) (7,7) (-7,7) (8,6) (8,7)
-"""
-_SHORT = [tuple(map(int, c.strip("()").split(","))) for c in SHORT_DISTANCES.split()]
+SHORT_DISTANCES = (
+    (0, 1), (1, 0), (1, 1), (-1, 1), (0, 2), (2, 0), (1, 2), (-1, 2), (2, 1), (-2, 1),
+    (2, 2), (-2, 2), (0, 3), (3, 0), (1, 3), (-1, 3), (3, 1), (-3, 1), (2, 3), (-2, 3),
+    (3, 2), (-3, 2), (0, 4), (4, 0), (1, 4), (-1, 4), (4, 1), (-4, 1), (3, 3), (-3, 3),
+    (2, 4), (-2, 4), (4, 2), (-4, 2), (0, 5), (3, 4), (-3, 4), (4, 3), (-4, 3), (5, 0),
+    (1, 5), (-1, 5), (5, 1), (-5, 1), (2, 5), (-2, 5), (5, 2), (-5, 2), (4, 4), (-4, 4),
+    (3, 5), (-3, 5), (5, 3), (-5, 3), (0, 6), (6, 0), (1, 6), (-1, 6), (6, 1), (-6, 1),
+    (2, 6), (-2, 6), (6, 2), (-6, 2), (4, 5), (-4, 5), (5, 4), (-5, 4), (3, 6), (-3, 6),
+    (6, 3), (-6, 3), (0, 7), (7, 0), (1, 7), (-1, 7), (5, 5), (-5, 5), (7, 1), (-7, 1),
+    (4, 6), (-4, 6), (6, 4), (-6, 4), (2, 7), (-2, 7), (7, 2), (-7, 2), (3, 7), (-3, 7),
+    (7, 3), (-7, 3), (5, 6), (-5, 6), (6, 5), (-6, 5), (8, 0), (4, 7), (-4, 7), (7, 4),
+    (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7), (7, 5), (-7, 5),
+    (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
+)
 
 
 def _extra(bits: BitReader, symbol: int) -> int:
@@ -171,7 +176,7 @@ def _extra(bits: BitReader, symbol: int) -> int:
 def _distance(code: int, width: int) -> int:
     if code > 120:
         return code - 120
-    dx, dy = _SHORT[code - 1]
+    dx, dy = SHORT_DISTANCES[code - 1]
     return max(1, dx + dy * width)
 
 
