@@ -1,10 +1,11 @@
 """Phrase collocations by Suffix-sigma: truncated suffixes, sorted reverse-lexicographically, all prefixes counted at once.
 
-1.  A pass counts words by language.  It gives n and the *hot* first words: those with
-    more occurrences than one shard should hold (at most 100,000 of them, by the rule
-    for that number).
+1.  A pass counts words by language, which gives n, and finds the *hot* prefixes of
+    suffixes: those with more occurrences than a shard should hold.  Each task reports
+    what makes up more than 1 in 40,000 of its text; sums of those miss at most that
+    share, so every prefix above the limit is found, and at most 40,000 of each length.
 2.  Every word occurrence starts a suffix of its piece, truncated to ``longest``
-    words.  A task counts equal suffixes of about 12 MB of text and sends them, once
+    words.  A task counts equal suffixes of about 8 MB of text and sends them, once
     each with their number, to the shard of (language, first word).
 3.  A shard merges what it gets into one reverse-lexicographic order, so that a phrase
     and all that begin with it stand together, the longer ones first.  Walking down, a
@@ -14,9 +15,9 @@
 4.  Phrases above the threshold become a table; parts are joined to candidates, and
     candidates to the longer ones that contain them, by words.
 
-A hot first word is split over shards by its next two words.  Its phrases of three
-words and more are whole there; those of one and two words are sums of shards, taken
-by a grouping before the threshold.  Equal suffixes are counted before the shuffle, so
+A hot prefix, of whatever length, is split over shards by its next word, so a shard is
+that of the shortest prefix that is not hot.  Counts of hot prefixes, and of no others,
+are sums of shards, taken by a grouping before the threshold.  Equal suffixes are counted before the shuffle, so
 a line or passage that is everywhere costs one entry a task.  The rank within a
 language is limited before it is shuffled.
 
@@ -43,8 +44,8 @@ from pyspark.sql.window import Window
 from .common import as_strings, bounded_batches, buffers, trimmed, words, written
 from .substring_dedup import of_one, packed, unpacked
 
-FLUSH_BYTES, SHARD_WORDS, HOT_WORDS = 12_000_000, 1_000_000, 100_000
-_WORDS = "lang string, word string, n bigint"
+FLUSH_BYTES, SHARD_WORDS, HOT = 8_000_000, 400_000, 20_000
+_HEAVY = "lang string, prefix bigint, n bigint"
 _SENT = "shard bigint, rows bigint, n_words bigint, n_bytes bigint, lengths binary, bytes binary, codes binary, counts binary"
 _PHRASES = "lang string, phrase string, size int, n bigint"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -93,29 +94,57 @@ def _joined(held: list[pa.RecordBatch]) -> tuple[pa.Array, pa.Array]:
     return table.column("lang").combine_chunks(), table.column("text").cast(pa.large_string()).combine_chunks()
 
 
-@trimmed
-def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for langs, texts in flushed(batches):
-        codes, _, distinct, n = pieces(texts)
-        if not len(codes):
-            continue
-        lang = langs.dictionary_encode()
-        key = np.repeat(lang.indices.to_numpy().astype(np.int64), n) * len(distinct) + codes
-        keys, counts = np.unique(key, return_counts=True)
-        yield pa.RecordBatch.from_arrays([lang.dictionary.take(pa.array(keys // len(distinct))), distinct.take(pa.array(keys % len(distinct))).cast(pa.string()), pa.array(counts)], names=["lang", "word", "n"])
-
-
 def hashes(strings: pa.Array) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(s.as_buffer()) for s in strings], np.uint64)
+    return np.array([xxhash.xxh3_64_intdigest(s) for s in strings.cast(pa.large_binary()).to_pylist()], np.uint64)
 
 
-def mixed(*parts: np.ndarray) -> np.ndarray:
-    """One hash of several, in order."""
-    h = np.zeros(len(parts[0]), np.uint64)
-    for p in parts:
-        h = (h ^ p) * _MIX
+def prefixes(lang: np.ndarray, words: list[np.ndarray]) -> list[np.ndarray]:
+    """Hashes of (language, first word), (language, first two words) and so on."""
+    out, h = [], lang
+    for w in words:
+        h = (h ^ w) * _MIX
         h ^= h >> np.uint64(29)
-    return h
+        out.append(h)
+    return out
+
+
+def split_after(found: list[np.ndarray], hot: np.ndarray) -> list[np.ndarray]:
+    """Whether a prefix, and with it all shorter ones, is hot, for each length."""
+    out, all_hot = [], np.ones(len(found[0]), bool)
+    for p in found:
+        all_hot = all_hot & np.isin(p, hot) if len(hot) else np.zeros(len(p), bool)
+        out.append(all_hot)
+    return out
+
+
+def suffixes(langs: pa.Array, texts: pa.Array, longest: int) -> tuple[pa.Array, pa.Array, list[np.ndarray]]:
+    """(languages, words, columns of codes: language and up to ``longest`` words, -1 for none) of all suffixes of pieces."""
+    codes, follows, distinct, n = pieces(texts)
+    lang = langs.dictionary_encode()
+    columns = [np.repeat(lang.indices.to_numpy(), n), codes]
+    whole = np.ones(len(codes), bool)
+    for k in range(1, longest):
+        whole[: len(codes) - k] &= follows[k:]
+        whole[max(len(codes) - k, 0) :] = False
+        columns.append(np.where(whole, np.concatenate([codes[k:], np.zeros(min(k, len(codes)), codes.dtype)]), -1))
+    return lang.dictionary, distinct, columns
+
+
+def _heavy(longest: int):
+    @trimmed
+    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for langs, texts in flushed(batches):
+            names, distinct, columns = suffixes(langs, texts, longest)
+            count = np.bincount(columns[0], minlength=len(names))
+            yield pa.RecordBatch.from_arrays([names, pa.nulls(len(names), pa.int64()), pa.array(count)], names=["lang", "prefix", "n"])
+            h = np.append(hashes(distinct), np.uint64(0))
+            found = prefixes(hashes(names)[columns[0]], [h[c] for c in columns[1:]])
+            for k, p in enumerate(found[: longest - 1]):
+                values, n = np.unique(p[columns[k + 1] >= 0], return_counts=True)
+                values, n = (x[n > len(columns[0]) / (2 * HOT)] for x in (values, n))
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(values), pa.string()), pa.array(values.view(np.int64)), pa.array(n)], names=["lang", "prefix", "n"])
+
+    return report
 
 
 def counted(columns: list[np.ndarray], weights: np.ndarray | None, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,27 +165,20 @@ def _sender(shards: int, longest: int, hot: np.ndarray):
     @trimmed
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for langs, texts in flushed(batches):
-            codes, follows, distinct, n = pieces(texts)
-            if not len(codes):
+            names, distinct, columns = suffixes(langs, texts, longest)
+            if not len(columns[0]):
                 continue
-            lang = langs.dictionary_encode()
-            columns = [np.repeat(lang.indices.to_numpy(), n), codes]
-            whole = np.ones(len(codes), bool)
-            for k in range(1, longest):
-                whole[: len(codes) - k] &= follows[k:]
-                whole[max(len(codes) - k, 0) :] = False
-                columns.append(np.where(whole, np.concatenate([codes[k:], np.zeros(min(k, len(codes)), codes.dtype)]), -1))
-            order, new, counts = counted(columns, None, max(len(distinct), len(lang.dictionary)))
+            order, new, counts = counted(columns, None, max(len(distinct), len(names)))
             columns = [c[order[new]] for c in columns]
-            h, hl = np.append(hashes(distinct), np.uint64(0)), hashes(lang.dictionary)
-            shard = mixed(hl[columns[0]], h[columns[1]])
-            split = np.isin(shard, hot)
-            if longest > 1 and split.any():
-                shard[split] = mixed(shard[split], *(h[c[split]] for c in columns[2:4]))
+            h = np.append(hashes(distinct), np.uint64(0))
+            found = prefixes(hashes(names)[columns[0]], [h[c] for c in columns[1:]])
+            shard = found[0]
+            for split, long in zip(split_after(found, hot), found[1:]):
+                shard = np.where(split, long, shard)
             shard = (shard >> np.uint64(16)) % np.uint64(shards)
             by = np.argsort(shard, kind="stable")
             bounds = np.flatnonzero(np.concatenate([[True], shard[by][1:] != shard[by][:-1]]))
-            strings = pa.concat_arrays([distinct.cast(pa.large_binary()), lang.dictionary.cast(pa.large_binary())])
+            strings = pa.concat_arrays([distinct.cast(pa.large_binary()), names.cast(pa.large_binary())])
             columns[0] = columns[0] + len(distinct)
             for a, b in zip(bounds.tolist(), [*bounds[1:].tolist(), len(by)]):
                 own = by[a:b]
@@ -195,8 +217,8 @@ def _counter(longest: int, least: int, hot: np.ndarray):
         columns = [of[c] for c in np.concatenate(codes, axis=1)]
         order, new, n = counted(columns, np.concatenate(counts), len(distinct))
         columns = [c[order[new]] for c in columns]
-        h = hashes(distinct)[by]
-        split = np.isin(mixed(h[columns[0]], h[columns[1]]), hot)
+        h = np.append(hashes(distinct)[by] if len(hot) else np.zeros(len(by), np.uint64), np.uint64(0))
+        partial = split_after(prefixes(h[columns[0]], [h[c] for c in columns[1:]]), hot)
         words = distinct.take(pa.array(by)).cast(pa.large_string())
         out, fresh = [], np.zeros(len(n), bool)
         fresh[:1] = True
@@ -205,7 +227,7 @@ def _counter(longest: int, least: int, hot: np.ndarray):
             fresh[1:] |= columns[d][1:] != columns[d][:-1]  # where level d is pushed anew; the level before it is popped
             at = np.flatnonzero(fresh)
             total = np.add.reduceat(n, at) if len(at) else n
-            keep = (columns[d][at] >= 0) & ((total >= least) | (split[at] & (d <= 2)))
+            keep = (columns[d][at] >= 0) & ((total >= least) | partial[d - 1][at])
             at = at[keep]
             phrase = pc.binary_join_element_wise(*(words.take(pa.array(c[at])) for c in columns[1 : d + 1]), pa.scalar(" ", pa.large_string()))
             out.append(pa.table([words.take(pa.array(columns[0][at])).cast(pa.string()), phrase.cast(pa.string()), pa.array(np.full(len(at), d, np.int32)), pa.array(total[keep])], names=["lang", "phrase", "size", "n"]))
@@ -222,17 +244,16 @@ def mine(docs: DataFrame, longest: int = 4, least: int = 30, scale: int = 2_000_
     """Each language's ``first`` phrases: lang, rank, phrase, a, l, r, n, score."""
     bounded_batches(docs.sparkSession)
     read = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    counts = written(read.mapInArrow(word_counts, _WORDS).groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    limit = max(SHARD_WORDS, total // HOT_WORDS)
-    frequent = counts.filter(F.col("n") > limit).select("lang", "word").collect()  # fewer than HOT_WORDS, as they hold more than total / HOT_WORDS each
-    strings = [hashes(pa.array([r[k] for r in frequent], pa.large_string())) for k in ("lang", "word")]
-    hot = np.sort(mixed(*strings)) if frequent else np.zeros(0, np.uint64)
+    heavy = written(read.mapInArrow(_heavy(longest), _HEAVY).groupBy("lang", "prefix").agg(F.sum("n").alias("n")), "prefixes")
+    sizes = heavy.filter("prefix is null and n > 0").select("lang", "n")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    limit = max(SHARD_WORDS, total // HOT) - total / (2 * HOT)
+    hot = np.array([r["prefix"] for r in heavy.filter(F.col("prefix").isNotNull() & (F.col("n") > limit)).select("prefix").collect()], np.int64).view(np.uint64)  # at most 2 * HOT of each length
     shards = max(docs.sparkSession.sparkContext.defaultParallelism, total // SHARD_WORDS)
     sent = read.mapInArrow(_sender(shards, longest, hot), _SENT)
     found = sent.groupBy("shard").applyInArrow(_counter(longest, least, hot), _PHRASES)
     phrases = written(found.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "phrases")
-    return ranked(phrases, counts.groupBy("lang").agg(F.sum("n").alias("n")), scale, covered, first)
+    return ranked(phrases, sizes, scale, covered, first)
 
 
 def ranked(phrases: DataFrame, sizes: DataFrame, scale: int, covered: int, first: int) -> DataFrame:

@@ -203,7 +203,7 @@ def sentences():
 @pytest.mark.parametrize("hot", [False, True])
 def test_collocations_against_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(collocations, "FLUSH_BYTES", 3000)
-    monkeypatch.setattr(collocations, "SHARD_WORDS", 100 if hot else 10**6)
+    monkeypatch.setattr(collocations, "SHARD_WORDS", 40 if hot else 10**6)
     rows = sentences()
     got = collocations.mine(frame(spark, rows).repartition(4), least=5, first=50)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
