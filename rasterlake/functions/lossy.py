@@ -29,3 +29,16 @@ def filter_level(index: Column) -> Column:
     """Strength of the loop filter, 0 to 63, that goes with a quantiser index: 300/256 of a quarter of its step."""
     level = idiv(F.least(idiv(ac_step(index), 4), F.lit(63)) * 300, 256)
     return F.when(level < 2, 0).otherwise(F.least(level, F.lit(63)))
+
+
+#: The quantiser step of DC coefficients for each quantiser index.
+DC_STEPS = (
+    4, 5, 6, 7, 8, 9, 10, 10, 11, 12, 13, 14, 15, 16, 17, 17,
+    18, 19, 20, 20, 21, 21, 22, 22, 23, 23, 24, 25, 25, 26, 27, 28,
+    29, 30, 31, 32, 33, 34, 35, 36, 37, 37, 38, 39, 40, 41, 42, 43,
+    44, 45, 46, 46, 47, 48, 49, 50, 51, 52, 53, 54, 55, 56, 57, 58,
+    59, 60, 61, 62, 63, 64, 65, 66, 67, 68, 69, 70, 71, 72, 73, 74,
+    75, 76, 76, 77, 78, 79, 80, 81, 82, 83, 84, 85, 86, 87, 88, 89,
+    91, 93, 95, 96, 98, 100, 101, 102, 104, 106, 108, 110, 112, 114, 116, 118,
+    122, 124, 126, 128, 130, 132, 134, 136, 138, 140, 143, 145, 148, 151, 154, 157,
+)

@@ -23,6 +23,7 @@ from ..operators import stencils as T
 from ..operators import summaries as S
 from ..operators import timeline as L
 from ..sources import registry as R
+from . import coding
 from .inputs import ANIM, CLIP, PAIR, PX, SPARSE, animation, clip, pixels, side, sparse, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,11 +38,11 @@ def add(name: str, build: Query, sql: str | None = None) -> None:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | coding.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | coding.oracle_sql()
 
 
 def _fl(x: str | float) -> str:

@@ -69,6 +69,26 @@ cl AS (SELECT label AS picture_id, frame_idx, x, y, a, r, g, b FROM px JOIN o0 O
 )
 
 
+def film(spark: SparkSession, d: str) -> DataFrame:
+    """Pixels of animations of 32x32 frames: sixteen pictures of one label, in order, are a frame; places left over are empty."""
+    e = table(spark, d, "embeddings")
+    n = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    order = e.select(F.col("vec_id").alias("picture_id"), F.col("label").cast("bigint").alias("label"), n.alias("n"))
+    px = pixels(spark, d).join(order, "picture_id")
+    x, y = F.col("n") % 4 * 8 + F.col("x"), idiv(F.col("n") % 16, 4) * 8 + F.col("y")
+    return px.select(F.col("label").alias("picture_id"), idiv(F.col("n"), 16).alias("frame_idx"), x.alias("x"), y.alias("y"), "a", "r", "g", "b")
+
+
+FILM = (
+    PX
+    + """,
+f0 AS (SELECT vec_id, CAST(label AS BIGINT) AS label, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS n FROM embeddings),
+f1 AS (SELECT label AS picture_id, n // 16 AS frame_idx, n % 4 * 8 + x AS x, n % 16 // 4 * 8 + y AS y, a, r, g, b FROM px JOIN f0 ON vec_id = px.picture_id),
+f2 AS (SELECT picture_id, frame_idx, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y FROM (SELECT DISTINCT picture_id, frame_idx FROM f1), (SELECT unnest(range(32)) AS x), (SELECT unnest(range(32)) AS y)),
+film AS (SELECT picture_id, frame_idx, x, y, coalesce(a, 0) AS a, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b FROM f2 LEFT JOIN f1 USING (picture_id, frame_idx, x, y))"""
+)
+
+
 def sparse(spark: SparkSession, d: str) -> DataFrame:
     """A sparse canvas from order lines: 64 columns, a row for each line number; colours are the largest of repeats."""
     l = table(spark, d, "lineitem")
