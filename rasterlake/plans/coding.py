@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import blocks as B
 from ..operators import coefficients as K
+from ..operators import intra as I
 from ..operators import motion as M
 from ..operators import planes as N
 from .inputs import FILM, PX, film, pixels
@@ -244,3 +245,89 @@ def _trellis(spark: SparkSession, d: str) -> DataFrame:
 
 
 add("trellis_light", _trellis)
+
+
+# -- prediction inside a frame ----------------------------------------------------------
+
+
+def _film_full(spark: SparkSession, d: str) -> DataFrame:
+    """The film with its empty places as zeros, frames as pictures."""
+    planes = N.to_planes(_flat(film(spark, d)), 32, 32, r=F.col("r"), g=F.col("g"), b=F.col("b"))
+    parts = [N.to_samples(planes, c).withColumnRenamed("v", c) for c in "rgb"]
+    return parts[0].join(parts[1], ["picture_id", "x", "y"]).join(parts[2], ["picture_id", "x", "y"])
+
+
+def _residual_text(df: DataFrame, *names: str) -> DataFrame:
+    return df.select("picture_id", "tx", "ty", "mode", "score", *(_text(F.col(f"{n}_residual")).alias(f"{n}_residual") for n in names))
+
+
+#: The directional modes cell by cell: A to H above, P the corner, I to L to the left; two letters are their mean, three their weighted mean.
+_CELLS = {
+    2: "PAB ABC BCD CDE PAB ABC BCD CDE PAB ABC BCD CDE PAB ABC BCD CDE",
+    3: "PIJ PIJ PIJ PIJ IJK IJK IJK IJK JKL JKL JKL JKL KLL KLL KLL KLL",
+    4: "IPA PAB ABC BCD PIJ IPA PAB ABC IJK PIJ IPA PAB JKL IJK PIJ IPA",
+    5: "PA AB BC CD IPA PAB ABC BCD JIP PA AB BC KJI IPA PAB ABC",
+    6: "ABC BCD CDE DEF BCD CDE DEF EFG CDE DEF EFG FGH DEF EFG FGH GHH",
+    7: "AB BC CD DE ABC BCD CDE DEF BC CD DE EF BCD CDE DEF EFG",
+    8: "IP IPA PAB ABC JI JIP IP IPA KJ KJI JI JIP LK LKJ KJ KJI",
+    9: "IJ IJK JK JKL JK JKL KL KLL KL KLL L L L L L L",
+}
+
+
+def _cell_sql(letters: str) -> str:
+    if len(letters) == 1:
+        return f"p{letters}"
+    if len(letters) == 2:
+        return f"(p{letters[0]} + p{letters[1]} + 1) >> 1"
+    return f"(p{letters[0]} + 2 * p{letters[1]} + p{letters[2]} + 2) >> 2"
+
+
+def _small_sql(weight: int) -> str:
+    at = lambda y, x: f"v[({y}) * 8 + ({x}) + 1]"
+    above = [f"CASE WHEN ty = 0 THEN 127 ELSE {at('ty * 4 - 1', f'least(tx * 4 + {i}, 7)')} END AS p{c}" for i, c in enumerate("ABCDEFGH")]
+    left = [f"CASE WHEN tx = 0 THEN 129 ELSE {at(f'ty * 4 + {i}', 'tx * 4 - 1')} END AS p{c}" for i, c in enumerate("IJKL")]
+    own = "[" + ", ".join(at(f"ty * 4 + {k // 4}", f"tx * 4 + {k % 4}") for k in range(16)) + "]"
+    modes = {0: ["(4 + pA + pB + pC + pD + pI + pJ + pK + pL) >> 3"] * 16, 1: [f"greatest(0, least(255, p{a} + p{b} - pP))" for b in "IJKL" for a in "ABCD"]}
+    modes |= {m: [_cell_sql(c) for c in cells.split()] for m, cells in _CELLS.items()}
+    guess = " UNION ALL ".join(f"SELECT picture_id, tx, ty, own, {m} AS mode, [{', '.join(cells)}] AS p FROM e" for m, cells in modes.items())
+    return f"""WITH {PX}, c AS (SELECT picture_id, list(r ORDER BY y, x) AS v FROM px GROUP BY ALL),
+e AS (SELECT picture_id, CAST(tx AS INTEGER) AS tx, CAST(ty AS INTEGER) AS ty, {own} AS own, {', '.join(above + left)}, CASE WHEN tx = 0 OR ty = 0 THEN 128 ELSE {at('ty * 4 - 1', 'tx * 4 - 1')} END AS pP
+  FROM c, (SELECT unnest([0, 1]) AS tx), (SELECT unnest([0, 1]) AS ty)),
+g AS ({guess}),
+s AS (SELECT *, list_transform(list_zip(own, p), lambda z: z[1] - z[2]) AS d, {I.small_costs()}[mode + 1] * {weight} AS extra FROM g),
+t AS (SELECT *, CAST(256 * list_sum(list_transform(d, lambda v: v * v)) + extra AS BIGINT) AS score FROM s)
+SELECT picture_id, tx, ty, mode, score, array_to_string(d, ',') AS v_residual FROM t QUALIFY row_number() OVER (PARTITION BY picture_id, tx, ty ORDER BY score, mode) = 1"""
+
+
+add("intra_small", lambda spark, d: _residual_text(I.small_modes(pixels(spark, d), F.col("r"), 40), "v"), _small_sql(40))
+
+
+def _whole_modes_sql(size: int, names: dict[str, str], costs: tuple[int, ...], weight: int) -> str:
+    n, parts, errors, texts = 32 // size, [], [], []
+    for k, c in names.items():
+        at = lambda y, x, c=c: f"{c}[({y}) * 32 + ({x}) + 1]"
+        top, left = f"list_transform(range({size}), lambda i: {at(f'ty * {size} - 1', f'tx * {size} + i')})", f"list_transform(range({size}), lambda i: {at(f'ty * {size} + i', f'tx * {size} - 1')})"
+        parts += [
+            f"list_transform(range({size * size}), lambda i: {at(f'ty * {size} + i // {size}', f'tx * {size} + i % {size}')}) AS {k}",
+            f"CASE WHEN ty = 0 THEN list_transform(range({size}), lambda i: 127) ELSE {top} END AS {k}t",
+            f"CASE WHEN tx = 0 THEN list_transform(range({size}), lambda i: 129) ELSE {left} END AS {k}l",
+            f"CASE WHEN tx = 0 OR ty = 0 THEN 128 ELSE {at(f'ty * {size} - 1', f'tx * {size} - 1')} END AS {k}c",
+        ]
+        mean = f"CASE WHEN tx = 0 AND ty = 0 THEN 128 WHEN tx = 0 THEN (list_sum({k}t) + {size // 2}) // {size} WHEN ty = 0 THEN (list_sum({k}l) + {size // 2}) // {size} ELSE (list_sum({k}t) + list_sum({k}l) + {size}) // {2 * size} END"
+        cell = f"CASE mode WHEN 0 THEN {mean} WHEN 1 THEN {k}t[i % {size} + 1] WHEN 2 THEN {k}l[i // {size} + 1] ELSE greatest(0, least(255, {k}t[i % {size} + 1] + {k}l[i // {size} + 1] - {k}c)) END"
+        errors.append(f"list_transform(range({size * size}), lambda i: CAST({k}[i + 1] - ({cell}) AS INTEGER)) AS {k}d")
+        texts.append(f"array_to_string({k}d, ',') AS {k}_residual")
+    total = " + ".join(f"list_sum(list_transform({k}d, lambda v: CAST(v AS BIGINT) * v))" for k in names)
+    return f"""WITH {FILM}, c AS (SELECT picture_id * 1000 + frame_idx AS picture_id, {', '.join(f'list({c} ORDER BY y, x) AS {c}' for c in set(names.values()))} FROM film GROUP BY ALL),
+e AS (SELECT picture_id, CAST(tx AS INTEGER) AS tx, CAST(ty AS INTEGER) AS ty, {', '.join(parts)} FROM c, (SELECT unnest(range({n})) AS tx), (SELECT unnest(range({n})) AS ty)),
+s AS (SELECT *, {', '.join(errors)} FROM e, (SELECT unnest([0, 1, 2, 3]) AS mode)),
+t AS (SELECT *, CAST(256 * ({total}) + {list(costs)}[mode + 1] * {weight} AS BIGINT) AS score FROM s)
+SELECT picture_id, tx, ty, mode, score, {', '.join(texts)} FROM t QUALIFY row_number() OVER (PARTITION BY picture_id, tx, ty ORDER BY score, mode) = 1"""
+
+
+add("intra_light", lambda spark, d: _residual_text(I.whole_modes(_film_full(spark, d), 16, v=F.col("r")), "v"), _whole_modes_sql(16, {"v": "r"}, I.LIGHT_COSTS, I.LIGHT_WEIGHT))
+add(
+    "intra_colour",
+    lambda spark, d: _residual_text(I.whole_modes(_film_full(spark, d), 8, I.COLOUR_COSTS, I.COLOUR_WEIGHT, cb=F.col("g"), cr=F.col("b")), "cb", "cr"),
+    _whole_modes_sql(8, {"cb": "g", "cr": "b"}, I.COLOUR_COSTS, I.COLOUR_WEIGHT),
+)
