@@ -111,3 +111,40 @@ def shifted(planes: DataFrame, dx: int, dy: int, *names: str) -> DataFrame:
         return {n: sub_sample(p, dx >> 3, dy >> 3, p.shape[1], p.shape[0], dx & 7, dy & 7) if p.size else p for n, p in old.items()}
 
     return mapped(planes, move, *names)
+
+
+def up_sampled(chroma: np.ndarray, w: int, h: int) -> np.ndarray:
+    """A half-size plane at full size: nine parts the nearest sample, three each its neighbours, one the sample across.
+
+    Rounded in two steps, as the format's decoders do.  The first column, and the last
+    of an even width, take three parts the nearer and one the other row; rows repeat at
+    the upper and lower edge.
+    """
+    def near(n: int, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        k = np.arange(n)
+        a, b = np.where(k % 2 == 0, k // 2, (k - 1) // 2), np.where(k % 2 == 0, k // 2 - 1, (k + 1) // 2)
+        edge = (b < 0) | (b >= limit)
+        return a, np.where(edge, a, b), edge
+
+    y, y2, _ = near(h, chroma.shape[0])
+    x, x2, side = near(w, chroma.shape[1])
+    c = chroma.astype(np.int32)
+    own, row, column, across = (c[np.ix_(j, i)] for j, i in ((y, x), (y2, x), (y, x2), (y2, x2)))
+    mixed = ((own + row + column + across + 8 + 2 * (row + column) >> 3) + own) >> 1
+    return np.where(side[None, :], (3 * own + row + 2) >> 2, mixed)
+
+
+def full_size(planes: DataFrame, *names: str) -> DataFrame:
+    """Half-size planes at the size that width and height say."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list[bytes]] = {n: [] for n in names}
+            for i in range(len(batch)):
+                w, h = batch.column("width")[i].as_py(), batch.column("height")[i].as_py()
+                for n in names:
+                    small = np.frombuffer(batch.column(n)[i].as_py(), np.uint8).reshape((h + 1) // 2, (w + 1) // 2)
+                    out[n].append(up_sampled(small, w, h).astype(np.uint8).tobytes() if w and h else b"")
+            yield pa.RecordBatch.from_arrays([pa.array(out[c], pa.binary()) if c in out else batch.column(c) for c in batch.schema.names], names=batch.schema.names)
+
+    return planes.mapInArrow(run, planes.schema)

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from ..operators import blocks as B
 from ..operators import coefficients as K
+from ..operators import deblock as Z
 from ..operators import intra as I
+from ..operators import matches as X
 from ..operators import motion as M
+from ..operators import pixels as P
 from ..operators import planes as N
 from .inputs import FILM, PX, film, pixels
 
@@ -331,3 +334,65 @@ add(
     lambda spark, d: _residual_text(I.whole_modes(_film_full(spark, d), 8, I.COLOUR_COSTS, I.COLOUR_WEIGHT, cb=F.col("g"), cr=F.col("b")), "cb", "cr"),
     _whole_modes_sql(8, {"cb": "g", "cr": "b"}, I.COLOUR_COSTS, I.COLOUR_WEIGHT),
 )
+
+
+# -- planes, matches and the loop filter --------------------------------------------------
+
+
+def _half_planes(spark: SparkSession, d: str) -> DataFrame:
+    """Each picture as the half-size plane of one of 15 x 16."""
+    return N.to_planes(pixels(spark, d), 8, 8, v=F.col("g")).withColumns({"width": F.lit(15), "height": F.lit(16)})
+
+
+def _up_sql() -> str:
+    at = lambda y, x: f"v[({y}) * 8 + ({x}) + 1]"
+    return f"""WITH {PX}, c AS (SELECT picture_id, list(g ORDER BY y, x) AS v FROM px GROUP BY ALL),
+p AS (SELECT *, CAST(i % 15 AS INTEGER) AS x, CAST(i // 15 AS INTEGER) AS y FROM c, (SELECT unnest(range(240)) AS i)),
+k AS (SELECT *, x // 2 + x % 2 AS xr, (x + 1) // 2 - 1 AS xl, least(7, y // 2 + y % 2) AS yb, greatest(0, (y + 1) // 2 - 1) AS yt FROM p),
+n AS (SELECT *, CASE WHEN x % 2 = 0 THEN xr ELSE xl END AS xn, CASE WHEN x % 2 = 0 THEN xl ELSE xr END AS xo, CASE WHEN y % 2 = 0 THEN yb ELSE yt END AS yn, CASE WHEN y % 2 = 0 THEN yt ELSE yb END AS yo FROM k)
+SELECT picture_id, x, y, CAST(CASE WHEN x = 0 THEN (3 * {at('yn', 'xn')} + {at('yo', 'xn')} + 2) >> 2
+  ELSE ((({at('yn', 'xn')} + {at('yo', 'xo')} + 3 * ({at('yo', 'xn')} + {at('yn', 'xo')}) + 8) >> 3) + {at('yn', 'xn')}) >> 1 END AS INTEGER) AS v FROM n"""
+
+
+add("chroma_up_sampled", lambda spark, d: N.to_samples(N.full_size(_half_planes(spark, d), "v"), "v"), _up_sql())
+
+
+def _coarse(spark: SparkSession, d: str) -> DataFrame:
+    """Frames of four colours, so that runs repeat."""
+    px = pixels(spark, d).withColumns({"a": F.lit(255), "r": F.expr("r div 64").cast("int"), "g": F.lit(0), "b": F.lit(0)})
+    return P.to_frames(px, 8, 8)
+
+
+_MATCHES = f"""{PX}, c AS (SELECT picture_id, list(r // 64 ORDER BY y, x) AS v FROM px GROUP BY ALL),
+p AS (SELECT picture_id, v, CAST(unnest(range(64)) AS INTEGER) AS place FROM c),
+q AS (SELECT *, CAST(unnest(range(1, place + 1)) AS INTEGER) AS distance FROM p),
+l AS (SELECT picture_id, place, distance, CAST(coalesce(list_position(list_transform(range(place, 64), lambda i: v[i + 1] = v[i - distance + 1]), false) - 1, 64 - place) AS INTEGER) AS length FROM q),
+b AS (SELECT * FROM l WHERE length >= 4 QUALIFY row_number() OVER (PARTITION BY picture_id, place ORDER BY length DESC, distance) = 1)"""
+
+add(
+    "longest_match",
+    lambda spark, d: X.longest_matches(_coarse(spark, d)),
+    f"WITH {_MATCHES} SELECT picture_id, place, coalesce(b.length, 0) AS length, coalesce(b.distance, 0) AS distance FROM p LEFT JOIN b USING (picture_id, place)",
+)
+add(
+    "longest_match_tokens",
+    lambda spark, d: X.tokens(X.longest_matches(_coarse(spark, d))),
+    f"""WITH RECURSIVE {_MATCHES}, m AS (SELECT picture_id, place, coalesce(b.length, 1) AS length, coalesce(b.distance, 0) AS distance FROM p LEFT JOIN b USING (picture_id, place)),
+t AS (SELECT * FROM m WHERE place = 0 UNION ALL SELECT m.* FROM t JOIN m ON m.picture_id = t.picture_id AND m.place = t.place + t.length) SELECT * FROM t""",
+)
+
+
+def _deblocked(simple: bool) -> Query:
+    def build(spark: SparkSession, d: str) -> DataFrame:
+        px = _flat(film(spark, d))
+        blocks = px.select("picture_id", F.expr("x div 16").cast("int").alias("tx"), F.expr("y div 16").cast("int").alias("ty")).distinct()
+        level = Z.block_level(F.lit(24), (F.col("picture_id") % 5 * 6).cast("int"), F.when(F.col("tx") == F.col("ty"), 8).otherwise(-4))
+        blocks = blocks.select("picture_id", "tx", "ty", level.alias("level"), (F.col("tx") != F.col("ty")).alias("inner"))
+        planes = N.to_planes(px, 32, 32, luma=F.expr("100 + r div 8"))
+        return N.to_samples(Z.deblocked(Z.with_levels(planes, blocks, 2, 2), 2, simple), "luma")
+
+    return build
+
+
+add("loop_filter_normal", _deblocked(False))
+add("loop_filter_simple", _deblocked(True))
