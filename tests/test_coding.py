@@ -226,3 +226,135 @@ def test_quantisers(spark, kind):
             size = abs(c) + (K.SHARPENING[j] * q >> 11 if kind == "light" else 0)
             want = min(2047, (size * ((1 << 17) // q) + (K.ROUNDING[kind][j > 0] << 9)) >> 17)
             assert r.q[n] == (want if c >= 0 else -want) and r.back[j] == r.q[n] * q
+
+
+# -- loop filter ----------------------------------------------------------------------
+
+
+def scan_order(plane, levels, inner, size, sharpness, simple):
+    """One block after the other, line by line, with plain numbers."""
+    p = [[int(v) for v in row] for row in plane]
+    clip = lambda v, a, b: min(b, max(a, v))
+
+    def line(at, limit, interior, high, kind):
+        s = [p[j][i] for j, i in at]
+        n = len(s) // 2
+        p1, p0, q0, q1 = s[n - 2 : n + 2]
+        if 4 * abs(p0 - q0) + abs(p1 - q1) > 2 * limit + 1:
+            return
+        if not simple and any(abs(s[k] - s[k + 1]) > interior for k in (0, 1, 2, 4, 5, 6)):
+            return
+        if simple or abs(p1 - p0) > high or abs(q1 - q0) > high:
+            a = 3 * (q0 - p0) + clip(p1 - q1, -128, 127)
+            new = {n - 1: p0 + clip((a + 3) >> 3, -16, 15), n: q0 - clip((a + 4) >> 3, -16, 15)}
+        elif kind == "edge":
+            a = clip(3 * (q0 - p0) + clip(p1 - q1, -128, 127), -128, 127)
+            new = {}
+            for k, w in enumerate((27, 18, 9)):
+                new |= {n - 1 - k: s[n - 1 - k] + ((w * a + 63) >> 7), n + k: s[n + k] - ((w * a + 63) >> 7)}
+        else:
+            a = 3 * (q0 - p0)
+            one, two = clip((a + 4) >> 3, -16, 15), clip((a + 3) >> 3, -16, 15)
+            new = {n - 2: p1 + ((one + 1) >> 1), n - 1: p0 + two, n: q0 - one, n + 1: q1 - ((one + 1) >> 1)}
+        for k, v in new.items():
+            p[at[k][0]][at[k][1]] = clip(v, 0, 255)
+
+    reach = 2 if simple else 4
+    for by in range(levels.shape[0]):
+        for bx in range(levels.shape[1]):
+            level = int(levels[by, bx])
+            if not level:
+                continue
+            interior = level
+            if sharpness:
+                interior = min(level >> (2 if sharpness > 4 else 1), 9 - sharpness)
+            interior = max(1, interior)
+            limit, high = 2 * level + interior, 2 if level >= 40 else 1 if level >= 15 else 0
+            for turned in (False, True):
+                for offset in range(0, size, 4):
+                    if (offset == 0 and not (by if turned else bx)) or (offset and not inner[by, bx]):
+                        continue
+                    for k in range(size):
+                        y, x = by * size + (offset if turned else k), bx * size + (k if turned else offset)
+                        at = [(y + d, x) if turned else (y, x + d) for d in range(-reach, reach)]
+                        line(at, limit + (0 if offset else 4), interior, high, "inner" if offset else "edge")
+    return p
+
+
+@pytest.mark.parametrize("size,sharpness,simple", [(16, 0, False), (8, 3, False), (16, 6, False), (16, 0, True)])
+def test_loop_filter_is_that_in_scan_order(size, sharpness, simple):
+    from rasterlake.operators import deblock
+
+    r = np.random.default_rng(size + sharpness)
+    for rows, columns in ((1, 1), (3, 4), (4, 2), (1, 5)):
+        plane = np.clip(texture(rows * size, columns * size, rows) // 4 + r.integers(0, 9, (rows * size, columns * size)) + 40 * ((np.indices((rows * size, columns * size)) // size).sum(axis=0) % 2 == 0) // 4, 0, 255).astype(np.uint8)
+        levels, inner = r.choice([0, 5, 14, 15, 30, 40, 63], (rows, columns)), r.integers(0, 2, (rows, columns))
+        assert deblock.filtered(plane, levels, inner, size, sharpness, simple).tolist() == scan_order(plane, levels, inner, size, sharpness, simple)
+
+
+def test_loop_filter_of_frames(spark):
+    from rasterlake.operators import deblock
+
+    luma, cb, cr = (np.clip(texture(n, n, k) // 3 + 40, 0, 255).astype(np.uint8) for n, k in ((40, 1), (20, 2), (20, 3)))
+    planes = spark.createDataFrame([(1, 40, 40, *(bytearray(p.tobytes()) for p in (luma, cb, cr))), (2, 40, 40, *(bytearray(p.tobytes()) for p in (luma, cb, cr)))], "picture_id bigint, width int, height int, luma binary, cb binary, cr binary")
+    blocks = spark.createDataFrame([(1, x, y, 20 + 9 * x, x == y) for x in range(3) for y in range(3) if (x, y) != (1, 1)], "picture_id bigint, tx int, ty int, level int, inner boolean")
+    got = {r.picture_id: r for r in deblock.deblocked(deblock.with_levels(planes, blocks, 3, 3)).collect()}
+    levels, inner = np.array([[20, 29, 38], [20, 0, 38], [20, 29, 38]]), np.eye(3, dtype=int)
+    inner[1, 1] = 0
+    for n, p, size in (("luma", luma, 16), ("cb", cb, 8), ("cr", cr, 8)):
+        wide = np.pad(p, [(0, 3 * size - p.shape[0])] * 2, mode="edge")
+        want = np.array(scan_order(wide, levels, inner, size, 0, False), np.uint8)[: p.shape[0], : p.shape[1]]
+        assert got[1][n] == want.tobytes() and got[2][n] == p.tobytes() and want.tobytes() != p.tobytes()
+    simple = deblock.deblocked(deblock.with_levels(planes, blocks, 3, 3), simple=True).filter("picture_id = 1").first()
+    assert simple.cb == cb.tobytes() and simple.luma != luma.tobytes()
+
+
+# -- matches --------------------------------------------------------------------------
+
+
+def chain_search(pixels, least, most, chain):
+    out = []
+    for i in range(len(pixels)):
+        best = (0, 0)
+        for c in [j for j in range(i - 1, -1, -1) if pixels[j] == pixels[i]][:chain]:
+            n = 0
+            while n < most and i + n < len(pixels) and pixels[c + n] == pixels[i + n]:
+                n += 1
+            if n > best[0]:
+                best = (n, i - c)
+        out.append(best if best[0] >= least else (0, 0))
+    return out
+
+
+@pytest.mark.parametrize("least,most,chain", [(4, 4095, 64), (1, 7, 3), (4, 16, 64), (2, 1, 1)])
+def test_longest_matches_by_chains(least, most, chain):
+    from rasterlake.operators import matches
+
+    r = np.random.default_rng(least + most)
+    for pixels in ([], [5], [1] * 200, r.integers(0, 2, 300), np.tile(r.integers(-9, 9, 17), 9), r.integers(0, 1000, 80), np.concatenate([[1, 2, 3, 4, 5], r.integers(0, 9, 70), [1, 2, 3, 4, 5]])):
+        pixels = np.asarray(pixels, np.int32)
+        length, distance = matches.longest(pixels, least, most, chain)
+        assert list(zip(length.tolist(), distance.tolist())) == chain_search(pixels.tolist(), least, most, chain)
+
+
+def test_match_tokens_cover_the_frame(spark):
+    from rasterlake.operators import matches
+
+    pixels = np.tile(np.random.default_rng(3).integers(0, 3, 40), 3).astype(np.int32)
+    df = spark.createDataFrame([(1, pixels.tolist()), (2, []), (3, None), (4, [7])], "picture_id bigint, argb array<int>")
+    rows = sorted(map(tuple, matches.tokens(matches.longest_matches(df)).collect()))
+    assert [r for r in rows if r[0] == 4] == [(4, 0, 1, 0)] and {r[0] for r in rows} == {1, 4}
+    back = []
+    for _, place, length, distance in [r for r in rows if r[0] == 1]:
+        assert place == len(back)
+        for _ in range(length):
+            back.append(back[-distance] if distance else int(pixels[place]))
+    assert back == pixels.tolist()
+
+
+def test_up_sampling_keeps_flat_planes_and_odd_sizes():
+    for w, h in ((1, 1), (2, 1), (1, 4), (5, 3), (6, 4)):
+        flat = np.full(((h + 1) // 2, (w + 1) // 2), 77, np.uint8)
+        assert (N.up_sampled(flat, w, h) == 77).all() and N.up_sampled(flat, w, h).shape == (h, w)
+    c = np.array([[0, 160], [80, 240]], np.uint8)
+    assert N.up_sampled(c, 4, 4).tolist()[0] == [0, 40, 120, 160]
