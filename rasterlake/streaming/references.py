@@ -91,4 +91,4 @@ def reference_stream(frames: DataFrame, idle_ms: int = 0) -> DataFrame:
     key frame came yet; it changes nothing.  After ``idle_ms`` without a frame an
     animation's state goes, with a row of what it held (``expired``); 0 keeps it.
     """
-    return frames.groupBy("picture_id").transformWithStateInPandas(References(idle_ms), _OUT, "append", "ProcessingTime")
+    return frames.groupBy("picture_id").transformWithStateInPandas(References(idle_ms), _OUT, "append", "ProcessingTime" if idle_ms else "None")
