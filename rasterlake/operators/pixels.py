@@ -138,9 +138,10 @@ def trim(px: DataFrame) -> DataFrame:
 
 
 def _targets(px: DataFrame, size: int, was: int, axis: str) -> Column:
-    """All target places that take their value from this source place: a contiguous run."""
+    """All target places that take their value from this source place: a run, whose ends are closed forms; null if there is none."""
     s = F.col(axis)
-    return F.filter(F.sequence(F.lit(0), F.lit(size - 1)), lambda t: idiv(t * was, size) == s)
+    first, after = (idiv(p * size + was - 1, was) for p in (s, s + 1))
+    return F.when(first < after, F.sequence(first, after - 1))
 
 
 def resize_nearest(px: DataFrame, width: int, height: int, w: int, h: int) -> DataFrame:
@@ -151,36 +152,55 @@ def resize_nearest(px: DataFrame, width: int, height: int, w: int, h: int) -> Da
     return moved(rows, F.col("tx"), F.col("ty"))
 
 
+def in_order(px: DataFrame, width: int, height: int) -> DataFrame:
+    """(picture_id, argb): colours in row-major order, on the JVM; gaps are clear, of several at one place the largest colour stays."""
+    cell = F.struct((F.col("y") * width + F.col("x")).cast("int").alias("k"), pack(*Argb.of()).cast("int").alias("v"))
+    inside = F.when(contains(F.col("x"), F.col("y"), width, height), cell)
+    rows = px.groupBy("picture_id").agg(F.array_sort(F.collect_list(inside)).alias("cells"))
+    last = F.filter("cells", lambda c, i: F.coalesce(F.get("cells", i + 1)["k"] != c["k"], F.lit(True)))
+    rows = rows.select("picture_id", F.map_from_entries(last).alias("at"))
+    every = F.sequence(F.lit(0), F.lit(width * height - 1))
+    return rows.select("picture_id", F.transform(every, lambda k: F.coalesce(F.element_at("at", k), F.lit(0))).alias("argb"))
+
+
 def resize_bilinear(px: DataFrame, width: int, height: int, w: int, h: int) -> DataFrame:
-    """Half-pixel centres, four taps, truncated.
+    """Half-pixel centres, four taps, truncated: each target gathers its taps from the picture's colours in order.
 
-    A source pixel is sent, with its weight, to each target that reads it; the
-    taps of a target then meet in one aggregate.
+    Pixels are shuffled once, by picture; a picture without pixels has no targets.
     """
     if width < 2 or height < 2:
         raise ValueError("bilinear needs two pixels each way")
 
-    def taps(axis: str, size: int, was: int) -> DataFrame:
-        """For each source place the (target, weight, order of tap) it serves."""
-        spark = px.sparkSession
-        t = spark.range(size).select(F.col("id").cast("int").alias("t"))
-        at = (((f32(F.col("t")) + f32(0.5)) * f32(was)) / f32(size)).cast("float") - f32(0.5)
-        t = t.withColumn("at", at.cast("float")).withColumn("low", F.floor("at").cast("int"))
-        t = t.withColumn("part", (F.col("at") - f32(F.col("low"))).cast("float")).withColumn("low", F.least(F.lit(was - 2), F.greatest(F.lit(0), F.col("low"))))
-        both = F.array(F.struct(F.col("low").alias("s"), (f32(1) - F.col("part")).cast("float").alias("w"), F.lit(0).alias("o")), F.struct((F.col("low") + 1).alias("s"), F.col("part").alias("w"), F.lit(1).alias("o")))
-        return t.select("t", F.explode(both).alias("k")).select(F.col("k.s").alias(axis), F.col("t").alias(f"t{axis}"), F.col("k.w").alias(f"w{axis}"), F.col("k.o").alias(f"o{axis}"))
-
-    # the tap tables have two rows for each target column or row: their size is the picture's, not the data's
-    rows = px.join(F.broadcast(taps("x", w, width)), "x").join(F.broadcast(taps("y", h, height)), "y")
-    weight = (F.col("wx") * F.col("wy")).cast("float")
-    tap = F.struct((F.col("oy") * 2 + F.col("ox")).alias("o"), *((f32(F.col(c)) * weight).cast("float").alias(c) for c in "argb"))
-    met = rows.groupBy("picture_id", F.col("tx").alias("x"), F.col("ty").alias("y")).agg(F.array_sort(F.collect_list(tap)).alias("taps"))
+    def place(t: Column, size: int, was: int) -> tuple[Column, Column]:
+        """(lower tap, share of the upper one) of a target place."""
+        at = ((((f32(t) + f32(0.5)) * f32(was)) / f32(size)).cast("float") - f32(0.5)).cast("float")
+        low = F.floor(at).cast("int")
+        return F.least(F.lit(was - 2), F.greatest(F.lit(0), low)), (at - f32(low)).cast("float")
+
+    def table(size: int, was: int) -> Column:
+        low, part = place(F.col("id"), size, was)
+        return F.struct(F.col("id").cast("int").alias("t"), low.alias("low"), part.alias("part"))
+
+    def axis(n: str, size: int, was: int) -> DataFrame:
+        return px.sparkSession.range(size).select(table(size, was).alias(n))
+
+    # one row for each target column and row: their size is the picture's, not the data's
+    grid = axis("ty", h, height).join(F.broadcast(axis("tx", w, width))).agg(F.collect_list(F.struct("tx", "ty")).alias("grid"))
+    rows = in_order(px, width, height).join(F.broadcast(grid)).select("picture_id", "argb", F.explode("grid").alias("g")).select("picture_id", "argb", "g.*")
+    x, y = F.col("tx.part"), F.col("ty.part")
+    first = F.col("ty.low") * width + F.col("tx.low")
+    rows = rows.select("picture_id", F.col("tx.t").alias("x"), F.col("ty.t").alias("y"), x.alias("px"), y.alias("py"), *(F.get("argb", first + d).alias(f"t{k}") for k, d in enumerate((0, 1, width, width + 1))))
+    side = lambda part, upper: F.col(part) if upper else (f32(1) - F.col(part)).cast("float")
+    weights = [(side("px", k % 2) * side("py", k // 2)).cast("float") for k in range(4)]
+    taps = [Argb.unpacked(F.col(f"t{k}")) for k in range(4)]
 
     def total(c: str) -> Column:
-        return F.aggregate("taps", f32(0), lambda acc, t: (acc + t[c]).cast("float"))
+        out = f32(0)
+        for tap, weight in zip(taps, weights):
+            out = (out + (f32(getattr(tap, c)) * weight).cast("float")).cast("float")
+        return out
 
-    sums = [total(c) for c in "argb"]
-    return met.select("picture_id", "x", "y", *(F.least(F.lit(255), F.greatest(F.lit(0), s.cast("int"))).alias(n) for s, n in zip(sums, "argb")))
+    return rows.select("picture_id", "x", "y", *(F.least(F.lit(255), F.greatest(F.lit(0), total(c).cast("int"))).alias(c) for c in "argb"))
 
 
 # -- compositing -------------------------------------------------------------------------

@@ -25,7 +25,17 @@ def _neighbours(px: DataFrame, **at: tuple) -> DataFrame:
     return px.withColumns({f"{n}_{c}": f(c).over(w) for n, (w, f) in at.items() for c in "argb"})
 
 
+def _by_picture(px: DataFrame) -> DataFrame:
+    """Dealt out by picture: windows over its rows and over its columns then need no shuffle of their own."""
+    return px.repartition(F.col("picture_id"))
+
+
 def near_lossless_pass(px: DataFrame, bits: int, width: int, height: int) -> DataFrame:
+    """Colours snapped where they differ from a neighbour by 2^bits or more; one shuffle, also for several passes in a row."""
+    return _snapped(_by_picture(px), bits, width, height)
+
+
+def _snapped(px: DataFrame, bits: int, width: int, height: int) -> DataFrame:
     limit = 1 << bits
     rows = _neighbours(px, left=(_row(), F.lag), right=(_row(), F.lead))
     rows = _neighbours(rows, up=(_column(), F.lag), down=(_column(), F.lead))
@@ -43,8 +53,9 @@ def near_lossless(px: DataFrame, level: int, width: int, height: int, least: int
     bits = 5 - max(0, level) // 20
     if level >= 100 or bits <= 0 or (width < least and height < least) or height < 3:
         return px
+    px = _by_picture(px)
     for b in range(bits, 0, -1):
-        px = near_lossless_pass(px, b, width, height)
+        px = _snapped(px, b, width, height)
     return px
 
 
@@ -55,7 +66,7 @@ def _half(p: Column, q: Column) -> Column:
 
 def _surrounded(px: DataFrame) -> DataFrame:
     """Columns <name>_<channel> of left, top, top left, top right and the own row's first pixel."""
-    rows = _neighbours(px, l=(_row(), F.lag))
+    rows = _neighbours(_by_picture(px), l=(_row(), F.lag))
     rows = _neighbours(rows, t=(_column(), F.lag))
     rows = rows.withColumns({f"f_{c}": F.first(c).over(_row()) for c in "argb"})
     rows = rows.withColumns({f"tl_{c}": F.lag(f"l_{c}").over(_column()) for c in "argb"})

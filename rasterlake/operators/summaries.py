@@ -28,9 +28,25 @@ def exact_palette(px: DataFrame, width: int, transparent_slot: int | None = None
 
 
 def sorted_palette(px: DataFrame, most: int = 256) -> DataFrame:
-    """Distinct packed colours in signed order; null where there are more than ``most``."""
-    colors = F.array_sort(F.collect_set(pack(*Argb.of())))
-    return px.groupBy("picture_id").agg(colors.alias("c")).select("picture_id", F.size("c").alias("n"), F.when(F.size("c") <= most, F.col("c")).alias("palette"))
+    """Distinct packed colours in signed order; null where there are more than ``most``.
+
+    Distinct colours come first, and no more than ``most`` + 1 of a picture are gathered.
+    """
+    colors = px.select("picture_id", pack(*Argb.of()).alias("c")).distinct()
+    few = capped_colors(colors, most).groupBy("picture_id").agg(F.array_sort(F.collect_list("c")).alias("c"))
+    return colors.groupBy("picture_id").agg(F.count("*").cast("int").alias("n")).join(few, "picture_id").select("picture_id", "n", F.when(F.col("n") <= most, F.col("c")).alias("palette"))
+
+
+def capped_colors(colors: DataFrame, most: int = 256) -> DataFrame:
+    """The ``most`` + 1 least of each picture's distinct colours: enough to see that there are too many."""
+    rank = F.row_number().over(Window.partitionBy("picture_id").orderBy("c"))
+    return colors.withColumn("rank", rank).filter(F.col("rank") <= most + 1).drop("rank")
+
+
+def color_cap(px: DataFrame, most: int = 256) -> DataFrame:
+    """(picture_id, n, fits): distinct packed colours, counted up to ``most`` + 1."""
+    few = capped_colors(px.select("picture_id", pack(*Argb.of()).alias("c")).distinct(), most)
+    return few.groupBy("picture_id").agg(F.count("*").cast("int").alias("n")).withColumn("fits", F.col("n") <= most)
 
 
 def nearest_slot(colors: DataFrame, palette: DataFrame) -> DataFrame:
@@ -86,17 +102,15 @@ def packed_indices(indexed: DataFrame, bits: int) -> DataFrame:
 def mask_downsample(marks: DataFrame, width: int, height: int, w: int, h: int) -> DataFrame:
     """Marked cells of a smaller grid: a cell is marked if any pixel of its box is.
 
-    Each mark is sent to the boxes it lies in, at most two a side when the grid grows.
+    Each mark is sent to the boxes it lies in, a run whose ends are closed forms.
     """
 
     def boxes(axis: str, was: int, size: int) -> Column:
         p = F.col(axis)
-
-        def inside(o: Column) -> Column:
-            low = idiv(o * was, size)
-            return (p >= low) & (p < F.greatest(low + 1, idiv((o + 1) * was, size)))
-
-        return F.filter(F.sequence(F.lit(0), F.lit(size - 1)), inside)
+        # boxes that begin at or before p, from the first that ends behind it or begins on it
+        last = F.least(F.lit(size - 1), idiv((p + 1) * size - 1, was))
+        first = F.least(idiv((p + 1) * size + was - 1, was) - 1, idiv(p * size + was - 1, was))
+        return F.when(first <= last, F.sequence(first, last))
 
     rows = marks.withColumn("ox", F.explode(boxes("x", width, w))).withColumn("oy", F.explode(boxes("y", height, h)))
     return rows.select("picture_id", F.col("ox").alias("x"), F.col("oy").alias("y")).distinct()
@@ -111,16 +125,15 @@ def tile_variance(px: DataFrame, tile: int = 16) -> DataFrame:
 
 
 def tile_segments(variances: DataFrame, gate: int = 400) -> DataFrame:
-    """Quartile segment 0-3 of each tile; 0 where the picture is too flat to split."""
-    w = Window.partitionBy("picture_id")
-    v = F.col("variance")
-    ordered = F.array_sort(F.collect_list(v).over(w))
+    """Quartile segment 0-3 of each tile; 0 where the picture is too flat to split.
 
-    def cut(k: int) -> Column:
-        return F.element_at("ordered", F.expr(f"cast(size(ordered) * {k} div 4 + 1 as int)"))
-
-    rows = variances.withColumn("ordered", ordered).withColumn("flat", (F.max(v).over(w) - F.min(v).over(w)) < gate)
-    segment = F.when(F.col("flat"), 0).when(v < cut(1), 0).when(v < cut(2), 1).when(v < cut(3), 2).otherwise(3)
+    A picture's cuts are one row, made once and joined to its tiles.
+    """
+    v = F.col("variance")
+    ordered = variances.groupBy("picture_id").agg(F.array_sort(F.collect_list(v)).alias("o"), (F.max(v) - F.min(v) < gate).alias("flat"))
+    cut = lambda k: F.element_at("o", F.expr(f"cast(size(o) * {k} div 4 + 1 as int)")).alias(f"c{k}")
+    rows = variances.join(ordered.select("picture_id", "flat", cut(1), cut(2), cut(3)), "picture_id")
+    segment = F.when(F.col("flat"), 0).when(v < F.col("c1"), 0).when(v < F.col("c2"), 1).when(v < F.col("c3"), 2).otherwise(3)
     return rows.select("picture_id", "tx", "ty", "variance", segment.alias("segment"))
 
 

@@ -32,24 +32,32 @@ def quantized_delays(frames: DataFrame, minimum: int) -> DataFrame:
 def frame_at(frames: DataFrame, instants: DataFrame, interpolate: bool = False) -> DataFrame:
     """(picture_id, elapsed_ms) -> frame_idx, next_idx and share of the next frame (null if not between two).
 
-    A picture's schedule is an array on one row, so each instant finds its frame without an interval join.
+    A picture's time is cut into as many buckets as it has frames.  A frame goes to the
+    buckets it lies in, two on average at most, and an instant to its own: they meet by
+    an equi-join on (picture, bucket), so neither carries a schedule, and the instants
+    of one picture are dealt out by bucket.
     """
-    ends = F.sum("delay_ms").over(_by_frame())
-    rows = frames.withColumn("stop", ends).groupBy("picture_id").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "delay_ms", "stop"))).alias("schedule"))
-    rows = rows.withColumn("total", F.element_at("schedule", -1)["stop"]).withColumn("n", F.size("schedule"))
-    met = instants.join(rows, "picture_id").withColumn("t", F.when(F.col("total") > 0, F.col("elapsed_ms") % F.when(F.col("total") > 0, F.col("total"))))
-    hit = F.filter("schedule", lambda s: (s["delay_ms"] > 0) & (F.col("t") < s["stop"]))
-    met = met.withColumn("hit", F.when(F.col("total") > 0, F.get(hit, 0)))
-    here = F.coalesce(F.col("hit.frame_idx"), F.element_at("schedule", 1)["frame_idx"])
+    stop = F.sum("delay_ms").over(_by_frame())
+    rows = frames.select("picture_id", "frame_idx", "delay_ms", stop.alias("stop"), F.lead("frame_idx").over(_by_frame()).alias("after"))
+    totals = rows.groupBy("picture_id").agg(F.sum("delay_ms").alias("total"), F.count("*").alias("n"), F.min("frame_idx").alias("first"))
+    width = F.greatest(F.lit(1), F.expr("total div n")).cast("bigint")
+    totals = totals.withColumn("width", width)
+    bucket = lambda t: F.greatest(F.lit(0), F.call_function("div", t, F.col("width"))).cast("bigint")
+    shown = rows.filter("delay_ms > 0").join(totals.select("picture_id", "width"), "picture_id").withColumn("start", F.col("stop") - F.col("delay_ms"))
+    shown = shown.select("picture_id", "frame_idx", "delay_ms", "start", "stop", "after", F.explode(F.sequence(bucket(F.col("start")), bucket(F.col("stop") - 1))).alias("bucket"))
+    met = instants.select("picture_id", "elapsed_ms").join(totals, "picture_id").withColumn("t", F.when(F.col("total") > 0, F.col("elapsed_ms") % F.when(F.col("total") > 0, F.col("total"))))
+    met = met.withColumn("bucket", bucket(F.col("t"))).alias("i")
+    hit = (F.col("i.picture_id") == F.col("s.picture_id")) & (F.col("i.bucket") == F.col("s.bucket")) & (F.col("t") < F.col("stop")) & ((F.col("t") >= F.col("start")) | (F.col("start") == 0))
+    met = met.join(shown.alias("s"), hit, "left")
+    here = F.coalesce(F.col("frame_idx"), F.col("first"))
     if not interpolate:
-        return met.select("picture_id", "elapsed_ms", here.alias("frame_idx"))
-    span = F.col("t") - (F.col("hit.stop") - F.col("hit.delay_ms"))
-    share = span / F.col("hit.delay_ms").cast("double")
-    place = F.array_position(F.transform("schedule", lambda s: s["frame_idx"]), here).cast("int")
-    after = F.element_at("schedule", F.when(place == F.col("n"), 1).otherwise(place + 1))["frame_idx"]
-    whole = F.col("hit").isNull() | (F.col("n") == 1) | (span <= 0)
+        return met.select("i.picture_id", "elapsed_ms", here.alias("frame_idx"))
+    span = F.col("t") - F.col("start")
+    share = span / F.col("delay_ms").cast("double")
+    after = F.coalesce("after", "first")
+    whole = F.col("frame_idx").isNull() | (F.col("n") == 1) | (span <= 0)
     return met.select(
-        "picture_id",
+        "i.picture_id",
         "elapsed_ms",
         F.when(~whole & (share >= 0.999), after).otherwise(here).alias("frame_idx"),
         F.when(~whole & (share < 0.999), after).alias("next_idx"),

@@ -391,6 +391,7 @@ add(
     lambda spark, d: S.packed_indices(pixels(spark, d).withColumn("slot", F.col("r") % 4), 2),
     f"WITH {PX} SELECT picture_id, y, x // 4 AS x, CAST(sum((r % 4) << (x % 4 * 2)) AS INTEGER) AS packed FROM px GROUP BY 1, 2, 3",
 )
+add("color_cap", lambda spark, d: S.color_cap(pixels(spark, d), 40), f"WITH {PX} SELECT picture_id, CAST(least(41, count(DISTINCT {_PACKED})) AS INTEGER) AS n, count(DISTINCT {_PACKED}) <= 40 AS fits FROM px GROUP BY picture_id")
 add("palette_bits", lambda spark, d: S.sorted_palette(pixels(spark, d)).select("picture_id", S.palette_bits(F.col("n")).alias("bits")), f"WITH {PX} SELECT picture_id, CASE WHEN count(DISTINCT {_PACKED}) <= 2 THEN 1 WHEN count(DISTINCT {_PACKED}) <= 4 THEN 2 WHEN count(DISTINCT {_PACKED}) <= 16 THEN 4 ELSE 8 END AS bits FROM px GROUP BY 1")
 for _w, _h in ((3, 5), (13, 20)):
     add(
