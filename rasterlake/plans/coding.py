@@ -13,9 +13,10 @@ from ..operators import deblock as Z
 from ..operators import intra as I
 from ..operators import matches as X
 from ..operators import motion as M
+from ..operators import paths as H
 from ..operators import pixels as P
 from ..operators import planes as N
-from .inputs import FILM, PX, film, pixels
+from .inputs import FILM, PX, film, pixels, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -396,3 +397,77 @@ def _deblocked(simple: bool) -> Query:
 
 add("loop_filter_normal", _deblocked(False))
 add("loop_filter_simple", _deblocked(True))
+
+
+# -- paths ------------------------------------------------------------------------------
+
+#: The segments of each supplier's shape: (kind, points as SQL over k = s_suppkey).
+_PATH = (
+    ("M", [("k % 7", "k % 5")]),
+    ("L", [("20 + k % 11", "k % 3")]),
+    ("Q", [("40", "4 + k % 13"), ("24 + k % 5", "24")]),
+    ("C", [("12", "40 + k % 9"), ("4 - k % 17", "20"), ("k % 4", "16 + k % 8")]),
+    ("Z", []),
+    ("M", [("8 + k % 6", "8")]),
+    ("L", [("16", "8 + k % 10")]),
+    ("L", [("8", "16")]),
+    ("Z", []),
+)
+
+
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    k = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"))
+    doubles = lambda values: f"cast(array({', '.join(values)}) as array<double>)"
+    parts = [f"struct({i} as seg, '{kind}' as kind, {doubles([p[0] for p in points])} as xs, {doubles([p[1] for p in points])} as ys)" for i, (kind, points) in enumerate(_PATH)]
+    return k.select(F.col("k").alias("picture_id"), F.explode(F.expr(f"array({', '.join(parts)})")).alias("s")).select("picture_id", "s.*")
+
+
+def _flat_sql() -> str:
+    """Points (picture_id, seg, step, x, y) of the flattened shapes, moves as step 0 and without closing lines."""
+    parts, here = [], ("0", "0")
+    for i, (kind, points) in enumerate(_PATH):
+        if kind == "Z":
+            here = next(p[-1] for k, p in reversed(_PATH[:i]) if k == "M")
+            continue
+        if kind in "ML":
+            parts.append(f"SELECT k, {i} AS seg, {int(kind == 'L')} AS step, CAST({points[-1][0]} AS DOUBLE) AS x, CAST({points[-1][1]} AS DOUBLE) AS y FROM s")
+        else:
+            (x, y), ps = here, points
+            bends = [(x, y), *ps]
+            gaps = [f"sqrt(power({bends[j][0]} - 2 * ({bends[j + 1][0]}) + {bends[j + 2][0]}, 2.0) + power({bends[j][1]} - 2 * ({bends[j + 1][1]}) + {bends[j + 2][1]}, 2.0))" for j in range(len(bends) - 2)]
+            bend = f"greatest({', '.join(gaps)}) * {0.25 if kind == 'Q' else 0.75}" if len(gaps) > 1 else f"{gaps[0]} * 0.25"
+            n = f"CAST(power(2, least(10, greatest(0, ceil(log2(greatest({bend}, 1e-9)) / 2)))) AS INTEGER)"
+            weights = ("(1 - t) * (1 - t)", "2 * t * (1 - t)", "t * t") if kind == "Q" else ("(1 - t) * (1 - t) * (1 - t)", "3 * t * (1 - t) * (1 - t)", "3 * t * t * (1 - t)", "t * t * t")
+            at = lambda axis, w=weights, b=bends: " + ".join(f"{c} * ({p[axis]})" for c, p in zip(w, b))
+            parts.append(f"SELECT k, {i} AS seg, step, {at(0)} AS x, {at(1)} AS y FROM (SELECT k, n, step, CAST(step AS DOUBLE) / n AS t FROM (SELECT k, {n} AS n, CAST(unnest(range(1, {n} + 1)) AS INTEGER) AS step FROM s))")
+        here = points[-1]
+    return "s AS (SELECT s_suppkey AS k FROM supplier), f AS (" + " UNION ALL ".join(parts) + ")"
+
+
+add(
+    "path_flattened",
+    lambda spark, d: H.flattened(_segments(spark, d), ["picture_id"]).filter("seg NOT IN (4, 8)").select("picture_id", "seg", "step", F.floor(F.col("xb") + 0.5).cast("int").alias("x"), F.floor(F.col("yb") + 0.5).cast("int").alias("y")),
+    f"WITH {_flat_sql()} SELECT k AS picture_id, seg, step, CAST(floor(x + 0.5) AS INTEGER) AS x, CAST(floor(y + 0.5) AS INTEGER) AS y FROM f WHERE step > 0",
+)
+add(
+    "path_fill",
+    lambda spark, d: H.fill_path(_segments(spark, d), ["picture_id"]),
+    f"""WITH {_flat_sql()}, p AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY seg, step) AS i, count(*) OVER (PARTITION BY k) AS n, CAST(floor(x + 0.5) AS INTEGER) AS x, CAST(floor(y + 0.5) AS INTEGER) AS y FROM f),
+e AS (SELECT a.k, a.x AS xi, a.y AS yi, b.x AS xj, b.y AS yj FROM p a JOIN p b ON a.k = b.k AND b.i = CASE WHEN a.i = 1 THEN a.n ELSE a.i - 1 END),
+h AS (SELECT k, CAST(unnest(range(CAST(min(y) AS BIGINT), max(y) + 1)) AS INTEGER) AS y FROM p GROUP BY k),
+c AS (SELECT h.k, h.y, xi + CAST(trunc((h.y - yi) * (xj - xi) / CAST(yj - yi AS DOUBLE)) AS INTEGER) AS x FROM h JOIN e ON h.k = e.k AND (yi < h.y AND yj >= h.y OR yj < h.y AND yi >= h.y)),
+r AS (SELECT k, y, x, row_number() OVER (PARTITION BY k, y ORDER BY x) AS i FROM c),
+q AS (SELECT a.k, a.y, unnest(range(CAST(a.x AS BIGINT), b.x + 1)) AS x FROM r a JOIN r b ON a.k = b.k AND a.y = b.y AND a.i % 2 = 1 AND b.i = a.i + 1)
+SELECT DISTINCT k AS picture_id, CAST(x AS INTEGER) AS x, y FROM q""",
+)
+add("path_draw", lambda spark, d: H.draw_path(_segments(spark, d), ["picture_id"]))
+
+
+def _rectangles(spark: SparkSession, d: str) -> DataFrame:
+    k = table(spark, d, "supplier").select(F.col("s_suppkey").alias("picture_id"))
+    rects = [(0, 0.0, 0.0, 3.0, 3.0), (1, 30.0, 30.0, 8.0, 8.0), (2, 10.0, 10.0, 2.0, 2.0), (3, 12.0, 12.0, 0.0, 4.0), (4, -9.0, -9.0, 90.0, 90.0)]
+    parts = [f"struct({r} as rect, {x}D as x, {y}D as y, {w}D as w, {h}D as h)" for r, x, y, w, h in rects]
+    return k.select("picture_id", F.explode(F.expr(f"array({', '.join(parts)})")).alias("r")).select("picture_id", "r.*")
+
+
+add("path_hits", lambda spark, d: H.hits(_segments(spark, d), _rectangles(spark, d), ["picture_id"]))
