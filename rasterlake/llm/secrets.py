@@ -8,8 +8,9 @@ to the ledger, reads it back, and joins the findings to all paths and versions t
 hold the blob.  Copies are scanned once, and a later scan with the same ledger scans
 only what is new; a new rule version scans all again.
 
-Blobs that occur once, nearly all of them, are scanned where they stand; only the
-texts of repeated blobs are shuffled to keep one of each.
+Texts are read twice: once for their addresses, once to scan them where they stand.
+Between, a list says which blobs are in the ledger and, for each that occurs more
+than once, the one row whose text is scanned; texts are joined to that list by address.
 
 Rules find leftmost non-overlapping matches.  Spans are (kind, start, end) in
 code points, end exclusive.  The base kinds are assign, access and hex; pem and
@@ -86,7 +87,9 @@ class Ledger:
         """blob_id, rule_version, spans of everything scanned so far."""
         try:
             return self.spark.read.schema(_LEDGER).parquet(self.folder)
-        except AnalysisException:  # nothing was ever scanned
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # only a folder that is not there yet is an empty ledger
+                raise
             return self.spark.createDataFrame([], _LEDGER)
 
     def append(self, rows: DataFrame) -> None:
@@ -107,15 +110,29 @@ def _few(blobs: DataFrame, name: str, weight: Column | None = None) -> DataFrame
     return F.broadcast(table) if size <= BROADCAST_BLOBS else table
 
 
-def scan_unseen(blobs: DataFrame, ledger: DataFrame | None, rule_version: int = RULE_VERSION) -> DataFrame:
-    """Ledger rows (blob_id, rule_version, spans) of blobs that the ledger has not under this rule version."""
+def keys_of(blobs: DataFrame) -> DataFrame:
+    """path, version and blob_id of every row, written."""
+    return gathered(blobs.select("path", "version", "blob_id"), "addresses")
+
+
+def scan_unseen(blobs: DataFrame, ledger: DataFrame | None, rule_version: int = RULE_VERSION, keys: DataFrame | None = None) -> DataFrame:
+    """Ledger rows (blob_id, rule_version, spans) of blobs that the ledger has not under this rule version.
+
+    ``keys`` are the written addresses of ``blobs``, if they are there already.  Of a
+    repeated blob the row of the least (path, version) is scanned; of rows equal in all
+    of these one ledger row is kept.
+    """
+    keys = keys_of(blobs) if keys is None else keys
+    held = keys.groupBy("blob_id").agg(F.count("*").alias("n"), F.min(F.struct("path", "version")).alias("pick"))
+    seen = F.lit(False)
     if ledger is not None:
-        seen = ledger.filter(F.col("rule_version") == rule_version).select("blob_id").distinct()
-        blobs = blobs.join(_few(seen.join(blobs.select("blob_id").distinct(), "blob_id"), "seen"), "blob_id", "left_anti")
-    repeated = _few(blobs.groupBy("blob_id").agg(F.count("*").alias("n")).filter("n > 1").select("blob_id"), "repeated")
-    alone = blobs.select("blob_id", "content").join(repeated, "blob_id", "left_anti")
-    one = blobs.join(repeated, "blob_id").groupBy("blob_id").agg(F.first("content").alias("content"))
-    return alone.unionByName(one).select("blob_id", F.lit(rule_version).alias("rule_version"), spans_of(F.col("content")).alias("spans"))
+        known = ledger.filter(F.col("rule_version") == rule_version).select("blob_id").distinct().withColumn("known", F.lit(True))
+        held, seen = held.join(known, "blob_id", "left"), F.col("known").isNotNull()
+    held = _few(held.select("blob_id", "n", "pick", seen.alias("seen")).filter((F.col("n") > 1) | F.col("seen")), "held")
+    met = blobs.join(held, "blob_id", "left")
+    picked = F.col("path").eqNullSafe(F.col("pick.path")) & F.col("version").eqNullSafe(F.col("pick.version"))
+    unseen = met.filter(F.col("seen").isNull() | (~F.col("seen") & picked))
+    return unseen.select("blob_id", F.lit(rule_version).alias("rule_version"), spans_of(F.col("content")).alias("spans")).dropDuplicates(["blob_id"])
 
 
 def scan(versions: DataFrame, path: str = "path", content: str = "content", ledger: Ledger | None = None, version: str | None = None, rule_version: int = RULE_VERSION) -> DataFrame:
@@ -123,9 +140,10 @@ def scan(versions: DataFrame, path: str = "path", content: str = "content", ledg
     spark = versions.sparkSession
     ledger = ledger or Ledger(spark, new_folder(spark, "ledger"))
     blobs = addressed(versions, path, content, version)
-    ledger.append(scan_unseen(blobs, ledger.rows(), rule_version))
+    keys = keys_of(blobs)
+    ledger.append(scan_unseen(blobs, ledger.rows(), rule_version, keys))
     found = ledger.rows().filter((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select("blob_id", "spans").dropDuplicates(["blob_id"])
-    findings = blobs.select("path", "version", "blob_id").join(found, "blob_id", "left")
+    findings = keys.join(found, "blob_id", "left")
     return findings.select("path", "version", "blob_id", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
 
 
