@@ -7,6 +7,7 @@ say it, the same result in SQL text written on its own.
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import comb
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -547,7 +548,19 @@ def _predictor_sql(mode: int) -> str:
 for _m in range(14):
     add(f"predictor_{_m}", lambda spark, d, m=_m: T.predicted_residual(pixels(spark, d), m), _predictor_sql(_m))
 add("fxaa", lambda spark, d: T.fxaa(P.to_frames(pixels(spark, d), 8, 8)))
-add("resize_bicubic", lambda spark, d: T.resize_bicubic(P.to_frames(pixels(spark, d), 8, 8), 5, 12))
+
+
+def _bicubic_sql(w: int, h: int) -> str:
+    def taps(axis: str, size: int) -> str:
+        t = "abs(place - (base + k))"
+        cubic = f"CASE WHEN {t} <= 1 THEN 1.5 * {t} * {t} * {t} - 2.5 * {t} * {t} + 1 WHEN {t} < 2 THEN -0.5 * {t} * {t} * {t} + 2.5 * {t} * {t} - 4 * {t} + 2 ELSE 0 END"
+        return f"SELECT CAST(i AS INTEGER) AS t{axis}, greatest(0, least(7, base + k)) AS {axis}, {cubic} AS w{axis} FROM (SELECT i, k, place, CAST(floor(place) AS INTEGER) AS base FROM (SELECT i, (i + CAST(0.5 AS DOUBLE)) * 8 / {size} - 0.5 AS place FROM range({size}) r(i)), (SELECT unnest([-1, 0, 1, 2]) AS k))"
+
+    out = ", ".join(f"CAST(greatest(0, least(255, floor(sum({c} * wx * wy) + 0.5))) AS INTEGER) AS {c}" for c in "argb")
+    return f"WITH {PX}, kx AS ({taps('x', w)}), ky AS ({taps('y', h)}) SELECT picture_id, tx AS x, ty AS y, {out} FROM px JOIN kx USING (x) JOIN ky USING (y) GROUP BY picture_id, tx, ty"
+
+
+add("resize_bicubic", lambda spark, d: P.to_pixels(T.resize_bicubic(P.to_frames(pixels(spark, d), 8, 8), 5, 12)), _bicubic_sql(5, 12))
 
 # -- drawing -----------------------------------------------------------------------------------------
 
@@ -582,6 +595,59 @@ r AS (SELECT picture_id, cx, cy + i AS y, CASE WHEN rx = 0 OR ry = 0 THEN 0 ELSE
   FROM o JOIN n ON abs(i) <= CASE WHEN rx = 0 OR ry = 0 THEN 0 ELSE ry END)
 SELECT picture_id, cx + i AS x, y FROM r JOIN n ON abs(i) <= half""",
 )
+
+
+def _walk_sql(lines: str) -> str:
+    """Pixels of lines ln (picture_id, x, y, x2, y2), each walked by its error term."""
+    return f"""WITH RECURSIVE {_SHAPES}, {lines}, s AS (SELECT picture_id, x, y, x2, y2, abs(x2 - x) AS dx, abs(y2 - y) AS dy, CASE WHEN x < x2 THEN 1 ELSE -1 END AS sx, CASE WHEN y < y2 THEN 1 ELSE -1 END AS sy FROM ln),
+b AS (SELECT picture_id, x, y, x2, y2, dx, dy, sx, sy, dx - dy AS err FROM s UNION
+  SELECT picture_id, CASE WHEN 2 * err > -dy THEN x + sx ELSE x END, CASE WHEN 2 * err < dx THEN y + sy ELSE y END, x2, y2, dx, dy, sx, sy,
+    err - CASE WHEN 2 * err > -dy THEN dy ELSE 0 END + CASE WHEN 2 * err < dx THEN dx ELSE 0 END FROM b WHERE x <> x2 OR y <> y2)
+SELECT DISTINCT picture_id, x, y FROM b"""
+
+
+def _curve_sql(points: list[tuple[str, str]], least: int) -> str:
+    degree = len(points) - 1
+
+    def at(axis: int) -> str:
+        one = "CAST(1.0 AS DOUBLE)"
+        terms = [f"CAST({comb(degree, k)} AS DOUBLE) * ({' * '.join([one, *['t'] * k, *['u'] * (degree - k)])}) * {p[axis]}" for k, p in enumerate(points)]
+        return f"CAST(floor({' + '.join(terms)} + 0.5) AS INTEGER)"
+
+    (x0, y0), (x1, y1) = points[0], points[-1]
+    steps = f"greatest({least}, CAST(floor(sqrt(CAST(({x1} - {x0}) * ({x1} - {x0}) + ({y1} - {y0}) * ({y1} - {y0}) AS DOUBLE)) / 2) AS INTEGER))"
+    return _walk_sql(f"""st AS (SELECT *, {steps} AS steps FROM sh), tt AS (SELECT st.*, i, CAST(i AS DOUBLE) / steps AS t, 1.0::DOUBLE - CAST(i AS DOUBLE) / steps AS u FROM st JOIN n ON i BETWEEN 0 AND steps),
+pt AS (SELECT picture_id, i, {at(0)} AS px, {at(1)} AS py FROM tt), ln AS (SELECT a.picture_id, a.px AS x, a.py AS y, b.px AS x2, b.py AS y2 FROM pt a JOIN pt b ON a.picture_id = b.picture_id AND b.i = a.i + 1)""")
+
+
+def _half_sql(rx: str, ry: str, d: str) -> str:
+    return f"CAST(floor(({rx}) * sqrt(greatest(CAST(0 AS DOUBLE), CAST(1 AS DOUBLE) - CAST({d} AS DOUBLE) * ({d}) / (CAST({ry} AS DOUBLE) * ({ry})))) + 0.5) AS INTEGER)"
+
+
+def _rim_sql(source: str, keys: str) -> str:
+    """Offsets (dx, dy) of an oval's rim from its middle: by column where it is flat, by row where it is steep."""
+    return f"""SELECT {keys}, a * i AS dx, b * e AS dy FROM (SELECT s.*, i, {_half_sql('greatest(ry, 1)', 'greatest(rx, 1)', 'i')} AS e FROM {source} s JOIN n ON i BETWEEN 0 AND greatest(rx, 1)), (VALUES (1), (-1)) p(a), (VALUES (1), (-1)) q(b)
+  WHERE i * greatest(ry, 1) * greatest(ry, 1) <= e * greatest(rx, 1) * greatest(rx, 1)
+UNION SELECT {keys}, a * e, b * i FROM (SELECT s.*, i, {_half_sql('greatest(rx, 1)', 'greatest(ry, 1)', 'i')} AS e FROM {source} s JOIN n ON i BETWEEN 0 AND greatest(ry, 1)), (VALUES (1), (-1)) p(a), (VALUES (1), (-1)) q(b)
+  WHERE e * greatest(ry, 1) * greatest(ry, 1) >= i * greatest(rx, 1) * greatest(rx, 1)"""
+
+
+_OVALS = "o AS (SELECT picture_id, x + x2 // 2 AS cx, y + y2 // 2 AS cy, x2 // 2 AS rx, y2 // 2 AS ry FROM sh)"
+_ROUND = "o AS (SELECT picture_id, x, y, x2 AS w0, y2 AS h0, w // 2 AS rx, h // 2 AS ry FROM sh)"
+_SHAPE_SQL = {
+    "draw_polygon": _walk_sql("ln AS (SELECT picture_id, x, y, x2, y2 FROM sh UNION ALL SELECT picture_id, x2, y2, w, h FROM sh UNION ALL SELECT picture_id, w, h, x, y FROM sh)"),
+    "draw_quad": _curve_sql([("x", "y"), ("w", "y2"), ("x2", "h")], 8),
+    "draw_cubic": _curve_sql([("x", "y"), ("w", "y2"), ("x2", "h"), ("y2", "x")], 12),
+    "draw_oval": f"""WITH {_SHAPES}, {_OVALS}, big AS (SELECT * FROM o WHERE rx > 0 AND ry > 0), rim AS ({_rim_sql('big', 'picture_id, cx, cy')})
+SELECT picture_id, cx AS x, cy AS y FROM o WHERE rx <= 0 OR ry <= 0 UNION SELECT picture_id, cx + dx, cy + dy FROM rim""",
+    "draw_fill_round_rect": f"""WITH {_SHAPES}, {_ROUND}, r AS (SELECT o.*, i AS d, greatest(ry - i, i - (h0 - ry), 0) AS m FROM o JOIN n ON i BETWEEN 0 AND h0),
+c AS (SELECT *, CASE WHEN m > 0 THEN rx - {_half_sql('rx', 'greatest(ry, 1)', 'm')} ELSE 0 END AS cut FROM r)
+SELECT picture_id, x + cut + i AS x, y + d AS y FROM c JOIN n ON i >= 0 AND i < w0 + 1 - 2 * cut""",
+    "draw_round_rect": f"""WITH {_SHAPES}, {_ROUND}, big AS (SELECT * FROM o WHERE rx > 0 AND ry > 0), rim AS ({_rim_sql('big', 'picture_id, x, y, w0, h0, rx, ry')})
+SELECT picture_id, x + rx + i AS x, y AS y FROM o JOIN n ON i >= 0 AND i < w0 - 2 * rx + 1 UNION SELECT picture_id, x + rx + i, y + h0 FROM o JOIN n ON i >= 0 AND i < w0 - 2 * rx + 1
+UNION SELECT picture_id, x, y + ry + i FROM o JOIN n ON i >= 0 AND i < h0 - 2 * ry + 1 UNION SELECT picture_id, x + w0, y + ry + i FROM o JOIN n ON i >= 0 AND i < h0 - 2 * ry + 1
+UNION SELECT picture_id, dx + CASE WHEN dx < 0 THEN x + rx ELSE x + w0 - rx END, dy + CASE WHEN dy < 0 THEN y + ry ELSE y + h0 - ry END FROM rim""",
+}
 for _n, _f in {
     "draw_oval": lambda s: D.draw_oval(s, ["picture_id"], "x", "y", "x2", "y2"),
     "draw_fill_round_rect": lambda s: D.fill_round_rect(s, ["picture_id"], "x", "y", "x2", "y2", "w", "h"),
@@ -592,7 +658,7 @@ for _n, _f in {
     "draw_cubic": lambda s: D.draw_cubic(s, ["picture_id"], ("x", "y"), ("w", "y2"), ("x2", "h"), ("y2", "x")),
     "draw_polygon": lambda s: D.draw_polyline(s.select("picture_id", F.array("x", "x2", "w").alias("xs"), F.array("y", "y2", "h").alias("ys")), ["picture_id"], "xs", "ys", True),
 }.items():
-    add(_n, lambda spark, d, f=_f: f(_shapes(spark, d)))
+    add(_n, lambda spark, d, f=_f: f(_shapes(spark, d)), _SHAPE_SQL.get(_n))
 add(
     "draw_fill_polygon",
     lambda spark, d: D.fill_polygon(_shapes(spark, d).select("picture_id", F.array("x", "x2", "w").alias("xs"), F.array("y", "y2", "h").alias("ys")), ["picture_id"], "xs", "ys"),
