@@ -9,11 +9,19 @@ masked in the text.  packing: texts become pieces of 2048-token sequences.
 Every stage takes and returns the columns of ``documents`` (the last returns
 pieces).  A null text counts as empty: it has a score, equals other empty texts,
 and packs as one end token.  Repeated rows are thinned to one by exact_dedup.
-Rows with null doc_ids take part like any other.  Empty tables give empty tables.
+Rows with null doc_ids take part like any other.  Very long texts are one row
+throughout; packing cuts them.  Ties: of equal texts with equal doc_ids, and of the
+smallest doc_id of a component, one row of equal (doc_id, text) stays, whichever.
+Other columns go along as they are; those whose names begin with two underscores,
+which the stages use themselves, are renamed on the way in and named back on the
+way out.  Empty tables give empty tables.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,6 +51,22 @@ def surviving(docs: DataFrame, rows: DataFrame, kept: DataFrame) -> DataFrame:
     return rest.unionByName(docs.join(thin, at).withColumn("__first", first).filter("__first = 1").select(*docs.columns))
 
 
+def shielded(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage whose own columns, all with two underscores in front, cannot meet others of the name."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        hidden, prefix = [c for c in docs.columns if c.startswith("__")], "held"
+        while any(c.lower().startswith(prefix) for c in docs.columns):
+            prefix += "_"
+        names = {c: f"{prefix}{i}" for i, c in enumerate(hidden)}
+        out = stage(spark, docs.withColumnsRenamed(names) if names else docs, sf_dir)
+        back = {to: c for c, to in names.items() if to in out.columns}
+        return out.withColumnsRenamed(back) if back else out
+
+    return run_stage
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), 0.3)
 
@@ -68,11 +92,11 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("quality", keep_quality),
-    ("exact_dedup", drop_copies),
-    ("near_dedup", drop_near_copies),
-    ("secrets", mask_secrets),
-    ("packing", pack),
+    ("quality", shielded(keep_quality)),
+    ("exact_dedup", shielded(drop_copies)),
+    ("near_dedup", shielded(drop_near_copies)),
+    ("secrets", shielded(mask_secrets)),
+    ("packing", shielded(pack)),
 ]
 ORACLE_SQL = None
 

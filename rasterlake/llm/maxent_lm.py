@@ -38,7 +38,8 @@ the tasks (a bounded list), all others are joined by word.
 Edge cases.  Null and empty texts: the end alone.  No training texts: N = V = 0,
 the base score is 0 a token and the model is uniform.  Null doc_ids fall into
 fold 0 and so are training texts.  Repeated rows each count and each get a row.
-Very long texts are scored whole.  No rows: none.  Other columns are not read.
+Very long texts are scored whole.  Ties: buckets with equal places along a direction
+are halved by their numbers.  No rows: none.  Other columns are not read.
 """
 
 from __future__ import annotations

@@ -11,7 +11,10 @@ Edge cases.  Null and empty texts have all statistics zero and get a score like
 any other.  Labels that are null or of no document are left out; several labels
 of one document: their mean counts.  Without any training label, or with one
 class only, the score is that class's share (0.5 if there is none).  Null
-doc_ids fall into fold 0.  Repeated rows get equal scores.  No rows: none.
+doc_ids fall into fold 0.  Repeated rows get equal scores.  Very long texts are
+measured whole.  Ties: of splits with equal gain the first feature and lowest bin
+wins, so equal data give equal trees.  Other columns are not read for scores, so
+their names cannot clash.  No rows: none.
 """
 
 from __future__ import annotations

@@ -142,3 +142,16 @@ def test_stages_take_no_rows(spark, docs, sf_dir):
         rows = stage(spark, rows, sf_dir)
         assert rows.columns == docs.columns
     assert C.pack(spark, rows, sf_dir).count() == 0
+
+
+@pytest.mark.parametrize("stage", range(4))
+def test_stages_carry_columns_with_names_of_their_own(spark, sf_dir, stage):
+    names = ["__id", "__hash", "__kid", "__khash", "__n", "__thin", "__first", "__quality", "__blob", "__spans", "held0"]
+    rows = [(i, f"text number {i} with password = hunter2hunter2 and more words {i * 7}", "en", *[f"{n}{i}" for n in names]) for i in range(6)] + [(6, None, "en", *["x"] * len(names))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, " + ", ".join(f"`{n}` string" for n in names))
+    out = C.STAGES[stage][1](spark, docs, sf_dir)
+    assert out.columns == docs.columns
+    got = {r.doc_id: r for r in out.collect()}
+    assert len(got) >= 2
+    for i, r in got.items():
+        assert [r[n] for n in names] == ([f"{n}{i}" for n in names] if i < 6 else ["x"] * len(names))
