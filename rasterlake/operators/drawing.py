@@ -222,12 +222,10 @@ def draw_cubic(shapes: DataFrame, keys: list[str], *points: tuple[str, str]) ->
 
 def copy_area(px: DataFrame, x: int, y: int, w: int, h: int, dx: int, dy: int, width: int, height: int) -> DataFrame:
     """Changes for ``pixels.put``: the area again at an offset; places outside the picture count as clear."""
-    spark = px.sparkSession
-    cells = spark.range(w * h).select((F.col("id") % w + x).cast("int").alias("sx"), (F.expr(f"id div {w}") + y).cast("int").alias("sy"))
-    inside = cells.filter(F.col("sx").between(-dx, width - 1 - dx) & F.col("sy").between(-dy, height - 1 - dy))
-    pictures = px.select("picture_id").distinct().withColumn("o", F.lit(1))
-    # the area has w * h cells, a property of the call and not of the data
-    grid = pictures.join(F.broadcast(inside))
+    # each picture makes the places of the area itself
+    cells = px.select("picture_id").distinct().select("picture_id", F.explode(F.sequence(F.lit(0), F.lit(w * h - 1))).alias("id"))
+    grid = cells.select("picture_id", (F.col("id") % w + x).cast("int").alias("sx"), (F.expr(f"id div {w}") + y).cast("int").alias("sy"))
+    grid = grid.filter(F.col("sx").between(-dx, width - 1 - dx) & F.col("sy").between(-dy, height - 1 - dy))
     source = px.select("picture_id", F.col("x").alias("sx"), F.col("y").alias("sy"), "a", "r", "g", "b")
     rows = grid.join(source, ["picture_id", "sx", "sy"], "left")
     return rows.select("picture_id", (F.col("sx") + dx).alias("x"), (F.col("sy") + dy).alias("y"), *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in "argb"), F.lit(0).alias("ord"))

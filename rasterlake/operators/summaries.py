@@ -52,11 +52,12 @@ def color_cap(px: DataFrame, most: int = 256) -> DataFrame:
 def nearest_slot(colors: DataFrame, palette: DataFrame) -> DataFrame:
     """For each distinct (r, g, b) the palette slot at the least squared distance, the first of equals.
 
-    The palette has at most 256 entries, so it is folded into one array that goes
+    The palette has at most 256 entries (more are an error), so it is folded into one array that goes
     along with each row; the search is a scan of that array, not a join of rows.
     """
-    entries = palette.agg(F.array_sort(F.collect_list(F.struct("slot", F.col("r").alias("pr"), F.col("g").alias("pg"), F.col("b").alias("pb")))).alias("entries"))
-    rows = colors.select("r", "g", "b").distinct().join(F.broadcast(entries))  # one row
+    entries = palette.limit(257).agg(F.array_sort(F.collect_list(F.struct("slot", F.col("r").alias("pr"), F.col("g").alias("pg"), F.col("b").alias("pb")))).alias("entries"))
+    few = F.when(F.size("entries") <= 256, F.col("entries")).otherwise(F.raise_error(F.lit("a palette has at most 256 entries")))
+    rows = colors.select("r", "g", "b").distinct().join(F.broadcast(entries.select(few.alias("entries"))))  # one row
 
     def far(e: Column) -> Column:
         d = [F.col(c) - e[f"p{c}"] for c in "rgb"]

@@ -170,3 +170,11 @@ def test_edges_of_blocks_meet_in_one_grouping(spark, sf_dir):
 
     text = plan(intra.edges(intra.squares(pixels(spark, sf_dir), 4, v=F.col("r")), 4, "v"))
     assert "Join" not in text and len(re.findall(r"Exchange hashpartitioning", text)) == 2
+
+
+def test_large_palettes_are_refused(spark):
+    colors = spark.createDataFrame([(1, 2, 3)], "r int, g int, b int")
+    palette = spark.range(257).selectExpr("cast(id as int) slot", "cast(id % 256 as int) r", "0 g", "0 b")
+    assert S.nearest_slot(colors, palette.limit(256)).count() == 1
+    with pytest.raises(Exception, match="at most 256"):
+        S.nearest_slot(colors, palette).collect()
