@@ -598,12 +598,7 @@ SELECT picture_id, cx + i AS x, y FROM r JOIN n ON abs(i) <= half""",
 
 
 def _walk_sql(lines: str) -> str:
-    """Pixels of lines ln (picture_id, x, y, x2, y2), each walked by its error term."""
-    return f"""WITH RECURSIVE {_SHAPES}, {lines}, s AS (SELECT picture_id, x, y, x2, y2, abs(x2 - x) AS dx, abs(y2 - y) AS dy, CASE WHEN x < x2 THEN 1 ELSE -1 END AS sx, CASE WHEN y < y2 THEN 1 ELSE -1 END AS sy FROM ln),
-b AS (SELECT picture_id, x, y, x2, y2, dx, dy, sx, sy, dx - dy AS err FROM s UNION
-  SELECT picture_id, CASE WHEN 2 * err > -dy THEN x + sx ELSE x END, CASE WHEN 2 * err < dx THEN y + sy ELSE y END, x2, y2, dx, dy, sx, sy,
-    err - CASE WHEN 2 * err > -dy THEN dy ELSE 0 END + CASE WHEN 2 * err < dx THEN dx ELSE 0 END FROM b WHERE x <> x2 OR y <> y2)
-SELECT DISTINCT picture_id, x, y FROM b"""
+    return coding.walk_sql(f"{_SHAPES}, {lines}")
 
 
 def _curve_sql(points: list[tuple[str, str]], least: int) -> str:

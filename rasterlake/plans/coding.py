@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import comb
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -460,14 +461,61 @@ r AS (SELECT k, y, x, row_number() OVER (PARTITION BY k, y ORDER BY x) AS i FROM
 q AS (SELECT a.k, a.y, unnest(range(CAST(a.x AS BIGINT), b.x + 1)) AS x FROM r a JOIN r b ON a.k = b.k AND a.y = b.y AND a.i % 2 = 1 AND b.i = a.i + 1)
 SELECT DISTINCT k AS picture_id, CAST(x AS INTEGER) AS x, y FROM q""",
 )
-add("path_draw", lambda spark, d: H.draw_path(_segments(spark, d), ["picture_id"]))
+
+
+def walk_sql(ctes: str) -> str:
+    """Pixels of the lines of a table ln (picture_id, x, y, x2, y2), each walked by its error term."""
+    return f"""WITH RECURSIVE {ctes}, s0 AS (SELECT picture_id, x, y, x2, y2, abs(x2 - x) AS dx, abs(y2 - y) AS dy, CASE WHEN x < x2 THEN 1 ELSE -1 END AS sx, CASE WHEN y < y2 THEN 1 ELSE -1 END AS sy FROM ln),
+b AS (SELECT picture_id, x, y, x2, y2, dx, dy, sx, sy, dx - dy AS err FROM s0 UNION
+  SELECT picture_id, CASE WHEN 2 * err > -dy THEN x + sx ELSE x END, CASE WHEN 2 * err < dx THEN y + sy ELSE y END, x2, y2, dx, dy, sx, sy,
+    err - CASE WHEN 2 * err > -dy THEN dy ELSE 0 END + CASE WHEN 2 * err < dx THEN dx ELSE 0 END FROM b WHERE x <> x2 OR y <> y2)
+SELECT DISTINCT picture_id, x, y FROM b"""
+
+
+def _draw_sql() -> str:
+    lines, here, begun = [], ("0", "0"), ("0", "0")
+    whole = lambda v: f"CAST(floor(CAST({v} AS DOUBLE) + 0.5) AS INTEGER)"
+    for kind, points in _PATH:
+        end = begun if kind == "Z" else points[-1]
+        if kind in "LZ":
+            lines.append(f"SELECT k AS picture_id, {', '.join(f'{whole(v)} AS {n}' for v, n in zip((*here, *end), ('x', 'y', 'x2', 'y2')))} FROM s")
+        elif kind in "QC":
+            bends = [here, *points]
+            d = len(bends) - 1
+            n = f"CAST(greatest({8 if kind == 'Q' else 12}, floor(sqrt(power({end[0]} - ({here[0]}), 2.0) + power({end[1]} - ({here[1]}), 2.0)) / 2)) AS INTEGER)"
+
+            def at(axis: int, t: str) -> str:
+                u = f"(CAST(1.0 AS DOUBLE) - {t})"
+                return whole(" + ".join(f"{' * '.join([f'CAST({comb(d, k)} AS DOUBLE)', *[t] * k, *[u] * (d - k)])} * CAST({p[axis]} AS DOUBLE)" for k, p in enumerate(bends)))  # noqa: B023
+
+            cells = ", ".join(f"{at(axis, t)} AS {name}" for t, suffix in (("ta", ""), ("tb", "2")) for axis, name in ((0, "x" + suffix), (1, "y" + suffix)))
+            lines.append(f"SELECT k AS picture_id, {cells} FROM (SELECT k, CAST(i - 1 AS DOUBLE) / n AS ta, CAST(i AS DOUBLE) / n AS tb FROM (SELECT k, {n} AS n, unnest(range(1, {n} + 1)) AS i FROM s))")
+        here, begun = end, end if kind == "M" else begun
+    return walk_sql("s AS (SELECT s_suppkey AS k FROM supplier), ln AS (" + " UNION ALL ".join(lines) + ")")
+
+
+add("path_draw", lambda spark, d: H.draw_path(_segments(spark, d), ["picture_id"]), _draw_sql())
+
+
+_RECTANGLES = ((0, 0.0, 0.0, 3.0, 3.0), (1, 30.0, 30.0, 8.0, 8.0), (2, 10.0, 10.0, 2.0, 2.0), (3, 12.0, 12.0, 0.0, 4.0), (4, -9.0, -9.0, 90.0, 90.0), (5, 20.0, 20.0, 6.0, 5.0))
 
 
 def _rectangles(spark: SparkSession, d: str) -> DataFrame:
     k = table(spark, d, "supplier").select(F.col("s_suppkey").alias("picture_id"))
-    rects = [(0, 0.0, 0.0, 3.0, 3.0), (1, 30.0, 30.0, 8.0, 8.0), (2, 10.0, 10.0, 2.0, 2.0), (3, 12.0, 12.0, 0.0, 4.0), (4, -9.0, -9.0, 90.0, 90.0)]
-    parts = [f"struct({r} as rect, {x}D as x, {y}D as y, {w}D as w, {h}D as h)" for r, x, y, w, h in rects]
+    parts = [f"struct({r} as rect, {x}D as x, {y}D as y, {w}D as w, {h}D as h)" for r, x, y, w, h in _RECTANGLES]
     return k.select("picture_id", F.explode(F.expr(f"array({', '.join(parts)})")).alias("r")).select("picture_id", "r.*")
 
 
-add("path_hits", lambda spark, d: H.hits(_segments(spark, d), _rectangles(spark, d), ["picture_id"]))
+def _hits_sql() -> str:
+    corner = lambda px, py: f"sign((xb - xa) * ({py} - ya) - (yb - ya) * ({px} - xa))"
+    corners = ", ".join(corner(px, py) for px in ("x", "x + w") for py in ("y", "y + h"))
+    turn = corner("x + w / 2", "y + h / 2")
+    return f"""WITH {_flat_sql()}, p AS (SELECT k, seg > 4 AS sub, x, y, row_number() OVER (PARTITION BY k, seg > 4 ORDER BY seg, step) AS i, count(*) OVER (PARTITION BY k, seg > 4) AS n FROM f),
+e AS (SELECT a.k, a.x AS xa, a.y AS ya, b.x AS xb, b.y AS yb FROM p a JOIN p b ON a.k = b.k AND a.sub = b.sub AND b.i = a.i % a.n + 1),
+r(rect, x, y, w, h) AS (VALUES {', '.join(map(str, _RECTANGLES))}),
+m AS (SELECT e.k, r.rect, w, h, NOT (greatest(xa, xb) <= x OR least(xa, xb) >= x + w OR greatest(ya, yb) <= y OR least(ya, yb) >= y + h) AND least({corners}) < 0 AND greatest({corners}) > 0 AS t,
+  CASE WHEN ya <= y + h / 2 AND yb > y + h / 2 AND {turn} > 0 THEN 1 WHEN ya > y + h / 2 AND yb <= y + h / 2 AND {turn} < 0 THEN -1 ELSE 0 END AS z FROM e, r)
+SELECT k AS picture_id, rect, w > 0 AND h > 0 AND (bool_or(t) OR sum(z) <> 0) AS hit FROM m GROUP BY k, rect, w, h"""
+
+
+add("path_hits", lambda spark, d: H.hits(_segments(spark, d), _rectangles(spark, d), ["picture_id"]), _hits_sql())
