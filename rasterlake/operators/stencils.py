@@ -225,7 +225,7 @@ def _cubic(p: np.ndarray, w: int, h: int) -> np.ndarray:
         return out
 
     q = np.einsum("yj,jxc->yxc", weights(h, p.shape[0]), np.einsum("xi,jic->jxc", weights(w, p.shape[1]), p.astype(float)))
-    return np.clip(np.floor(q + 0.5), 0, 255)
+    return np.clip(np.floor(q + 0.5 + 1e-9), 0, 255)  # halves go up, however the sums were rounded
 
 
 def normalize_frames(frames: DataFrame, fit: str = "contain", upscale: bool = False, width: int = 0, height: int = 0, background: int = 0) -> DataFrame:

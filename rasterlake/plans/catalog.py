@@ -550,17 +550,32 @@ for _m in range(14):
 add("fxaa", lambda spark, d: T.fxaa(P.to_frames(pixels(spark, d), 8, 8)))
 
 
-def _bicubic_sql(w: int, h: int) -> str:
-    def taps(axis: str, size: int) -> str:
-        t = "abs(place - (base + k))"
-        cubic = f"CASE WHEN {t} <= 1 THEN 1.5 * {t} * {t} * {t} - 2.5 * {t} * {t} + 1 WHEN {t} < 2 THEN -0.5 * {t} * {t} * {t} + 2.5 * {t} * {t} - 4 * {t} + 2 ELSE 0 END"
-        return f"SELECT CAST(i AS INTEGER) AS t{axis}, greatest(0, least(7, base + k)) AS {axis}, {cubic} AS w{axis} FROM (SELECT i, k, place, CAST(floor(place) AS INTEGER) AS base FROM (SELECT i, (i + CAST(0.5 AS DOUBLE)) * 8 / {size} - 0.5 AS place FROM range({size}) r(i)), (SELECT unnest([-1, 0, 1, 2]) AS k))"
+def _bicubic_taps(axis: str, size: int) -> str:
+    """For each target place of a side of 8 at another size, the four places it takes from and their weights."""
+    t = "abs(place - (base + k))"
+    cubic = f"CASE WHEN {t} <= 1 THEN 1.5 * {t} * {t} * {t} - 2.5 * {t} * {t} + 1 WHEN {t} < 2 THEN -0.5 * {t} * {t} * {t} + 2.5 * {t} * {t} - 4 * {t} + 2 ELSE 0 END"
+    return f"SELECT CAST(i AS INTEGER) AS t{axis}, greatest(0, least(7, base + k)) AS {axis}, {cubic} AS w{axis} FROM (SELECT i, k, place, CAST(floor(place) AS INTEGER) AS base FROM (SELECT i, (i + CAST(0.5 AS DOUBLE)) * 8 / {size} - 0.5 AS place FROM range({size}) r(i)), (SELECT unnest([-1, 0, 1, 2]) AS k))"
 
-    out = ", ".join(f"CAST(greatest(0, least(255, floor(sum({c} * wx * wy) + 0.5))) AS INTEGER) AS {c}" for c in "argb")
-    return f"WITH {PX}, kx AS ({taps('x', w)}), ky AS ({taps('y', h)}) SELECT picture_id, tx AS x, ty AS y, {out} FROM px JOIN kx USING (x) JOIN ky USING (y) GROUP BY picture_id, tx, ty"
 
+def _bicubic_sql(cte: str, source: str, keys: str, w: int, h: int) -> str:
+    """CTEs of which the last, bc (keys, x, y, colours), is the source at another size."""
+    out = ", ".join(f"CAST(greatest(0, least(255, floor(sum({c} * wx * wy) + 0.5 + 1e-9))) AS INTEGER) AS {c}" for c in "argb")
+    return f"{cte}, kx AS ({_bicubic_taps('x', w)}), ky AS ({_bicubic_taps('y', h)}), bc AS (SELECT {keys}, tx AS x, ty AS y, {out} FROM {source} JOIN kx USING (x) JOIN ky USING (y) GROUP BY {keys}, tx, ty)"
 
-add("resize_bicubic", lambda spark, d: P.to_pixels(T.resize_bicubic(P.to_frames(pixels(spark, d), 8, 8), 5, 12)), _bicubic_sql(5, 12))
+
+def _clip_frames(spark: SparkSession, d: str) -> DataFrame:
+    return P.to_frames(clip(spark, d), 8, 8, "picture_id", "frame_idx").withColumn("delay_ms", F.lit(40))
+
+
+_ON_CANVAS = ", ".join(f"coalesce({c}, {v}) AS {c}" for c, v in zip("argb", (255, 32, 48, 64)))
+add(
+    "normalize_drawing",
+    lambda spark, d: P.to_pixels(T.normalize_frames(_clip_frames(spark, d), "contain", True, 11, 14, 0xFF203040), "picture_id", "frame_idx"),
+    f"""WITH {_bicubic_sql(CLIP, 'cl', 'picture_id, frame_idx', 11, 11)},
+cv AS (SELECT picture_id, frame_idx, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y FROM (SELECT DISTINCT picture_id, frame_idx FROM cl), range(11) p(x), range(14) q(y))
+SELECT cv.picture_id, cv.frame_idx, cv.x, cv.y, {_ON_CANVAS} FROM cv LEFT JOIN bc ON bc.picture_id = cv.picture_id AND bc.frame_idx = cv.frame_idx AND bc.x = cv.x AND bc.y = cv.y - 1""",
+)
+add("resize_bicubic", lambda spark, d: P.to_pixels(T.resize_bicubic(P.to_frames(pixels(spark, d), 8, 8), 5, 12)), f"WITH {_bicubic_sql(PX, 'px', 'picture_id', 5, 12)} SELECT * FROM bc")
 
 # -- drawing -----------------------------------------------------------------------------------------
 
