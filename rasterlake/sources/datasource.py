@@ -3,7 +3,8 @@
 ``spark.dataSource.register(RasterSource)``, then ``spark.read.format("raster").load(folder)``
 gives one row per frame, and ``df.write.format("raster").option("format", "qoi").save(folder)``
 writes a file for every row of (name, frames already encoded as content).  Files
-appear under their final name only when the whole write is committed.
+appear under their final name only when the whole write is committed; with option
+``expected``, only if they are so many.
 """
 
 from __future__ import annotations
@@ -62,8 +63,8 @@ class _Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceWriter):
-    def __init__(self, path: str, suffix: str):
-        self.path, self.suffix = path, suffix
+    def __init__(self, path: str, suffix: str, expected: int | None = None):
+        self.path, self.suffix, self.expected = path, suffix, expected
 
     def write(self, rows: Iterator) -> _Written:
         store, root = _store(self.path)
@@ -78,6 +79,9 @@ class _Writer(DataSourceWriter):
 
     def commit(self, messages: list) -> None:
         store, root = _store(self.path)
+        written = sum(len(m.moves) for m in messages)
+        if self.expected is not None and written != self.expected:
+            raise ValueError(f"{written} files were written, {self.expected} were expected")
         for m in messages:
             for held, name in m.moves:
                 store.move(held, name)
@@ -103,4 +107,5 @@ class RasterSource(DataSource):
         return _Reader(o["path"], o.get("mode", "FAILFAST").upper() == "PERMISSIVE", int(o.get("filesPerTask", "16")))
 
     def writer(self, schema: StructType, overwrite: bool) -> _Writer:
-        return _Writer(self.options["path"], "." + self.options.get("format", "bin").lower())
+        expected = self.options.get("expected")
+        return _Writer(self.options["path"], "." + self.options.get("format", "bin").lower(), None if expected is None else int(expected))

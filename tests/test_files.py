@@ -110,3 +110,17 @@ def test_damaged_files(source, tmp_path):
     with pytest.raises(Exception):
         source.read.format("raster_files").load(str(tmp_path)).collect()
     assert source.read.format("raster_files").option("paths", "[]").load().count() == 0
+
+
+def test_a_write_of_another_count_leaves_nothing(spark, tmp_path):
+    from rasterlake.sources.datasource import RasterSource
+
+    spark.dataSource.register(RasterSource)
+    rows = [(f"i{k}", bytearray(registry.encode(picture(2, 2), "QOI"))) for k in range(3)]
+    df = spark.createDataFrame(rows, "name string, content binary")
+    write = lambda n: df.write.format("raster").option("format", "qoi").option("expected", n).mode("append").save(str(tmp_path / f"out{n}"))
+    write(3)
+    assert len(list((tmp_path / "out3").glob("*.qoi"))) == 3
+    with pytest.raises(Exception, match="were expected"):
+        write(4)
+    assert not list((tmp_path / "out4").glob("*.qoi"))
