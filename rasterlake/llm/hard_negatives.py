@@ -3,11 +3,12 @@
 Vectors are cut into sub-vectors of ``SUB`` components.  For each length of vectors
 one task fits 256 centroids for every sub-space to a bounded sample (``SAMPLE``
 vectors of ``SAMPLE_BYTES`` together at most); every row is then indexed: a byte of
-code and the norm of what the centroid leaves over, for each sub-space.  The score
-of a query and a row is the sum of looked-up products of the query's sub-vectors
-with centroids, plus or minus the sum of ``|query part| * residual norm``, so both
-ends of that interval are rigorous.  Only rows whose interval can still matter are
-scored exactly, in integers.
+code for each sub-space, and the norm of what its centroids leave over.  The score
+of a query and a row is the product of the query with the row's centroids, plus or
+minus ``|query| * residual norm`` and what rounding can do, so both ends of that
+interval are rigorous.  The upper ends of a block of queries and a step of rows are
+one matrix product, in single precision unless the numbers are too large.  Only rows
+whose interval can still matter are scored exactly, in integers.
 
 First pass: for each anchor the best rows of its own label.  A row matters if its
 upper end reaches the k-th best score so far or the k-th highest lower end.  Second
@@ -16,8 +17,10 @@ labels those matter whose interval meets the window above what the window alread
 holds.  A task goes through its shards one at a time and carries what it has found,
 so each (anchor or window, task) gives at most k rows; a ranking by key merges them.
 
-Anchors travel in blocks to the shards, a chunk of blocks of at most ``CHUNK_BYTES``
-(summed and checked) at a time; shards are never shuffled.  Each chunk's rows are a
+Rows of a shard lie by label, so the first pass multiplies each anchor with rows of
+its own label only.  Anchors travel in blocks to the shards, a chunk of blocks of at
+most ``CHUNK_BYTES`` (summed and checked) at a time; shards are shuffled once, when they
+are indexed, by length and a hash, so that all cores have some of them.  Each chunk's rows are a
 table, so a lost executor costs at most one chunk.  Work grows as anchors times
 rows, by definition.
 
@@ -44,7 +47,9 @@ from .common import bounded_batches, new_folder, trimmed, written
 
 #: Components of a sub-vector, centroids of a sub-space, and the bounds of the sample that they are fitted to.
 SUB, CENTROIDS, SAMPLE, SAMPLE_BYTES, ROUNDS = 2, 256, 4096, 8_000_000, 6
-SHARD_BYTES, BLOCK_BYTES, CHUNK_BYTES, STEP_ROWS, STEP_QUERIES = 4_000_000, 1_000_000, 16_000_000, 4096, 128
+SHARD_BYTES, BLOCK_BYTES, CHUNK_BYTES, STEP_ROWS, STEP_QUERIES = 4_000_000, 4_000_000, 16_000_000, 4096, 256
+#: Components up to this keep single precision from overflowing; rows of a step, as one part in so many, that an anchor may have scored without narrowing first.
+_SINGLE, _FEW = 1e15, 16
 _LONG = (-(1 << 63), (1 << 63) - 1)
 #: Whole numbers up to this are exact as doubles, and so are their sums.
 _EXACT = float(1 << 53)
@@ -72,6 +77,8 @@ def shards_of(batches: Iterator[pa.RecordBatch], scale: int, size: int) -> Itera
 
     def blobs(d: int) -> Iterator[pa.RecordBatch]:
         ids, uids, labels, v = (np.concatenate(c) for c in zip(*held.pop(d)))
+        order = np.argsort(labels, kind="stable")
+        ids, uids, labels, v = ids[order], uids[order], labels[order], v[order]
         rows = max(1, size // (8 * d))
         for k in range(0, len(ids), rows):
             at = slice(k, k + rows)
@@ -132,13 +139,17 @@ def fitted(v: np.ndarray) -> np.ndarray:
 
 @trimmed
 def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Codes and residual norms beside the vectors of each shard."""
+    """Codes and residual norms beside the vectors of each shard; small components take two bytes."""
     for batch in batches:
         for row in batch.to_pylist():
             p = parts(np.frombuffer(row["vectors"], np.float64).reshape(-1, row["dims"]))
             c = np.frombuffer(row["centroids"], np.float64).reshape(-1, CENTROIDS, SUB)
             codes = np.stack([nearest(x, y) for x, y in zip(p, c)])
-            left = np.sqrt(((p - np.stack([y[k] for k, y in zip(codes, c)])) ** 2).sum(axis=2))
+            with np.errstate(over="ignore", invalid="ignore"):
+                left = np.sqrt(((p - np.stack([y[k] for k, y in zip(codes, c)])) ** 2).sum(axis=(0, 2)))
+            v = np.frombuffer(row["vectors"], np.float64)
+            if np.abs(v).max(initial=0) < 1 << 15:
+                row["vectors"] = v.astype(np.int16).tobytes()
             yield _batch({k: [v] for k, v in row.items() if k != "centroids"} | {"codes": [codes.tobytes()], "residuals": [left.tobytes()], "centroids": [row["centroids"]]})
 
 
@@ -211,36 +222,113 @@ class Block:
         self.first = np.concatenate([[0], np.cumsum(_longs(row["b_counts"]))])
         self.best = Best(len(self.windows) if bounds else len(self.uids), k)
         self.met = self.scored = 0
+        self.need, self.top = self.best.need, np.full(len(self.uids), np.inf)
         if bounds:  # whole scores of a window: low% to high% of the positive's
             self.low = [-(-bounds[0] * s // 100) for s in self.windows[:, 2].tolist()]
             self.high = [bounds[1] * s // 100 for s in self.windows[:, 2].tolist()]
+            self.open = [[j for j in range(self.first[i], self.first[i + 1]) if self.low[j] <= self.high[j]] for i in range(len(self.uids))]
+            self.need = np.full(len(self.uids), np.inf)
+            for i, keys in enumerate(self.open):
+                self.top[i] = np.nextafter(float(max((self.high[j] for j in keys), default=_LONG[0])), np.inf)
+                self._lowered(i)
+        with np.errstate(over="ignore"):
+            self.norms = np.sqrt((self.q**2).sum(axis=1))
+        asked = np.array([i for i in range(len(self.uids)) if not bounds or self.open[i]], np.int64)
+        asked = asked[np.argsort(self.labels[asked], kind="stable")]
+        cuts = np.flatnonzero(np.diff(self.labels[asked])) + 1
+        #: Anchors that go through the rows together: those of one label for rows of their own, all for rows of others.
+        self.groups = np.split(asked, [] if bounds else cuts) if len(asked) else []
+
+    def _lowered(self, i: int) -> None:
+        """The least score that any window of an anchor still takes."""
+        least = min((max(self.low[j], self.best.need[j]) for j in self.open[i]), default=np.inf)
+        self.need[i] = np.nextafter(float(least), -np.inf)
 
     def search(self, row: dict) -> None:
         ids, uids, labels = _longs(row["ids"]), _longs(row["uids"]), _longs(row["labels"])
-        v = np.frombuffer(row["vectors"], np.float64).reshape(-1, row["dims"])
-        codes = np.frombuffer(row["codes"], np.uint8).reshape(-1, len(ids))
-        left = np.frombuffer(row["residuals"], np.float64).reshape(-1, len(ids))
+        n, d = len(ids), row["dims"]
+        v = np.frombuffer(row["vectors"], np.int16 if len(row["vectors"]) == 2 * n * d else np.float64).reshape(n, d)
+        codes = np.frombuffer(row["codes"], np.uint8).reshape(-1, n)
+        left = np.frombuffer(row["residuals"], np.float64).reshape(-1, n)
         centroids = np.frombuffer(row["centroids"], np.float64).reshape(-1, CENTROIDS, SUB)
-        for a in range(0, len(self.q), STEP_QUERIES):
-            p = parts(self.q[a : a + STEP_QUERIES])
-            tables = p @ centroids.transpose(0, 2, 1)
-            norms = np.sqrt((p**2).sum(axis=2)).T
-            reach = np.abs(tables).max(axis=2).sum(axis=0)
-            for b in range(0, len(ids), STEP_ROWS):
-                at = slice(b, b + STEP_ROWS)
-                about = np.zeros((p.shape[1], len(ids[at])))
-                for t, c in zip(tables, codes[:, at]):
-                    about += t[:, c]
-                slack = norms @ left[:, at]
-                slack += 1e-9 * (slack + reach[:, None])  # rounding of the sums
-                for i in range(p.shape[1]):
-                    step = (self._negatives if self.bounds else self._positives)
-                    step(a + i, about[i] - slack[i], about[i] + slack[i], ids[at], uids[at], labels[at], v[at])
+        if (labels[1:] < labels[:-1]).any():
+            order = np.argsort(labels, kind="stable")
+            ids, uids, labels, v, codes, left = ids[order], uids[order], labels[order], v[order], codes[:, order], left[:, order]
+        with np.errstate(over="ignore", invalid="ignore"):
+            about = np.concatenate([c[k] for c, k in zip(centroids, codes)], axis=1)[:, :d]
+            left = np.sqrt((left**2).sum(axis=0))
+            left = left + (d + 8) * 2.0**-22 * (left + np.sqrt((about**2).sum(axis=1)))  # rounding of the products, in single precision too
+            longest = float(np.sqrt((v.astype(np.float64) ** 2).sum(axis=1)).max(initial=0)) * float(self.norms.max(initial=0))
+        large = not all(np.abs(x).max(initial=0) < _SINGLE for x in (about, left, self.norms))
+        kind = np.float64 if large else np.float32
+        rows = np.concatenate([about, left[:, None]], axis=1).astype(kind)
+        for group in self.groups:
+            own = self.labels[group[0]]
+            lo, hi = (0, n) if self.bounds else (int(np.searchsorted(labels, own, side)) for side in ("left", "right"))
+            for a in range(0, len(group), STEP_QUERIES):
+                at = group[a : a + STEP_QUERIES]
+                asked = np.concatenate([self.q[at], self.norms[at, None]], axis=1).astype(kind)
+                for b in range(lo, hi, STEP_ROWS):
+                    part = slice(b, min(b + STEP_ROWS, hi))
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        high = asked @ rows[part].T
+                    if large:
+                        high[~np.isfinite(high)] = np.inf
+                    self._step(at, asked, high, rows[part, -1], ids[part], uids[part], labels[part], v[part], longest < _EXACT)
+
+    def _step(self, at: np.ndarray, asked: np.ndarray, high: np.ndarray, left: np.ndarray, ids, uids, labels, v, safe: bool) -> None:
+        """Anchors ``at`` against some rows, given upper ends: few rows of an anchor are scored at once, of many the intervals are narrowed first."""
+        if self.bounds:  # rows of an anchor's own label are out
+            starts = [0, *(np.flatnonzero(np.diff(self.labels[at])) + 1).tolist(), len(at)]
+            for x, y in zip(starts, starts[1:]):
+                own = np.searchsorted(labels, self.labels[at[x]]), np.searchsorted(labels, self.labels[at[x]], "right")
+                high[x:y, own[0] : own[1]] = -np.inf
+                self.met += (y - x) * (len(ids) - int(own[1] - own[0]))
+        else:
+            self.met += high.size
+        need = np.nextafter(self.need[at].astype(high.dtype), high.dtype.type(-np.inf))
+        i, r = np.divmod(np.flatnonzero(high >= need[:, None]), len(ids))
+        if not len(i):
+            return
+        top = high[i, r].astype(np.float64)
+        with np.errstate(over="ignore", invalid="ignore"):
+            low = top - 2 * asked[i, -1].astype(np.float64) * left[r]
+        low[~np.isfinite(top) | np.isnan(low)] = -np.inf
+        keep = (low <= self.top[at[i]]) & (labels[r] != self.labels[at[i]] if self.bounds else uids[r] != self.uids[at[i]])
+        i, r, low, top = i[keep], r[keep], low[keep], top[keep]
+        many = np.bincount(i, minlength=len(at)) > (len(ids) // _FEW if safe else 0)
+        for x in np.flatnonzero(many).tolist():
+            k = slice(*np.searchsorted(i, [x, x + 1]))
+            step = self._negatives if self.bounds else self._positives
+            step(int(at[x]), low[k], top[k], ids[r[k]], uids[r[k]], labels[r[k]], v[r[k]])
+        few = ~many[i]
+        i, r = i[few], r[few]
+        for a in range(0, len(i), STEP_ROWS):
+            x, y = i[a : a + STEP_ROWS], r[a : a + STEP_ROWS]
+            scores = np.einsum("ij,ij->i", self.q[at[x]], v[y].astype(np.float64))  # whole numbers below 2 ** 53
+            self.scored += len(x)
+            keep = np.flatnonzero((scores >= self.need[at[x]]) & (scores <= self.top[at[x]]))
+            x, y, scores = x[keep], y[keep], scores[keep]
+            for place in np.unique(x).tolist():
+                k = slice(*np.searchsorted(x, [place, place + 1]))
+                self._put(int(at[place]), [int(s) for s in scores[k]], ids[y[k]].tolist(), uids[y[k]].tolist())
+
+    def _put(self, i: int, scores: list[int], ids: list[int], uids: list[int]) -> None:
+        """Whole scores of an anchor to its windows, or to its positives."""
+        if not self.bounds:
+            self.best.add(i, scores, ids, uids)
+            return
+        for j in self.open[i]:
+            least = max(self.low[j], self.best.need[j])
+            rows = [x for x in zip(scores, ids, uids) if least <= x[0] <= self.high[j]]
+            if rows:
+                self.best.add(j, *map(list, zip(*rows)))
+        self._lowered(i)
 
     def _take(self, key: int, i: int, at: np.ndarray, ids: np.ndarray, uids: np.ndarray, v: np.ndarray, low: int = _LONG[0], high: int = _LONG[1]) -> None:
         self.scored += len(at)
         if len(at):
-            rows = [(s, n, u) for s, n, u in zip(exact(self.q[i], v[at]), ids[at].tolist(), uids[at].tolist()) if low <= s <= high]
+            rows = [(s, n, u) for s, n, u in zip(exact(self.q[i], v[at].astype(np.float64)), ids[at].tolist(), uids[at].tolist()) if low <= s <= high]
             if rows:
                 self.best.add(key, *map(list, zip(*rows)))
 
@@ -250,20 +338,16 @@ class Block:
         return need if len(low) < k else max(need, float(np.partition(low, len(low) - k)[len(low) - k]))
 
     def _positives(self, i: int, low, high, ids, uids, labels, v) -> None:
-        own = np.flatnonzero((labels == self.labels[i]) & (uids != self.uids[i]))
-        self.met += len(own)
-        self._take(i, i, own[high[own] >= self._at_least(low[own], self.best.need[i])], ids, uids, v)
+        self._take(i, i, np.flatnonzero(high >= self._at_least(low, self.best.need[i])), ids, uids, v)
 
     def _negatives(self, i: int, low, high, ids, uids, labels, v) -> None:
-        for j in range(self.first[i], self.first[i + 1]):
+        for j in self.open[i]:
             a, b = self.low[j], self.high[j]
-            if a > b:
-                continue
-            other = np.flatnonzero((labels != self.labels[i]) & (low <= b) & (high >= max(a, self.best.need[j])))
-            self.met += len(ids)
+            other = np.flatnonzero((low <= b) & (high >= max(a, self.best.need[j])))
             if len(other):
                 need = self._at_least(low[other][(low[other] >= a) & (high[other] <= b)], self.best.need[j])
                 self._take(j, i, other[high[other] >= need], ids, uids, v, a, b)
+        self._lowered(i)
 
     def found(self) -> Iterator[tuple]:
         for i in range(len(self.uids)):
@@ -323,7 +407,10 @@ def mine(vectors: DataFrame, every: int = 100, positives: int = 5, negatives: in
     whole = x.isNotNull() & F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < float("inf")))
     rows = vectors.filter(whole).select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("bigint").alias("label"), F.transform(x, lambda e: e.cast("double")).alias("v"), F.spark_partition_id().cast("bigint").alias("part")).filter(F.size("v") > 0)
     shards = written(rows.mapInArrow(lambda it: shards_of(it, scale, SHARD_BYTES), _ROWS), "shards")
-    index = written(shards.join(centroids(rows, scale), "dims").select(*shards.columns, F.lit(b"").alias("codes"), F.lit(b"").alias("residuals"), "centroids").mapInArrow(indexed, _INDEX), "index")
+    # Shards of one length are most or all of the table: a hash beside the length deals them out, and centroids follow to where they are needed.
+    dealt = shards.withColumn("deal", F.pmod(F.xxhash64("uids"), F.lit(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    fits = dealt.select("dims", "deal").distinct().join(written(centroids(rows, scale), "centroids"), "dims")
+    index = written(dealt.join(fits, ["dims", "deal"]).select(*shards.columns, F.lit(b"").alias("codes"), F.lit(b"").alias("residuals"), "centroids").mapInArrow(indexed, _INDEX), "index")
     asked = written(shards.mapInArrow(lambda it: asked_of(it, every), _ASKED), "anchors")
     empty = "cast(null as array<struct<other: bigint, id: bigint, score: bigint>>)"
     own = written(searched(index, asked.withColumn("windows", F.expr(empty)), positives, None), "positives")

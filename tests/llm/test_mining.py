@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
 from rasterlake.llm import collocations, hard_negatives, substring_dedup
 
 SCHEMA = "doc_id bigint, text string, lang string, block bigint, part string, range int, size string, n int, word string, phrase string"
@@ -159,6 +160,57 @@ def test_large_components_stay_exact():
     assert hard_negatives.exact(q, v) == [min(2**70 + 3, 2**63 - 1), 2**53 + 3]
 
 
+def test_hard_negatives_of_large_numbers(spark):
+    """Scores above 2 ** 53, and components above what single precision holds."""
+    r = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in r.integers(-(1 << 20), 1 << 20, 3)], i % 3) for i in range(60)]
+    small = [(i, [float(x) / 256 for x in r.integers(-1, 2, 3)], i % 2) for i in range(59)] + [(100, [2.0**53, 0.0, 0.0], 0)]
+    for table in (rows, small):
+        got = hard_negatives.mine(spark.createDataFrame([(v, e, g, 1, "c", 2, 3) for v, e, g in table], VECTORS), every=10)
+        assert sorted(map(tuple, got.collect())) == hard(table, 10)
+
+
+def test_shards_of_one_length_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(hard_negatives, "SHARD_BYTES", 2000)
+    seen, searched = [], hard_negatives.searched
+    monkeypatch.setattr(hard_negatives, "searched", lambda index, *a: seen.append(index.select(F.input_file_name()).distinct().count()) or searched(index, *a))
+    rows = [(i, np.random.default_rng(i).normal(0, 0.3, 8).tolist(), i % 4, 1, "c", 2, 3) for i in range(600)]
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        hard_negatives.mine(spark.createDataFrame(rows, VECTORS).repartition(3), every=50)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert min(seen) > 1
+
+
+def test_windows_take_rows_in_bulk(monkeypatch):
+    """Two-byte vectors by label: windows hold what brute force finds, and few anchors are taken one by one."""
+    r = np.random.default_rng(5)
+    v, labels = np.floor(r.normal(0, 32, (20000, 16))), np.sort(r.integers(0, 4, 20000))
+    c = hard_negatives.fitted(v[:2000])
+    blob = lambda x, t: np.asarray(x, t).tobytes()
+    row = {"dims": 16, "ids": blob(range(20000), np.int64), "uids": blob(range(20000), np.int64), "labels": blob(labels, np.int64), "vectors": v.tobytes(), "centroids": c.tobytes()}
+    batch = hard_negatives._batch({k: [x] for k, x in row.items()})
+    row = next(hard_negatives.indexed([batch])).to_pylist()[0]
+    assert len(row["vectors"]) == 2 * v.size
+    anchors = r.permutation(np.arange(0, 20000, 500)).tolist()
+    scores = v[anchors] @ v.T
+    windows = [(0, 0, int(np.sort(s)[-20])) for s in scores]
+    asked = {"b_dims": 16, "b_uids": blob(anchors, np.int64), "b_ids": blob(anchors, np.int64), "b_labels": blob(labels[anchors], np.int64), "b_vectors": v[anchors].tobytes(), "b_windows": blob(windows, np.int64), "b_counts": blob([1] * len(anchors), np.int64)}
+    block = hard_negatives.Block(asked, 5, (80, 100))
+    single, step = [], block._negatives
+    monkeypatch.setattr(block, "_negatives", lambda i, *a: single.append(i) or step(i, *a))
+    block.search(row)
+    for i, a in enumerate(anchors):
+        fit = sorted((-int(s), n) for n, s in enumerate(scores[i]) if labels[n] != labels[a] and 80 * windows[i][2] <= 100 * s <= 100 * windows[i][2])[:5]
+        assert [(s, n) for s, n, _ in block.best.rows[i]] == fit
+    assert len(single) < len(anchors)
+
+
 # -- collocations -----------------------------------------------------------------------
 
 
