@@ -244,3 +244,15 @@ def paired(first: DataFrame, second: DataFrame, how: str = "inner") -> DataFrame
     s = first.select(*KEYS, *(F.col(c).alias(f"s{c}") for c in "argb"))
     d = second.select(*KEYS, *(F.col(c).alias(f"d{c}") for c in "argb"))
     return s.join(d, list(KEYS), how)
+
+
+def paired_frames(first: DataFrame, frames: DataFrame) -> DataFrame:
+    """``paired`` with frames (picture_id, width, height, argb) as the second: each pixel looks its place up in the frame.
+
+    Both sides are shuffled by picture: sizes behind Python are guesses, and a guess too low would send every pixel through the driver.
+    """
+    s = first.select(*KEYS, *(F.col(c).alias(f"s{c}") for c in "argb"))
+    met = s.join(frames.select("picture_id", "width", "height", "argb").hint("merge"), "picture_id")
+    inside = met.filter(contains(F.col("x"), F.col("y"), F.col("width"), F.col("height")))
+    color = Argb.unpacked(F.get("argb", (F.col("y") * F.col("width") + F.col("x")).cast("int")))
+    return inside.select(*KEYS, *(f"s{c}" for c in "argb"), *(v.alias(f"d{c}") for c, v in zip("argb", color)))

@@ -845,8 +845,8 @@ def _jpeg_error(spark: SparkSession, d: str) -> DataFrame:
     """Mean squared error of each picture after a trip through JPEG."""
     px = pixels(spark, d).withColumn("a", F.lit(255))
     files = R.encode_frames(P.to_frames(px, 8, 8).withColumn("has_alpha", F.lit(False)), "jpeg", quality=0.95, halve=False).select(F.col("picture_id").cast("string").alias("path"), "content")
-    back = P.to_pixels(R.decode_files(files).select(F.col("path").cast("bigint").alias("picture_id"), "width", "argb"))
-    errors = S.block_errors(P.paired(px, back), 8)
+    back = R.decode_files(files).select(F.col("path").cast("bigint").alias("picture_id"), "width", "height", "argb")
+    errors = S.block_errors(P.paired_frames(px, back), 8)
     return errors.select("picture_id", (F.col("sse") / 192).alias("mse"))
 
 

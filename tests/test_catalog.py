@@ -39,3 +39,18 @@ def test_no_python_in_pixel_plans(spark, sf_dir):
     for name in names:
         plan = catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert not any(word in plan for word in ("Python", "Pandas", "InArrow", "Cartesian")), name
+
+
+def test_jpeg_error_sends_no_pixels_through_the_driver(spark, sf_dir):
+    plan = catalog.queries()["jpeg_error"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "picture_id" in plan
+
+
+def test_paired_frames_equal_paired_pixels(spark):
+    """Repeated places, places outside and pictures of one side only."""
+    from rasterlake.operators import pixels as P
+
+    px = spark.createDataFrame([(k, x, y, 255, x, y, k) for k in (1, 2) for x in range(3) for y in range(3)] + [(1, 0, 0, 1, 2, 3, 4), (1, -1, 1, 1, 1, 1, 1)], "picture_id bigint, x int, y int, a int, r int, g int, b int")
+    frames = spark.createDataFrame([(1, 2, 2, [-1, 5, -16777216, 7]), (3, 1, 1, [9])], "picture_id bigint, width int, height int, argb array<int>")
+    want, got = P.paired(px, P.to_pixels(frames)), P.paired_frames(px, frames)
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect()) and got.count() == 5
